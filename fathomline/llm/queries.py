@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fathomline.llm import jaccard_join, packing, quality_rules, substring_dedup
+from fathomline.llm import decontamination, jaccard_join, packing, quality_rules, substring_dedup
 
-QUERIES = {"op2_packing": packing.op2_packing, "op1_quality_rules": quality_rules.op1_quality_rules, "op3_substring_dedup": substring_dedup.op3_substring_dedup, "op10_jaccard_join": jaccard_join.op10_jaccard_join}
+QUERIES = {"op2_packing": packing.op2_packing, "op1_quality_rules": quality_rules.op1_quality_rules, "op3_substring_dedup": substring_dedup.op3_substring_dedup, "op5_decontamination": decontamination.op5_decontamination, "op10_jaccard_join": jaccard_join.op10_jaccard_join}
 
-ORACLES: dict[str, str] = {**substring_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {**decontamination.ORACLE_SQL, **substring_dedup.ORACLE_SQL}
