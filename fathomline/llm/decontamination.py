@@ -94,6 +94,14 @@ def contaminated(docs: DataFrame, items: DataFrame, phrase: int = PHRASE) -> Dat
     return out.select("doc_id", "digest", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+def clean(docs: DataFrame, items: DataFrame, phrase: int = PHRASE) -> DataFrame:
+    """The rows of `docs` that hold no run of an item, with their columns."""
+    hit = Index(docs, windows(items, phrase)).phrases().select("doc_id", "digest").distinct()
+    hit = hit.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    digest = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["__id"]) & (digest == hit["__digest"]), "left_anti")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

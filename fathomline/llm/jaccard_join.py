@@ -115,7 +115,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(cuts)
         keys, sigs = set_keys(values, cuts), signatures(values, cuts)
         none = sizes == 0
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if z else k.tobytes() for z, k in zip(none, keys, strict=True)], pa.binary()), pa.array(sizes, pa.int64()), pa.array([None if z else s.tobytes() for z, s in zip(none, sigs, strict=True)], pa.binary())], names=["doc_id", "node", "n_shingles", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([None if z else k.tobytes() for z, k in zip(none, keys, strict=True)], pa.binary()), pa.array(sizes, pa.int64()), pa.array([None if z else s.tobytes() for z, s in zip(none, sigs, strict=True)], pa.binary())], names=["doc_id", "row", "node", "n_shingles", "sig"])
 
 
 def _survivors(x: np.ndarray, y: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
@@ -253,8 +253,13 @@ def _dealt(rows: DataFrame, by: list[str], count: str, block: int, parts: str =
     return rows.withColumn("i", F.least(parts, "with")).withColumn("j", F.greatest(parts, "with")).drop("k", "with")
 
 
+def _row_key(docs: DataFrame):
+    """Equal for rows of the same doc_id and text alone."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(F.coalesce(docs["text"], F.lit(""))))))
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, class_id, n_links, copy_id, n_shingles, text's place in no order; one row per row of `docs`.
+    """doc_id, class_id, n_links, copy_id, n_shingles, row, class; one row per row of `docs`.
 
     n_links counts the other rows whose shingle sets reach `threshold`; class_id
     is the least doc_id among the rows joined to this one by links, directly or
@@ -262,12 +267,14 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     empty texts have no shingles and no links: class_id and copy_id are their own
     doc_id.  A null doc_id is never a class's name unless no row of it has one;
     repeated rows count as documents of their own.  Other columns are ignored.
+    `row` stands for the doc_id and text, and `class` (null without shingles) is
+    the same for the rows of a class alone.
     """
     spark = docs.sparkSession
     least = least_matches(threshold, tolerance)
     groups = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(docs.mapInArrow(_sign, "doc_id long, node binary, n_shingles long, sig binary"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key(docs).alias("row"))
+    signed = stored(docs.mapInArrow(_sign, "doc_id long, row binary, node binary, n_shingles long, sig binary"))
     nodes = stored(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")))
 
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)])
@@ -279,23 +286,37 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     clusters = stored(components(close))
 
     inside = clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").join(nodes, "node")
-    texts = inside.join(docs, inside["copy_id"].eqNullSafe(docs["doc_id"])).drop("doc_id", "n_shingles")
+    texts = inside.join(docs, inside["copy_id"].eqNullSafe(docs["doc_id"])).drop("doc_id", "row")
     texts = _dealt(texts, ["root"], "n", CLUSTER_BLOCK).withColumn("g", F.pmod(F.xxhash64("root", "i", "j"), F.lit(groups)))
     found = stored(texts.select("g", "root", "i", "j", "part", "node", "copies", "sig", "text").groupBy("g").applyInPandas(lambda rows: _cluster_links(rows, threshold, least), "node binary, other binary, links long"))
 
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = roots.join(nodes.select("node", "copy_id"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("node", "class_id")
+    named = named.join(named.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("node", "class_id", "root")
     known = nodes.select("node", "copy_id", "copies").join(links, "node", "left").join(named, "node", "left")
     # copies == 1 and no link is the usual case; the rest is small
     known = known.where("copies > 1 or links is not null")
-    out = signed.select("doc_id", "node", "n_shingles").join(known, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"), "n_shingles")
+    out = signed.select("doc_id", "row", "node", "n_shingles").join(known, "node", "left")
+    return out.select("doc_id", F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"), "n_shingles", "row", F.coalesce("root", "node").alias("class"))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows of `docs` with one row left of each class: that of the least doc_id (null last), then of the least row key.
+
+    Rows without shingles all stay.
+    """
+    found = join(docs, threshold, tolerance)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row"))
+    stay = found.where("class is not null").groupBy("class").agg(best.alias("best")).select(F.col("best.row").alias("row"))
+    keyed = docs.withColumn("__row", _row_key(docs))
+    some = keyed.join(stay.withColumnRenamed("row", "__row"), "__row", "left_semi").dropDuplicates(["__row"])
+    none = keyed.join(found.where("class is null").select(F.col("row").alias("__row")), "__row", "left_semi")
+    return some.unionByName(none).select(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row", "class")
 
 
 ORACLE_SQL: dict[str, str] = {}

@@ -24,36 +24,38 @@ def _read(texts: list[bytes]):
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, period: int = 21, block_mb: float = 4.0) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by a space), one row per row of `docs`.
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by a space), rest; one row per row of `docs`.
 
     Null or empty texts have no words; a null doc_id is a document like others;
     rows that repeat a doc_id are separate documents; texts shorter than
-    `window` words stay whole; other columns are ignored.  An empty table gives
-    an empty result.
+    `window` words lose nothing; other columns are in the struct `rest`.  An
+    empty table gives an empty result.
     """
     _, size = repeats.volume(docs)
     blocks = max(1, int(size / (block_mb * (1 << 20))))
     plan = repeats.Plan(window, period, blocks, repeats.name_bytes(size), False, _read)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(None).cast("string").alias("none"))
+    dealt = docs.select(rest.alias("rest"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def finish(d: pd.DataFrame, block, starts: np.ndarray, flags: np.ndarray, _) -> pd.DataFrame:
         if block is None:
-            return pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept": []})
+            return pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept": [], "rest": []})
         data, first, last = block.extra
         gone = repeats.covered(len(first), starts[flags], window)
         whole, rows, words = data.tobytes(), [], block.offsets
-        for k, doc_id in enumerate(d["doc_id"]):
+        for k, (doc_id, other) in enumerate(zip(d["doc_id"], d["rest"], strict=True)):
             lo, hi = words[k], words[k + 1]
             stay = lo + np.flatnonzero(~gone[lo:hi])
             kept = b" ".join([whole[a:b] for a, b in zip(first[stay].tolist(), last[stay].tolist(), strict=True)])
-            rows.append((None if pd.isna(doc_id) else int(doc_id), hi - lo, hi - lo - len(stay), kept.decode("utf-8", "replace")))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": "Int64"})
+            rows.append((None if pd.isna(doc_id) else int(doc_id), hi - lo, hi - lo - len(stay), kept.decode("utf-8", "replace"), other))
+        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept", "rest"]).astype({"doc_id": "Int64"})
 
-    return repeats.find(dealt, plan, finish, "doc_id long, n_words long, n_removed long, kept string")
+    return repeats.find(dealt, plan, finish, f"doc_id long, n_words long, n_removed long, kept string, rest {dealt.schema['rest'].dataType.simpleString()}")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
