@@ -105,7 +105,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     base_labels come from PHRASES, labels also from templates whose containment
     in a block (a line; a longer line in overlapping blocks) reaches the
-    threshold; score is the best containment, 1 where a phrase stands, else 0.
+    threshold, of several in one block those of the highest; score is the best
+    containment, 1 where a phrase stands, else 0.
     Null and empty texts have no words and empty labels; null or repeated doc_ids
     are kept as they are; other columns are ignored.
     """
@@ -131,9 +132,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                     for line in text.split(b"\n"):
                         line_words = line.split()
                         for k in range(0, max(1, len(line_words) - BLOCK + STEP), STEP):
-                            for label, share in known.match(line_words[k : k + BLOCK]):
-                                labels.add(label)
-                                score = max(score, share)
+                            met = list(known.match(line_words[k : k + BLOCK]))
+                            best = max((share for _, share in met), default=0.0)
+                            labels.update(label for label, share in met if share == best)
+                            score = max(score, best)
                 starts = [s for s, _ in places]
                 rows.append((doc_id, len(found), n, min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -155,9 +157,9 @@ phrases AS ({_PHRASES}), notices AS ({_NOTICES}),
 spots AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE list_contains(w, 'license')),
 base AS (SELECT doc_id, label, i - 1 AS place FROM spots, phrases WHERE list_slice(w, i, i + len(phrase) - 1) = phrase),
 lines AS (SELECT doc_id, {_WORDS.format("line")} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-blocks AS (SELECT doc_id, list_slice(w, k + 1, k + {BLOCK}) AS w FROM (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - {BLOCK} + {STEP} - 1, 0), {STEP})) AS k FROM lines)),
-found AS (SELECT doc_id, label, len(list_intersect(tokens, w)) / len(tokens) AS share, len(list_intersect(tokens, w)) AS hits, len(tokens) AS n FROM blocks, notices),
-method AS (SELECT doc_id, label, share FROM found WHERE 10 * hits >= {round(10 * THRESHOLD)} * n),
+blocks AS (SELECT doc_id, row_number() OVER () AS b, list_slice(w, k + 1, k + {BLOCK}) AS w FROM (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - {BLOCK} + {STEP} - 1, 0), {STEP})) AS k FROM lines)),
+found AS (SELECT doc_id, b, label, len(list_intersect(tokens, w)) / len(tokens) AS share, len(list_intersect(tokens, w)) AS hits, len(tokens) AS n FROM blocks, notices),
+method AS (SELECT doc_id, label, share FROM found WHERE 10 * hits >= {round(10 * THRESHOLD)} * n QUALIFY share = max(share) OVER (PARTITION BY b)),
 places AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT * FROM method UNION ALL SELECT doc_id, label, 1.0 FROM base) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
