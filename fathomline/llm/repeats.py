@@ -17,6 +17,7 @@ chance agreement only adds a candidate.  The second round's are 96 bits.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -44,6 +45,8 @@ class Plan:
     blocks: int
     name_bytes: int
     first_stays: bool
+    #: Whether later copies of a whole text send nothing (their digests are told beforehand, as kind 0).
+    skip_copies: bool
     #: texts -> (two families of uint64 symbol values, offsets of the texts, whatever `finish` needs)
     read: Callable[[list[bytes]], tuple[tuple[np.ndarray, np.ndarray], np.ndarray, object]]
 
@@ -80,14 +83,14 @@ def unpack(data: bytes, width: int) -> np.ndarray:
 class Block:
     """The symbols of a block's documents, with the same names in every round."""
 
-    def __init__(self, plan: Plan, texts: list[bytes], skip: np.ndarray | None = None):
-        """skip: texts (by place) that send nothing."""
+    def __init__(self, plan: Plan, texts: list[bytes], skip: np.ndarray):
+        """skip: places of texts that send nothing."""
         self.plan = plan
         self.values, self.offsets, self.extra = plan.read(texts)
         sizes = np.diff(self.offsets)
         n = len(self.values[0])
         self.left = np.repeat(self.offsets[1:], sizes) - np.arange(n)
-        if skip is not None and len(skip):
+        if len(skip):
             self.left[np.repeat(np.isin(np.arange(len(texts)), skip), sizes)] = 0
         place = (np.arange(n) - np.repeat(self.offsets[:-1], sizes)) % plan.period
         at = np.zeros(plan.period, dtype=bool)
@@ -145,10 +148,25 @@ def _bits(told: pd.DataFrame, kind: int, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def copies_told(told: pd.DataFrame) -> np.ndarray:
-    """Places of texts that are left out (answers of kind 0)."""
-    told = told[told["kind"] == 0]
-    return np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in told["bits"]])) if len(told) else np.empty(0, np.int64)
+def _copies(plan: Plan, texts: list[bytes], told: pd.DataFrame) -> np.ndarray:
+    """Places of texts of which an earlier document, here or in an earlier block, is a copy."""
+    if not plan.skip_copies:
+        return np.empty(0, np.int64)
+    seen = {bytes(x) for x in told.loc[told["kind"] == 0, "bits"]}
+    out = []
+    for k, text in enumerate(texts):
+        digest = hashlib.md5(text, usedforsecurity=False).digest()
+        if digest in seen:
+            out.append(k)
+        seen.add(digest)
+    return np.array(out, dtype=np.int64)
+
+
+def earlier_copies(docs: DataFrame) -> DataFrame:
+    """Answers of kind 0: to each block, the digests of its texts that an earlier block holds too."""
+    held = docs.select("block", F.unhex(F.md5("text")).alias("bits")).distinct()
+    first = held.groupBy("bits").agg(F.min("block").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return held.join(first, "bits").where("block > first").select((F.col("block") + 0).alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "bits")
 
 
 def _ordered(docs: pd.DataFrame) -> pd.DataFrame:
@@ -156,25 +174,30 @@ def _ordered(docs: pd.DataFrame) -> pd.DataFrame:
     return docs.sort_values(["doc_id", "text"], kind="stable", na_position="first", ignore_index=True) if len(docs) else docs
 
 
-def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, left_out: DataFrame | None = None) -> DataFrame:
+def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str) -> DataFrame:
     """Runs both rounds over `docs` (block, doc_id, text as binary).
 
-    `finish(docs, block, starts, flags, left_out)` gets a block's documents, the
-    candidate windows' starts and which of them repeat (all but the first
-    occurrence if `first_stays`), and returns rows of `schema`.  `left_out`
-    (block, kind 0, bucket, bits) names texts that take no part.
+    `finish(docs, block, starts, flags, copies)` gets a block's documents, the
+    candidate windows' starts, which of them repeat (all but the first
+    occurrence if `first_stays`) and the places of skipped copies, and returns
+    rows of `schema`.
     """
     dealt = docs.groupBy("block")
 
     def texts(d: pd.DataFrame) -> list[bytes]:
         return [b"" if x is None else bytes(x) for x in d["text"]]
 
+    def open_block(d: pd.DataFrame, told: pd.DataFrame) -> tuple[Block, np.ndarray]:
+        held = texts(d)
+        copies = _copies(plan, held, told)
+        return Block(plan, held, copies), copies
+
     def send_anchors(d: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         d = _ordered(d)
         if not len(d):
             return pd.DataFrame({"bucket": [], "block": [], "names": []})
-        b = Block(plan, texts(d), copies_told(told))
-        names, _, counts = b.anchor_names()
+        b, _ = open_block(d, told)
+        names, _, _ = b.anchor_names()
         cuts = _cuts(names, plan.buckets, 8 * plan.name_bytes)
         rows = [(k, int(d["block"].iloc[0]), pack(names[lo:hi], plan.name_bytes)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
         return pd.DataFrame(rows, columns=["bucket", "block", "names"])
@@ -185,17 +208,17 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, left_out: D
         _, place, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         return _answers(rows, 1, (counts > 1)[place])
 
-    def again(d: pd.DataFrame, told: pd.DataFrame) -> tuple[Block, np.ndarray]:
-        b = Block(plan, texts(d), copies_told(told))
+    def again(d: pd.DataFrame, told: pd.DataFrame) -> tuple[Block, np.ndarray, np.ndarray]:
+        b, copies = open_block(d, told)
         names, place, counts = b.anchor_names()
         elsewhere = _bits(told, 1, _cuts(names, plan.buckets, 8 * plan.name_bytes))
-        return b, b.candidates(((counts > 1) | elsewhere)[place])
+        return b, b.candidates(((counts > 1) | elsewhere)[place]), copies
 
     def send_windows(d: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         d = _ordered(d)
         if not len(d):
             return pd.DataFrame({"bucket": [], "block": [], "names": []})
-        b, starts = again(d, told)
+        b, starts, _ = again(d, told)
         high, low, _, _ = b.window_names(starts)
         cuts = _cuts(high, plan.buckets, 64)
         rows = [(k, int(d["block"].iloc[0]), pack(high[lo:hi], 8) + pack(low[lo:hi], 4)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
@@ -218,17 +241,17 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, left_out: D
         d = _ordered(d)
         if not len(d):
             return finish(d, None, np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64))
-        b, starts = again(d, told)
+        b, starts, copies = again(d, told)
         high, _, place, first = b.window_names(starts)
         flags = _bits(told, 2, _cuts(high, plan.buckets, 64))[place]
         if plan.first_stays:
             flags |= ~first
         else:
             flags |= (np.bincount(place, minlength=len(high)) > 1)[place]
-        return finish(d, b, starts, flags, copies_told(told))
+        return finish(d, b, starts, flags, copies)
 
     spark = docs.sparkSession
-    told0 = left_out if left_out is not None else spark.createDataFrame([], _ANSWER)
+    told0 = earlier_copies(docs) if plan.skip_copies else spark.createDataFrame([], _ANSWER)
     names = dealt.cogroup(told0.groupBy("block")).applyInPandas(send_anchors, _NAMES)
     told1 = names.groupBy("bucket").applyInPandas(meet_anchors, _ANSWER)
     told = told0.unionByName(told1)
