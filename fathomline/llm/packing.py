@@ -57,6 +57,10 @@ class WordIds:
             made = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             self.young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, made, strict=True))
 
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        self.learn(set(words))
+        return list(map(self.young.__getitem__, words))
+
     def of(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]  # bytes.split() parts at \x20 and \x09-\x0D only
         self.learn(set().union(*split))
