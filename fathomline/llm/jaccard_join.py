@@ -155,16 +155,17 @@ class _Forest:
 
 
 def _bucket_edges(rows: pd.DataFrame, least: tuple[int, ...]) -> pd.DataFrame:
-    """Survivors among the rows of each bucket, as edges that connect them.
+    """Survivors among the rows of each bucket, as the edges of one forest over all these buckets.
 
     Rows that survive against the bucket's first row hang on it; each other row
-    meets all rows.
+    meets all rows.  A node's edge leads to the least node of its tree.
     """
-    out_a, out_b = [], []
     rows = rows.sort_values(["bucket", "i", "j", "node"], kind="stable", ignore_index=True)
     key = rows[["bucket", "i", "j"]].to_numpy()
     cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(rows)]))
-    sigs, nodes = _matrix(list(rows["sig"])), rows["node"].to_numpy()
+    sigs = _matrix(list(rows["sig"]))
+    place, nodes = pd.factorize(rows["node"], sort=True)
+    place, forest = place.tolist(), _Forest(len(nodes))
     # most buckets are pairs: all first rows against all others at once
     sizes = np.diff(cuts)
     first = np.repeat(cuts[:-1], sizes)
@@ -173,16 +174,14 @@ def _bucket_edges(rows: pd.DataFrame, least: tuple[int, ...]) -> pd.DataFrame:
     for lo in range(0, len(other), 1 << 15):
         part = other[lo : lo + (1 << 15)]
         hang[part[_survivors(sigs[first[part]], sigs[part], least)]] = True
-    for k in np.flatnonzero(hang):
-        out_a.append(nodes[k])
-        out_b.append(nodes[first[k]])
+    for k in np.flatnonzero(hang).tolist():
+        forest.join(place[k], place[first[k]])
     for lo, hi in zip(cuts[:-1][sizes > 2], cuts[1:][sizes > 2], strict=True):
-        for k in lo + 1 + np.flatnonzero(~hang[lo + 1 : hi]):
-            for j in lo + 1 + _survivors(np.broadcast_to(sigs[k], (hi - lo - 1, sigs.shape[1])), sigs[lo + 1 : hi], least):
-                if j != k:
-                    out_a.append(nodes[k])
-                    out_b.append(nodes[j])
-    return pd.DataFrame({"a": out_a, "b": out_b})
+        for k in (lo + 1 + np.flatnonzero(~hang[lo + 1 : hi])).tolist():
+            for j in (lo + 1 + _survivors(np.broadcast_to(sigs[k], (hi - lo - 1, sigs.shape[1])), sigs[lo + 1 : hi], least)).tolist():
+                forest.join(place[k], place[j])
+    roots = [forest.root(k) for k in range(len(nodes))]
+    return pd.DataFrame([(nodes[k], nodes[r]) for k, r in enumerate(roots) if k != r], columns=["a", "b"])
 
 
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
