@@ -1,24 +1,5 @@
 """Tables that outlive a plan, in the folder that all executors share."""
 
-from __future__ import annotations
+from fathomline.sources.shared import checkpoint_dir, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset, a folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet and read again: lineage ends here, and lost executors cost no rework."""
-    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["checkpoint_dir", "stored"]
