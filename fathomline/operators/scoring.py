@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
@@ -21,7 +21,7 @@ def _tie(*columns: str) -> Column:
 
 
 def candidate_pairs(detections: DataFrame, labels: DataFrame, by_line: bool = True, exact: bool = False, tolerance: int = fixed.LABEL_LINES) -> DataFrame:
-    """Pairs (d, l, file, cost) of one file with matching CWEs, within `tolerance` lines if by_line.
+    """Pairs (d, l, file, cost, low, high) of one file with matching CWEs, within `tolerance` lines if by_line; low and high are the lines it spans.
 
     detections: d, file, line, cwe, type, source; labels: l, file, line, cwe, type, note.
     """
@@ -31,7 +31,7 @@ def candidate_pairs(detections: DataFrame, labels: DataFrame, by_line: bool = Tr
     pairs = x.join(y, "file").where(cwe_matches(F.col("d_cwe"), F.col("l_cwe"), exact)).withColumn("gap", gap)
     if by_line:
         pairs = pairs.where(F.col("gap") <= tolerance)
-    return pairs.select("d", "l", "file", (F.col("gap").cast("long") * LINE_COST + F.col("d_tie") * 10000 + F.col("l_tie")).alias("cost"))
+    return pairs.select("d", "l", "file", (F.col("gap").cast("long") * LINE_COST + F.col("d_tie") * 10000 + F.col("l_tie")).alias("cost"), *([F.least("d_line", "l_line").alias("low"), F.greatest("d_line", "l_line").alias("high")] if by_line else [F.lit(0).alias("low"), F.lit(0).alias("high")]))
 
 
 def least_cost_matching(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -83,13 +83,20 @@ def least_cost_matching(pairs: list[tuple[int, int, int]]) -> list[tuple[int, in
 
 
 def match(pairs: DataFrame) -> DataFrame:
-    """JON-06: the matched (d, l).  Pairs lie within files, so each file is solved alone; the order of rows does not matter."""
+    """JON-06: the matched (d, l); the order of rows does not matter.
+
+    Pairs lie within files, and pairs whose spans do not overlap share neither
+    side, so each run of overlapping spans is solved alone.
+    """
+    order = Window.partitionBy("file").orderBy("low", "high", "d", "l")
+    new = F.coalesce((F.col("low") > F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    pairs = pairs.withColumn("__new", new).withColumn("run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         found = least_cost_matching(list(zip(group["d"], group["l"], group["cost"], strict=True)))
         return pd.DataFrame(found, columns=["d", "l"])
 
-    return pairs.groupBy("file").applyInPandas(run, "d long, l long")
+    return pairs.groupBy("file", "run").applyInPandas(run, "d long, l long")
 
 
 def outcomes(detections: DataFrame, labels: DataFrame, matched: DataFrame, clean_files: DataFrame, exact: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
 from fathomline.functions.scalars import cache_key, coerce_confidence, coerce_cvss, fingerprint, normalize_cwe, risk_reasons, risk_score, severity_rank
-from fathomline.operators import chains, fusion, policy, reports, scoring
+from fathomline.operators import chains, fusion, policy, repair, reports, scoring
 from fathomline.sources import sinks
 from fathomline.sources.tables import documents_as_files, numbered_lines, table
 from fathomline.streaming import progress
@@ -168,7 +168,7 @@ def _detections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 def label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, y, _ = _detections(spark, sf_dir)
-    return scoring.candidate_pairs(d, y)
+    return scoring.candidate_pairs(d, y).select("d", "l", "file", "cost")
 
 
 def detection_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,7 +311,29 @@ def order_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.where("place <= 3").select("c_mktsegment", "o_orderstatus", "o_orderkey", F.col("place").cast("int").alias("place"), "before")
 
 
-QUERIES = {f.__name__: f for f in (risk_route, risk_signals, fingerprints, severity_by_source, top_types, tier_dedup, two_tier_fusion, overlap_merge, suppression, baseline_partition, fix_check, build_gate, label_candidates, detection_outcomes, cwe_recall, document_labels_score, related_findings, dashboard, event_matrix, run_stability, newest_events, retained_events, capped_log, latest_state, debounced, event_props, call_summary, text_search, first_lines, code_windows, snapshot_digest, cache_keys, coercions, scan_documents, scan_coverage, supply_depth, priced_nations, order_ranks)}
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty documents of each quality and language, by the digest of their ids (SRC-31, a sampling operator)."""
+    rows = table(spark, sf_dir, "labels").join(files(spark, sf_dir), "doc_id").select("doc_id", "quality", "lang", F.md5(F.col("doc_id").cast("string")).alias("digest"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("quality", "lang").orderBy("digest", "doc_id"))).where("place <= 50").select("doc_id", "quality", "lang", F.col("place").cast("int").alias("place"))
+
+
+def taint_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of one file as steps of paths: which touch within a line to either side (JON-14)."""
+    steps = findings(spark, sf_dir).where("severity in ('CRITICAL', 'HIGH')").select("seq", F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.lit("step").alias("kind"))
+    return repair.taint_pairs(steps)
+
+
+def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence on licence lines against the current files, of which some changed or went (JON-19)."""
+    f = files(spark, sf_dir)
+    old = f.withColumn("sha256", F.sha2("content", 256)).where(F.contains("content", F.lit("License")))
+    evidence = old.select(F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("evidence_id"), "path", F.col("sha256").alias("content_hash"), F.size(F.split("content", "\n")).alias("end_line"))
+    now = f.where("doc_id % 7 <> 3").withColumn("content", F.when(F.col("doc_id") % 5 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    states = reports.evidence_state(evidence, now.select("path", F.sha2("content", 256).alias("sha256"), F.size(F.split("content", "\n")).alias("n_lines")))
+    return states.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (risk_route, risk_signals, fingerprints, severity_by_source, top_types, tier_dedup, two_tier_fusion, overlap_merge, suppression, baseline_partition, fix_check, build_gate, label_candidates, detection_outcomes, cwe_recall, document_labels_score, related_findings, dashboard, event_matrix, run_stability, newest_events, retained_events, capped_log, latest_state, debounced, event_props, call_summary, text_search, first_lines, code_windows, snapshot_digest, cache_keys, coercions, scan_documents, scan_coverage, supply_depth, priced_nations, order_ranks, stratified_sample, taint_touch, evidence_states)}
 
 _SIGNALS = " UNION ALL ".join(f"SELECT '{n}' AS signal, count(*) AS files FROM files WHERE regexp_matches(content, '{_re2(p)}')" for p, _, n in fixed.RISK_SIGNALS)
 _CLASS = " OR ".join(f"(d.cwe IN ({q}) AND y.cwe IN ({q}))" for g in fixed.CWE_CLASSES if (q := ", ".join(f"'{c}'" for c in g)))
@@ -350,5 +372,8 @@ SQL = {
     "scan_coverage": f"WITH {_FILES}, s AS (SELECT CASE WHEN length(content) < 50 THEN 'failed' WHEN contains(content, '###') THEN 'partial' ELSE 'completed' END AS status FROM files) SELECT count(*) AS requested, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'partial') AS partial, CASE WHEN count(*) FILTER (status = 'failed') = count(*) THEN 'failed' WHEN count(*) FILTER (status <> 'completed') > 0 THEN 'partial' ELSE 'completed' END AS status FROM s",
     "supply_depth": "WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), d0 AS (SELECT p_partkey AS p FROM part WHERE p_partkey % 500 = 1), d1 AS (SELECT DISTINCT p FROM l WHERE o IN (SELECT o FROM l WHERE p IN (SELECT p FROM d0)) AND p NOT IN (SELECT p FROM d0)), k AS (SELECT p FROM d0 UNION SELECT p FROM d1), d2 AS (SELECT DISTINCT p FROM l WHERE o IN (SELECT o FROM l WHERE p IN (SELECT p FROM k)) AND p NOT IN (SELECT p FROM k)), a AS (SELECT 0 AS depth FROM d0 UNION ALL SELECT 1 FROM d1 UNION ALL SELECT 2 FROM d2) SELECT depth, count(*) AS parts FROM a GROUP BY depth",
     "priced_nations": "SELECT r_name, n_name, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
+    "stratified_sample": f"WITH {_FILES} SELECT doc_id, quality, lang, CAST(row_number() OVER w AS INTEGER) AS place FROM labels JOIN files USING (doc_id) WINDOW w AS (PARTITION BY quality, lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) QUALIFY row_number() OVER w <= 50",
+    "taint_touch": f"WITH {_FINDINGS}, f AS (SELECT seq, file_path, start_line FROM findings WHERE severity IN ('CRITICAL', 'HIGH')) SELECT x.seq AS a, y.seq AS b FROM f x JOIN f y ON x.file_path = y.file_path AND abs(x.start_line - y.start_line) <= 2 AND x.seq < y.seq",
+    "evidence_states": f"WITH {_FILES} SELECT CASE WHEN doc_id % 7 = 3 THEN 'missing' WHEN doc_id % 5 = 1 THEN 'changed' ELSE 'valid' END AS state, count(*) AS n FROM files WHERE contains(content, 'License') GROUP BY 1",
     "order_ranks": "SELECT c_mktsegment, o_orderstatus, o_orderkey, CAST(row_number() OVER w AS INTEGER) AS place, lag(o_orderkey) OVER w AS before FROM orders JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY c_mktsegment, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) QUALIFY row_number() OVER w <= 3",
 }

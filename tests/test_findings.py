@@ -217,3 +217,14 @@ def test_sinks(spark):
     assert tuple(sinks.sarif_rules(rows).first()) == ("SQL_INJECTION", "first", "error")
     result = json.loads(sinks.sarif_results(rows).orderBy("seq").first()["result"])
     assert result["level"] == "error" and result["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "a.py"
+
+
+def test_matching_by_runs_equals_matching_by_file(spark):
+    rng = random.Random(8)
+    d = [(k, "f", rng.randint(1, 60), "89", "T", "S") for k in range(25)]
+    y = [(k, "f", rng.randint(1, 60), "89", "T", "n") for k in range(25)]
+    pairs = scoring.candidate_pairs(spark.createDataFrame(d, "d long, file string, line int, cwe string, type string, source string"), spark.createDataFrame(y, "l long, file string, line int, cwe string, type string, note string"))
+    cost = {(r["d"], r["l"]): r["cost"] for r in pairs.collect()}
+    got = [(r["d"], r["l"]) for r in scoring.match(pairs).collect()]
+    want = scoring.least_cost_matching([(a, b, c) for (a, b), c in cost.items()])
+    assert len(got) == len(want) and sum(cost[p] for p in got) == sum(cost[p] for p in want)
