@@ -71,8 +71,11 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, famil
     return mix(out)
 
 
-def window_hashes(values: np.ndarray, starts: np.ndarray, length: int, family: int, chunk: int = 1 << 20) -> np.ndarray:
-    """Hashes of the windows of a length that begin at starts (ascending), in bounded memory."""
+def window_hashes(values: np.ndarray, starts: np.ndarray, length: int, family: int, chunk: int = 1 << 19) -> np.ndarray:
+    """Hashes of the windows of a length that begin at starts (ascending), in bounded memory.
+
+    values are uint64 symbols, or bytes, which stand for their random values.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
     cuts = np.searchsorted(starts, np.arange(0, len(values) + chunk, chunk))
     for k in range(len(cuts) - 1):
@@ -80,7 +83,8 @@ def window_hashes(values: np.ndarray, starts: np.ndarray, length: int, family: i
         if lo < hi:
             at = k * chunk
             part = starts[lo:hi] - at
-            out[lo:hi] = range_hashes(values[at : at + chunk + length], part, part + length, family)
+            symbols = values[at : at + chunk + length]
+            out[lo:hi] = range_hashes(symbol_values(family)[symbols] if symbols.dtype == np.uint8 else symbols, part, part + length, family)
     return out
 
 
@@ -122,11 +126,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
-    return range_hashes(symbol_values(family)[data], starts, ends, family)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0, chunk: int = 1 << 19) -> np.ndarray:
+    """Hashes of the ranges, which ascend and don't overlap, in bounded memory (or the longest range's)."""
+    out, table = np.empty(len(starts), dtype=np.uint64), symbol_values(family)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + chunk, chunk))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if lo < hi:
+            at, end = starts[lo], ends[hi - 1]
+            out[lo:hi] = range_hashes(table[data[at:end]], starts[lo:hi] - at, ends[lo:hi] - at, family)
+    return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again in pieces of about `most` bytes of text; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
