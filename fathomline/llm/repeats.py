@@ -12,7 +12,8 @@ Documents are dealt into blocks of a few MB.  A block sends sorted names
 back, so no row per position is ever made, no group meets in one task (a block
 sends each name once, however often it holds it) and the answer holds for all
 occurrences.  Names of the first round are just wide enough for the corpus: a
-chance agreement only adds a candidate.  The second round's are 96 bits.
+chance agreement only adds a candidate.  The second round's keys grow with the
+corpus too, so that the chance of any false agreement stays below one in 2000.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm.shared import stored
 from fathomline.llm.text import mix, window_hashes
 
 #: Perfect difference sets: every remainder is the difference of two members.
@@ -43,12 +45,15 @@ class Plan:
     length: int
     period: int
     blocks: int
-    name_bytes: int
+    #: Symbols (or at least as many bytes) in all texts.
+    symbols: int
     first_stays: bool
     #: Whether later copies of a whole text send nothing (their digests are told beforehand, as kind 0).
     skip_copies: bool
     #: texts -> (two families of uint64 symbol values, offsets of the texts, whatever `finish` needs)
     read: Callable[[list[bytes]], tuple[tuple[np.ndarray, np.ndarray], np.ndarray, object]]
+    #: Undoes how the texts were packed for the shuffle.
+    unpack: Callable[[bytes], bytes] = bytes
 
     @property
     def cover(self) -> tuple[int, ...]:
@@ -59,13 +64,18 @@ class Plan:
         return self.length - self.period + 1
 
     @property
-    def buckets(self) -> int:
-        return max(1, self.blocks // 4)
+    def name_bytes(self) -> int:
+        """Bytes of a first-round name, for about one chance agreement in 64 names."""
+        return max(4, min(8, math.ceil((math.log2(self.symbols + 2) + 6) / 8)))
 
+    @property
+    def key_bytes(self) -> int:
+        """Bytes of a second-round key: at most an eighth of the symbols' windows in pairs, against 2**(8 * key_bytes)."""
+        return max(8, min(16, math.ceil((2 * math.log2(self.symbols + 2) + 4) / 8)))
 
-def name_bytes(symbols: int) -> int:
-    """Bytes of a first-round name, for about one chance agreement in 64 names."""
-    return max(4, min(8, math.ceil((math.log2(symbols + 2) + 6) / 8)))
+    @property
+    def buckets(self) -> int:
+        return max(1, self.blocks // 4)
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -88,14 +98,16 @@ class Block:
         self.plan = plan
         self.values, self.offsets, self.extra = plan.read(texts)
         sizes = np.diff(self.offsets)
-        n = len(self.values[0])
-        self.left = np.repeat(self.offsets[1:], sizes) - np.arange(n)
+        ends = self.offsets.astype(np.int32)
+        places = np.arange(len(self.values[0]), dtype=np.int32)
+        self.left = np.repeat(ends[1:], sizes) - places
         if len(skip):
             self.left[np.repeat(np.isin(np.arange(len(texts)), skip), sizes)] = 0
-        place = (np.arange(n) - np.repeat(self.offsets[:-1], sizes)) % plan.period
+        places -= np.repeat(ends[:-1], sizes)
+        places %= plan.period
         at = np.zeros(plan.period, dtype=bool)
         at[list(plan.cover)] = True
-        self.anchors = np.flatnonzero(at[place] & (self.left >= plan.anchor))
+        self.anchors = np.flatnonzero(at[places] & (self.left >= plan.anchor))
 
     def anchor_names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct names, each anchor's place among them, and each name's count here."""
@@ -109,12 +121,14 @@ class Block:
         at = self.anchors[repeated]
         np.add.at(reach, np.maximum(at - self.plan.period + 1, 0), 1)
         np.add.at(reach, at + 1, -1)
-        return np.flatnonzero((np.cumsum(reach[:n]) > 0) & (self.left >= self.plan.length))
+        return np.flatnonzero((np.cumsum(reach[:n], dtype=np.int32) > 0) & (self.left >= self.plan.length))
 
     def window_names(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct keys (high, low), each window's place among them, and which windows are a key's first here."""
         high = window_hashes(self.values[0], starts, self.plan.length, 0)
-        low = mix(window_hashes(self.values[1], starts, self.plan.length, 1)) >> np.uint64(32)
+        low = np.zeros(len(starts), np.uint64)
+        if self.plan.key_bytes > 8:
+            low = mix(window_hashes(self.values[1], starts, self.plan.length, 1)) >> np.uint64(8 * (16 - self.plan.key_bytes))
         order = np.lexsort((low, high))
         high, low = high[order], low[order]
         new = np.ones(len(order), dtype=bool)
@@ -163,8 +177,8 @@ def _copies(plan: Plan, texts: list[bytes], told: pd.DataFrame) -> np.ndarray:
 
 
 def earlier_copies(docs: DataFrame) -> DataFrame:
-    """Answers of kind 0: to each block, the digests of its texts that an earlier block holds too."""
-    held = docs.select("block", F.unhex(F.md5("text")).alias("bits")).distinct()
+    """Answers of kind 0: to each block, the digests of its texts that an earlier block holds too; docs: block, digest (md5)."""
+    held = stored(docs.select("block", F.col("digest").alias("bits")).distinct())
     first = held.groupBy("bits").agg(F.min("block").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return held.join(first, "bits").where("block > first").select((F.col("block") + 0).alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "bits")
 
@@ -175,7 +189,7 @@ def _ordered(docs: pd.DataFrame) -> pd.DataFrame:
 
 
 def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str) -> DataFrame:
-    """Runs both rounds over `docs` (block, doc_id, text as binary).
+    """Runs both rounds over `docs` (block, doc_id, text as binary; for skip_copies also digest).
 
     `finish(docs, block, starts, flags, copies)` gets a block's documents, the
     candidate windows' starts, which of them repeat (all but the first
@@ -184,16 +198,16 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str) -> DataFram
     """
     dealt = docs.groupBy("block")
 
-    def texts(d: pd.DataFrame) -> list[bytes]:
-        return [b"" if x is None else bytes(x) for x in d["text"]]
+    def opened(d: pd.DataFrame) -> pd.DataFrame:
+        return _ordered(d.assign(text=[b"" if x is None else plan.unpack(bytes(x)) for x in d["text"]]))
 
     def open_block(d: pd.DataFrame, told: pd.DataFrame) -> tuple[Block, np.ndarray]:
-        held = texts(d)
+        held = list(d["text"])
         copies = _copies(plan, held, told)
         return Block(plan, held, copies), copies
 
     def send_anchors(d: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        d = _ordered(d)
+        d = opened(d)
         if not len(d):
             return pd.DataFrame({"bucket": [], "block": [], "names": []})
         b, _ = open_block(d, told)
@@ -215,20 +229,20 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str) -> DataFram
         return b, b.candidates(((counts > 1) | elsewhere)[place]), copies
 
     def send_windows(d: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        d = _ordered(d)
+        d = opened(d)
         if not len(d):
             return pd.DataFrame({"bucket": [], "block": [], "names": []})
         b, starts, _ = again(d, told)
         high, low, _, _ = b.window_names(starts)
         cuts = _cuts(high, plan.buckets, 64)
-        rows = [(k, int(d["block"].iloc[0]), pack(high[lo:hi], 8) + pack(low[lo:hi], 4)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
+        rows = [(k, int(d["block"].iloc[0]), pack(high[lo:hi], 8) + pack(low[lo:hi], plan.key_bytes - 8)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
         return pd.DataFrame(rows, columns=["bucket", "block", "names"])
 
     def meet_windows(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block", kind="stable", ignore_index=True)
-        rows = rows.assign(n=[len(x) // 12 for x in rows["names"]])
+        rows = rows.assign(n=[len(x) // plan.key_bytes for x in rows["names"]])
         high = np.concatenate([unpack(bytes(x)[: 8 * n], 8) for x, n in zip(rows["names"], rows["n"], strict=True)])
-        low = np.concatenate([unpack(bytes(x)[8 * n :], 4) for x, n in zip(rows["names"], rows["n"], strict=True)])
+        low = np.concatenate([unpack(bytes(x)[8 * n :], plan.key_bytes - 8) if plan.key_bytes > 8 else np.zeros(n, np.uint64) for x, n in zip(rows["names"], rows["n"], strict=True)])
         order = np.lexsort((low, high))  # stable, so equal keys stay in the order of their blocks
         high, low = high[order], low[order]
         equal = np.zeros(len(order) + 1, dtype=bool)  # to the one before
@@ -238,7 +252,7 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str) -> DataFram
         return _answers(rows, 2, flags)
 
     def end(d: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        d = _ordered(d)
+        d = opened(d)
         if not len(d):
             return finish(d, None, np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64))
         b, starts, copies = again(d, told)
@@ -265,7 +279,7 @@ def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     depth = np.zeros(n + 1, dtype=np.int32)
     np.add.at(depth, starts, 1)
     np.add.at(depth, starts + length, -1)
-    return np.cumsum(depth[:n]) > 0
+    return np.cumsum(depth[:n], dtype=np.int32) > 0
 
 
 def volume(docs: DataFrame) -> tuple[int, int]:

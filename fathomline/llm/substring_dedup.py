@@ -3,7 +3,7 @@
 A passage of `window` words that occurs twice, in one document or in two, is
 removed from every place.  Windows of `window - period + 1` words are hashed at
 cover positions only; any repeated passage shares an aligned one, and where one
-repeats the match is extended to full windows, which are compared by 96 bits.
+repeats the match is extended to full windows, which are compared by wide hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, period: int = 21, block_mb
     """
     _, size = repeats.volume(docs)
     blocks = max(1, int(size / (block_mb * (1 << 20))))
-    plan = repeats.Plan(window, period, blocks, repeats.name_bytes(size), False, False, _read)
+    plan = repeats.Plan(window, period, blocks, size, False, False, _read)
     others = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(None).cast("string").alias("none"))
     dealt = docs.select(rest.alias("rest"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

@@ -12,33 +12,46 @@ level of naming takes the place of the recursion down to single ranks.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import repeats
-from fathomline.llm.text import joined, symbol_values
+from fathomline.llm.text import joined, slices
 
 LENGTH, PERIOD = 100, 57
 
 
 def _read(texts: list[bytes]):
     data, offsets = joined(texts)
-    return (symbol_values(0)[data], symbol_values(1)[data]), offsets, data
+    return (data, data), offsets, data
 
 
 def ordered_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """`docs` with a block each, such that blocks follow the order of doc_id (null first)."""
+    """(block, doc_id, text, digest): blocks follow the order of doc_id (null first), texts are compressed for the shuffle."""
     shares = [k / blocks for k in range(1, blocks)]
     edges = np.array(sorted(set(docs.approxQuantile("doc_id", shares, 0.25 / blocks)))) if shares else np.empty(0)
 
-    @F.pandas_udf("long")
-    def block(ids: pd.Series) -> pd.Series:
-        out = np.searchsorted(edges, ids.to_numpy(dtype=np.float64, na_value=-np.inf), side="right")
-        return pd.Series(out.astype(np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        for batch in slices(batches, "text"):
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.float64)
+            block = np.searchsorted(edges, np.where(np.isnan(ids), -np.inf, ids), side="right")
+            texts = [x or b"" for x in batch.column("text").to_pylist()]
+            digests = [hashlib.md5(x, usedforsecurity=False).digest() for x in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), batch.column("doc_id"), pa.array([squeeze(x) for x in texts], pa.binary()), pa.array(digests, pa.binary())], names=["block", "doc_id", "text", "digest"])
+
+    return docs.mapInArrow(run, "block long, doc_id long, text binary, digest binary")
+
 
-    return docs.withColumn("block", block("doc_id") if len(edges) else F.lit(0).cast("long"))
+def _open(data: bytes) -> bytes:
+    return zstandard.decompress(data)
 
 
 def remove_later(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, block_mb: float = 2.0) -> DataFrame:
@@ -51,7 +64,7 @@ def remove_later(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, bl
     """
     _, size = repeats.volume(docs)
     blocks = max(1, int(size / (block_mb * (1 << 20))))
-    plan = repeats.Plan(length, period, blocks, repeats.name_bytes(size), True, True, _read)
+    plan = repeats.Plan(length, period, blocks, size, True, True, _read, _open)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def finish(d: pd.DataFrame, block, starts: np.ndarray, flags: np.ndarray, copies: np.ndarray) -> pd.DataFrame:
