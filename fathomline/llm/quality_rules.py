@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.crf import Crf, fit
+from fathomline.llm.sampling import least_hashes
 from fathomline.llm.text import column_bytes, range_hashes, slices, symbol_values, window_hashes, word_hashes, word_spans
 
 #: Most labelled documents of each class that training reads, and the longest text among them in bytes.
@@ -108,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS)
     A line's label is its document's quality.  None where a class has no document.
     """
     labels = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
-    picked = [labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents) for q in (0, 1)]
+    picked = [least_hashes(labels.where(F.col("quality") == q), documents, "doc_id") for q in (0, 1)]
     ids = picked[0].unionByName(picked[1])  # at most 2 * documents rows of two numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(ids), "doc_id").select("quality", "text").mapInArrow(_features, "quality int, x binary").collect()
     chains, marks = [], []
