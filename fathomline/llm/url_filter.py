@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.decontamination import LOWER, UPPER
+from fathomline.llm.sampling import least_hashes
 from fathomline.llm.shared import stored
 
 #: (host, path, verdict); a rule fits its host and all subdomains, and paths that begin with its own.
@@ -86,7 +87,7 @@ def judge(pages: DataFrame, rules=RULES, train_urls: int = TRAIN_URLS) -> DataFr
     if len(kinds) < 2:
         out = ready.withColumn("block_probability", F.lit(float("block" in kinds)))
     else:
-        sample = stored(labelled.orderBy(F.xxhash64("url", "page_id"), "page_id").limit(train_urls).select("features", "label"))
+        sample = stored(least_hashes(labelled.select("url", "page_id", "features", "label"), train_urls, "url", "page_id").select("features", "label"))
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=6, featuresCol="features", labelCol="label").fit(sample.coalesce(4))
         out = model.transform(ready).withColumn("block_probability", vector_to_array("probability")[1])
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow"))

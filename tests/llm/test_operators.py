@@ -10,9 +10,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fathomline.llm import attention, crf, decontamination, html_extract, jaccard_join, license_scan, lm_scoring, packing, quality_rules, repeats, substring_dedup, suffix_dedup, url_filter
 from fathomline.llm.components import components
+from fathomline.llm.sampling import least_hashes
 
 SCHEMA = "doc_id long, text string, source string, n_words long, row string, kept string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -452,3 +454,17 @@ def test_components(spark):
     assert got == {k: root(k) for a, b in edges if a != b for k in (a, b)}
 
 
+
+
+def test_sample_by_hash_takes_the_lowest(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    want = [r["k"] for r in rows.orderBy(F.xxhash64("k"), "k").limit(20).collect()]
+    assert [r["k"] for r in least_hashes(rows, 20, "k").collect()] == want
+    assert least_hashes(rows, 900, "k").count() == 900 and least_hashes(rows.where("false"), 5, "k").count() == 0
+
+
+def test_commonest_words_are_bounded(spark):
+    counts = spark.createDataFrame([(b"w%d" % k, 1 + k % 50) for k in range(500)], "word binary, n long")
+    got = lm_scoring._commonest(counts, 100).collect()
+    assert 0 < len(got) <= 100 and min(r["n"] for r in got) > 40
+    assert lm_scoring._commonest(counts, 5).count() == 0 == lm_scoring._commonest(counts.where("false"), 5).count()
