@@ -92,10 +92,10 @@ def train(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: np.nd
         ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * root
         dq, dk, du = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
         dx = dh + dq @ w["q"].T + dk @ w["k"].T + du @ w["v"].T
-        de = np.zeros_like(w["e"])
-        np.add.at(de, c.ravel(), dx.reshape(-1, WIDTH))
+        cells = (c.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        de = np.bincount(cells, weights=dx.ravel(), minlength=IN_CLASSES * WIDTH)
         flatten = lambda z: z.reshape(-1, z.shape[-1])
-        g = np.concatenate([de.ravel(), dx.sum(axis=0).ravel(), *((flatten(x).T @ flatten(z)).ravel() for z in (dq, dk, du)), (flatten(h).T @ flatten(d)).ravel(), d.sum(axis=(0, 1))])
+        g = np.concatenate([de, dx.sum(axis=0).ravel(), *((flatten(x).T @ flatten(z)).ravel() for z in (dq, dk, du)), (flatten(h).T @ flatten(d)).ravel(), d.sum(axis=(0, 1))])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         flat = flat - np.float32(rate) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         flat = flat.astype(np.float32)

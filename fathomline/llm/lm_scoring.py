@@ -1,7 +1,7 @@
 """Language-model scoring by causal self-attention (operator 9).
 
 What is learned comes from all training documents: word counts, subword counts
-(from the word counts), and a small attention model in numpy, trained on a
+(from the word counts), and a small attention model in numpy, trained on every
 window of every training document by local passes whose weights are averaged.
 """
 
@@ -84,18 +84,23 @@ def _subwords(tokenizer: str):
 
 
 def _windows(tokenizer: str):
-    """One window of ids of each training document, at a place that its length chooses."""
+    """Every window of each training document, as the scorer lays them; a later window's ids begin with the one before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, size = word_ids(tokenizer), attention.CONTEXT
-        for batch in slices(batches, "text"):
-            rows = []
-            for words in _texts(batch):
-                at = (len(words) * 2654435761 >> 7) % max(1, len(words) - size + 1)
-                ids = np.frombuffer(b"".join(model.of_words(words[at : at + size])), "<u4")[:size]
-                if len(ids):
-                    rows.append((at == 0, ids.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.binary())], names=["first", "ids"])
+        model, size, step = word_ids(tokenizer), attention.CONTEXT, attention.CONTEXT - attention.OVERLAP
+        for batch in slices(batches, "text", 1 << 20):
+            texts = _texts(batch)
+            model.learn(set().union(*texts))
+            firsts, rows = [], []
+            for words in texts:
+                ids = b"".join(map(model.young.__getitem__, words))
+                for at in range(0, max(1, len(ids) // 4 - attention.OVERLAP) if ids else 0, step):
+                    firsts.append(at == 0)
+                    rows.append(ids[4 * max(0, at - 1) : 4 * (at + size)])
+                    if len(rows) == 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.bool_()), pa.array(rows, pa.binary())], names=["first", "ids"])
+                        firsts, rows = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.bool_()), pa.array(rows, pa.binary())], names=["first", "ids"])
 
     return run
 
@@ -106,14 +111,16 @@ def _local_pass(weights: np.ndarray, known: attention.Classes):
         for part in parts:
             if not len(part):
                 continue
-            ids, real = np.zeros((len(part), size), np.int64), np.zeros((len(part), size), bool)
+            first = part["first"].to_numpy(bool)
+            ids, real = np.zeros((len(part), size + 1), np.int64), np.zeros((len(part), size), bool)
             for k, x in enumerate(part["ids"]):
                 x = np.frombuffer(x, "<u4")
-                ids[k, : len(x)], real[k, : len(x)] = x, True
-            inner = known.inner[ids]
-            before = np.concatenate([np.where(part["first"].to_numpy(bool), known.start, inner[:, 0])[:, None], inner[:, :-1]], axis=1)
-            real[~part["first"].to_numpy(bool), 0] = False  # what stood before it isn't known
-            total += attention.train(weights, before, known.outer[ids], real) * len(part)
+                lo = int(first[k])
+                ids[k, lo : lo + len(x)], real[k, : lo + len(x) - 1] = x, True
+            before = known.inner[ids[:, :-1]]
+            before[first, 0] = known.start
+            real[~first, : attention.OVERLAP] = False  # the window before it has them
+            total += attention.train(weights, before, known.outer[ids[:, 1:]], real) * len(part)
             n += len(part)
         if n:
             yield pd.DataFrame({"w": [(total).tobytes()], "n": [n]})

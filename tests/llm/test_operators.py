@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -468,3 +469,24 @@ def test_commonest_words_are_bounded(spark):
     got = lm_scoring._commonest(counts, 100).collect()
     assert 0 < len(got) <= 100 and min(r["n"] for r in got) > 40
     assert lm_scoring._commonest(counts, 5).count() == 0 == lm_scoring._commonest(counts.where("false"), 5).count()
+
+
+def test_every_token_is_trained_once(monkeypatch):
+    words = [" ".join(f"w{k * k % 97} tree" for k in range(n)) for n in (0, 1, 9, 40, 700)]
+    tokenizer, size = packing.default_tokenizer(), attention.CONTEXT
+    ids = [np.frombuffer(packing.word_ids(tokenizer).of([w.encode()])[0], "<u4") for w in words]
+    known = attention.classes(np.bincount(np.concatenate(ids)))
+    met = []
+
+    def train(weights, before, targets, real):
+        met.append((before, targets, real))
+        return weights
+
+    monkeypatch.setattr(attention, "train", train)
+    made = lm_scoring._windows(tokenizer)(iter([pa.RecordBatch.from_arrays([pa.array(words)], names=["text"])]))
+    rows = pa.Table.from_batches(made).to_pandas()
+    list(lm_scoring._local_pass(attention.initial(), known)(iter([rows])))
+    before, targets, real = met[0]
+    assert real.shape[1] == size and real.sum() == sum(map(len, ids)) > 1400
+    assert (targets[real] == np.concatenate([known.outer[x] for x in ids])).all()
+    assert (before[real] == np.concatenate([np.concatenate(([known.start], known.inner[x[:-1]])) for x in ids if len(x)])).all()
