@@ -321,6 +321,14 @@ def test_extract(spark):
     assert html_extract.extract(pages.where("false")).count() == 0
 
 
+def test_runs_repeat_over_the_parts_of_a_host(spark):
+    rng = random.Random(5)
+    rows = [(k, f"http://{'big' if k % 3 else 'other'}/{k}", f"<p>seen on just two pages {k // 6 % 20} it is<p>{prose(rng, 12, 10**6)}" + "<p>on all pages of every host alike") for k in range(120)]
+    pages = spark.createDataFrame([*rows, *rows[:5]], "page_id long, url string, html string")
+    whole, dealt = ([tuple(r) for r in html_extract.extract(pages, part_pages=n).orderBy("page_id").collect()] for n in (1000, 4))
+    assert dealt == whole and not any("alike" in t or "just" in t for _, _, t in whole) and all(len(t.split()) >= 12 for _, _, t in whole)
+
+
 def test_articles_equal_their_markup(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     found = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
