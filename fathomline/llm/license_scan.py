@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join (operator 7).
 
-Templates are short licence notices.  A text block matches a template when it
-holds at least `threshold` of the template's distinct tokens.  Tokens are
+Templates are short licence notices.  A text block, any BLOCK words in a row,
+matches a template when it holds at least `threshold` of the template's distinct
+tokens; line breaks are no bounds, so wrapped notices match.  Tokens are
 ordered by their frequency in the whole corpus, rarest first: a block that
 holds none of a template's first tokens (as many as may be missing, and one)
 cannot match, nor can one with too few distinct tokens, nor one that has missed
@@ -21,7 +22,7 @@ from fathomline.llm.decontamination import BREAKS, LOWER, UPPER, words
 from fathomline.llm.text import column_bytes, slices
 
 THRESHOLD = 0.8
-#: Lines longer than BLOCK words are cut into blocks of so many words, STEP apart.
+#: Words of a block; STEP is how far apart the SQL, which goes by lines, lays the blocks of a longer line.
 BLOCK, STEP = 48, 24
 
 #: Phrases of the base labels.
@@ -43,7 +44,7 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
-_MAP = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 10 else 32) for c in range(256))
+_MAP = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
 
 def frequencies(docs: DataFrame, templates: dict[str, str]) -> dict[str, int]:
@@ -63,6 +64,9 @@ class Templates:
             self.known.append((label, tokens, need))
             for t in tokens[: len(tokens) - need + 1]:
                 self.prefixes.setdefault(t, []).append(k)
+        self.bits = {t: 1 << k for k, t in enumerate(sorted({t for _, tokens, _ in self.known for t in tokens}))}
+        self.masks = [sum(self.bits[t] for t in tokens) for _, tokens, _ in self.known]
+        self.rare = sum(self.bits[t] for t in self.prefixes)
         self.least = min((need for _, _, need in self.known), default=0)
 
     def match(self, block: list[bytes]) -> Iterator[tuple[str, float]]:
@@ -84,6 +88,36 @@ class Templates:
             if spare >= 0:
                 yield label, hits / len(tokens)
 
+    def _told(self, present: int) -> list[tuple[str, float, bool]]:
+        """What `match` says of a block with these tokens, and whether the label is the block's own: no better match has all of its words."""
+        met = []
+        for (label, tokens, need), mask in zip(self.known, self.masks, strict=True):
+            if (n := (present & mask).bit_count()) >= max(need, 1):
+                met.append((label, n / len(tokens), present & mask, mask))
+        return [(label, share, not any(other > share and held & ~mask == 0 for _, other, _, mask in met)) for label, share, held, _ in met]
+
+    def scan(self, found: list[bytes]) -> dict[str, tuple[float, bool]]:
+        """Each template that some block of the text's words matches: its highest share, and whether it is some block's own label."""
+        spots = [(at, self.bits[w]) for at, w in enumerate(found) if w in self.bits]
+        inside, present, left, masks = dict.fromkeys(self.bits.values(), 0), 0, 0, set()
+        for at, bit in spots:  # the block that ends here
+            while spots[left][0] <= at - BLOCK:
+                gone = spots[left][1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    present &= ~gone
+                left += 1
+            inside[bit] += 1
+            present |= bit
+            if present & self.rare and present.bit_count() >= self.least:
+                masks.add(present)
+        out: dict[str, tuple[float, bool]] = {}
+        for present in masks:
+            for label, share, own in self._told(present):
+                before = out.get(label, (0.0, False))
+                out[label] = max(before[0], share), before[1] or own
+        return out
+
 
 def _base(found: list[bytes]) -> tuple[list[tuple[int, str]], int]:
     places, sides = [], {label: [w.encode() for w in phrase.split()] for label, phrase in PHRASES.items()}
@@ -101,20 +135,22 @@ def _base(found: list[bytes]) -> tuple[list[tuple[int, str]], int]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per row of `docs`.
-
-    base_labels come from PHRASES, labels also from templates whose containment
-    in a block (a line; a longer line in overlapping blocks) reaches the
-    threshold, of several in one block those of the highest; score is the best
-    containment, 1 where a phrase stands, else 0.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, shares: one row per row of `docs`.
+
+    shares has every template whose containment in a block (any BLOCK words in a
+    row) reaches the threshold, with its highest containment.  base_labels come
+    from PHRASES, labels also from those templates, but for one that only stands
+    where a better match has all of the words it found (a GPL notice holds nine
+    tenths of the AGPL's); score is the best containment, 1 where a phrase
+    stands, else 0.
     Null and empty texts have no words and empty labels; null or repeated doc_ids
     are kept as they are; other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
     counts = frequencies(docs, templates)
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, shares map<string,double>"
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
+    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.map_(pa.string(), pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, counts, threshold)
@@ -123,28 +159,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             data, offsets = column_bytes(batch.column("text"))
             whole, rows = data.tobytes().translate(_MAP), []
             for doc_id, lo, hi in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                text = whole[lo:hi]
-                found = text.split()
+                found = whole[lo:hi].split()
                 places, n = _base(found)
                 base = {label for _, label in places}
-                labels, score = set(base), float(bool(base))
-                if not rare.isdisjoint(found):
-                    for line in text.split(b"\n"):
-                        line_words = line.split()
-                        for k in range(0, max(1, len(line_words) - BLOCK + STEP), STEP):
-                            met = list(known.match(line_words[k : k + BLOCK]))
-                            best = max((share for _, share in met), default=0.0)
-                            labels.update(label for label, share in met if share == best)
-                            score = max(score, best)
+                met = {} if rare.isdisjoint(found) else known.scan(found)
+                shares = {label: share for label, (share, _) in met.items()}
+                labels, score = base | {label for label, (_, own) in met.items() if own}, max([float(bool(base)), *shares.values()])
                 starts = [s for s, _ in places]
-                rows.append((doc_id, len(found), n, min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score))
+                rows.append((doc_id, len(found), n, min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, sorted(shares.items(), key=lambda x: (-x[1], x[0]))))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("shares")
 
 
 _WORDS = f"list_filter(string_split_regex(translate({{}}, '{UPPER}', '{LOWER}'), '{BREAKS}'), lambda x: x <> '')"

@@ -277,6 +277,31 @@ def test_license_scan(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_scan_keeps_every_match(spark):
+    isc, bsd = license_scan.TEMPLATES["isc"].split(), license_scan.TEMPLATES["bsd"].split()
+    mpl, cc0 = license_scan.TEMPLATES["mpl"], license_scan.TEMPLATES["cc0"].replace(" universal", "")
+    rows = [(1, f"{mpl} {cc0}"), (2, " * " + " ".join(isc[:10]) + "\n * " + " ".join(isc[10:])), (3, "x " * 90 + " ".join(bsd[:5]) + "\n# " + " ".join(bsd[5:10]) + "\n# " + " ".join(bsd[10:]) + " y" * 90), (4, license_scan.TEMPLATES["gpl"]), (5, " ".join(isc[:9]) + " x" * 48 + " " + " ".join(isc[9:]))]
+    out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1]["labels"] == "cc0,mpl" and out[1]["shares"] == {"mpl": 1.0, "cc0": 0.9}
+    assert (out[2]["labels"], out[2]["score"]) == ("isc", 1.0) and (out[3]["labels"], out[3]["score"]) == ("bsd", 1.0)
+    assert out[4]["labels"] == "gpl" and out[4]["shares"] == {"gpl": 1.0, "agpl": 0.9, "lgpl": 0.9} and out[5]["labels"] == ""
+
+
+def test_license_blocks_equal_brute_force(monkeypatch):
+    rng = random.Random(4)
+    words = [f"t{k}" for k in range(14)]
+    texts = {f"l{k}": " ".join(rng.sample(words, rng.randint(1, 9))) for k in range(12)}
+    known = license_scan.Templates(texts, {w: rng.randint(0, 5) for w in words}, 0.7)
+    monkeypatch.setattr(license_scan, "BLOCK", 6)
+    for _ in range(300):
+        found = [rng.choice([*words, "x", "y", "z"] if rng.random() < 0.5 else "xyz").encode() for _ in range(rng.randint(0, 40))]
+        want: dict = {}
+        for k in range(max(1, len(found) - 5)):
+            for label, share in known.match(found[k : k + 6]):
+                want[label] = max(share, want.get(label, 0))
+        assert {label: share for label, (share, _) in known.scan(found).items()} == want
+
+
 def test_prefix_filters_lose_nothing():
     rng = random.Random(2)
     words = [f"t{k}" for k in range(14)]
