@@ -85,20 +85,62 @@ def related_pairs(findings: DataFrame, threshold: float = 2.0, same_file: bool =
     a = f.select("scope", *[F.col(c).alias(f"a_{c}") for c in cols])
     b = f.select("scope", *[F.col(c).alias(f"b_{c}") for c in cols])
     p = a.join(b, "scope").where("a_seq < b_seq")
+    one_file = F.col("a_file_path") == F.col("b_file_path")
+    score = _score(one_file, one_file & (F.abs(F.col("a_start_line") - F.col("b_start_line")) <= fixed.CHAIN_LINES))
+    return p.withColumn("score", score).where(F.col("score") >= threshold).select("scope", F.col("a_seq").alias("a"), F.col("b_seq").alias("b"), "score")
+
+
+def _score(one_file: Column, near: Column) -> Column:
+    """The relationship score of two findings a and b by type, prereqs and cats."""
     chain = [(F.col(f"{x}_type") == t) & F.col(f"{y}_type").isin(*to) for t, to in fixed.ATTACK_CHAINS.items() for x, y in (("a", "b"), ("b", "a"))]
     context = [F.col("a_type").isin(*g) & F.col("b_type").isin(*g) for g in CONTEXTS]
-    one_file = F.col("a_file_path") == F.col("b_file_path")
     either = lambda tests: reduce(lambda x, y: x | y, tests)
     points = [
         (either(chain), 2.0),
         (one_file, 0.5),
         (F.arrays_overlap("a_prereqs", "b_prereqs"), 1.0),
-        (one_file & (F.abs(F.col("a_start_line") - F.col("b_start_line")) <= fixed.CHAIN_LINES), 0.5),
+        (near, 0.5),
         (F.arrays_overlap("a_cats", "b_cats"), 1.5),
         (either(context), 1.0),
     ]
-    score = reduce(lambda x, y: x + y, [F.when(test, F.lit(v)).otherwise(F.lit(0.0)) for test, v in points])
-    return p.withColumn("score", score).where(F.col("score") >= threshold).select("scope", F.col("a_seq").alias("a"), F.col("b_seq").alias("b"), "score")
+    return reduce(lambda x, y: x + y, [F.when(test, F.lit(v)).otherwise(F.lit(0.0)) for test, v in points])
+
+
+def related_counts(findings: DataFrame, threshold: float = 2.0) -> DataFrame:
+    """(scope, score, pairs): how many of related_pairs' pairs each scope has of each score, without making them.
+
+    A score depends on both findings' kinds (type and prose), on whether they are
+    in one file, and on whether they are near there; so counts by kind are
+    multiplied, and only near pairs join by lines.
+    """
+    kind = F.struct("type", "description", "impact", "cvss_score").alias("kind")
+    lines = findings.groupBy("scope", "file_path", kind, "start_line").agg(F.count(F.lit(1)).alias("n"))
+    by_file = lines.groupBy("scope", "file_path", "kind").agg(F.sum("n").alias("n"))
+    by_scope = by_file.groupBy("scope", "kind").agg(F.sum("n").alias("n"))
+
+    def pairs(a: DataFrame, b: DataFrame, keys: list[str], first: Column, meet: Column | None = None) -> DataFrame:
+        """Pairs by kinds; first: whether the left row of two distinct ones comes first."""
+        a, b = (x.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in x.columns if c not in keys]) for s, x in (("a", a), ("b", b)))
+        same = F.col("a_kind") == F.col("b_kind")
+        alone = same & (F.col("a_start_line").eqNullSafe(F.col("b_start_line")) if "a_start_line" in a.columns else F.lit(True))
+        n = F.when(alone, F.expr("a_n * (a_n - 1) div 2")).otherwise(F.col("a_n") * F.col("b_n"))
+        joined = a.join(b, keys).where((F.col("a_kind") < F.col("b_kind")) | alone | (same & first))
+        return (joined if meet is None else joined.where(meet)).groupBy("scope", "a_kind", "b_kind").agg(F.sum(n).alias("n"))
+
+    block = F.floor(F.col("start_line") / fixed.CHAIN_LINES)  # near lines are in one block or in neighbours
+    around = lines.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
+    apart = F.abs(F.col("a_start_line") - F.col("b_start_line")) <= fixed.CHAIN_LINES
+    everywhere = pairs(by_scope, by_scope, ["scope"], F.lit(False))
+    filed = pairs(by_file, by_file, ["scope", "file_path"], F.lit(False))
+    near = pairs(lines.withColumn("block", block), around, ["scope", "file_path", "block"], F.col("a_start_line") < F.col("b_start_line"), apart)
+    signed = [(everywhere, False, False, 1), (filed, False, False, -1), (filed, True, False, 1), (near, True, False, -1), (near, True, True, 1)]
+    parts = [d.select("scope", "a_kind", "b_kind", F.lit(o).alias("one_file"), F.lit(c).alias("near"), (F.col("n") * s).alias("n")) for d, o, c, s in signed]
+    told = reduce(DataFrame.unionByName, parts).groupBy("scope", "a_kind", "b_kind", "one_file", "near").agg(F.sum("n").alias("n")).where("n > 0")
+    for s in ("a", "b"):
+        t, d, i, c = (F.col(f"{s}_kind.{x}") for x in ("type", "description", "impact", "cvss_score"))
+        told = told.withColumn(f"{s}_type", t).withColumn(f"{s}_prereqs", prerequisites(t, d, i, c)).withColumn(f"{s}_cats", data_categories(d, i))
+    scored = told.withColumn("score", _score(F.col("one_file"), F.col("near"))).where(F.col("score") >= threshold)
+    return scored.groupBy("scope", "score").agg(F.sum("n").alias("pairs"))
 
 
 def chains(findings: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -192,10 +192,8 @@ def document_labels_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = findings(spark, sf_dir).select("seq", F.col("file_path").alias("scope"), "file_path", "type", "start_line", "description", F.lit("").alias("impact"), F.lit(None).cast("double").alias("cvss_score"))
-    # one finding of a type and line block stands for its like, so a file with thousands of them stays small
-    f = f.groupBy("scope", "file_path", "type", F.floor(F.col("start_line") / 10).alias("block")).agg(F.min("seq").alias("seq"), F.min("start_line").alias("start_line"), F.first("description").alias("description"), F.first("impact").alias("impact"), F.first("cvss_score").alias("cvss_score"))
-    return chains.related_pairs(f).groupBy("score").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("scope").alias("scopes"))
+    f = findings(spark, sf_dir).select(F.col("file_path").alias("scope"), "file_path", "type", "start_line", "description", F.lit("").alias("impact"), F.lit(None).cast("double").alias("cvss_score"))
+    return chains.related_counts(f).groupBy("score").agg(F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("scopes"))
 
 
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:

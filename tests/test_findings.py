@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import fixed
 from fathomline.functions.scalars import coerce_confidence, coerce_cvss, component_excluded, cwe_matches, fingerprint, line_distance, normalize_cwe, risk_reasons, risk_score, types_agree
 from fathomline.operators import chains, fusion, policy, reports, scoring
+from fathomline.plans import queries
 from fathomline.sources import sinks, tables
 
 FINDING = "seq long, file_path string, type string, severity string, start_line int, end_line int, cwe_id string, description string, rule_id string"
@@ -176,6 +177,19 @@ def test_chains_follow_the_seed_only(spark):
     assert need == sorted(["Active user session", "Predictable form structure", "Valid authentication credentials", "User interaction", "No special access required (High severity)", "Knowledge of security mechanism"])
 
 
+def test_related_findings_count_every_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    kinds = [(t, d) for t in ("SQL_INJECTION", "CSRF", "HARDCODED_CREDENTIALS", "SENSITIVE_DATA_EXPOSURE", "XSS") for d in (f"{t} found", "a session token", None)]
+    rows = [(k, rng.choice("st"), rng.choice("abc"), *rng.choice(kinds), rng.randint(1, 60), "", rng.choice([None, 8.0])) for k in range(150)]
+    f = spark.createDataFrame(rows, "seq long, scope string, file_path string, type string, description string, start_line int, impact string, cvss_score double")
+    want = chains.related_pairs(f).groupBy("scope", "score").count().collect()
+    assert {(r["scope"], r["score"]): r["pairs"] for r in chains.related_counts(f).collect()} == {(r["scope"], r["score"]): r["count"] for r in want}
+    monkeypatch.setattr(queries, "findings", lambda *_: f)
+    alone = f.withColumn("scope", F.col("file_path")).withColumn("cvss_score", F.lit(None).cast("double"))
+    want = chains.related_pairs(alone).groupBy("score").agg(F.count(F.lit(1)), F.count_distinct("scope")).collect()
+    assert sorted(map(tuple, queries.related_findings(spark, "").collect())) == sorted(map(tuple, want))
+
+
 def test_payload_shapes(spark):
     item = {"type": "T"}
     shapes = [{"result": {"findings": [item]}}, {"result": [item]}, {"findings": [item]}, {"vulnerabilities": [item]}, {"reports": [{"vulnerabilities": [item]}]}, {"results": [{"raw_findings": [item]}]}, {"results": [item]}, {"runs": [{"results": [item]}]}, [item]]
