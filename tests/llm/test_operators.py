@@ -325,6 +325,26 @@ def test_blocks():
     assert html_extract.blocks("<p>x<div id=cookie-notice>y") == (["x"], False) and html_extract.blocks("<script>x") == ([], False)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="page has-sidebar"><nav>n</nav><article><h1 class="entry-header">T</h1><section id=related-work>W</section></article></div>',
+        '<article class="post share-enabled"><h1>T</h1><p>W</article>',
+        '<article class="share"><h1>T</h1><p>W<section class=comments>c<article class=comment>d</article></section></article>',
+        '<form><nav>n</nav><div class="menu sidebar">m<div class=ad>a</div><main class=comments><h1>T</h1><p>W</main></div></form><footer>f</footer>',
+        '<main><div class="related"><article><h1>T</h1>W</article></div></main>',
+    ],
+)
+def test_the_main_text_is_never_dropped(page):
+    assert html_extract.blocks(page) == (["T", "W"], True)
+
+
+def test_pages_without_blocks_go_to_the_suffix_array(spark):
+    rows = [(k, f"http://h/{k}", f"<div class=menu><p>these words stand on every page here<p>{k} is own text</div><article></article>") for k in range(3)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == {k: f"{k} is own text" for k in range(3)}
+
+
 def test_repeated_tokens():
     rng = np.random.default_rng(1)
     for _ in range(20):
