@@ -1,4 +1,4 @@
-"""Attack chains among findings (JON-10..15, AGG-14..18)."""
+"""Attack chains among findings: JON-11, JON-15, AGG-14, AGG-16..18, JON-10 without connected files, JON-13 by words alone."""
 
 from __future__ import annotations
 
@@ -44,7 +44,7 @@ def _when_all(pairs) -> Column:
 
 
 def data_categories(description: Column, impact: Column) -> Column:
-    """JON-13: the categories whose words occur in the prose."""
+    """JON-13 without taint paths: the categories whose words occur in the prose."""
     text = F.lower(F.concat_ws(" ", description, impact))
     return _when_all([(_any(text, words), name) for name, words in DATA_WORDS.items()])
 
@@ -76,7 +76,7 @@ def prerequisites(kind: Column, description: Column, impact: Column, cvss: Colum
 
 
 def related_pairs(findings: DataFrame, threshold: float = 2.0, same_file: bool = True) -> DataFrame:
-    """JON-10: pairs (a < b by seq) of one scope whose relationship score reaches the threshold.
+    """JON-10 without connected files and taint paths: pairs (a < b by seq) of one scope whose relationship score reaches the threshold.
 
     findings: scope, seq, file_path, type, start_line, description, impact, cvss_score.
     """

@@ -1,4 +1,4 @@
-"""Taint paths and patch plans (PRJ-20, JON-14, JON-23, PRJ-39..40, SNK-11..12, RNK-07)."""
+"""Taint paths and patch plans (PRJ-20, JON-14 without sinks, JON-23, PRJ-39..40, SNK-11..12, RNK-07)."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def taint_points(steps: DataFrame) -> DataFrame:
 
 
 def taint_pairs(steps: DataFrame) -> DataFrame:
-    """JON-14: pairs (a < b) of findings whose paths touch.  The join is on the place, so only touching paths meet."""
+    """JON-14 without a sink on the other path: pairs (a < b) of findings whose paths touch.  The join is on the place, so only touching paths meet."""
     p = taint_points(steps)
     q = p.select(F.col("seq").alias("b"), "file", "line")
     return p.withColumnRenamed("seq", "a").join(q, ["file", "line"]).where("a < b").select("a", "b").distinct()
