@@ -1,4 +1,4 @@
-"""Attack chains among findings: JON-11, JON-15, AGG-14, AGG-16..18, JON-10 without connected files, JON-13 by words alone."""
+"""Attack chains among findings: JON-15, AGG-14 without labels, AGG-16..18, JON-11 without its order, JON-10 without connected files, JON-13 by words alone."""
 
 from __future__ import annotations
 
