@@ -1,7 +1,9 @@
-"""A one-layer causal self-attention model over token classes, in numpy.
+"""A causal self-attention model over subword ids, in numpy.
 
-Tokens are predicted in two steps: attention over the context gives the class of
-the next token, and the corpus' counts give the token within its class.
+One layer attends from each place to the places before it in its window; the next
+subword is predicted in two softmaxes: its class, then the subword among those of
+its class.  Classes are runs of the order of frequency, narrow where subwords are
+frequent, so a prediction costs far less than one softmax over the vocabulary.
 """
 
 from __future__ import annotations
@@ -10,149 +12,271 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WIDTH, CONTEXT, OVERLAP = 12, 32, 8
-IN_CLASSES, OUT_CLASSES = 512, 32
+#: Places that a window attends to, those of them that are only context, and those it predicts.
+CONTEXT, OVERLAP = 24, 6
+NEW = CONTEXT - OVERLAP
+#: Ids before a text's or chunk's first target: the context and the place that predicts it.
+BEFORE = OVERLAP + 1
+WIDTH, CLASSES = 12, 40
+_SEEN = np.tril(np.ones((CONTEXT, CONTEXT), dtype=np.float32))[OVERLAP:]
+_LARGE = 1 << 22  # cells of a softmax at a time
 
 
 @dataclass(frozen=True)
-class Classes:
-    """For each token id: its class as input, its class as output, and the log10 of its share of that class."""
+class Vocabulary:
+    """Places of ids in the order of frequency, their classes, and the first scores, which are the frequencies'."""
 
-    inner: np.ndarray
-    outer: np.ndarray
-    share: np.ndarray
+    place: np.ndarray
+    cut: np.ndarray
+    class_of: np.ndarray
+    bias: np.ndarray
+    class_bias: np.ndarray
+
+    @property
+    def size(self) -> int:
+        """Subwords and the end of a text, whose id is the greatest."""
+        return len(self.place)
 
     @property
     def start(self) -> int:
-        """The input class that stands before a text."""
-        return IN_CLASSES - 1
+        """What stands before a text, as a place."""
+        return self.size
 
 
-def classes(counts: np.ndarray) -> Classes:
-    """Classes of about equal mass in the order of frequency; add-one counts, so every id has a share."""
+def vocabulary(counts: np.ndarray, classes: int = CLASSES) -> Vocabulary:
+    """counts: of each id in the training texts.  One is added to each, so every id can occur."""
     mass = counts.astype(np.float64) + 1
     order = np.argsort(-mass, kind="stable")
+    place = np.empty(len(mass), dtype=np.int32)
+    place[order] = np.arange(len(mass))
+    mass = mass[order]
+    root = np.cumsum(np.sqrt(mass))
+    edges = np.searchsorted(root, root[-1] * np.arange(1, classes) / classes) + 1
+    cut = np.unique(np.concatenate(([0], np.minimum(edges, len(mass)), [len(mass)])))
+    class_of = np.repeat(np.arange(len(cut) - 1), np.diff(cut)).astype(np.int32)
+    total = np.add.reduceat(mass, cut[:-1])
+    return Vocabulary(place, cut, class_of, np.log(mass / total[class_of]).astype(np.float32), np.log(total / total.sum()).astype(np.float32))
+
+
+class Weights:
+    """All weights as rows of one matrix; the last column holds biases."""
+
+    def __init__(self, rows: np.ndarray, known: Vocabulary):
+        self.rows, at = rows, 0
+        for name, n in self.parts(known):
+            setattr(self, name, rows[at : at + n])
+            setattr(self, f"{name}_at", at)
+            at += n
+
+    @staticmethod
+    def parts(known: Vocabulary) -> list[tuple[str, int]]:
+        return [("inner", known.size + 1), ("outer", known.size), ("classes", len(known.cut) - 1), ("places", CONTEXT), ("query", WIDTH), ("key", WIDTH), ("value", WIDTH)]
+
+    def attend(self) -> np.ndarray:
+        """(WIDTH, 3 * WIDTH): from an input to its query (scaled), key and value."""
+        return np.hstack([self.query[:, :WIDTH] / np.float32(np.sqrt(WIDTH)), self.key[:, :WIDTH], self.value[:, :WIDTH]])
 
-    def bins(n: int) -> np.ndarray:
-        root = np.sqrt(mass[order])  # square roots keep single ids from filling the range
-        out = np.empty(len(mass), dtype=np.int32)
-        out[order] = np.minimum((np.cumsum(root) - root / 2) / root.sum() * n, n - 1)
+    @classmethod
+    def initial(cls, known: Vocabulary, seed: int = 9) -> Weights:
+        n = sum(n for _, n in cls.parts(known))
+        out = cls((np.random.default_rng(seed).standard_normal((n, WIDTH + 1)) * 0.2).astype(np.float32), known)
+        out.rows[:, WIDTH] = 0
+        out.outer[:] = 0
+        out.outer[:, WIDTH] = known.bias
+        out.classes[:] = 0
+        out.classes[:, WIDTH] = known.class_bias
         return out
 
-    outer = bins(OUT_CLASSES)
-    total = np.bincount(outer, weights=mass, minlength=OUT_CLASSES)
-    return Classes(bins(IN_CLASSES - 1), outer, np.log10(mass / total[outer]).astype(np.float32))
-
-
-SHAPES = {"e": (IN_CLASSES, WIDTH), "p": (CONTEXT, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, OUT_CLASSES), "b": (OUT_CLASSES,)}
-_MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, dtype=np.float32), 1)
-
-
-def split(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
-
-
-def initial(seed: int = 9) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return np.concatenate([(rng.standard_normal(s) * (0 if n == "b" else 0.3)).ravel() for n, s in SHAPES.items()]).astype(np.float32)
-
-
-def _weights(scores: np.ndarray) -> np.ndarray:
-    scores += _MASK
-    scores -= scores.max(axis=-1, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(axis=-1, keepdims=True)
-    return scores
-
-
-def train(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, batch: int = 128, rate: float = 0.02) -> np.ndarray:
-    """One pass of Adam over windows (n, CONTEXT) of input and output classes; real: which places count."""
-    flat, m, v = flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
-    root = np.float32(1 / np.sqrt(WIDTH))
-    for step, lo in enumerate(range(0, len(inputs), batch), 1):
-        c, y, r = inputs[lo : lo + batch], targets[lo : lo + batch], real[lo : lo + batch]
-        w = split(flat)
-        x = w["e"][c] + w["p"]
-        q, k, u = x @ w["q"], x @ w["k"], x @ w["v"]
-        a = _weights(q @ k.transpose(0, 2, 1) * root)
-        h = x + a @ u
-        logits = h @ w["o"] + w["b"]
-        logits -= logits.max(axis=-1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=-1, keepdims=True)
-        d = p - np.eye(OUT_CLASSES, dtype=np.float32)[y]
-        d *= r[:, :, None] / max(1, r.sum())
-        dh = d @ w["o"].T
-        da = dh @ u.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * root
-        dq, dk, du = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-        dx = dh + dq @ w["q"].T + dk @ w["k"].T + du @ w["v"].T
-        cells = (c.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-        de = np.bincount(cells, weights=dx.ravel(), minlength=IN_CLASSES * WIDTH)
-        flatten = lambda z: z.reshape(-1, z.shape[-1])
-        g = np.concatenate([de, dx.sum(axis=0).ravel(), *((flatten(x).T @ flatten(z)).ravel() for z in (dq, dk, du)), (flatten(h).T @ flatten(d)).ravel(), d.sum(axis=(0, 1))])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        flat = flat - np.float32(rate) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        flat = flat.astype(np.float32)
-    return flat
+
+def layout(places: list[np.ndarray], known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Texts, each ended, one after the other with BEFORE starts before each; and where each begins (with the end)."""
+    sizes = np.array([len(x) + BEFORE for x in places], dtype=np.int64)
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    starts = np.full(BEFORE, known.start, dtype=np.int32)
+    return np.concatenate([y for x in places for y in (starts, x)]) if places else np.empty(0, np.int32), begins
+
+
+def windows(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a layout: each window's owner, its first place, and how many of its targets are real."""
+    targets = np.diff(begins) - BEFORE
+    n = -(-targets // NEW)
+    owner = np.repeat(np.arange(len(n)), n)
+    step = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * NEW
+    return owner, begins[owner] + step, np.minimum(targets[owner] - step, NEW)
+
+
+def _take(flat: np.ndarray, first: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows' inputs (n, CONTEXT), the real targets' places among all n * NEW, and those targets in turn."""
+    last = len(flat) - 1
+    inputs = flat[np.minimum(first[:, None] + np.arange(CONTEXT), last)]
+    some = np.flatnonzero(np.arange(NEW) < real[:, None])
+    return inputs, some, flat[first[some // NEW] + BEFORE + some % NEW]
+
+
+def _exp(scores: np.ndarray, most: float) -> np.ndarray:
+    """In place; scores are small by training, and bounded in any case, so no maximum is taken off."""
+    np.clip(scores, -most, most, out=scores)
+    return np.exp(scores, out=scores)
+
+
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, dtype=np.float32)
+
+
+def _segments(sorted_classes: np.ndarray) -> list[tuple[int, int, int]]:
+    edges = np.flatnonzero(np.diff(sorted_classes)) + 1
+    lows = [0, *edges.tolist()]
+    return [(int(sorted_classes[lo]), lo, hi) for lo, hi in zip(lows, [*edges.tolist(), len(sorted_classes)], strict=True)] if len(sorted_classes) else []
+
+
+class Trainer:
+    """Adagrad over batches of windows, on a copy of the weights; counts how often each row was used."""
+
+    def __init__(self, weights: Weights, known: Vocabulary, rate: float = 0.2):
+        self.w, self.known, self.rate = Weights(weights.rows.copy(), known), known, rate
+        self.sums = np.full(self.w.rows.shape, 1e-8, dtype=np.float32)
+        self.used = np.zeros(len(self.w.rows), dtype=np.float64)
+
+    def _move(self, at: slice | np.ndarray, g: np.ndarray, used: float | np.ndarray) -> None:
+        self.used[at] += used
+        width = slice(0, g.shape[1])
+        if isinstance(at, slice):
+            s, r = self.sums[at, width], self.w.rows[at, width]
+            s += g * g
+            r -= self.rate * g / np.sqrt(s)
+        else:
+            s = self.sums[at, width] + g * g
+            self.sums[at, width] = s
+            self.w.rows[at, width] -= self.rate * g / np.sqrt(s)
+
+    def step(self, flat: np.ndarray, first: np.ndarray, real: np.ndarray) -> None:
+        w, known = self.w, self.known
+        inputs, some, target = _take(flat, first, real)
+        n, total = len(inputs), len(target)
+        one = np.float32(1 / total)
+        attend = w.attend()
+        x = np.take(w.inner[:, :WIDTH], inputs.ravel(), axis=0).reshape(n, CONTEXT, WIDTH)
+        x += w.places[:, :WIDTH]
+        flat_x = x.reshape(-1, WIDTH)
+        qkv = (flat_x @ attend).reshape(n, CONTEXT, 3 * WIDTH)
+        q, k, v = qkv[:, OVERLAP:, :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+        a = q @ k.transpose(0, 2, 1)
+        _exp(a, 30)
+        a *= _SEEN
+        a *= 1 / a.sum(axis=-1, keepdims=True)
+        h = a @ v
+        h += x[:, OVERLAP:]
+        # in the order of the targets' classes; the last column meets the biases
+        own = known.class_of[target]
+        order = np.argsort(own, kind="stable")
+        own, target, some = own[order], target[order], some[order]
+        hidden = np.ones((total, WIDTH + 1), dtype=np.float32)
+        hidden[:, :WIDTH] = np.take(h.reshape(-1, WIDTH), some, axis=0)
+        every = np.arange(total)
+        p = _exp(hidden @ w.classes.T, 60)
+        p *= (one / (p @ _ones(p.shape[1])))[:, None]
+        p[every, own] -= one
+        back = p @ w.classes[:, :WIDTH]
+        moves = [(slice(w.classes_at, w.classes_at + len(w.classes)), p.T @ hidden, float(total))]
+        inside = target - known.cut[own]
+        for c, lo, hi in _segments(own):
+            a0, a1 = int(known.cut[c]), int(known.cut[c + 1])
+            if a1 - a0 == 1:
+                continue
+            outer, g = w.outer[a0:a1], 0.0
+            for b in range(lo, hi, max(1, _LARGE // (a1 - a0))):
+                e = min(hi, b + max(1, _LARGE // (a1 - a0)))
+                p = _exp(hidden[b:e] @ outer.T, 60)
+                p *= (one / (p @ _ones(a1 - a0)))[:, None]
+                p[every[: e - b], inside[b:e]] -= one
+                back[b:e] += p @ outer[:, :WIDTH]
+                g = g + p.T @ hidden[b:e]
+            moves.append((slice(w.outer_at + a0, w.outer_at + a1), g, float(hi - lo)))
+        # attention
+        dh = np.zeros((n, NEW, WIDTH), dtype=np.float32)
+        dh.reshape(-1, WIDTH)[some] = back
+        da = dh @ v.transpose(0, 2, 1)
+        da -= np.einsum("nij,nij->ni", da, a)[..., None]
+        da *= a
+        back = np.empty((n, CONTEXT, 3 * WIDTH), dtype=np.float32)
+        back[:, :OVERLAP, :WIDTH] = 0
+        np.matmul(da, k, out=back[:, OVERLAP:, :WIDTH])
+        np.matmul(da.transpose(0, 2, 1), q, out=back[..., WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dh, out=back[..., 2 * WIDTH :])
+        back = back.reshape(-1, 3 * WIDTH)
+        g = flat_x.T @ back
+        g[:, :WIDTH] /= np.float32(np.sqrt(WIDTH))
+        moves += [(slice(at, at + WIDTH), np.ascontiguousarray(g[:, i * WIDTH : (i + 1) * WIDTH]), float(total)) for i, at in enumerate((w.query_at, w.key_at, w.value_at))]
+        dx = (back @ attend.T).reshape(n, CONTEXT, WIDTH)
+        dx[:, OVERLAP:] += dh
+        moves.append((slice(w.places_at, w.places_at + CONTEXT), dx.sum(axis=0), float(total)))
+        seen = np.bincount(inputs.ravel(), minlength=known.size + 1)
+        rows = np.flatnonzero(seen)
+        near = np.empty(len(seen), dtype=np.int64)
+        near[rows] = np.arange(0, len(rows) * WIDTH, WIDTH)
+        cells = (near[inputs.ravel()][:, None] + np.arange(WIDTH)).ravel()
+        moves.append((rows, np.bincount(cells, weights=dx.ravel(), minlength=len(rows) * WIDTH).reshape(-1, WIDTH).astype(np.float32), seen[rows].astype(np.float64)))
+        for move in moves:
+            self._move(*move)
+
+    def run(self, flat: np.ndarray, begins: np.ndarray, batch: int = 256) -> None:
+        """One pass over a layout's windows in turn."""
+        _, first, real = windows(begins)
+        for lo in range(0, len(first), batch):
+            self.step(flat, first[lo : lo + batch], real[lo : lo + batch])
 
 
 class Scorer:
-    """Scores whole token sequences; every token once, in a window that holds up to CONTEXT - 1 tokens before it."""
+    """log10 probabilities of whole texts; every subword once, in a window that holds what is before it."""
 
-    def __init__(self, flat: np.ndarray, known: Classes):
-        w, self.known = split(flat), known
-        # with one layer, queries, keys, values and the residual are a class's part and a place's part
-        scaled = w["q"] / np.float32(np.sqrt(WIDTH))
-        self.parts = [(np.ascontiguousarray(w["e"] @ m), np.ascontiguousarray(w["p"] @ m)) for m in (scaled, w["k"], w["v"])] + [(w["e"], w["p"])]
+    def __init__(self, weights: Weights, known: Vocabulary):
+        w, self.known, wide = weights, known, slice(0, WIDTH)
+        attend = w.attend()
+        # with one layer, queries, keys, values and the residual are a subword's part and a place's part;
         # a column of ones behind the values sums the weights in the same product
-        e, p = self.parts[2]
-        self.parts[2] = (np.hstack([e, np.zeros((IN_CLASSES, 1), np.float32)]), np.hstack([p, np.ones((CONTEXT, 1), np.float32)]))
-        self.o, self.b = np.ascontiguousarray(w["o"]), w["b"]
-        self.ones = np.ones(OUT_CLASSES, np.float32)
-
-    def _classes(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """log10 probability of each target class; inputs and targets are (n, CONTEXT)."""
-        q, k, v, x = (np.take(e, inputs, axis=0) + p for e, p in self.parts)
-        s = q @ k.transpose(0, 2, 1)
-        # scores are small by training; the mask is applied after exp, which spares a pass
-        np.clip(s, -30, 30, out=s)
-        np.exp(s, out=s)
-        s *= _LOWER
-        h = s @ v
-        x += h[..., :WIDTH] / h[..., WIDTH:]
-        logits = x.reshape(-1, WIDTH) @ self.o
-        logits += self.b
-        np.clip(logits, -60, 60, out=logits)
-        hit = np.take(logits, np.arange(0, logits.size, OUT_CLASSES) + targets.ravel())
-        np.exp(logits, out=logits)
-        return ((hit - np.log(logits @ self.ones)) * np.float32(1 / np.log(10))).reshape(targets.shape)
-
-    def score(self, ids: np.ndarray, offsets: np.ndarray, batch: int = 512) -> np.ndarray:
-        """log10 probability of each sequence ids[offsets[k]:offsets[k + 1]]."""
-        n = np.diff(offsets)
-        share = np.concatenate(([0.0], np.cumsum(self.known.share[ids], dtype=np.float64)))
-        out = share[offsets[1:]] - share[offsets[:-1]]
-        step = CONTEXT - OVERLAP
-        windows = np.where(n > 0, 1 + np.maximum(0, -(-(n - CONTEXT) // step)), 0)
-        doc = np.repeat(np.arange(len(n)), windows)
-        begin = (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)) * step
-        inner, outer = self.known.inner[ids], self.known.outer[ids]
-        for lo in range(0, len(doc), batch):
-            d, s = doc[lo : lo + batch], begin[lo : lo + batch]
-            place = s[:, None] + np.arange(CONTEXT)
-            real = place < n[d, None]
-            at = np.where(real, offsets[d, None] + place, 0)
-            before = np.where(place > 0, inner[np.maximum(at - 1, 0)], self.known.start)
-            found = self._classes(before.astype(np.int32), outer[at])
-            new = real & ((np.arange(CONTEXT) >= OVERLAP) | (s[:, None] == 0))
-            out += np.bincount(d, weights=np.where(new, found, 0).sum(axis=1), minlength=len(n))
-        return out
+        e, p = w.inner[:, wide], w.places[:, wide]
+        self.keys = [np.hstack([z @ attend[:, WIDTH:], np.full((len(z), 1), k, np.float32)]) for k, z in enumerate((e, p))]
+        self.late = [np.hstack([z @ attend[:, wide], z]) for z in (e, p[OVERLAP:])]
+        self.classes, self.outer = np.ascontiguousarray(w.classes.T), w.outer
+
+    def _batch(self, flat: np.ndarray, first: np.ndarray, real: np.ndarray) -> np.ndarray:
+        inputs, some, target = _take(flat, first, real)
+        kv = np.take(self.keys[0], inputs, axis=0)
+        kv += self.keys[1]
+        qx = np.take(self.late[0], inputs[:, OVERLAP:], axis=0)
+        qx += self.late[1]
+        a = qx[..., :WIDTH] @ kv[..., :WIDTH].transpose(0, 2, 1)
+        _exp(a, 30)
+        a *= _SEEN
+        h = a @ kv[..., WIDTH:]
+        x = h[..., :WIDTH]
+        x *= 1 / h[..., WIDTH:]
+        x += qx[..., WIDTH:]
+        own = self.known.class_of[target]
+        order = np.argsort(own, kind="stable")
+        own, target = own[order], target[order]
+        hidden = np.ones((len(target), WIDTH + 1), dtype=np.float32)
+        hidden[:, :WIDTH] = np.take(x.reshape(-1, WIDTH), some[order], axis=0)
+        found = self._log_softmax(hidden, self.classes, own)
+        inside = target - self.known.cut[own]
+        for c, lo, hi in _segments(own):
+            a0, a1 = int(self.known.cut[c]), int(self.known.cut[c + 1])
+            if a1 - a0 > 1:
+                for b in range(lo, hi, max(1, _LARGE // (a1 - a0))):
+                    e = min(hi, b + max(1, _LARGE // (a1 - a0)))
+                    found[b:e] += self._log_softmax(hidden[b:e], self.outer[a0:a1].T, inside[b:e])
+        out = np.empty(len(found))
+        out[order] = found
+        return np.add.reduceat(out, np.cumsum(real) - real) / np.log(10)
 
+    @staticmethod
+    def _log_softmax(hidden: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
+        p = hidden @ weights
+        hit = p[np.arange(len(own)), own].clip(-60, 60).astype(np.float64)
+        return hit - np.log(_exp(p, 60) @ _ones(p.shape[1]))
 
-_LOWER = np.tril(np.ones((CONTEXT, CONTEXT), dtype=np.float32))
+    def score(self, flat: np.ndarray, begins: np.ndarray, batch: int = 1024) -> np.ndarray:
+        """For a layout, the log10 probability of each text and its end."""
+        owner, first, real = windows(begins)
+        found = [self._batch(flat, first[lo : lo + batch], real[lo : lo + batch]) for lo in range(0, len(first), batch)]
+        return np.bincount(owner, weights=np.concatenate(found) if found else None, minlength=len(begins) - 1).astype(np.float64)

@@ -1,63 +1,53 @@
 """Language-model scoring by causal self-attention (operator 9).
 
-What is learned comes from all training documents: word counts, subword counts
-(from the word counts), and a small attention model in numpy, trained on every
-window of every training document by local passes whose weights are averaged.
+Everything that is learned comes from all training documents: word counts, subword
+counts, and an attention model over subword ids.  The model sees every window of
+every training document once: documents are dealt into rounds and their chunks into
+shards by hash, each shard is trained in one task from its round's common weights,
+and the shards' rows are averaged by how often each was used.  Shards and orders
+depend on the texts alone, so the result does not depend on the partitions.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import attention
-from fathomline.llm.packing import default_tokenizer, word_ids
+from fathomline.llm.packing import SLICE, default_tokenizer
 from fathomline.llm.shared import stored
-from fathomline.llm.text import column_bytes, slices
+from fathomline.llm.text import slices
+from fathomline.llm.wordpieces import gather, split_words, word_pieces
 
 #: Most words, the commonest, whose counts go to every task; the others are joined.
 COMMON = 100_000
-#: Averaging rounds of training.
-ROUNDS = 3
+#: Averaging rounds of training, ids of a chunk (whole windows) and of a shard.
+ROUNDS, CHUNK, SHARD = 3, attention.NEW * 64, 4 << 20
+#: Slices of the weights that are averaged apart, and parts that one group of a slice sums.
+PARTS, FAN = 16, 64
 FOLDS, HELD_OUT = 7, 2
 END = b""  # the end token's key; no word is empty
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
 
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo FOLDS; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def _texts(batch: pa.RecordBatch) -> list[list[bytes]]:
-    data, offsets = column_bytes(batch.column("text"))
-    whole = data.tobytes().translate(_LOWER)
-    return [whole[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-    for batch in slices(batches, "text"):
-        texts = _texts(batch)
-        held[END] += len(texts)
-        for words in texts:
-            held.update(words)
-        if len(held) > 300_000:
-            yield out()
-            held = Counter()
-    yield out()
+    for batch in slices(batches, "text", 2 * SLICE):
+        words, codes, _ = split_words(pc.ascii_lower(batch.column("text")))
+        words = pa.concat_arrays([words.cast(pa.binary()), pa.array([END], pa.binary())])
+        n = np.append(np.bincount(codes, minlength=len(words) - 1), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], names=["word", "n"])
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -67,87 +57,88 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 def _subwords(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, total = word_ids(tokenizer), np.zeros(0, dtype=np.int64)
+        pieces = word_pieces(tokenizer)
+        total = np.zeros(pieces.vocabulary + 1, dtype=np.int64)
         for batch in batches:
-            words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            for lo in range(0, len(words), 4096):
-                ids = [np.frombuffer(x, "<u4") for x in model.of_words(words[lo : lo + 4096])]
-                if ids:
-                    every = np.concatenate(ids).astype(np.int64)
-                    part = np.bincount(every, weights=np.repeat(n[lo : lo + 4096], [len(x) for x in ids]), minlength=len(total)).astype(np.int64)
-                    part[: len(total)] += total
-                    total = part
+            ids, offsets = pieces.of_words(batch.column("word"))
+            total += np.bincount(ids, weights=np.repeat(batch.column("n").to_numpy(), np.diff(offsets)), minlength=len(total)).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
     return run
 
 
-def _windows(tokenizer: str):
-    """Every window of each training document, as the scorer lays them; a later window's ids begin with the one before it."""
+def _places(batch: pa.RecordBatch, tokenizer: str, known: attention.Vocabulary) -> list[np.ndarray]:
+    """Each text's subwords and its end, as places."""
+    ids, offsets = word_pieces(tokenizer).of_texts(batch.column("text"))
+    places, end = known.place[ids], known.place[-1:]
+    return [np.concatenate((places[a:b], end)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _chunks(tokenizer: str, told, shards: int):
+    """Chunks of each training text, each with the places before it: shard, order and places."""
+    kind = "<u2" if told.value.size < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, size, step = word_ids(tokenizer), attention.CONTEXT, attention.CONTEXT - attention.OVERLAP
-        for batch in slices(batches, "text", 1 << 20):
-            texts = _texts(batch)
-            model.learn(set().union(*texts))
-            firsts, rows = [], []
-            for words in texts:
-                ids = b"".join(map(model.young.__getitem__, words))
-                for at in range(0, max(1, len(ids) // 4 - attention.OVERLAP) if ids else 0, step):
-                    firsts.append(at == 0)
-                    rows.append(ids[4 * max(0, at - 1) : 4 * (at + size)])
-                    if len(rows) == 1 << 16:
-                        yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.bool_()), pa.array(rows, pa.binary())], names=["first", "ids"])
-                        firsts, rows = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.bool_()), pa.array(rows, pa.binary())], names=["first", "ids"])
+        known = told.value
+        before = np.full(attention.BEFORE, known.start, dtype=np.int32)
+        for batch in slices(batches, "text", SLICE):
+            rows = []
+            for text in _places(batch, tokenizer, known):
+                whole = np.concatenate((before, text)).astype(kind)
+                key = hashlib.blake2b(whole.tobytes(), digest_size=8).digest()
+                for k, at in enumerate(range(0, len(text), CHUNK)):
+                    order = hashlib.blake2b(key + k.to_bytes(8, "little"), digest_size=8).digest()
+                    rows.append((int.from_bytes(order, "little") % shards, order, whole[at : at + attention.BEFORE + CHUNK].tobytes()))
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "order", "places"])
 
     return run
 
 
-def _local_pass(weights: np.ndarray, known: attention.Classes):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n, size = np.zeros(len(weights)), 0, attention.CONTEXT
-        for part in parts:
-            if not len(part):
-                continue
-            first = part["first"].to_numpy(bool)
-            ids, real = np.zeros((len(part), size + 1), np.int64), np.zeros((len(part), size), bool)
-            for k, x in enumerate(part["ids"]):
-                x = np.frombuffer(x, "<u4")
-                lo = int(first[k])
-                ids[k, lo : lo + len(x)], real[k, : lo + len(x) - 1] = x, True
-            before = known.inner[ids[:, :-1]]
-            before[first, 0] = known.start
-            real[~first, : attention.OVERLAP] = False  # the window before it has them
-            total += attention.train(weights, before, known.outer[ids[:, 1:]], real) * len(part)
-            n += len(part)
-        if n:
-            yield pd.DataFrame({"w": [(total).tobytes()], "n": [n]})
+def _train(told, weights):
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
+        known = told.value
+        kind = "<u2" if known.size < 1 << 16 else "<u4"
+        shard = shard.sort_values(["order", "places"], kind="stable")
+        chunks = [np.frombuffer(x, kind).astype(np.int32) for x in shard["places"]]
+        begins = np.concatenate(([0], np.cumsum([len(x) for x in chunks])))
+        trainer = attention.Trainer(attention.Weights(weights.value, known), known)
+        trainer.run(np.concatenate(chunks), begins)
+        parts = zip(np.array_split(trainer.w.rows * trainer.used[:, None], PARTS), np.array_split(trainer.used, PARTS), strict=True)
+        number = int(shard["shard"].iloc[0])
+        return pd.DataFrame([(k, number, r.astype(np.float32).tobytes(), n.tobytes()) for k, (r, n) in enumerate(parts)], columns=["part", "shard", "rows", "used"])
 
     return run
 
 
-def _sum(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total, n = 0.0, 0
-    for part in parts:
-        for w, k in zip(part["w"], part["n"], strict=True):
-            total, n = total + np.frombuffer(w, np.float64), n + int(k)
-    if n:
-        yield pd.DataFrame({"w": [total.tobytes()], "n": [n]})
-
-
-def fit(windows: DataFrame, known: attention.Classes, rounds: int = ROUNDS) -> np.ndarray:
-    """Every round each task makes a pass over its windows from the same weights; the results are averaged in a tree."""
-    weights = attention.initial()
-    for _ in range(rounds):
-        made = windows.mapInPandas(_local_pass(weights, known), "w binary, n long")
-        few = max(1, math.isqrt(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-        rows = made.repartition(few).mapInPandas(_sum, "w binary, n long").collect()
-        n = sum(r["n"] for r in rows)
-        if not n:
-            break
-        weights = (sum(np.frombuffer(r["w"], np.float64) for r in rows) / n).astype(np.float32)
+def _sum(group: pd.DataFrame) -> pd.DataFrame:
+    """The sum of a slice's parts, in the order of their shards."""
+    group = group.sort_values("shard", kind="stable")
+    total = [sum(np.frombuffer(x, kind).astype(np.float64) for x in group[c]).astype(kind).tobytes() for c, kind in (("rows", np.float32), ("used", np.float64))]
+    return pd.DataFrame({"part": group["part"].iloc[:1], "shard": group["shard"].iloc[:1] // FAN, "rows": total[:1], "used": total[1:]})
+
+
+_PARTS = "part int, shard long, rows binary, used binary"
+
+
+def fit(training: DataFrame, known: attention.Vocabulary, tokenizer: str, tokens: int, rounds: int = ROUNDS, shard: int = SHARD) -> np.ndarray:
+    """The model's weights; training: doc_id, text; tokens: how many subwords and ends the training texts have."""
+    context = training.sparkSession.sparkContext
+    weights, told = attention.Weights.initial(known).rows, context.broadcast(known)
+    shards = max(1, math.ceil(tokens / rounds / shard))
+    for r in range(rounds):
+        common = context.broadcast(weights)
+        part = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
+        made = part.mapInArrow(_chunks(tokenizer, told, shards), "shard long, order binary, places binary").groupBy("shard").applyInPandas(_train(told, common), _PARTS)
+        left = shards
+        while left > 1:  # a tree, so no group has more than FAN parts
+            made, left = made.groupBy("part", F.floor(F.col("shard") / FAN)).applyInPandas(_sum, _PARTS), math.ceil(left / FAN)
+        found = sorted(made.collect(), key=lambda x: x["part"])  # the weights once
+        if found:
+            rows = np.concatenate([np.frombuffer(x["rows"], np.float32) for x in found]).reshape(weights.shape)
+            used = np.concatenate([np.frombuffer(x["used"], np.float64) for x in found])[:, None]
+            weights = np.where(used > 0, rows / np.maximum(used, 1), weights).astype(np.float32)
     return weights
 
 
@@ -163,53 +154,65 @@ def _commonest(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(step >= F.lit(least)) if least is not None else counts.where("false")
 
 
+def vocabulary(counts: DataFrame, tokenizer: str) -> tuple[attention.Vocabulary, int]:
+    """The subwords' order and classes from the counts of words; how many subwords and ends the training texts have."""
+    rows = counts.where("word <> X''").mapInArrow(_subwords(tokenizer), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per id of the vocabulary
+    tally = np.zeros(word_pieces(tokenizer).vocabulary + 1, dtype=np.int64)
+    for r in rows:
+        tally[r["id"]] = r["n"]
+    tally[-1] = counts.where("word = X''").agg(F.sum("n")).first()[0] or 0
+    return attention.vocabulary(tally), int(tally.sum())
+
+
+_REST = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+
+
+def _base(batch: pa.RecordBatch, common: pa.Array, logs: np.ndarray, end: float) -> list[pa.Array]:
+    """n_tokens, n_known and the sum of logs over common words; the other words of each text with their counts."""
+    words, codes, first = split_words(pc.ascii_lower(batch.column("text")))
+    n = batch.num_rows
+    owner = np.repeat(np.arange(n), np.diff(first))
+    found = pc.fill_null(pc.index_in(words.cast(pa.binary()), common), -1).to_numpy()[codes] if len(words) else np.empty(0, np.int64)
+    common_word = found >= 0
+    known = np.bincount(owner[common_word], minlength=n)
+    total = np.bincount(owner[common_word], weights=logs[found[common_word]], minlength=n)
+    pairs, times = np.unique(owner[~common_word] * max(1, len(words)) + codes[~common_word], return_counts=True)
+    offsets = np.searchsorted(pairs, np.arange(n + 1) * max(1, len(words)))
+    rest = pa.StructArray.from_arrays([words.take(pa.array(pairs % max(1, len(words)))).cast(pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+    ended = math.isfinite(end)  # the end token is known once there is a training document
+    return [pa.array(np.diff(first) + 1), pa.array(known + ended), pa.array(total + (end if ended else 0.0)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)]
+
+
 def score(docs: DataFrame, tokenizer: str, common: int = COMMON) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of `docs`.
 
-    Null and empty texts are their end token; a null doc_id is a training
-    document; repeated rows each count; other columns are ignored.  Without
-    training documents all counts are 0.
+    Null and empty texts are their end token, which `score` counts too; a null
+    doc_id is a training document; repeated rows each count, and equal texts get
+    equal scores; other columns are ignored.  Without training documents all
+    counts are 0 and the model is uniform.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     training = docs.where(~held_out(F.col("doc_id")))
     counts = stored(word_counts(training))
     size = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = int(size[0] or 0), int(size[1])
-    subwords = counts.where("word <> X''").mapInArrow(_subwords(tokenizer), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per id of the vocabulary
-    tally = np.zeros(max([r["id"] for r in subwords], default=0) + 1, dtype=np.int64)
-    for r in subwords:
-        tally[r["id"]] = r["n"]
-    vocabulary = word_ids(tokenizer).model.get_vocab_size()
-    tally = np.concatenate([tally, np.zeros(max(0, vocabulary - len(tally)), np.int64)])
-    known = attention.classes(tally)
-    weights = fit(stored(training.select("text").mapInArrow(_windows(tokenizer), "first boolean, ids binary")), known)
-    frequent = {bytes(r["word"]): r["n"] for r in _commonest(counts, common).collect()}
-    told = docs.sparkSession.sparkContext.broadcast((weights, known, frequent))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<struct<word: binary, n: long>>"
-    names = [f.split()[0] for f in schema.split(", ")[:7]] + ["rest"]
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    known, subwords = vocabulary(counts, tokenizer)
+    weights = fit(training, known, tokenizer, subwords)
+    frequent = sorted((bytes(r["word"]), r["n"]) for r in _commonest(counts.where("word <> X''"), common).collect())
+    ends = counts.where("word = X''").agg(F.sum("n")).first()[0]
+    told = docs.sparkSession.sparkContext.broadcast((weights, known, [w for w, _ in frequent], np.log10(np.array([n for _, n in frequent], dtype=np.float64) + 1), math.log10(ends + 1) if ends else -math.inf))
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known, frequent = told.value
-        model, scorer = word_ids(tokenizer), attention.Scorer(weights, known)
-        logs = {w: math.log10(n + 1) for w, n in frequent.items()}
-        for batch in slices(batches, "text", 1 << 20):
-            rows, ids = [], []
-            texts = _texts(batch)
-            model.learn(set().union(*texts))
-            for words in texts:
-                ids.append(b"".join(map(model.young.__getitem__, words)))
-                words.append(END)
-                found = list(map(logs.get, words))
-                missing = Counter(w for w, x in zip(words, found, strict=True) if x is None) if None in found else {}
-                rows.append((len(words), len(words) - sum(missing.values()), sum(x for x in found if x is not None), [{"word": w, "n": n} for w, n in missing.items()]))
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
-            scores = scorer.score(np.frombuffer(b"".join(ids), "<u4").astype(np.int64), offsets)
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(scores, pa.float64()), pa.array(columns[3], rest_type)], names=names)
+        weights, known, words, logs, end = told.value
+        scorer, words = attention.Scorer(attention.Weights(weights, known), known), pa.array(words, pa.binary())
+        for batch in slices(batches, "text", SLICE):
+            scores = scorer.score(*attention.layout(_places(batch, tokenizer, known), known))
+            tokens, some, sums, rest = _base(batch, words, logs, end)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), tokens, some, sums, pa.array(scores, pa.float64()), rest.cast(_REST)], names=names)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = stored(numbered.mapInArrow(run, schema))  # written once, so the row numbers stay
+    scored = stored(numbered.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<struct<word: binary, n: long>>"))  # written once, so the row numbers stay
     rest = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     rest = rest.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     out = scored.drop("rest").join(rest, "row", "left")

@@ -7,18 +7,16 @@ go, largest first, to the sequence of least cost that still has room for them.
 
 from __future__ import annotations
 
-import os
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm.text import column_bytes, slices
+from fathomline.llm.text import slices
+from fathomline.llm.wordpieces import word_pieces
 
 SEQUENCE = 4096
 END = 2
@@ -26,97 +24,8 @@ END = 2
 GROUP = 1 << 20
 #: Cost per token and per pair of tokens; equal at 12,288 tokens, as for a width of 2,048.
 LINEAR, QUADRATIC = 1.0, 1 / 12288
-#: Words whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 400_000
-
-_ASCII_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
-class WordIds:
-    """Ids of texts, word by word; each word's ids are remembered as little-endian uint32 bytes.
-
-    White space separates tokens in this kind of vocabulary, so a text's ids are
-    its words' ids in turn.  A word of Latin letters, with marks behind it or none,
-    is lower-cased and goes to the merges straight away, which spares the
-    tokenizer's general normalising and splitting; probes check at the start that
-    both ways agree, and all other words take the general way.
-    """
-
-    PROBES = ("The", "the,", "Éénant", "straße.", "MINE!", "x;", "öüß", "antidisestablish)", "qzxj?", "the***", "é&&&")
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.merges = self.model.model
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.letters = _byte_letters()
-        self.straight = all(self._straight(w) == self._general([w])[0] for w in self.PROBES)
-
-    def _general(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            tokens = self.merges.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))
-            found = self.parts[part] = array("I", [t.id for t in tokens]).tobytes()
-        return found
-
-    def _straight(self, word: str) -> bytes | None:
-        """None if the word needs the general way."""
-        if word.isalpha():
-            return self._part(word.lower()) if max(word) < "\u0100" else None
-        body = word.rstrip(_ASCII_MARKS)
-        if body.isalpha() and max(body) < "\u0100":
-            return self._part(body.lower()) + self._part(word[len(body) :])
-        return None
-
-    def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self.young)
-        if len(self.young) + len(new) > REMEMBERED:
-            self.old, self.young = self.young, {}
-            new = words
-        old, young, left = self.old, self.young, []
-        for w in new:
-            found = old.get(w)
-            if found is None and self.straight:
-                found = self._straight(w.decode("utf-8", "replace"))
-            if found is None:
-                left.append(w)
-            else:
-                young[w] = found
-        for lo in range(0, len(left), 4096):
-            part = left[lo : lo + 4096]
-            self.young.update(zip(part, self._general([w.decode("utf-8", "replace") for w in part]), strict=True))
-
-    def of_words(self, words: list[bytes]) -> list[bytes]:
-        self.learn(set(words))
-        return list(map(self.young.__getitem__, words))
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # bytes.split() parts at \x20 and \x09-\x0D only
-        self.learn(set().union(*split))
-        return [b"".join(map(self.young.__getitem__, words)) for words in split]
-
-
-@lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
+#: Bytes of text that get their ids together.
+SLICE = 8 << 20
 def pack(sizes: list[int], sequence: int = SEQUENCE, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[list[tuple[int, int, int]]]:
     """Sequences, each a list of pieces (document, start, length) in order.
 
@@ -176,16 +85,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, gr
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names), first + len(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, last = word_ids(tokenizer), np.array([end], "<u4").tobytes()
+        pieces, last = word_pieces(tokenizer), np.array([end], "<u4").tobytes()
         held: list[tuple[int | None, bytes]] = []
         waiting, sequence_id = 0, TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text", 1 << 20):
-            data, offsets = column_bytes(batch.column("text"))
-            whole = data.tobytes()
-            texts = [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of.of(texts), strict=True):
-                held.append((doc_id, ids + last))
-                waiting += len(ids) // 4 + 1
+        for batch in slices(batches, "text", SLICE):
+            ids, offsets = pieces.of_texts(batch.column("text"))
+            whole = ids.astype("<u4").tobytes()
+            for doc_id, lo, hi in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                held.append((doc_id, whole[4 * lo : 4 * hi] + last))
+                waiting += hi - lo + 1
                 if waiting >= group:
                     out, sequence_id = emit(held, sequence_id)
                     held, waiting = [], 0

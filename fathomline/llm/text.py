@@ -93,8 +93,8 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_binary())
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()

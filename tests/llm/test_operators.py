@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fathomline.llm import attention, crf, decontamination, html_extract, jaccard_join, license_scan, lm_scoring, packing, quality_rules, repeats, substring_dedup, suffix_dedup, url_filter
 from fathomline.llm.components import components
 from fathomline.llm.sampling import least_hashes
+from fathomline.llm.wordpieces import word_pieces
 
 SCHEMA = "doc_id long, text string, source string, n_words long, row string, kept string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,11 +154,13 @@ def test_pack_balances_cost():
 
 
 def test_word_ids_equal_the_tokenizer():
-    ids = packing.WordIds(packing.default_tokenizer())
-    words = ["'s", "don't", "a's", "<|endoftext|>", "x<|startoftext|>y", "ＡＢ", "İ", "ΣΑΣ", "é́", "½", "a b", "ﬁ", "#1", "²", "Ñ;", "''", "é&&&", "abc***", "﻿x", "\x00a", "µ", "ªº"]
-    assert ids.straight
-    for w, x in zip(words, ids.of_words([w.encode() for w in words]), strict=True):
-        assert x == ids._general([w])[0], w
+    pieces, rng = word_pieces(packing.default_tokenizer()), random.Random(3)
+    words = ["'s", "don't", "a's", "<|endoftext|>", "x<|startoftext|>y", "ＡＢ", "İ", "ΣΑΣ", "é́", "½", "a b", "ﬁ", "#1", "²", "Ñ;", "''", "é&&&", "abc***", "﻿x", "\x00a", "µ", "ªº", "a" * 300, "." * 90, "×", "÷a"]
+    words += ["".join(rng.choice("abcdeéÀßÿ.,&'9") for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    words += ["".join(rng.choice(["th", "e", "in", "an", "Er", "on", "ique", "é"]) for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", "**"]) for _ in range(3000)]
+    ids, offsets = pieces.of_words(pa.array(words))
+    for w, x, lo, hi in zip(words, pieces._general(words), offsets, offsets[1:], strict=False):
+        assert ids[lo:hi].tolist() == x, w
 
 
 # repeats
@@ -405,31 +408,78 @@ def test_attention_scores_and_learns():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 200, 6000)
     ids[1::2] = (ids[::2] * 3 + 1) % 200
-    known = attention.classes(np.bincount(ids, minlength=200))
-    n = len(ids) // attention.CONTEXT
-    w = ids[: n * attention.CONTEXT].reshape(n, -1)
-    before = np.concatenate([np.full((n, 1), known.start), known.inner[w][:, :-1]], axis=1)
-    flat = attention.initial()
-    untaught = attention.Scorer(flat, known).score(ids, np.array([0, len(ids)]))[0]
+    known = attention.vocabulary(np.bincount(ids, minlength=202), classes=16)
+    flat, begins = attention.layout([known.place[ids]], known)
+    weights = attention.Weights.initial(known)
+    untaught = attention.Scorer(weights, known).score(flat, begins)[0]
     for _ in range(20):
-        flat = attention.train(flat, before, known.outer[w], np.ones(w.shape, bool), batch=32)
-    scorer, weights = attention.Scorer(flat, known), attention.split(flat)
-    assert scorer.score(ids, np.array([0, len(ids)]))[0] > untaught + 0.1 * len(ids)
-    for size in (0, 1, attention.CONTEXT, 80):
-        want = 0.0
-        for t in range(size):
-            step = attention.CONTEXT - attention.OVERLAP
-            lo = 0 if t < attention.CONTEXT else ((t - attention.CONTEXT) // step + 1) * step
-            seq = [known.start if k == 0 else known.inner[ids[k - 1]] for k in range(lo, t + 1)]
-            x = weights["e"][seq] + weights["p"][: len(seq)]
-            s = (x[-1] @ weights["q"]) @ (x @ weights["k"]).T / math.sqrt(attention.WIDTH)
+        trainer = attention.Trainer(weights, known)
+        trainer.run(flat, begins, batch=8)
+        weights = trainer.w
+    scorer, wide = attention.Scorer(weights, known), attention.WIDTH
+    assert scorer.score(flat, begins)[0] > untaught + 0.1 * len(ids)
+    flat, begins = attention.layout([known.place[ids[:n]] for n in (0, 1, attention.NEW, 80)], known)
+    got = scorer.score(flat, begins)
+    for n, found in zip((0, 1, attention.NEW, 80), got, strict=True):
+        want, text = 0.0, known.place[ids[:n]]
+        for t in range(n):
+            low = t // attention.NEW * attention.NEW - attention.OVERLAP
+            seq = [known.start if k <= 0 else text[k - 1] for k in range(low, t + 1)]
+            x = weights.inner[seq, :wide] + weights.places[: len(seq), :wide]
+            s = (x[-1] @ weights.query[:, :wide]) @ (x @ weights.key[:, :wide]).T / math.sqrt(wide)
             a = np.exp(s - s.max())
-            logits = (x[-1] + a / a.sum() @ (x @ weights["v"])) @ weights["o"] + weights["b"]
-            want += (logits[known.outer[ids[t]]] - np.log(np.exp(logits).sum())) / math.log(10) + known.share[ids[t]]
-        assert scorer.score(ids[:size], np.array([0, size]))[0] == pytest.approx(want, rel=1e-4, abs=1e-6)
-    shares = np.zeros(attention.OUT_CLASSES)
-    np.add.at(shares, known.outer, 10.0**known.share)
-    assert np.allclose(shares[shares > 0], 1, atol=1e-4)
+            h = np.append(x[-1] + a / a.sum() @ (x @ weights.value[:, :wide]), 1)
+            c = known.class_of[text[t]]
+            lo, hi = known.cut[c], known.cut[c + 1]
+            for scores, k in ((weights.classes @ h, c), (weights.outer[lo:hi] @ h, text[t] - lo)):
+                want += (scores[k] - np.log(np.exp(scores).sum())) / math.log(10)
+        assert found == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def test_training_follows_the_gradient():
+    rng = np.random.default_rng(1)
+    known = attention.vocabulary(rng.integers(0, 50, 40), classes=5)
+    flat, begins = attention.layout([rng.integers(0, 40, n).astype(np.int32) for n in (50, 7)], known)
+    weights = attention.Weights.initial(known)
+    weights.rows[:] += rng.standard_normal(weights.rows.shape).astype(np.float32) * 0.3
+    trainer, moved = attention.Trainer(weights, known), np.zeros(weights.rows.shape)
+
+    def note(at, g, used):
+        moved[at, : g.shape[1]] += g
+
+    trainer._move = note
+    _, first, real = attention.windows(begins)
+    trainer.step(flat, first, real)
+
+    def loss(rows):
+        return -attention.Scorer(attention.Weights(rows, known), known).score(flat, begins).sum() * math.log(10) / 57
+
+    for name, n in attention.Weights.parts(known):
+        at = getattr(weights, f"{name}_at")
+        for _ in range(6):
+            r, c = at + rng.integers(0, n), rng.integers(0, attention.WIDTH + (name in ("outer", "classes")))
+            step = np.zeros(weights.rows.shape)
+            step[r, c] = 1e-3
+            assert (loss(weights.rows + step) - loss(weights.rows - step)) / 2e-3 == pytest.approx(moved[r, c], abs=2e-3)
+
+
+def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK", attention.NEW * 2)
+    monkeypatch.setattr(lm_scoring, "FAN", 3)
+    known, tokens = lm_scoring.vocabulary(lm_scoring.word_counts(docs), packing.default_tokenizer())
+    made = [lm_scoring.fit(docs.select("doc_id", "text").repartition(n, "doc_id"), known, packing.default_tokenizer(), tokens, shard=1000) for n in (1, 6)]
+    assert (made[0] == made[1]).all() and not (made[0] == attention.Weights.initial(known).rows).all()
+
+
+def test_training_helps_on_held_out_texts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def held_out():
+        return lm_scoring.score(docs, packing.default_tokenizer()).where("held_out").agg(F.sum("score")).first()[0]
+
+    taught = held_out()
+    monkeypatch.setattr(lm_scoring, "fit", lambda training, known, tokenizer, tokens: attention.Weights.initial(known).rows)
+    assert taught > 0.8 * held_out()
 
 
 # Jaccard join
@@ -525,21 +575,30 @@ def test_commonest_words_are_bounded(spark):
 
 
 def test_every_token_is_trained_once(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK", attention.NEW * 2)
     words = [" ".join(f"w{k * k % 97} tree" for k in range(n)) for n in (0, 1, 9, 40, 700)]
-    tokenizer, size = packing.default_tokenizer(), attention.CONTEXT
-    ids = [np.frombuffer(packing.word_ids(tokenizer).of([w.encode()])[0], "<u4") for w in words]
-    known = attention.classes(np.bincount(np.concatenate(ids)))
-    met = []
-
-    def train(weights, before, targets, real):
-        met.append((before, targets, real))
-        return weights
-
-    monkeypatch.setattr(attention, "train", train)
-    made = lm_scoring._windows(tokenizer)(iter([pa.RecordBatch.from_arrays([pa.array(words)], names=["text"])]))
-    rows = pa.Table.from_batches(made).to_pandas()
-    list(lm_scoring._local_pass(attention.initial(), known)(iter([rows])))
-    before, targets, real = met[0]
-    assert real.shape[1] == size and real.sum() == sum(map(len, ids)) > 1400
-    assert (targets[real] == np.concatenate([known.outer[x] for x in ids])).all()
-    assert (before[real] == np.concatenate([np.concatenate(([known.start], known.inner[x[:-1]])) for x in ids if len(x)])).all()
+    tokenizer, met = packing.default_tokenizer(), []
+    known = attention.vocabulary(np.zeros(word_pieces(tokenizer).vocabulary + 1, dtype=np.int64))
+    batch = pa.RecordBatch.from_arrays([pa.array(words)], names=["text"])
+    texts = lm_scoring._places(batch, tokenizer, known)
+
+    class Told:
+        value = known
+
+    class Common:
+        value = attention.Weights.initial(known).rows
+
+    monkeypatch.setattr(attention.Trainer, "step", lambda self, flat, first, real: met.append(attention._take(flat, first, real)))
+    rows = pa.Table.from_batches(lm_scoring._chunks(tokenizer, Told, 3)(iter([batch]))).to_pandas()
+    for _, shard in rows.groupby("shard"):
+        lm_scoring._train(Told, Common)(shard)
+    got = collections.Counter()
+    for inputs, some, targets in met:
+        for k, target in zip(some.tolist(), targets.tolist(), strict=True):
+            got[(*inputs[k // attention.NEW, : attention.OVERLAP + k % attention.NEW + 1].tolist(), target)] += 1
+    want = collections.Counter()
+    for text in texts:
+        for t in range(len(text)):
+            low = t // attention.NEW * attention.NEW - attention.OVERLAP
+            want[(*[known.start if k <= 0 else text[k - 1] for k in range(low, t + 1)], text[t])] += 1
+    assert got == want and sum(got.values()) > 1400
