@@ -48,8 +48,8 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def fit(chains: list[np.ndarray], labels: list[np.ndarray], rounds: int = 120, rate: float = 0.1, penalty: float = 1e-3) -> Crf:
-    """chains: features (length, d); labels: 0 or 1 (length); chains are padded to the longest."""
+def fit(chains: list[np.ndarray], labels: list[np.ndarray], rounds: int = 120, rate: float = 0.1, penalty: float = 1e-3, steps: bool = True) -> Crf:
+    """chains: features (length, d); labels: 0 or 1 (length); chains are padded to the longest.  Without `steps` each label stands alone."""
     n, d, longest = len(chains), chains[0].shape[1], max(len(c) for c in chains)
     x, y, real = np.zeros((n, longest, d)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
     for k, (c, z) in enumerate(zip(chains, labels, strict=True)):
@@ -72,7 +72,40 @@ def fit(chains: list[np.ndarray], labels: list[np.ndarray], rounds: int = 120, r
         p = np.exp(ahead + behind - total[:, None, None]) * real[:, :, None]
         edge = np.exp(ahead[:, :-1, :, None] + step + (s[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]) * pairs[:, :, None, None]
         gap = hot - p
-        g = np.concatenate([np.einsum("ntd,nta->da", x, gap).ravel(), gap.sum((0, 1)), (seen_step - edge.sum((0, 1))).ravel()]) / real.sum() - penalty * w
+        g = np.concatenate([np.einsum("ntd,nta->da", x, gap).ravel(), gap.sum((0, 1)), (seen_step - edge.sum((0, 1))).ravel() * steps]) / real.sum() - penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w + rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     return Crf(w[: 2 * d].reshape(d, 2), w[2 * d : 2 * d + 2], w[2 * d + 2 :].reshape(2, 2))
+
+
+def _whole(labels: np.ndarray, lean: np.ndarray, words: np.ndarray, good: bool, share: float) -> np.ndarray:
+    """The labels, changed where they are least sure until the share of words in label 1 is on the document's side."""
+    out, total = labels.copy(), words.sum()
+    for k in np.argsort(-lean if good else lean, kind="stable"):
+        reached = (out * words).sum() >= share * total
+        if reached == good:
+            break
+        out[k] = good
+    return out
+
+
+def fit_latent(documents: list[np.ndarray], words: list[np.ndarray], good: list[bool], share: float, longest: int, rounds: int = 2) -> Crf:
+    """A field whose line labels are hidden: of a document only the side of its share of words in label 1 is known.
+
+    Lines start with their document's side and are scored alone; then labels and
+    field take turns: each line gets the field's label, as far as its document's
+    share stays on the known side.  documents: features by line; chains are cut
+    to `longest` lines.
+    """
+
+    def chains(rows: list[np.ndarray]) -> list[np.ndarray]:
+        return [r[lo : lo + longest] for r in rows for lo in range(0, len(r), longest)]
+
+    labels = [np.full(len(x), int(g)) for x, g in zip(documents, good, strict=True)]
+    field = fit(chains(documents), chains(labels), steps=False)
+    for _ in range(rounds):
+        for k, x in enumerate(documents):
+            scores = field.scores(x)
+            labels[k] = _whole(field.decode(scores, np.array([0, len(x)])).astype(int), scores[:, 1] - scores[:, 0], words[k], good[k], share)
+        field = fit(chains(documents), chains(labels))
+    return field

@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.crf import Crf, fit
+from fathomline.llm.crf import Crf, fit_latent
 from fathomline.llm.sampling import least_hashes
 from fathomline.llm.text import column_bytes, range_hashes, slices, symbol_values, window_hashes, word_hashes, word_spans
 
-#: Most labelled documents of each class that training reads, and the longest text among them in bytes.
-TRAIN_DOCUMENTS, TRAIN_BYTES = 1000, 1 << 16
+#: Most labelled documents of each class that training reads, and the longest text among them in bytes and in lines.
+TRAIN_DOCUMENTS, TRAIN_BYTES, TRAIN_LINES = 1000, 1 << 16, 512
+LEAST_SHARE = 0.5
 CHAIN = 40  # training chains are cut to so many lines
 WINDOW = 5
 FEATURES = 14
@@ -99,43 +100,45 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        _, x, _, cuts = measure(*column_bytes(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array([x[a:b].astype(np.float32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["quality", "x"])
+        _, x, words, cuts = measure(*column_bytes(batch.column("text")))
+        columns = [[v[a:b].astype(kind).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for v, kind in ((x, np.float32), (words, np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column("quality"), *(pa.array(c, pa.binary()) for c in columns)], names=["quality", "x", "words"])
 
 
-def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Crf | None:
+def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS, least_share: float = LEAST_SHARE) -> Crf | None:
     """A field fitted on at most `documents` labelled documents of each quality, chosen by the hash of their id.
 
-    A line's label is its document's quality.  None where a class has no document.
+    Which lines are content is hidden: a good document is only known to have
+    `least_share` of its words in content lines, and a bad one not to.  None
+    where a class has no document with a word.
     """
     labels = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     picked = [least_hashes(labels.where(F.col("quality") == q), documents, "doc_id") for q in (0, 1)]
     ids = picked[0].unionByName(picked[1])  # at most 2 * documents rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(ids), "doc_id").select("quality", "text").mapInArrow(_features, "quality int, x binary").collect()
-    chains, marks = [], []
-    for q, data in sorted((r["quality"], bytes(r["x"])) for r in rows):
-        x = np.frombuffer(data, np.float32).reshape(-1, FEATURES)
-        for lo in range(0, len(x), CHAIN):
-            chains.append(x[lo : lo + CHAIN])
-            marks.append(np.full(len(chains[-1]), q))
-    if len({int(m[0]) for m in marks}) < 2:
+    short = (F.octet_length("text") <= TRAIN_BYTES) & (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < TRAIN_LINES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(short).join(F.broadcast(ids), "doc_id").select("quality", "text").mapInArrow(_features, "quality int, x binary, words binary").collect()
+    found = sorted((r["quality"], bytes(r["x"]), bytes(r["words"])) for r in rows if r["words"])
+    if len({q for q, _, _ in found}) < 2:
         return None
-    return fit(chains, marks)
+    return fit_latent([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x, _ in found], [np.frombuffer(w, np.int32) for _, _, w in found], [q == 1 for q, _, _ in found], least_share, CHAIN)
 
 
-def judge(docs: DataFrame, labels: DataFrame, least_share: float = 0.5, documents: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """The columns of `docs` with the base counts, content_share, base_failed and kept.
+_NEW = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean"
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, least_share: float = LEAST_SHARE, documents: int = TRAIN_DOCUMENTS) -> DataFrame:
+    """`document` (a struct of the columns of `docs`), the base counts, content_share, base_failed and kept; one row per row.
 
     base_failed: fewer than 10 words, or more than a fifth of the words in
     five-word windows that repeat.  kept: not base_failed, and at least
     `least_share` of the words lie in lines labelled content.  A null or empty
-    text has no words, so it fails.  Columns of `docs` that clash with the new
-    ones are replaced; without labels of both classes every line counts as content.
+    text has no words, so it fails; rows are judged alone, so null and repeated
+    ids and repeated rows change nothing; a share of exactly `least_share` is
+    kept, and ties in decoding go to content.  Without labels of both classes
+    every line counts as content.
     """
-    field = train(docs, labels, documents)
-    new = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean"
-    names = [c.split()[0] for c in new.split(", ")]
-    docs = docs.drop(*names)
+    field = train(docs, labels, documents, least_share)
+    names = [c.split()[0] for c in _NEW.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -145,10 +148,22 @@ def judge(docs: DataFrame, labels: DataFrame, least_share: float = 0.5, document
             np.cumsum(words * marks, out=total[1:])
             share = (total[cuts[1:]] - total[cuts[:-1]]) / np.maximum(base["n_words"], 1)
             failed = (base["n_words"] < 10) | (100 * base["n_repeat_words"] > 20 * base["n_words"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v) for v in base.values()), pa.array(share), pa.array(failed), pa.array(~failed & (share >= least_share))], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([batch.column("document"), *(pa.array(v) for v in base.values()), pa.array(share), pa.array(failed), pa.array(~failed & (share >= least_share))], names=["document", *names])
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col("text"))
+    return whole.mapInArrow(run, f"document {whole.schema['document'].dataType.simpleString()}, {_NEW}")
+
+
+def judge(docs: DataFrame, labels: DataFrame, least_share: float = LEAST_SHARE, documents: int = TRAIN_DOCUMENTS) -> DataFrame:
+    """`verdicts` with the columns of `docs` side by side; those that clash with the new ones are left out."""
+    new = {c.split()[0] for c in _NEW.split(", ")}
+    found = verdicts(docs, labels, least_share, documents)
+    return found.select(*[F.col(f"document.`{c}`").alias(c) for c in docs.columns if c.lower() not in new], *[c for c in found.columns if c != "document"])
+
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kept}, {new}")
+def accepted(docs: DataFrame, labels: DataFrame, least_share: float = LEAST_SHARE, documents: int = TRAIN_DOCUMENTS) -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns as they were."""
+    return verdicts(docs, labels, least_share, documents).where("kept").select(*[F.col(f"document.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
