@@ -36,6 +36,8 @@ STEP = 16  # MinHash values compared at a time
 TOLERANCE = 1e-6
 BUCKET_BLOCK = 2048
 CLUSTER_BLOCK = 1024
+#: Bytes of texts or signatures that a task's groups hold together, about.
+TASK_BYTES = 4 << 20
 
 
 @lru_cache(maxsize=1)
@@ -271,22 +273,30 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     """
     spark = docs.sparkSession
     least = least_matches(threshold, tolerance)
-    groups = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    least_groups = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def groups(n_bytes: int | None) -> int:
+        return max(least_groups, int((n_bytes or 0) // TASK_BYTES))
+
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key(docs).alias("row"))
     signed = stored(docs.mapInArrow(_sign, "doc_id long, row binary, node binary, n_shingles long, sig binary"))
-    nodes = stored(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")))
+    nodes = stored(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n_shingles")))
 
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)])
     keyed = nodes.select("node", F.explode(bands).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = stored(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    sent = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BUCKET_BLOCK)) * (4 * BANDS * ROWS)).first()[0]
     shared = keyed.join(sizes, "bucket").join(nodes.select("node", "sig"), "node")
-    shared = _dealt(shared, ["bucket"], "n", BUCKET_BLOCK).withColumn("g", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
+    shared = _dealt(shared, ["bucket"], "n", BUCKET_BLOCK).withColumn("g", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups(sent))))
     close = shared.select("g", "bucket", "i", "j", "node", "sig").groupBy("g").applyInPandas(lambda rows: _bucket_edges(rows, least), "a binary, b binary")
     clusters = stored(components(close))
 
-    inside = clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").join(nodes, "node")
-    texts = inside.join(docs, inside["copy_id"].eqNullSafe(docs["doc_id"])).drop("doc_id", "row")
-    texts = _dealt(texts, ["root"], "n", CLUSTER_BLOCK).withColumn("g", F.pmod(F.xxhash64("root", "i", "j"), F.lit(groups)))
+    inside = stored(clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").join(nodes, "node"))
+    # a shingle begins at each word, so its hash and its word together take some 16 bytes
+    sent = inside.agg(F.sum(F.col("n_shingles") * 16 * F.ceil(F.col("n") / CLUSTER_BLOCK))).first()[0]
+    # one text for each node: repeated rows share a row key
+    texts = inside.join(docs.join(inside.select("row"), "row", "left_semi").dropDuplicates(["row"]).select("row", "text"), "row")
+    texts = _dealt(texts, ["root"], "n", CLUSTER_BLOCK).withColumn("g", F.pmod(F.xxhash64("root", "i", "j"), F.lit(groups(sent))))
     found = stored(texts.select("g", "root", "i", "j", "part", "node", "copies", "sig", "text").groupBy("g").applyInPandas(lambda rows: _cluster_links(rows, threshold, least), "node binary, other binary, links long"))
 
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
