@@ -27,10 +27,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS), "")
 
 
+def _is_small(df: DataFrame, *sized: str | Column) -> bool:
+    return (df.agg(F.sum(sum((F.length(c) for c in sized), F.lit(64)))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def _small(df: DataFrame, *sized: str | Column) -> DataFrame:
     """`df` marked for broadcast if its measured size allows."""
-    size = df.agg(F.sum(sum((F.length(c) for c in sized), F.lit(64)))).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if _is_small(df, *sized) else df
 
 
 def windows(items: DataFrame, phrase: int = PHRASE) -> DataFrame:
@@ -47,7 +50,7 @@ class Index:
         text = F.coalesce("text", F.lit(""))
         self.near = near
         # doc_id may be null or repeated; a digest of the text makes rows that differ differ
-        self.docs = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), words(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long")))
+        self.docs = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("number")).withColumn("n_words", F.size("words").cast("long")))
         self.runs = stored(runs)
         placed = self.runs.select("run", "run_items", F.posexplode("run").alias("at", "term"))
         terms = _small(placed.select("term").distinct(), "term")
@@ -55,11 +58,17 @@ class Index:
         #: Each run by its rarest term; a run with a term that never occurs cannot occur.
         ranked = placed.join(found, "term", "left").groupBy("run").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "at")).alias("rare"), F.first("run_items").alias("run_items"))
         self.lists = stored(ranked.where("rare.n > 0").select(F.col("rare.term").alias("term"), F.col("rare.at").alias("at"), "run", "run_items"))
-        rare = _small(self.lists.select("term").distinct(), "term")
+        rare = self.lists.select("term").distinct()
         longest = (self.runs.agg(F.max(F.size("run"))).first()[0] or 1) + near
         self.reach = longest - 1
+        placed = self.docs
+        if _is_small(rare, "term"):
+            placed = placed.select("doc_id", "digest", "words", F.posexplode("words").alias("pos", "term")).join(F.broadcast(rare), "term")
+        else:  # only numbers and terms are dealt out by term; a document's words meet its places again by its number
+            places = placed.select("number", F.posexplode("words").alias("pos", "term")).join(rare, "term").groupBy("number").agg(F.collect_list(F.struct("pos", "term")).alias("places"))
+            placed = placed.join(places, "number").select("doc_id", "digest", "words", F.explode("places").alias("p")).select("doc_id", "digest", "words", "p.pos", "p.term")
         around = F.expr(f"slice(words, greatest(pos - {self.reach}, 0) + 1, least(pos, {self.reach}) + {longest})")
-        self.postings = stored(self.docs.select("doc_id", "digest", "words", F.posexplode("words").alias("pos", "term")).join(rare, "term").select("term", "doc_id", "digest", "pos", around.alias("around")))
+        self.postings = stored(placed.select("term", "doc_id", "digest", "pos", around.alias("around")))
 
     def _met(self) -> DataFrame:
         lists = _small(self.lists, "term", F.concat_ws(" ", "run"), F.concat_ws(" ", "run_items"))
