@@ -25,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.shared import stored
-from fathomline.llm.text import mix, window_hashes
+from fathomline.llm.text import mix, release, window_hashes
 
 #: Perfect difference sets: every remainder is the difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
@@ -183,22 +183,34 @@ def earlier_copies(docs: DataFrame) -> DataFrame:
     return held.join(first, "bits").where("block > first").select((F.col("block") + 0).alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "bits")
 
 
+def whole_ids() -> list[Column]:
+    """known (0 where doc_id is null) and doc_id without nulls: pandas keeps such a column in whole numbers."""
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.isNotNull().cast("int").alias("known"), F.coalesce(doc_id, F.lit(0)).alias("doc_id")]
+
+
+def with_nulls(rows: DataFrame) -> DataFrame:
+    """Undoes whole_ids."""
+    return rows.withColumn("doc_id", F.when(F.col("known") == 1, F.col("doc_id"))).drop("known")
+
+
 def _ordered(docs: pd.DataFrame) -> pd.DataFrame:
-    """A block's documents by id, then text; the same in every round, whatever order the shuffle gave."""
-    return docs.sort_values(["doc_id", "text"], kind="stable", na_position="first", ignore_index=True) if len(docs) else docs
+    """A block's documents by id (null first), then text; the same in every round, whatever order the shuffle gave."""
+    return docs.sort_values(["known", "doc_id", "text"], kind="stable", ignore_index=True) if len(docs) else docs
 
 
 def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str) -> DataFrame:
-    """Runs both rounds over `docs` (block, doc_id, text as binary; for skip_copies also digest).
+    """Runs both rounds over `docs` (block, known, doc_id, text as binary; for skip_copies also digest).
 
     `finish(docs, block, starts, flags, copies)` gets a block's documents, the
     candidate windows' starts, which of them repeat (all but the first
     occurrence if `first_stays`) and the places of skipped copies, and returns
-    rows of `schema`.
+    rows of `schema`, known and doc_id among them.
     """
     dealt = docs.groupBy("block")
 
     def opened(d: pd.DataFrame) -> pd.DataFrame:
+        release()  # what the group before has left
         return _ordered(d.assign(text=[b"" if x is None else plan.unpack(bytes(x)) for x in d["text"]]))
 
     def open_block(d: pd.DataFrame, told: pd.DataFrame) -> tuple[Block, np.ndarray]:

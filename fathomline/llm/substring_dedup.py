@@ -36,22 +36,22 @@ def remove_repeats(docs: DataFrame, window: int = 35, period: int = 21, block_mb
     plan = repeats.Plan(window, period, blocks, size, False, False, _read)
     others = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(None).cast("string").alias("none"))
-    dealt = docs.select(rest.alias("rest"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    dealt = docs.select(rest.alias("rest"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), *repeats.whole_ids(), F.col("text").cast("binary").alias("text"))
 
     def finish(d: pd.DataFrame, block, starts: np.ndarray, flags: np.ndarray, _) -> pd.DataFrame:
         if block is None:
-            return pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept": [], "rest": []})
+            return pd.DataFrame({"known": [], "doc_id": [], "n_words": [], "n_removed": [], "kept": [], "rest": []})
         data, first, last = block.extra
         gone = repeats.covered(len(first), starts[flags], window)
         whole, rows, words = data.tobytes(), [], block.offsets
-        for k, (doc_id, other) in enumerate(zip(d["doc_id"], d["rest"], strict=True)):
+        for k, (known, doc_id, other) in enumerate(zip(d["known"], d["doc_id"], d["rest"], strict=True)):
             lo, hi = words[k], words[k + 1]
             stay = lo + np.flatnonzero(~gone[lo:hi])
             kept = b" ".join([whole[a:b] for a, b in zip(first[stay].tolist(), last[stay].tolist(), strict=True)])
-            rows.append((None if pd.isna(doc_id) else int(doc_id), hi - lo, hi - lo - len(stay), kept.decode("utf-8", "replace"), other))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept", "rest"]).astype({"doc_id": "Int64"})
+            rows.append((known, doc_id, hi - lo, hi - lo - len(stay), kept.decode("utf-8", "replace"), other))
+        return pd.DataFrame(rows, columns=["known", "doc_id", "n_words", "n_removed", "kept", "rest"])
 
-    return repeats.find(dealt, plan, finish, f"doc_id long, n_words long, n_removed long, kept string, rest {dealt.schema['rest'].dataType.simpleString()}")
+    return repeats.with_nulls(repeats.find(dealt, plan, finish, f"known int, doc_id long, n_words long, n_removed long, kept string, rest {dealt.schema['rest'].dataType.simpleString()}"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

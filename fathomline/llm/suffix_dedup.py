@@ -34,20 +34,21 @@ def _read(texts: list[bytes]):
 
 
 def ordered_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, doc_id, text, digest): blocks follow the order of doc_id (null first), texts are compressed for the shuffle."""
+    """(block, known, doc_id, text, digest): blocks follow the order of doc_id (null first), texts are compressed for the shuffle."""
     shares = [k / blocks for k in range(1, blocks)]
     edges = np.array(sorted(set(docs.approxQuantile("doc_id", shares, 0.25 / blocks)))) if shares else np.empty(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
         for batch in slices(batches, "text"):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.float64)
-            block = np.searchsorted(edges, np.where(np.isnan(ids), -np.inf, ids), side="right")
+            # rounding to doubles keeps the order, and ids that round to one double share a block
+            ids = np.where(batch.column("known").to_numpy() == 1, batch.column("doc_id").to_numpy().astype(np.float64), -np.inf)
+            block = np.searchsorted(edges, ids, side="right")
             texts = [x or b"" for x in batch.column("text").to_pylist()]
             digests = [hashlib.md5(x, usedforsecurity=False).digest() for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), batch.column("doc_id"), pa.array([squeeze(x) for x in texts], pa.binary()), pa.array(digests, pa.binary())], names=["block", "doc_id", "text", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), batch.column("known"), batch.column("doc_id"), pa.array([squeeze(x) for x in texts], pa.binary()), pa.array(digests, pa.binary())], names=["block", "known", "doc_id", "text", "digest"])
 
-    return docs.mapInArrow(run, "block long, doc_id long, text binary, digest binary")
+    return docs.mapInArrow(run, "block long, known int, doc_id long, text binary, digest binary")
 
 
 def _open(data: bytes) -> bytes:
@@ -65,20 +66,20 @@ def remove_later(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, bl
     _, size = repeats.volume(docs)
     blocks = max(1, int(size / (block_mb * (1 << 20))))
     plan = repeats.Plan(length, period, blocks, size, True, True, _read, _open)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    docs = docs.select(*repeats.whole_ids(), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def finish(d: pd.DataFrame, block, starts: np.ndarray, flags: np.ndarray, copies: np.ndarray) -> pd.DataFrame:
         if block is None:
-            return pd.DataFrame({"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []})
+            return pd.DataFrame({"known": [], "doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []})
         gone = repeats.covered(len(block.extra), starts[flags], length)
         copies, rows = set(copies.tolist()), []
-        for k, (doc_id, lo, hi) in enumerate(zip(d["doc_id"], block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)):
+        for k, (known, doc_id, lo, hi) in enumerate(zip(d["known"], d["doc_id"], block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)):
             out = np.full(hi - lo, hi - lo >= length) if k in copies else gone[lo:hi]
             spans = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())
-            rows.append((None if pd.isna(doc_id) else int(doc_id), hi - lo, int(out.sum()), spans, block.extra[lo:hi][~out].tobytes()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
+            rows.append((known, doc_id, hi - lo, int(out.sum()), spans, block.extra[lo:hi][~out].tobytes()))
+        return pd.DataFrame(rows, columns=["known", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return repeats.find(ordered_blocks(docs, blocks), plan, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return repeats.with_nulls(repeats.find(ordered_blocks(docs, blocks), plan, finish, "known int, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ values; any window's hash comes from prefix sums in constant time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -103,6 +104,14 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system; workers that are used again would hold it beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     return data, np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
@@ -147,3 +156,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
         edges = np.flatnonzero(np.diff(group)) + 1
         for lo, hi in zip([0, *edges], [*edges, batch.num_rows], strict=True):
             yield batch.slice(lo, hi - lo)
+    release()

@@ -110,6 +110,52 @@ def test_crf_learns_held_out_labels():
     assert hits.mean() > max(0.8, alone.mean())
 
 
+def test_boilerplate_lines_inside_good_documents(spark):
+    rng = random.Random(8)
+
+    def good(n):
+        return [prose(rng, 25).capitalize() + "." for _ in range(n)]
+
+    def junk(n):
+        return [" ".join(rng.choice(["|", "$$$", "BUY", "NOW!!!", "###", "9.99"]) for _ in range(6)) for _ in range(n)]
+
+    def mixed(parts):
+        rng.shuffle(parts)
+        return "\n".join(parts)
+
+    made = [(k, mixed(good(8) + junk(k % 4)), 1) for k in range(60)] + [(60 + k, mixed(junk(12) + good(k % 3)), 0) for k in range(60)]
+    new = [(200, mixed(good(6) + junk(3)), None), (201, mixed(junk(9) + good(1)), None), (202, mixed(good(9)), None)]
+    rows = spark.createDataFrame([(k, t) for k, t, _ in made + new], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q, 0) for k, _, q in made], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality_rules.judge(rows, labels).collect()}
+    assert sum(0 < r["content_share"] < 1 for r in out.values()) > 60
+    for k, text, _ in new:
+        words = [(WORD.findall(line), line[0].isupper() and line.endswith(".")) for line in text.split("\n")]
+        share = sum(len(w) for w, is_good in words if is_good) / sum(len(w) for w, _ in words)
+        assert out[k]["content_share"] == pytest.approx(share, abs=0.1) and out[k]["kept"] == (k != 201)
+
+
+def test_quality_on_odd_rows(spark, odd):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality_rules.accepted(odd, labels)
+    assert kept.schema == odd.schema and {tuple(r) for r in kept.collect()} == {tuple(r) for r in odd.where("text is not null").collect()} and kept.count() == 5
+    assert "n_words" in quality_rules.judge(odd, labels).columns and quality_rules.verdicts(odd, labels).select("document.n_words").count() == 6
+
+
+BIG = 9007199254740993  # no double
+
+
+@pytest.mark.parametrize("find", [substring_dedup.remove_repeats, suffix_dedup.remove_later])
+def test_large_ids_beside_null_ids(spark, find):
+    rows = spark.createDataFrame([(BIG, "a b c"), (None, "d e"), (BIG - 1, "f")], "doc_id long, text string")
+    assert {r["doc_id"] for r in find(rows).collect()} == {BIG, BIG - 1, None}
+
+
+def test_large_page_ids_beside_null_ids(spark):
+    rows = spark.createDataFrame([(BIG, "http://a/", "<p>x"), (None, None, "<article>y</article>"), (None, "http://a/", "<p>z"), (BIG - 1, "u", "<article>w</article>")], "page_id long, url string, html string").coalesce(1)
+    assert {(r["page_id"], r["text"]) for r in html_extract.extract(rows).collect()} == {(BIG, "x"), (None, "y"), (None, "z"), (BIG - 1, "w")}
+
+
 def test_crf_keeps_clean_documents(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     out = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id")
@@ -325,6 +371,10 @@ def test_blocks():
     <ul><li>i1<li>i2</ul><form>f</form><section class="comments">c</section>tail</article><footer>f</footer></body></html>"""
     assert html_extract.blocks(page) == (["A & B", "one two three bold", "next", "i1", "i2", "tail"], True)
     assert html_extract.blocks("") == ([], False) and html_extract.blocks("a < b &lt; <p>c") == (["a < b <", "c"], False)
+    assert html_extract.blocks('<article><p>one<p class="ad">buy<p>real text<p>more</article>') == (["one", "real text", "more"], True)
+    assert html_extract.blocks('<div><ul><li>a<li class="share">b</ul>c</div><p>d') == (["a", "c", "d"], False)
+    assert html_extract.blocks("<main><p>x <span class=ad>y</span> z</p><div>t <b class=ad>u</main>v") == (["x z", "t"], True)
+    assert html_extract.blocks("<article><table><tr><td class=ad>x<td>y<tr><td>z</table><div class=related-work>w</div></span></article>") == (["y", "z", "w"], True)
     assert html_extract.blocks("<p>x<div id=cookie-notice>y") == (["x"], False) and html_extract.blocks("<script>x") == ([], False)
 
 
