@@ -1,4 +1,4 @@
-"""Attack chains among findings: JON-15, AGG-14 without labels, AGG-16..18, JON-11 without its order, JON-10 without connected files, JON-13 by words alone."""
+"""Attack chains among findings: JON-12, JON-15, AGG-14 without labels, AGG-15..18, JON-11 without its order, JON-10 without connected files, JON-13 by words alone."""
 
 from __future__ import annotations
 
@@ -172,3 +172,44 @@ def chain_facts(members: DataFrame) -> DataFrame:
     weight = F.coalesce(*[F.when(F.col("severity") == s, F.lit(w)) for s, w in weights.items()], F.lit(1.0))
     n = F.count(F.lit(1))
     return members.groupBy("scope", "chain").agg(n.alias("size"), (F.max(weight) * (1 + 0.2 * (n - 1))).alias("value"), (F.max(severity_rank(F.col("severity"))) + 1).alias("priority"))
+
+
+def connected_files(files: DataFrame) -> DataFrame:
+    """JON-12 by references: pairs (path, other) of which the text of `path` holds the name of `other` without folder and suffix.
+
+    Files of one folder are connected too; that is an equal folder, so no pairs
+    are made for it.  Names that do not occur cost nothing: words of a text are
+    cut into pieces of the lengths that names have, and pieces meet names by a join.
+    files: path, content.  A name with other characters than letters, digits and
+    `_` is looked up as whole runs of such characters only.
+    """
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=.)\.[^.]*$", "")
+    named = files.select(F.col("path").alias("other"), stem.alias("name")).where("name <> ''")
+    lengths = named.select(F.length("name").alias("n")).distinct()
+    words = files.select("path", F.explode(F.array_distinct(F.split("content", r"[^\p{L}\p{N}_.-]+"))).alias("word")).where("word <> ''").withColumn("size", F.length("word"))
+    # at most a few hundred lengths, as paths have a bounded length
+    pieces = words.join(F.broadcast(lengths), F.col("n") <= F.col("size")).withColumn("at", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1)))
+    pieces = pieces.select("path", F.substr("word", F.col("at"), F.col("n")).alias("name")).distinct()
+    return pieces.join(named, "name").where("path <> other").select("path", "other")
+
+
+def likelihood(members: DataFrame, related: DataFrame) -> DataFrame:
+    """AGG-15: per chain the likelihood of an attack, in [0, 1] with four places.
+
+    members: scope, chain, severity, type, description, impact, cvss_score,
+    references; related: scope, chain, pairs (how many pairs of members relate).
+    """
+    low = F.lower(F.coalesce("description", F.lit("")))
+    factor = reduce(
+        lambda a, b: a * b,
+        [F.when(F.array_contains(F.coalesce("references", F.array().cast("array<string>")), w) if w == "CVE" else F.contains(low, F.lit(w)), F.lit(x)).otherwise(F.lit(1.0)) for w, x in fixed.LIKELIHOOD_FACTORS.items()],
+    )
+    weight = F.coalesce(*[F.when(F.col("severity") == s, F.lit(w)) for s, w in fixed.LIKELIHOOD_WEIGHTS.items()])
+    told = members.withColumn("w", weight).withColumn("f", factor).withColumn("p", prerequisites(F.col("type"), F.col("description"), F.col("impact"), F.col("cvss_score")))
+    n = F.count(F.lit(1))
+    facts = told.groupBy("scope", "chain").agg(n.alias("size"), F.avg("w").alias("base"), F.exp(F.sum(F.ln("f"))).alias("factor"))
+    needs = told.select("scope", "chain", F.explode("p").alias("need")).groupBy("scope", "chain").agg(F.count_distinct("need").alias("needs"))
+    all_ = facts.join(needs, ["scope", "chain"], "left").join(related, ["scope", "chain"], "left").fillna(0, ["needs", "pairs"])
+    shape = F.lit(1.0) - (F.col("size") - 1) * 0.1 + F.col("pairs") * 0.05
+    value = F.col("base") * F.greatest(F.lit(0.1), shape) * F.greatest(F.lit(0.1), F.lit(1.0) - F.col("needs") * 0.1) * F.col("factor")
+    return all_.select("scope", "chain", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), 4).alias("likelihood"))

@@ -88,26 +88,41 @@ def wrappers(rows: DataFrame, hits: DataFrame, rounds: int = 5) -> DataFrame:
 
 
 def _definitions_reaching(rows: DataFrame) -> DataFrame:
-    """For each read of a name, the last statement before it in its scope that binds it (or the parameter)."""
-    s = rows.where("kind = 'statement'").select("path", "scope", "line", F.col("args").alias("binds"), F.col("names").alias("reads"))
-    params = rows.where("kind = 'function'").select("path", F.col("name").alias("scope"), "line", F.explode("args").alias("name"))
-    binds = s.select("path", "scope", "line", F.explode("binds").alias("name")).unionByName(params)
-    reads = s.select("path", "scope", "line", F.explode("reads").alias("name"))
-    both = reads.join(binds.withColumnRenamed("line", "bound"), ["path", "scope", "name"])
-    # what a loop binds further down may also reach an earlier read, so those stay as candidates of their own
-    loops = rows.where("kind = 'statement' and name in ('For', 'While', 'AsyncFor')").select("path", "scope").distinct().withColumn("loops", F.lit(True))
-    both = both.join(loops, ["path", "scope"], "left")
-    before = both.where("bound < line").groupBy("path", "scope", "line", "name").agg(F.max("bound").alias("bound"))
-    around = both.where("loops and bound >= line").select("path", "scope", "line", "name", "bound")
-    return before.unionByName(around)
+    """DF-05: for each read of a name, the statements of its scope whose binding may still hold there.
+
+    A binding on another arm of a branch around the read does not reach it.  The
+    last binding that surely runs before the read (its branch holds the read, or
+    each arm of an if with an else binds the name) hides those before it; bindings
+    on branches after it all reach.  In a scope with loops those further down reach too.
+    """
+    s = rows.where("kind = 'statement'").select("path", "scope", "line", F.coalesce("target", F.lit("")).alias("branch"), F.col("args").alias("binds"), F.col("names").alias("reads"))
+    params = rows.where("kind = 'function'").select("path", F.col("name").alias("scope"), "line", F.lit("").alias("branch"), F.explode("args").alias("name"))
+    binds = s.select("path", "scope", "line", "branch", F.explode("binds").alias("name")).unionByName(params)
+    # an if of which each arm binds the name binds it as a whole, at its own line
+    arm = F.regexp_extract("branch", r"^((?:[^/]*/)*?)(\d+):(\d+):2/$", 2)
+    whole = binds.where(arm != "").select("path", "scope", "name", arm.try_cast("int").alias("line"), F.regexp_extract("branch", r"^(.*?)\d+:\d+:2/$", 1).alias("branch"), F.regexp_extract("branch", r"(\d+):2/$", 1).alias("arm"))
+    whole = whole.groupBy("path", "scope", "name", "line", "branch").agg(F.count_distinct("arm").alias("arms")).where("arms = 2").select("path", "scope", "line", "branch", "name", F.lit(True).alias("whole"))
+    made = binds.withColumn("whole", F.lit(False)).unionByName(whole).select("path", "scope", "name", F.col("line").alias("bound"), F.col("branch").alias("b_branch"), "whole")
+    reads = s.select("path", "scope", "line", "branch", F.explode("reads").alias("name"))
+    both = reads.join(made, ["path", "scope", "name"])
+    # another arm: the branches part at one compound statement, in different arms of it
+    steps, others = F.split("branch", "/"), F.split("b_branch", "/")
+    parted = F.exists(F.arrays_zip(steps.alias("r"), others.alias("b")), lambda z: (z["r"] != z["b"]) & (F.substring_index(z["r"], ":", 1) == F.substring_index(z["b"], ":", 1)) & (z["r"] != "") & (z["b"] != ""))
+    before = both.where((F.col("bound") < F.col("line")) & ~parted)
+    sure = F.startswith("branch", F.col("b_branch"))
+    keys = ["path", "scope", "line", "name"]
+    last = before.where(sure).groupBy(*keys).agg(F.max("bound").alias("last"))
+    reach = before.where("not whole").join(last, keys, "left").where("last is null or bound >= last").select(*keys, "bound")
+    # what a loop binds further down may also reach an earlier read
+    loops = rows.where("kind = 'statement' and name in ('For', 'While', 'AsyncFor')").select("path", "scope").distinct()
+    around = both.where("bound >= line and not whole").join(loops, ["path", "scope"], "left_semi").select(*keys, "bound")
+    return reach.unionByName(around)
 
 
 def backward_slices(rows: DataFrame, sinks: DataFrame, rounds: int = 10) -> DataFrame:
     """DF-06, DF-07: (path, sink_line, line): lines whose values or conditions reach a sink's line, within its scope.
 
-    Each round follows every read one definition back, for all sinks at once;
-    a reading takes the nearest definition above it and, in a scope with loops,
-    those further down as well.
+    Each round follows every read one definition back, for all sinks at once.
     """
     edges = stored(_definitions_reaching(rows).select("path", "scope", "line", "bound").distinct())
     new = found = stored(sinks.select("path", "scope", F.col("line").alias("sink_line"), "line").distinct())

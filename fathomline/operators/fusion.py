@@ -29,7 +29,7 @@ def islands(findings: DataFrame, window: int = fixed.FUSION_LINES) -> DataFrame:
     return keyed.withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "__end")
 
 
-def _agree(a, b, window: int) -> int | None:
+def agree(a, b, window: int) -> int | None:
     """The line distance of two findings of one file whose types agree, else None."""
     if a.type != b.type and not any(a.type in g and b.type in g for g in _ALIASES):
         digits = ["".join(c for c in str(x.cwe_id or "") if c.isdigit()) for x in (a, b)]
@@ -42,7 +42,7 @@ def _agree(a, b, window: int) -> int | None:
 def _keep(rows: list, window: int) -> list:
     kept: list = []
     for row in sorted(rows, key=lambda r: (_RANK.get(r.severity, 9), -len(r.description or ""), r.seq)):
-        if all(_agree(k, row, window) is None for k in kept):
+        if all(agree(k, row, window) is None for k in kept):
             kept.append(row)
     return kept
 
@@ -79,7 +79,7 @@ def fuse(rules: DataFrame, model: DataFrame, window: int = fixed.FUSION_LINES, d
         claimed: dict[int, object] = {}
         rows = []
         for rule in tiers["SEMGREP"]:
-            near = [(d, k) for k, m in enumerate(tiers["LLM"]) if k not in claimed and (d := _agree(rule, m, window)) is not None]
+            near = [(d, k) for k, m in enumerate(tiers["LLM"]) if k not in claimed and (d := agree(rule, m, window)) is not None]
             if near:
                 claimed[min(near)[1]] = rule
             elif drop_unconfirmed:

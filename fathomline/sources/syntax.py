@@ -1,5 +1,8 @@
 """Python files as rows: scopes, imports, calls, and what each statement binds and reads (DF-01..03, DF-11..16).
 
+A statement's `target` is its branch: for each compound statement around it in
+its scope `line:arm:arms/`, where arms is how many there are if one surely runs, else 0.
+
 A small helper walks one file's syntax tree and emits rows; everything that
 relates rows to each other is done by joins (fathomline.operators.code).
 """
@@ -53,14 +56,14 @@ def rows_of(path: str, source: str) -> list[tuple]:
         return [(path, "error", "", type(broken).__name__, getattr(broken, "lineno", None) or 1, None, None, None, None, None)]
     out: list[tuple] = []
 
-    def visit(body: list[ast.stmt], scope: str, guards: list[str]) -> None:
+    def visit(body: list[ast.stmt], scope: str, guards: list[str], branch: str) -> None:
         for s in body:
             line, end = s.lineno, s.end_lineno
             if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 name = f"{scope}.{s.name}" if scope else s.name
                 params = [] if isinstance(s, ast.ClassDef) else [a.arg for a in [*s.args.posonlyargs, *s.args.args, *s.args.kwonlyargs, *filter(None, (s.args.vararg, s.args.kwarg))]]
                 out.append((path, "class" if isinstance(s, ast.ClassDef) else "function", scope, name, line, end, s.name, params, [_dotted(d.func if isinstance(d, ast.Call) else d) for d in s.decorator_list], None))
-                visit(s.body, name, [])
+                visit(s.body, name, [], "")
                 continue
             if isinstance(s, (ast.Import, ast.ImportFrom)):
                 for a in s.names:
@@ -74,19 +77,22 @@ def rows_of(path: str, source: str) -> list[tuple]:
             binds |= {_dotted(n).split(".")[0] for n in nodes if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Store)} | {_dotted(n.value).split(".")[0] for n in nodes if isinstance(n, ast.Subscript) and isinstance(n.ctx, ast.Store)}
             binds -= {"", "?"}
             head = end if not hasattr(s, "body") else line
-            out.append((path, "statement", scope, type(s).__name__, line, head, None, sorted(binds), sorted({*reads, *guards}), None))
+            out.append((path, "statement", scope, type(s).__name__, line, head, branch, sorted(binds), sorted({*reads, *guards}), None))
             for n in nodes:
                 if isinstance(n, ast.Call):
                     args = [_shape(a) for a in n.args] + [f"{k.arg or '**'}={_shape(k.value)}" for k in n.keywords]
                     used = sorted({m.id for a in [*n.args, *(k.value for k in n.keywords)] for m in ast.walk(a) if isinstance(m, ast.Name)})
                     out.append((path, "call", scope, _dotted(n.func) or "?", n.lineno, n.end_lineno, None, args, used, len(n.args)))
             inner = [*guards, *reads] if isinstance(s, (ast.If, ast.While)) else guards
-            for field in ("body", "orelse", "finalbody"):
-                visit(getattr(s, field, []), scope, inner)
-            for part in [*getattr(s, "handlers", []), *getattr(s, "cases", [])]:
-                visit(part.body, scope, inner)
-
-    visit(tree.body, "", [])
+            arms = [getattr(s, "body", []), getattr(s, "orelse", []), *[p.body for p in [*getattr(s, "handlers", []), *getattr(s, "cases", [])]]]
+            # only the arms of an if with an else are sure to hold one that runs; 0 stands for no such number
+            of = 2 if isinstance(s, ast.If) and s.orelse else 0
+            for k, arm in enumerate(arms):
+                sure = isinstance(s, (ast.With, ast.AsyncWith))
+                visit(arm, scope, inner, branch if sure else f"{branch}{line}:{k}:{of}/")
+            visit(getattr(s, "finalbody", []), scope, inner, branch)
+
+    visit(tree.body, "", [], "")
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.fixed import DEFAULT_EXCLUDES
 from fathomline.functions.scalars import component_excluded, lines_of, risk_reasons, risk_score
+from fathomline.sources.shared import stored
 
 MAX_BYTES = 512_000
 
@@ -31,7 +32,12 @@ def discover(spark: SparkSession, root: str, suffix: str = ".py", extra_excludes
 def ignore_patterns(spark: SparkSession, path: str) -> list[str]:
     """SRC-02: the lines of an ignore file without comments, negations and trailing slashes."""
     rows = spark.read.text(path).select(F.rtrim(F.trim("value"), F.lit("/")).alias("p")).where("p <> '' and p not like '#%' and p not like '!%'")
-    return [r["p"] for r in rows.limit(10_000).collect()]
+    return [r["p"] for r in rows.distinct().collect()]  # the lines of one file that people write
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """`rows` written once in the shared folder, for plans that read them several times."""
+    return stored(rows)
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:

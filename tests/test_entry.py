@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from fathomline.plans.queries import QUERIES, SQL
+from fathomline.plans import queries, scans
 
+QUERIES, SQL = {**queries.QUERIES, **scans.QUERIES}, {**queries.SQL, **scans.SQL}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
