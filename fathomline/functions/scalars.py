@@ -17,16 +17,49 @@ def _literal(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+#: Words of which each match of a signal's pattern holds one, in lower case; a plain search spares most expressions.
+SIGNAL_WORDS = {
+    "process execution": ("subprocess", "os.system", "os.popen"),
+    "dynamic evaluation": ("eval", "exec", "compile"),
+    "deserialization": ("pickle", "marshal", "yaml.load", "shelve"),
+    "database access": (".execute", "raw", "cursor", "select", "insert"),
+    "http route": ("@",),
+    "user input": ("request.",),
+    "secrets": ("password", "secret", "token", "api_key", "credential"),
+    "authn/authz": ("auth", "login", "permission", "is_admin", "session"),
+    "file access": ("open", "path", "send_file", "sendfile"),
+    "outbound http": ("requests.", "urllib", "httpx", "aiohttp"),
+    "crypto/random": ("hashlib", "crypt", "cipher", "random."),
+    "template injection": ("render_template_string", ".innerhtml", "mark_safe", "safe"),
+    "security config": ("permission", "cors", "allow_origins"),
+    "html component output": ("html", "render_output", "<div"),
+    "custom deserialization": (".loads", ".unserialize", ".unpickle", ".decode_payload", "serial", "pcrypt"),
+    "ldap/xpath query": ("ldap", "search_s", "xpath"),
+    "cookie security": ("set_cookie", "set-cookie", "secure"),
+}
+
+
+def _signals(content: Column, signals) -> list[tuple[Column, int, str]]:
+    text = F.coalesce(content, F.lit(""))
+    # the long s and the Kelvin sign fold to s and k, but lower() leaves the one as it is
+    low = F.translate(F.lower(text), "\u017f\u212a", "sk")
+    out = []
+    for pattern, weight, name in signals:
+        test = F.rlike(text, F.lit(_FOLD + pattern))
+        if name in SIGNAL_WORDS:
+            test = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in SIGNAL_WORDS[name]]) & test
+        out.append((test, weight, name))
+    return out
+
+
 def risk_score(content: Column, signals=fixed.RISK_SIGNALS) -> Column:
     """PRJ-01: the summed weights of the signals that occur."""
-    text = F.coalesce(content, F.lit(""))
-    return reduce(lambda a, b: a + b, [F.when(F.rlike(text, F.lit(_FOLD + p)), F.lit(w)).otherwise(F.lit(0)) for p, w, _ in signals])
+    return reduce(lambda a, b: a + b, [F.when(test, F.lit(w)).otherwise(F.lit(0)) for test, w, _ in _signals(content, signals)])
 
 
 def risk_reasons(content: Column, signals=fixed.RISK_SIGNALS) -> Column:
     """PRJ-01: the names of the signals that occur, in their order."""
-    text = F.coalesce(content, F.lit(""))
-    return F.array_compact(F.array(*[F.when(F.rlike(text, F.lit(_FOLD + p)), F.lit(name)) for p, _, name in signals]))
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, _, name in _signals(content, signals)]))
 
 
 def severity_rank(severity: Column) -> Column:

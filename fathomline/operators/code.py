@@ -107,7 +107,12 @@ def _definitions_reaching(rows: DataFrame) -> DataFrame:
     both = reads.join(made, ["path", "scope", "name"])
     # another arm: the branches part at one compound statement, in different arms of it
     steps, others = F.split("branch", "/"), F.split("b_branch", "/")
-    parted = F.exists(F.arrays_zip(steps.alias("r"), others.alias("b")), lambda z: (z["r"] != z["b"]) & (F.substring_index(z["r"], ":", 1) == F.substring_index(z["b"], ":", 1)) & (z["r"] != "") & (z["b"] != ""))
+
+    def met(z: Column) -> Column:
+        r, b = F.coalesce(z["r"], F.lit("")), F.coalesce(z["b"], F.lit(""))
+        return (r != "") & (b != "") & (r != b) & (F.substring_index(r, ":", 1) == F.substring_index(b, ":", 1))
+
+    parted = F.exists(F.arrays_zip(steps.alias("r"), others.alias("b")), met)
     before = both.where((F.col("bound") < F.col("line")) & ~parted)
     sure = F.startswith("branch", F.col("b_branch"))
     keys = ["path", "scope", "line", "name"]

@@ -52,8 +52,8 @@ def detect(lines: DataFrame, detectors=RULES + MODEL) -> DataFrame:
     )
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(numbered_lines(files(spark, sf_dir)))
+def findings(spark: SparkSession, sf_dir: str, detectors=RULES + MODEL) -> DataFrame:
+    return detect(numbered_lines(files(spark, sf_dir)), detectors)
 
 
 _FILES = "files AS (SELECT doc_id, 'src/' || coalesce(source, 'none') || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, coalesce(text, '') AS content, lang, source FROM documents)"
@@ -88,7 +88,7 @@ _RISK = " + ".join(f"CASE WHEN regexp_matches(content, '{_re2(p)}') THEN {w} ELS
 def risk_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: files scored by risk, routed, and summed by language and source."""
     scored = files(spark, sf_dir).withColumn("risk", risk_score(F.col("content")))
-    hits = findings(spark, sf_dir).where("source = 'SEMGREP'").select("file_path")
+    hits = findings(spark, sf_dir, RULES).select("file_path")
     routed = policy.route(scored.select("path", "lang", "source", "risk"), hits)
     return routed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("files"), F.sum("risk").cast("long").alias("risk"), F.max("risk").alias("most"))
 
@@ -112,12 +112,11 @@ def top_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tier_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.deduplicate(findings(spark, sf_dir).where("source = 'SEMGREP'").drop("source")).select("seq", "file_path", "type", "severity", "start_line")
+    return fusion.deduplicate(findings(spark, sf_dir, RULES).drop("source")).select("seq", "file_path", "type", "severity", "start_line")
 
 
 def two_tier_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = findings(spark, sf_dir)
-    out = fusion.fuse(f.where("source = 'SEMGREP'").drop("source"), f.where("source = 'LLM'").drop("source"))
+    out = fusion.fuse(findings(spark, sf_dir, RULES).drop("source"), findings(spark, sf_dir, MODEL).drop("source"))
     return out.select("seq", "file_path", "type", "severity", "start_line", "source", "confidence", "corroborated", "merged_seq")
 
 
@@ -159,9 +158,8 @@ def build_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _detections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    f = findings(spark, sf_dir)
-    d = f.where("source = 'SEMGREP'").select(F.col("seq").alias("d"), F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.col("cwe_id").alias("cwe"), "type", "source")
-    y = f.where("source = 'LLM'").select(F.col("seq").alias("l"), F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.col("cwe_id").alias("cwe"), "type", F.col("rule_id").alias("note"))
+    d = findings(spark, sf_dir, RULES).select(F.col("seq").alias("d"), F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.col("cwe_id").alias("cwe"), "type", "source")
+    y = findings(spark, sf_dir, MODEL).select(F.col("seq").alias("l"), F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.col("cwe_id").alias("cwe"), "type", F.col("rule_id").alias("note"))
     clean = table(spark, sf_dir, "labels").where("quality = 1").join(files(spark, sf_dir).select("doc_id", F.col("path").alias("file")), "doc_id").select("file")
     return d, y, clean
 
@@ -375,3 +373,37 @@ SQL = {
     "evidence_states": f"WITH {_FILES} SELECT CASE WHEN doc_id % 7 = 3 THEN 'missing' WHEN doc_id % 5 = 1 THEN 'changed' ELSE 'valid' END AS state, count(*) AS n FROM files WHERE contains(content, 'License') GROUP BY 1",
     "order_ranks": "SELECT c_mktsegment, o_orderstatus, o_orderkey, CAST(row_number() OVER w AS INTEGER) AS place, lag(o_orderkey) OVER w AS before FROM orders JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY c_mktsegment, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) QUALIFY row_number() OVER w <= 3",
 }
+
+# The greedy steps in order, as reductions over each file's sorted findings.
+_KEEP_ORDER = f"{{'a': {_RANK}, 'b': -length(description), 'seq': seq, 'line': start_line, 'type': type, 'cwe': cwe_id, 'severity': severity}}"
+_ALIKE = " OR ".join(["{a}.type = {b}.type", "{a}.cwe = {b}.cwe", *(f"({{a}}.type IN ({q}) AND {{b}}.type IN ({q}))" for g in fixed.TYPE_ALIASES if (q := ", ".join(f"'{t}'" for t in g)))])
+
+
+def _near(a: str, b: str) -> str:
+    return f"(abs({a}.line - {b}.line) <= {fixed.FUSION_LINES} AND ({_ALIKE.format(a=a, b=b)}))"
+
+
+def _kept(found: str) -> str:
+    """SQL: a sorted list of findings without those near one that was kept before them."""
+    return f"list_reduce(list_transform({found}, lambda x: [x]), lambda kept, one: CASE WHEN len(list_filter(kept, lambda k: {_near('k', 'one[1]')})) > 0 THEN kept ELSE list_concat(kept, one) END)"
+
+
+_TIERS = f"{_FINDINGS}, tiers AS (SELECT file_path, source, list_sort(list({_KEEP_ORDER})) AS found FROM findings GROUP BY file_path, source), kept AS (SELECT file_path, source, {_kept('found')} AS kept FROM tiers)"
+_MET = f"list_sort(list_transform(list_filter(models, lambda m: {_near('one[1].r', 'm')} AND NOT list_contains(list_transform(done, lambda z: coalesce(z.m, -1)), m.seq)), lambda m: {{'d': abs(m.line - one[1].r.line), 'k': list_position(models, m), 'seq': m.seq}}))[1].seq"
+_WORSE = "CASE WHEN coalesce(y.a, 9) < x.a THEN y.severity ELSE x.severity END"
+
+SQL |= {
+    "tier_dedup": f"WITH {_TIERS}, k AS (SELECT file_path, unnest(kept) AS x FROM kept WHERE source = 'SEMGREP') SELECT x.seq AS seq, file_path, x.type AS type, x.severity AS severity, x.line AS start_line FROM k",
+    "two_tier_fusion": f"""WITH {_TIERS},
+sides AS (SELECT file_path, coalesce(any_value(kept) FILTER (source = 'SEMGREP'), []) AS rules, coalesce(any_value(kept) FILTER (source = 'LLM'), []) AS models FROM kept GROUP BY file_path),
+pairs AS (SELECT file_path, models, list_reduce(list_transform(list_concat([NULL], rules), lambda r: CASE WHEN r IS NULL THEN [] ELSE [{{'r': r, 'm': CAST(NULL AS BIGINT)}}] END), lambda done, one: list_concat(done, [{{'r': one[1].r, 'm': {_MET}}}])) AS done FROM sides),
+met AS (SELECT file_path, unnest(done) AS d FROM pairs),
+said AS (SELECT file_path, unnest(models) AS y FROM pairs),
+both_ AS (SELECT met.file_path, d.r AS x, y FROM met LEFT JOIN said ON met.file_path = said.file_path AND d.m = y.seq)
+SELECT x.seq AS seq, file_path, x.type AS type, {_WORSE} AS severity, x.line AS start_line, CASE WHEN y IS NULL THEN 'SEMGREP' ELSE 'CONFIRMED' END AS source, CASE WHEN y IS NULL THEN {fixed.CONFIDENCE["SEMGREP"]}::DOUBLE ELSE {fixed.CONFIDENCE["CONFIRMED"]}::DOUBLE END AS confidence, y IS NOT NULL AS corroborated, y.seq AS merged_seq FROM both_
+UNION ALL SELECT y.seq, file_path, y.type, y.severity, y.line, 'LLM', {fixed.CONFIDENCE["LLM"]}::DOUBLE, false, NULL FROM said WHERE y.seq NOT IN (SELECT d.m FROM met WHERE d.m IS NOT NULL)""",
+}
+_POINTS = {(a, b): 2.0 * (b in fixed.ATTACK_CHAINS.get(a, ()) or a in fixed.ATTACK_CHAINS.get(b, ())) + 1.0 * any(a in g and b in g for g in chains.CONTEXTS) + 1.0 * bool(set(chains.TYPE_PREREQUISITES.get(a, ())) & set(chains.TYPE_PREREQUISITES.get(b, ()))) for _, _, a, _, _ in RULES + MODEL for _, _, b, _, _ in RULES + MODEL}
+_WORDED = {t: {n for n, words in chains.DATA_WORDS.items() if any(w in f"{t} found ".lower() for w in words)} for t, _ in _POINTS}
+_POINT_ROWS = ", ".join(f"('{a}', '{b}', {v + 1.5 * bool(_WORDED[a] & _WORDED[b])})" for (a, b), v in sorted(_POINTS.items()))
+SQL["related_findings"] = f"WITH {_FINDINGS}, points(a, b, p) AS (VALUES {_POINT_ROWS}), n AS (SELECT file_path, type, start_line, count(*) AS n FROM findings GROUP BY ALL), pairs AS (SELECT x.file_path, p + 0.5 + CASE WHEN abs(x.start_line - y.start_line) <= {fixed.CHAIN_LINES} THEN 0.5 ELSE 0 END AS score, CASE WHEN x.type = y.type AND x.start_line = y.start_line THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS k FROM n x JOIN n y ON x.file_path = y.file_path AND (x.type, x.start_line) <= (y.type, y.start_line) JOIN points ON a = x.type AND b = y.type), s AS (SELECT file_path, CAST(score AS DOUBLE) AS score, sum(k) AS pairs FROM pairs WHERE score >= 2 AND k > 0 GROUP BY ALL) SELECT score, CAST(sum(pairs) AS BIGINT) AS pairs, count(*) AS scopes FROM s GROUP BY score"

@@ -14,7 +14,7 @@ from fathomline.functions import fixed
 from fathomline.functions.rules import preferred_owasp, reliable, rule_type, source_label
 from fathomline.functions.scalars import types_agree
 from fathomline.operators import assembly, chains, code, evaluation
-from fathomline.plans.queries import _FILES, _FINDINGS, _LINES, _RANK, files, findings
+from fathomline.plans.queries import _FILES, _FINDINGS, _LINES, _RANK, MODEL, RULES, _kept, files, findings
 from fathomline.sources import cache, tables
 from fathomline.sources.syntax import syntax_rows
 from fathomline.sources.tables import table
@@ -87,7 +87,7 @@ def rule_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reliable_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule findings that stand without a model finding (FLT-02)."""
-    f = findings(spark, sf_dir).where("source = 'SEMGREP'")
+    f = findings(spark, sf_dir, RULES)
     sure = reliable(F.array("rule_id", F.when(F.col("start_line") % 5 == 0, "audit.rule")), F.col("severity"), F.col("cwe_id"), F.col("type"), F.col("context"), F.col("description"))
     return f.groupBy("type").agg(F.count_if(sure).alias("kept"), F.count(F.lit(1)).alias("total"))
 
@@ -155,9 +155,9 @@ def labelled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule findings by language as scans, scored against model findings as labels (AGG-26)."""
-    f = findings(spark, sf_dir).join(files(spark, sf_dir).select(F.col("path").alias("file_path"), F.coalesce("lang", F.lit("none")).alias("lang")), "file_path")
-    found = f.where("source = 'SEMGREP'").select(F.col("lang").alias("id"), F.col("seq").alias("d"), F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.col("cwe_id").alias("cwe"), "type", "source")
-    labels = f.where("source = 'LLM'").select(F.col("seq").alias("l"), F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.col("cwe_id").alias("cwe"), "type", F.col("rule_id").alias("note"))
+    langs = files(spark, sf_dir).select(F.col("path").alias("file_path"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    found = findings(spark, sf_dir, RULES).join(langs, "file_path").select(F.col("lang").alias("id"), F.col("seq").alias("d"), F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.col("cwe_id").alias("cwe"), "type", "source")
+    labels = findings(spark, sf_dir, MODEL).select(F.col("seq").alias("l"), F.col("file_path").alias("file"), F.col("start_line").alias("line"), F.col("cwe_id").alias("cwe"), "type", F.col("rule_id").alias("note"))
     return evaluation.evaluate_scans(found, labels)
 
 
@@ -176,9 +176,8 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agreeing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rule and model findings on one line whose types agree (FLT-15), by type."""
-    f = findings(spark, sf_dir)
-    a = f.where("source = 'SEMGREP'").select("file_path", "start_line", F.col("type").alias("rule_type"), F.col("cwe_id").alias("a"))
-    b = f.where("source = 'LLM'").select("file_path", "start_line", F.col("type").alias("model_type"), F.col("cwe_id").alias("b"))
+    a = findings(spark, sf_dir, RULES).select("file_path", "start_line", F.col("type").alias("rule_type"), F.col("cwe_id").alias("a"))
+    b = findings(spark, sf_dir, MODEL).select("file_path", "start_line", F.col("type").alias("model_type"), F.col("cwe_id").alias("b"))
     both = a.join(b, ["file_path", "start_line"]).where(types_agree(F.col("rule_type"), F.col("model_type"), F.col("a"), F.col("b")))
     return both.groupBy("rule_type", "model_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -209,6 +208,7 @@ SQL = {
     "tier_assembly": f"WITH {_FINDINGS}, n AS (SELECT file_path AS path, count(*) FILTER (source = 'SEMGREP') AS r, count(*) FILTER (source = 'LLM') AS m FROM findings GROUP BY 1), s AS (SELECT path, CASE WHEN length(content) < 50 THEN 'failed' WHEN length(content) % 3 <> 0 THEN 'ok' ELSE 'not_routed' END AS model_state, contains(content, '###') AS broken FROM files), t AS (SELECT *, CASE WHEN NOT broken THEN 'ok' WHEN model_state = 'ok' THEN 'syntax_skipped' ELSE 'parse_error' END AS rules_state FROM s) SELECT CASE WHEN rules_state = 'parse_error' OR model_state = 'failed' THEN 'failed' WHEN model_state = 'not_routed' THEN 'partial' ELSE 'completed' END AS status, rules_state, model_state, count(*) AS files, CAST(sum(coalesce(r, 0)) AS BIGINT) AS rules_found, CAST(sum(coalesce(m, 0)) AS BIGINT) AS model_found, count(*) FILTER (rules_state = 'parse_error' OR model_state = 'failed') AS degraded FROM t LEFT JOIN n USING (path) GROUP BY ALL",
     "scoped_findings": f"WITH {_FINDINGS} SELECT seq, md5({_SNIPPET}) AS context_md5 FROM findings JOIN files ON file_path = path WHERE files.doc_id % 3 <> 0",
     "verdict_states": f"WITH {_FINDINGS}, v AS (SELECT *, CASE WHEN findings.source <> 'LLM' OR start_line % 3 = 2 THEN NULL WHEN start_line % 3 = 0 THEN 'confirmed' ELSE 'refuted' END AS verdict FROM findings), s AS (SELECT type, source, {_STATUS} AS assessment_status FROM v) SELECT type, assessment_status, count(*) AS n, CAST(sum(CASE WHEN assessment_status = 'supported' THEN 98 WHEN source = 'LLM' THEN 55 ELSE 90 END) AS BIGINT) AS confidence FROM s GROUP BY ALL",
+    "verified_findings": f"WITH {_FINDINGS}, v AS (SELECT *, CASE WHEN findings.source <> 'LLM' OR start_line % 3 = 2 THEN NULL WHEN start_line % 3 = 0 THEN 'confirmed' ELSE 'refuted' END AS verdict FROM findings), s AS (SELECT *, coalesce({_STATUS}, '') AS status FROM v), lost AS (SELECT DISTINCT file_path FROM s WHERE status = 'refuted'), tried AS (SELECT file_path, list_sort(list({{'o': CASE WHEN status = 'supported' OR start_line % 4 = 0 THEN 0 ELSE 1 END, 'c': CASE WHEN status = 'supported' THEN -98 WHEN source = 'LLM' THEN -55 ELSE -90 END, 'a': {_RANK}, 'seq': seq, 'line': start_line, 'type': type, 'cwe': cwe_id}})) AS found FROM s WHERE status <> 'refuted' AND file_path IN (FROM lost) GROUP BY file_path), k AS (SELECT unnest({_kept('found')}) AS x FROM tried) SELECT seq, CASE WHEN status = 'refuted' THEN false WHEN file_path NOT IN (FROM lost) THEN true ELSE seq IN (SELECT x.seq FROM k) END AS kept FROM s",
     "severity_lines": f"WITH {_FINDINGS} SELECT file_path, count(*) || ' finding(s): ' || concat_ws(', ', {', '.join(f'''CASE WHEN count(*) FILTER (severity = '{s}') > 0 THEN count(*) FILTER (severity = '{s}') || ' {s.lower()}' END''' for s in fixed.SEVERITIES)}) AS line FROM findings GROUP BY file_path",
     "payload_detections": f"WITH {_FINDINGS} SELECT seq AS id, CAST(0 AS BIGINT) AS d, file_path AS file, start_line AS line, CASE WHEN seq % 3 = 1 THEN coalesce(CASE {' '.join(f'''WHEN contains(type, '{t}') THEN '{c}' ''' for t, c in fixed.TYPE_CWES)} END, 'OTHER') ELSE cwe_id END AS cwe, CASE WHEN seq % 3 = 2 THEN rule_id ELSE type END AS type, CASE WHEN seq % 3 = 2 THEN '' ELSE source END AS source FROM findings",
     "labelled_paths": f"WITH {_FILES} SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN path WHEN doc_id % 5 = 1 THEN '/data/set/samples/' || path WHEN doc_id % 5 = 2 THEN '/home/u/' || path ELSE path END AS file FROM files",

@@ -91,3 +91,49 @@ def test_symbols_resolve_through_reexports_and_cycles(spark, rows):
     got = {(r["asked"], r["wanted"]): (r["path"], r["line"], r["hops"]) for r in code.resolve_symbols(rows, paths, wanted, depth=3).collect()}
     assert got == {("app/db.py", "helper"): ("app/base.py", 3, 1), ("app/base.py", "query"): ("app/db.py", 3, 1), ("app/main.py", "LIMIT"): ("app/main.py", 6, 0)}
     assert rows.where(F.col("kind") == "class").count() == 1
+
+
+RULE_LINES = {
+    "python-insecure-eval": ["exec(x)", "eval(x)"],
+    "python-insecure-subprocess-shell": ["subprocess.Popen(x, shell=True)"],
+    "python-sql-injection": ["c.execute('a %s' % x)", "c.execute('{}'.format(x))"],
+    "python-flask-render-template-string": ["render_template_string(x)"],
+    "python-path-traversal-open": ["open(x)"],
+    "python-insecure-deserialization": ["pickle.loads(x)", "yaml.load(x, Loader=yaml.Loader)", "marshal.load(x)"],
+    "python-ldap-injection": ["conn.search_s(x)", "ldap.search(x)"],
+    "python-xpath-injection": ["etree.XPath(x)", "t.findall(x)"],
+    "python-xml-external-entity": ["xml.sax.parse(x)", "lxml.etree.fromstring(x)"],
+    "python-insecure-randomness": ["random.choice(x)"],
+    "python-weak-hashing": ["hashlib.sha1(x)", "hashlib.new('sha1')"],
+    "python-open-redirect": ["redirect(x)", "HttpResponseRedirect(x)"],
+    "python-insecure-cookie": ["r.set_cookie('k', x, secure=False)", "r.set_cookie('k', x)"],
+    "python-ssrf-requests": ["requests.get(x)", "urllib.request.urlopen(x)"],
+}
+CLEAN_LINES = ["evaluate(x)", "subprocess.run(x)", "c.execute('a', x)", "open()", "yaml.load(x, Loader=yaml.SafeLoader)", "conn.search()", "hashlib.new('sha256')", "r.set_cookie('k', x, secure=True)", "secrets.choice(x)", "session.get(x)"]
+
+
+def test_each_pinned_rule(spark):
+    lines = [(rule, text) for rule, texts in RULE_LINES.items() for text in texts] + [(None, text) for text in CLEAN_LINES]
+    files = spark.createDataFrame([(f"{k}.py", text) for k, (_, text) in enumerate(lines)], "path string, content string")
+    got = {(r["path"], r["rule_id"]) for r in code.rule_hits(code.resolved_calls(syntax_rows(files))).collect()}
+    assert got == {(f"{k}.py", rule) for k, (rule, _) in enumerate(lines) if rule} and len(RULE_LINES) == 14
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("x = a\n    if c:\n        x = b\n    eval(x)", {2, 4}),  # one arm: the value before may remain
+        ("x = a\n    if c:\n        x = b\n    else:\n        x = d\n    eval(x)", {4, 6}),  # both arms hide what was before
+        ("x = a\n    if c:\n        x = b\n    else:\n        eval(x)", {2}),  # another arm does not reach
+        ("x = a\n    x = b\n    eval(x)", {3}),
+        ("x = a\n    for i in c:\n        x = b\n    eval(x)", {2, 4}),  # a loop may not run
+        ("x = a\n    try:\n        x = b\n    except E:\n        x = d\n    eval(x)", {2, 4, 6}),
+        ("x = a\n    with c:\n        x = b\n    eval(x)", {4}),  # a with block always runs
+        ("x = a\n    if c:\n        if d:\n            x = b\n        else:\n            x = d\n    eval(x)", {2, 5, 7}),
+    ],
+)
+def test_definitions_over_branches(spark, body, want):
+    rows = syntax_rows(spark.createDataFrame([("a.py", f"def f(a, b, c, d, E):\n    {body}\n")], "path string, content string"))
+    last = rows.where("kind = 'call'").agg(F.max("line")).first()[0]
+    got = code._definitions_reaching(rows).where(f"name = 'x' and line = {last}").collect()
+    assert {r["bound"] for r in got} == want

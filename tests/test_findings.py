@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.functions import fixed
+from fathomline.functions import fixed, scalars
 from fathomline.functions.scalars import coerce_confidence, coerce_cvss, component_excluded, cwe_matches, fingerprint, line_distance, normalize_cwe, risk_reasons, risk_score, types_agree
 from fathomline.operators import chains, fusion, policy, reports, scoring
 from fathomline.plans import queries
@@ -242,3 +242,15 @@ def test_matching_by_runs_equals_matching_by_file(spark):
     got = [(r["d"], r["l"]) for r in scoring.match(pairs).collect()]
     want = scoring.least_cost_matching([(a, b, c) for (a, b), c in cost.items()])
     assert len(got) == len(want) and sum(cost[p] for p in got) == sum(cost[p] for p in want)
+
+
+def test_signal_words_lose_no_match(spark):
+    assert set(scalars.SIGNAL_WORDS) == {n for _, _, n in fixed.RISK_SIGNALS}
+    rng = random.Random(11)
+    parts = ["subprocess", "os.system", "OS.POPEN", "eval (", "exec(", "compile(", "pickle", "marshal", "yaml.load (", "shelve", ".execute(", "raw (", "cursor", "SELECT", "insert", "@app.route", "@bp.post", "request.args", "request.JSON", "password", "ſecret", "toKen", "api_key", "credentials", "auth", "login", "permission", "is_admin", "session", "open(", "Path (", "send_file", "sendfile", "requests.", "urllib", "httpx", "aiohttp", "hashlib", "crypt", "cipher", "random.", "render_template_string", ".innerHTML", "mark_safe", "| safe", "permissions", "CORS", "allow_origins", "HTML (", "render_output", "<div", "<HTML", ".loads(", ".unserialize (", ".unpickle(", ".decode_payload", "serial", "pcrypt", "ldap", "search_s", "xpath", ".xpath(", "set_cookie", "Set-Cookie", "secure = False", "x", "é", "_", "1"]
+    texts = [*parts, *("".join(rng.choice(parts) + rng.choice([" ", "", "\n", "."]) for _ in range(rng.randint(1, 4))) for _ in range(300))]
+    rows = spark.createDataFrame([(t,) for t in texts], "c string")
+    plain = F.array_compact(F.array(*[F.when(F.rlike("c", F.lit("(?iu)" + p)), F.lit(n)) for p, _, n in fixed.RISK_SIGNALS]))
+    assert rows.where(~F.col("c").isNull() & (risk_reasons(F.col("c")) != plain)).collect() == []
+    met = {n for r in rows.select(F.explode(plain)).distinct().collect() for n in r}
+    assert met == set(scalars.SIGNAL_WORDS)
