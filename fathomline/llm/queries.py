@@ -6,4 +6,4 @@ from fathomline.llm import decontamination, html_extract, jaccard_join, license_
 
 QUERIES = {"op2_packing": packing.op2_packing, "op1_quality_rules": quality_rules.op1_quality_rules, "op3_substring_dedup": substring_dedup.op3_substring_dedup, "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup, "op5_decontamination": decontamination.op5_decontamination, "op6_url_filter": url_filter.op6_url_filter, "op7_license_scan": license_scan.op7_license_scan, "op8_html_extract": html_extract.op8_html_extract, "op9_lm_scoring": lm_scoring.op9_lm_scoring, "op10_jaccard_join": jaccard_join.op10_jaccard_join}
 
-ORACLES: dict[str, str] = {**decontamination.ORACLE_SQL, **license_scan.ORACLE_SQL, **substring_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {**decontamination.ORACLE_SQL, **license_scan.ORACLE_SQL, **substring_dedup.ORACLE_SQL, **suffix_dedup.ORACLE_SQL}

@@ -59,4 +59,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT r, i, list_slice(w, i + 1, i + 35) AS run FROM (SELECT r, w, unnest(generate_series(0, len(w) - 35)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT run FROM windows GROUP BY run HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS p FROM windows WHERE run IN (FROM again)),
+words AS (SELECT r, unnest(w) AS word, unnest(generate_series(0, len(w) - 1)) AS p FROM d WHERE len(w) > 0),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+}

@@ -87,4 +87,18 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_later(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    # bytes are pairs of hex digits; a string is known by its md5
+    "op4_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 200)) AS x FROM (SELECT r, h, unnest(generate_series(0, length(h) // 2 - 100)) AS i FROM d WHERE length(h) >= 200)),
+later AS (SELECT r, i FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY r, i) > 1),
+marked AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM later),
+numbered AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+spans AS (SELECT r, min(i) AS lo, max(i) + 100 AS hi FROM numbered GROUP BY r, run),
+ends AS (SELECT r, lo, hi FROM spans UNION ALL SELECT r, length(h) // 2, length(h) // 2 FROM d),
+pieces AS (SELECT r, lo, coalesce(max(hi) OVER (PARTITION BY r ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM ends),
+kept AS (SELECT r, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo, since) AS k FROM pieces JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, sum(hi - lo) AS n, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)"""
+}

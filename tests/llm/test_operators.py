@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm import attention, crf, decontamination, html_extract, jaccard_join, license_scan, lm_scoring, packing, quality_rules, repeats, substring_dedup, suffix_dedup, url_filter
+from fathomline.llm import attention, crf, decontamination, html_extract, jaccard_join, license_scan, lm_scoring, packing, quality_rules, repeats, substring_dedup, suffix_array, suffix_dedup, url_filter
 from fathomline.llm.components import components
 from fathomline.llm.sampling import least_hashes
 from fathomline.llm.wordpieces import word_pieces
@@ -142,6 +142,27 @@ def test_quality_on_odd_rows(spark, odd):
     assert "n_words" in quality_rules.judge(odd, labels).columns and quality_rules.verdicts(odd, labels).select("document.n_words").count() == 6
 
 
+@pytest.mark.parametrize(("n", "kinds"), [(4, 1), (10, 1), (31, 2), (32, 2), (33, 2), (120, 3), (121, 200)])
+def test_ranks_equal_a_plain_suffix_sort(spark, n, kinds):
+    rng = random.Random(n)
+    symbols = [rng.randint(1, kinds) for _ in range(n)]
+    rows = spark.createDataFrame(list(enumerate(symbols)), "g long, s long").repartition(3)
+    got = [r["g"] for r in suffix_array.ranks(rows, n, alone=5).orderBy("rank").collect()]
+    assert got == sorted(range(n), key=lambda g: symbols[g:])
+
+
+def test_later_starts_equal_the_dedup(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(9)] + [None, "abab" * 6, "abab" * 6]
+    docs = spark.createDataFrame([(k if k != 4 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in suffix_array.later_starts(docs, 8, alone=20).collect():
+        got[r["doc_id"]].update(range(r["start"], r["start"] + 8))
+    want = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_later(docs, length=8, period=7).collect() if r["n_removed"]}
+    assert {k: len(v) for k, v in got.items()} == want and len(want) > 3
+    assert suffix_array.later_starts(docs.where("false"), 8).count() == 0
+
+
 BIG = 9007199254740993  # no double
 
 
