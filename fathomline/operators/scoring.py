@@ -28,7 +28,11 @@ def candidate_pairs(detections: DataFrame, labels: DataFrame, by_line: bool = Tr
     x = detections.select("d", "file", F.col("line").alias("d_line"), F.col("cwe").alias("d_cwe"), _tie("file", "line", "cwe", "type", "source").alias("d_tie"))
     y = labels.select("l", "file", F.col("line").alias("l_line"), F.col("cwe").alias("l_cwe"), _tie("file", "line", "cwe", "type", "note").alias("l_tie"))
     gap = F.abs(F.col("d_line") - F.col("l_line")) if by_line else F.lit(0)
-    pairs = x.join(y, "file").where(cwe_matches(F.col("d_cwe"), F.col("l_cwe"), exact)).withColumn("gap", gap)
+    if by_line:  # near lines are in one block of lines or in neighbours, so a file is many small joins
+        block = lambda c: F.floor(F.col(c) / (tolerance + 1))
+        x = x.withColumn("block", block("d_line"))
+        y = y.withColumn("block", F.explode(F.array(*[block("l_line") + k for k in (-1, 0, 1)])))
+    pairs = x.join(y, ["file", "block"] if by_line else ["file"]).where(cwe_matches(F.col("d_cwe"), F.col("l_cwe"), exact)).withColumn("gap", gap)
     if by_line:
         pairs = pairs.where(F.col("gap") <= tolerance)
     return pairs.select("d", "l", "file", (F.col("gap").cast("long") * LINE_COST + F.col("d_tie") * 10000 + F.col("l_tie")).alias("cost"), *([F.least("d_line", "l_line").alias("low"), F.greatest("d_line", "l_line").alias("high")] if by_line else [F.lit(0).alias("low"), F.lit(0).alias("high")]))
@@ -40,6 +44,7 @@ def least_cost_matching(pairs: list[tuple[int, int, int]]) -> list[tuple[int, in
     for d, label, cost in sorted(pairs):
         edges.setdefault(d, []).append((label, cost))
     of_label: dict[int, int] = {}
+    label_of: dict[int, int] = {}
     height: dict[tuple[str, int], int] = {}
     cost_of = {(d, label): c for d, label, c in pairs}
     free = set(edges)
@@ -73,8 +78,8 @@ def least_cost_matching(pairs: list[tuple[int, int, int]]) -> list[tuple[int, in
         at = min(ends)[1]
         while True:
             d = back[at]
-            was = next((x for x, owner in of_label.items() if owner == d), None)
-            of_label[at] = d
+            was = label_of.get(d)
+            of_label[at], label_of[d] = d, at
             if d in free:
                 free.remove(d)
                 break

@@ -271,10 +271,21 @@ def coercions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(coerce_confidence(word).alias("confidence"), coerce_cvss(word).alias("cvss")).groupBy("confidence", "cvss").agg(F.count(F.lit(1)).alias("n"))
 
 
-def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sarif_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sarif_rules(findings(spark, sf_dir))
 
 
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.sarif_results(findings(spark, sf_dir)).select("seq", F.get_json_object("result", "$.ruleId").alias("rule"), F.get_json_object("result", "$.level").alias("level"), F.get_json_object("result", "$.locations[0].physicalLocation.region.endLine").cast("int").alias("end_line"))
+
+
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per file with findings, by the digest of its findings' places and its total (SNK-01)."""
+    out = sinks.scan_documents(findings(spark, sf_dir), "file_path")
+    doc = F.from_json("document", "total long, findings array<struct<seq: long, line: int, type: string>>")
+    return out.select("file_path", doc.alias("d")).select("file_path", "d.total", F.md5(F.array_join(F.transform("d.findings", lambda f: F.concat_ws(":", f["seq"].cast("string"), f["line"].cast("string"), f["type"])), "|")).alias("digest"))
+
+
 def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir).withColumn("status", F.when(F.length("content") < 50, "failed").when(F.contains("content", F.lit("###")), "partial").otherwise("completed"))
     return reports.coverage(f)
@@ -329,7 +340,7 @@ def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (risk_route, risk_signals, fingerprints, severity_by_source, top_types, tier_dedup, two_tier_fusion, overlap_merge, suppression, baseline_partition, fix_check, build_gate, label_candidates, detection_outcomes, cwe_recall, document_labels_score, related_findings, dashboard, event_matrix, run_stability, newest_events, retained_events, capped_log, latest_state, debounced, event_props, call_summary, text_search, first_lines, code_windows, snapshot_digest, cache_keys, coercions, scan_documents, scan_coverage, supply_depth, priced_nations, order_ranks, stratified_sample, taint_touch, evidence_states)}
+QUERIES = {f.__name__: f for f in (risk_route, risk_signals, fingerprints, severity_by_source, top_types, tier_dedup, two_tier_fusion, overlap_merge, suppression, baseline_partition, fix_check, build_gate, label_candidates, detection_outcomes, cwe_recall, document_labels_score, related_findings, dashboard, event_matrix, run_stability, newest_events, retained_events, capped_log, latest_state, debounced, event_props, call_summary, text_search, first_lines, code_windows, snapshot_digest, cache_keys, coercions, sarif_rule_list, sarif_results, scan_documents, scan_coverage, supply_depth, priced_nations, order_ranks, stratified_sample, taint_touch, evidence_states)}
 
 _SIGNALS = " UNION ALL ".join(f"SELECT '{n}' AS signal, count(*) AS files FROM files WHERE regexp_matches(content, '{_re2(p)}')" for p, _, n in fixed.RISK_SIGNALS)
 _CLASS = " OR ".join(f"(d.cwe IN ({q}) AND y.cwe IN ({q}))" for g in fixed.CWE_CLASSES if (q := ", ".join(f"'{c}'" for c in g)))
@@ -364,7 +375,9 @@ SQL = {
     "snapshot_digest": f"WITH {_FILES} SELECT source, substr(md5(path), 1, 2) AS folder, substr(sha256(string_agg(path || ':' || sha256(content), chr(10) ORDER BY path)), 1, 16) AS digest, count(*) AS files FROM files GROUP BY 1, 2",
     "cache_keys": f"WITH {_FILES} SELECT doc_id, sha256('1' || chr(0) || 'local' || chr(0) || 'base' || chr(0) || content) AS key FROM files",
     "coercions": f"WITH w AS (SELECT {_WORD} AS w, l_linenumber AS k, l_quantity AS q FROM lineitem) SELECT CASE k WHEN 1 THEN 0.9::DOUBLE WHEN 2 THEN 0.6::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE greatest(0.0, least(1.0, q)) END AS confidence, CASE k WHEN 1 THEN 8.0::DOUBLE WHEN 2 THEN 5.5::DOUBLE WHEN 3 THEN 5.0::DOUBLE ELSE greatest(0.0, least(10.0, q)) END AS cvss, count(*) AS n FROM w GROUP BY ALL",
-    "scan_documents": f"WITH {_FINDINGS} SELECT type AS id, arg_min(description, seq) AS text, CASE arg_min(severity, seq) WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END AS level FROM findings GROUP BY type",
+    "sarif_rule_list": f"WITH {_FINDINGS} SELECT type AS id, arg_min(description, seq) AS text, CASE arg_min(severity, seq) WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END AS level FROM findings GROUP BY type",
+    "sarif_results": f"WITH {_FINDINGS} SELECT seq, type AS rule, CASE WHEN {_RANK} <= 1 THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, end_line FROM findings",
+    "scan_documents": f"WITH {_FINDINGS} SELECT file_path, count(*) AS total, md5(string_agg(seq || ':' || start_line || ':' || type, '|' ORDER BY seq)) AS digest FROM findings GROUP BY file_path",
     "scan_coverage": f"WITH {_FILES}, s AS (SELECT CASE WHEN length(content) < 50 THEN 'failed' WHEN contains(content, '###') THEN 'partial' ELSE 'completed' END AS status FROM files) SELECT count(*) AS requested, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'partial') AS partial, CASE WHEN count(*) FILTER (status = 'failed') = count(*) THEN 'failed' WHEN count(*) FILTER (status <> 'completed') > 0 THEN 'partial' ELSE 'completed' END AS status FROM s",
     "supply_depth": "WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), d0 AS (SELECT p_partkey AS p FROM part WHERE p_partkey % 500 = 1), d1 AS (SELECT DISTINCT p FROM l WHERE o IN (SELECT o FROM l WHERE p IN (SELECT p FROM d0)) AND p NOT IN (SELECT p FROM d0)), k AS (SELECT p FROM d0 UNION SELECT p FROM d1), d2 AS (SELECT DISTINCT p FROM l WHERE o IN (SELECT o FROM l WHERE p IN (SELECT p FROM k)) AND p NOT IN (SELECT p FROM k)), a AS (SELECT 0 AS depth FROM d0 UNION ALL SELECT 1 FROM d1 UNION ALL SELECT 2 FROM d2) SELECT depth, count(*) AS parts FROM a GROUP BY depth",
     "priced_nations": "SELECT r_name, n_name, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",

@@ -68,13 +68,27 @@ def findings_of(items: DataFrame) -> DataFrame:
     )
 
 
-#: Words of a verdict, the surest first.
-VERDICTS = {"refuted": ("refuted", "false_positive", "false positive", "not_vulnerable", "safe"), "confirmed": ("confirmed", "true_positive", "true positive", "vulnerable", "exploitable"), "uncertain": ("uncertain", "unknown", "inconclusive")}
+# Whole verdict fields, and phrases of prose, each with what it means.
+VERDICT_FIELDS = {
+    "refuted": ("refuted", "false_positive", "false positive", "fp", "safe", "benign", "not_vulnerable", "not vulnerable", "rejected", "invalid"),
+    "confirmed": ("confirmed", "true_positive", "true positive", "tp", "vulnerable", "upheld", "verified", "valid"),
+}
+VERDICT_PHRASES = {
+    "refuted": ("false positive", "false_positive", "refuted", "dismiss the", "not a vulnerability", "not vulnerable", "benign", "claim is incorrect", "finding is a false", "finding is incorrect"),
+    "confirmed": ("confirmed", "true positive", "true_positive", "vulnerable", "upheld"),
+}
 
 
 def verdict(text: Column) -> Column:
-    """PRJ-36: confirmed, refuted or uncertain, from JSON if there is some, else from the prose."""
-    told = F.try_variant_get(F.try_parse_json(plain_json(text)), "$.verdict", "string")
-    said = F.lower(F.coalesce(told, text, F.lit("")))
-    tests = [F.when(reduce(lambda a, b: a | b, [F.contains(said, F.lit(w)) for w in words]), F.lit(name)) for name, words in VERDICTS.items()]
-    return F.coalesce(*tests, F.lit("uncertain"))
+    """PRJ-36: confirmed, refuted or uncertain by the whole verdict (or status) field of JSON; of prose by whole phrases, refuting ones first, else `error`.
+
+    A JSON object without a known verdict is uncertain.
+    """
+    told = F.try_parse_json(plain_json(text))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(told), F.lit("OBJECT")), F.lit(False))
+    field = F.lower(F.trim(F.coalesce(*[F.nullif(F.try_variant_get(told, p, "string"), F.lit("")) for p in ("$.verdict", "$.status")], F.lit(""))))
+    fields = [F.when(is_object & field.isin(*words), name) for name, words in VERDICT_FIELDS.items()]
+    prose = F.lower(F.coalesce(text, F.lit("")))
+    phrases = [F.when(F.rlike(prose, F.lit(r"(?<![\p{L}\p{N}_])(?:" + "|".join(words) + r")(?![\p{L}\p{N}_])")), name) for name, words in VERDICT_PHRASES.items()]
+    return F.coalesce(*fields, F.when(is_object, "uncertain"), *phrases, F.lit("error"))
+

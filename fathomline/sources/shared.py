@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset, a folder of this machine."""
+    """The session's spark.checkpoint.dir; only in local mode, and where it is unset, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.startswith(("local-cluster", "spark", "yarn", "k8s")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -25,8 +25,21 @@ def test_responses_in_all_shapes(spark):
 
 
 def test_verdicts(spark):
-    rows = spark.createDataFrame([(1, '{"verdict": "False_Positive"}'), (2, "I think this is exploitable."), (3, None), (4, '```json\n{"verdict": "confirmed",}\n```'), (5, "hm")], "k int, t string")
-    assert {r["k"]: r["v"] for r in rows.select("k", responses.verdict(F.col("t")).alias("v")).collect()} == {1: "refuted", 2: "confirmed", 3: "uncertain", 4: "confirmed", 5: "uncertain"}
+    told = {
+        '{"verdict": "False_Positive"}': "refuted",
+        "This call is vulnerable.": "confirmed",
+        None: "error",
+        '```json\n{"verdict": "confirmed",}\n```': "confirmed",
+        "hm": "error",
+        "This call is unsafe.": "error",
+        "The code is not vulnerable.": "refuted",
+        "It remains unconfirmed.": "error",
+        '{"verdict": "unsafe"}': "uncertain",
+        '{"status": " TP "}': "confirmed",
+        "Confirmed, the finding is incorrect": "refuted",
+    }
+    rows = spark.createDataFrame(list(enumerate(told)), "k int, t string")
+    assert [r["v"] for r in rows.select("k", responses.verdict(F.col("t")).alias("v")).orderBy("k").collect()] == list(told.values())
 
 
 def test_taint_pairs_touch_within_a_line(spark):
