@@ -23,6 +23,8 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 #: Most labelled URLs that the trees learn from, chosen by hash.
 TRAIN_URLS = 20_000
 TREES, DEPTH = 10, 4
+#: Suffixes whose statistics are broadcast; of more, those with at least that share of all URLs.
+SUFFIXES = 100_000
 
 FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "suffix_urls", "suffix_blocked")
 
@@ -70,18 +72,38 @@ def lexical(urls: DataFrame) -> DataFrame:
     ).drop("__chars")
 
 
+def with_suffixes(urls: DataFrame, blocked: Column, most: int = SUFFIXES) -> DataFrame:
+    """Adds suffix_urls (log of 1 and the URLs of the suffix) and suffix_blocked (the share of blocked ones among its other labelled URLs, smoothed).
+
+    A row's own label does not count for it.  Up to `most` suffixes are
+    broadcast; of more, the frequent ones are, and the rest meet by a shuffle.
+    """
+    stats = stored(urls.groupBy("suffix").agg(F.count(F.lit(1)).alias("__n"), F.coalesce(F.sum(blocked), F.lit(0.0)).alias("__blocked"), F.count("rule_verdict").alias("__labelled")))
+    n, total = stats.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    if n <= most:
+        told = urls.join(F.broadcast(stats), "suffix")
+    else:
+        often = F.col("__n") * most >= total  # at most `most` rows
+        hot, rest = stats.where(often), stats.where(~often)
+        marked = urls.join(F.broadcast(hot), "suffix", "left")
+        told = marked.where("__n is not null").unionByName(marked.where("__n is null").drop("__n", "__blocked", "__labelled").join(rest, "suffix"))
+    own = F.col("rule_verdict").isNotNull().cast("int")
+    share = (F.col("__blocked") - F.coalesce(blocked, F.lit(0.0)) + 1) / (F.col("__labelled") - own + 2)
+    return told.withColumn("suffix_urls", F.log1p(F.col("__n").cast("double"))).withColumn("suffix_blocked", share).drop("__n", "__blocked", "__labelled")
+
+
 def judge(pages: DataFrame, rules=RULES, train_urls: int = TRAIN_URLS) -> DataFrame:
     """page_id, host, path, rule, verdict, block_probability: one row per row of `pages`.
 
     The verdict is the rule's, else the trees' (block from a probability of one
     half).  Null URLs are judged as empty ones.  Where the rules label no URL of
     one kind, the trees give way to the other kind, and to allow if they label
-    none.  Other columns are ignored; repeated rows are judged each.
+    none.  Other columns are ignored; repeated rows are judged each; of rules of
+    one length the greater stands, and a probability of exactly one half blocks.
     """
     urls = stored(lexical(ruled(parsed(pages.select("page_id", "url")), rules)))
     blocked = (F.col("rule_verdict") == "block").cast("double")
-    stats = urls.groupBy("suffix").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_urls"), ((F.coalesce(F.sum(blocked), F.lit(0.0)) + 1) / (F.count("rule_verdict") + 2)).alias("suffix_blocked"))
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(urls.join(stats, "suffix"))
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_suffixes(urls, blocked))
     labelled = ready.where("rule_verdict is not null").withColumn("label", blocked)
     kinds = {r[0] for r in labelled.select("rule_verdict").distinct().collect()}
     if len(kinds) < 2:

@@ -336,6 +336,29 @@ def test_url_trees_learn(spark):
 # licences
 
 
+def test_url_trees_on_held_out_labels(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    ruled = url_filter.judge(pages).where("rule is not null").count()
+    out = url_filter.judge(pages, train_urls=ruled // 2).where("rule is not null")  # at least half of them are new to the trees
+    assert out.where((F.col("block_probability") >= 0.5) == (F.col("verdict") == "block")).count() >= 0.9 * ruled > 20
+
+
+def test_suffix_statistics(spark):
+    rows = [(k, f"http://h{k}.{'com' if k % 3 else 'x%d' % k}/{'de' if k % 2 else 'fr'}/{k}") for k in range(40)] + [(None, None), (1, "http://h1.com/de/1"), (99, "http://a.com/" + "p/" * 20_000)]
+    urls = url_filter.lexical(url_filter.ruled(url_filter.parsed(spark.createDataFrame(rows, "page_id long, url string"))))
+    blocked = (F.col("rule_verdict") == "block").cast("double")
+    whole, split = ({(r["page_id"], r["url"]): (r["suffix_urls"], r["suffix_blocked"]) for r in url_filter.with_suffixes(urls, blocked, most).collect()} for most in (1000, 4))
+    assert whole == split and len(whole) == 42
+    held = [(r["url"], r["rule_verdict"], r["suffix"]) for r in urls.collect()]
+    for url, verdict, suffix in held:
+        others = [v for u, v, s in held if s == suffix and v]
+        if verdict:
+            others.remove(verdict)
+        assert [v[1] for k, v in whole.items() if k[1] == url] == [pytest.approx((others.count("block") + 1) / (len(others) + 2))]
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"))
+    assert out.count() == 43 and out.where("page_id is null").first()["host"] == ""
+
+
 def test_license_scan(spark, none):
     rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "Apache  license, APACHE-License"), (3, "permission to use, copy modify and or distribute this software for any purpose with or without fee is"), (4, None), (5, "the general public; license general public license"), (6, "licensed under " * 50 + "cc by nc 4.0")]
     out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -357,6 +380,15 @@ def test_license_scan_keeps_every_match(spark):
     assert out[4]["labels"] == "gpl" and out[4]["shares"] == {"gpl": 1.0, "agpl": 0.9, "lgpl": 0.9} and out[5]["labels"] == ""
 
 
+def test_license_scan_on_odd_rows(spark, odd):
+    rows = odd.unionByName(spark.createDataFrame([(BIG, "MIT License " + "word " * 100_000 + "apache\nlicense", None, None, None, None), (None, "mit license", None, None, None, None)] * 2, SCHEMA))
+    out = license_scan.scan(rows).collect()
+    assert len(out) == 10
+    long = [r for r in out if r["doc_id"] == BIG]
+    assert [(r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in long] == [(100_004, 2, 0, 100_002, "apache,mit")] * 2
+    assert sum(r["doc_id"] is None and r["base_labels"] == "mit" for r in out) == 2
+
+
 def test_license_blocks_equal_brute_force(monkeypatch):
     rng = random.Random(4)
     words = [f"t{k}" for k in range(14)]

@@ -37,3 +37,23 @@ def test_stages(spark, sf, tmp_path):
             assert docs.columns == columns and 0 < docs.count() <= n
             n = docs.count()
     assert docs.select("doc_id").distinct().count() == n
+
+
+def test_stages_on_odd_rows(spark, sf, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and user columns that bear the operators' names."""
+    text = " ".join(f"word{k % 97} and{k}" for k in range(60))
+    other = " ".join(f"other{k % 89} than{k}" for k in range(40_000))
+    rows = [(1, text, "en", "s", 5, "kept", "rest", 1.5), (1, text, "en", "s", 5, "kept", "rest", 1.5), (None, text + " more", None, None, None, None, None, None), (2, None, None, None, None, "x", None, 2.0), (3, "", "en", "s", 0, None, "r", None), (9007199254740993, other, None, "s", None, "y", "z", 0.0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, rest string, n_words double"
+    for name, frame in (("odd", spark.createDataFrame(rows, schema)), ("none", spark.createDataFrame([], schema))):
+        docs = frame
+        for stage, f in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{name}-{stage}")
+            f(spark, docs, sf).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if stage != "pack":
+                assert docs.columns == frame.columns
+                held = {(r["doc_id"], r["kept"], r["rest"], r["n_words"]) for r in docs.collect()}
+                assert held <= {(r[0], r[5], r[6], r[7]) for r in rows}
+        ids = [r["doc_id"] for r in docs.select("doc_id").distinct().collect()]
+        assert sorted(ids) == ([1, 9007199254740993] if name == "odd" else [])
