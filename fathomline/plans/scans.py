@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from fathomline.functions import fixed
 from fathomline.functions.rules import preferred_owasp, reliable, rule_type, source_label
 from fathomline.functions.scalars import types_agree
-from fathomline.operators import assembly, chains, code, evaluation
+from fathomline.operators import assembly, chains, code, evaluation, evidence
 from fathomline.plans.queries import _FILES, _FINDINGS, _LINES, _RANK, MODEL, RULES, _kept, files, findings
-from fathomline.sources import cache, tables
+from fathomline.sources import cache, recorded, tables
 from fathomline.sources.syntax import syntax_rows
 from fathomline.sources.tables import table
 
@@ -182,7 +182,73 @@ def agreeing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("rule_type", "model_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (rule_hits, wrapper_functions, sink_slices, rule_types, rule_metadata, reliable_rules, tier_assembly, scoped_findings, verdict_states, verified_findings, severity_lines, payload_detections, labelled_paths, scan_scores, connected_files, cache_hits, agreeing_pairs)}
+def _issued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    shots = f.where("doc_id % 4 <> 1").select(F.lit("s1").alias("snapshot_id"), "path", F.sha2(F.when(F.col("doc_id") % 5 == 2, F.concat("content", F.lit("!"))).otherwise(F.col("content")), 256).alias("sha256"))
+    found = findings(spark, sf_dir)
+    said = F.when(F.col("seq") % 7 == 0, "else")
+    requests = found.select(F.col("seq").alias("request"), F.when(F.col("seq") % 11 == 0, "s0").otherwise("s1").alias("snapshot_id"), F.col("file_path").alias("path"), "start_line", (F.col("start_line") + F.col("seq") % 3).cast("int").alias("end_line"), said.alias("content"))
+    return evidence.issue(requests, shots, f.select("path", "content"))
+
+
+def issued_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence issued for findings' lines against a snapshot of some of the files (JON-20)."""
+    return _issued(spark, sf_dir).select("request", "state", "excerpt_hash")
+
+
+def assessed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on findings under the evidence policy (FLT-09), by status and notes."""
+    proof = tables.kept(_issued(spark, sf_dir).withColumn("evidence_id", F.concat(F.lit("e"), F.col("request").cast("string"))))
+    step = lambda kind, line: F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("file"), line.cast("int").alias("line"), F.concat(F.lit("e"), F.col("seq").cast("string")).alias("evidence_id"))
+    path = F.when(F.col("seq") % 4 == 0, F.array(step("source", F.col("start_line")), step("sink", F.col("start_line")))).when(F.col("seq") % 4 == 1, F.array(step("source", F.col("start_line") + 5)))
+    verdict = F.when(F.col("seq") % 2 == 0, "supported").when(F.col("seq") % 3 == 0, "refuted").otherwise("unsure")
+    asked = findings(spark, sf_dir).select(F.col("seq").alias("finding_id"), "type", F.lit("s1").alias("snapshot_id"), verdict.alias("verdict"), F.array(F.concat(F.lit("e"), F.col("seq").cast("string"))).alias("evidence_ids"), F.when(F.col("seq") % 9 == 0, "escaped").alias("control"), F.lit(None).cast("string").alias("control_evidence_id"), path.alias("taint_path"))
+    out = evidence.assess(asked, proof, proof.select("snapshot_id"))
+    return out.groupBy("status", F.array_join("notes", "; ").alias("notes")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def taint_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severe findings of a file as the steps of one path, with their kinds and code (PRJ-21, PRJ-48)."""
+    f = findings(spark, sf_dir).where("severity in ('CRITICAL', 'HIGH')")
+    steps = f.select(F.expr("seq div 10000000").alias("seq"), F.col("seq").alias("pos"), F.when(F.col("start_line") % 6 == 0, "Propagator").alias("kind"), F.lit("").alias("file"), F.col("start_line").alias("line"), F.col("file_path").alias("default_file"))
+    out = evidence.enriched_taint(steps, tables.numbered_lines(files(spark, sf_dir)).select("path", "line", "text"))
+    return out.select("seq", "pos", "kind", "file", F.md5("code").alias("code_md5"))
+
+
+def changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a recorded name-status listing (SRC-13)."""
+    k, tab = F.pmod(F.col("doc_id"), F.lit(5)), F.lit("\t")
+    line = F.when(k == 0, F.concat(F.lit("M"), tab, "path")).when(k == 1, F.concat(F.lit("D"), tab, "path")).when(k == 2, F.concat(F.lit("R090"), tab, "path", tab, F.lit("new/"), "path")).when(k == 3, F.concat(F.lit("?? "), "path")).otherwise(F.concat(F.lit("A"), tab, F.lit("./"), "path"))
+    return recorded.changed_files(files(spark, sf_dir).select(line.alias("value")), ".txt")
+
+
+def confined_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which written paths stay below their root (SRC-05)."""
+    k = F.pmod(F.col("doc_id"), F.lit(4))
+    written = F.when(k == 0, F.concat(F.lit("a/../../"), "path")).when(k == 1, F.concat(F.lit("/"), "path")).when(k == 2, F.concat(F.lit("a/../"), "path")).otherwise(F.col("path"))
+    return files(spark, sf_dir).select("doc_id", recorded.confined(written).alias("inside"))
+
+
+def foreign_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of jobs that others have written (SRC-26): users as jobs, of which the even ones are known."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("updated_at"), F.col("event_type").alias("status"))
+    return recorded.new_jobs(e, e.where("id % 2 = 0").select("id").distinct())
+
+
+def outer_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the documents' Python files define a function of a name (RNK-11)."""
+    sources = python_files(spark, sf_dir)
+    out = evidence.definitions(syntax_rows(sources), tables.numbered_lines(sources), "outer")
+    return out.select("path", "line", "end_line", F.md5("source").alias("source_md5"))
+
+
+def first_sink_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten slices of each of the documents' Python files (RNK-08)."""
+    rows, hits = _code(spark, sf_dir)
+    return evidence.first_slices(code.backward_slices(rows, hits)).groupBy("path").agg(F.count(F.lit(1)).alias("slices"), F.max("sink_line").alias("last"))
+
+
+QUERIES = {f.__name__: f for f in (rule_hits, wrapper_functions, sink_slices, rule_types, rule_metadata, reliable_rules, tier_assembly, scoped_findings, verdict_states, verified_findings, severity_lines, payload_detections, labelled_paths, scan_scores, connected_files, cache_hits, agreeing_pairs, issued_evidence, assessed_findings, taint_code, changed_paths, confined_paths, foreign_jobs, outer_definitions, first_sink_slices)}
 
 _N = len(STATEMENTS)
 _CODE = _LINES + f", code AS (SELECT path, line, length(text) % {_N} AS k FROM lines)"
@@ -198,6 +264,11 @@ _AGREE = " OR ".join(f"(a.type IN ({q}) AND b.type IN ({q}))" for g in fixed.TYP
 _STATUS = "CASE WHEN verdict IS NULL THEN NULL WHEN verdict = 'confirmed' THEN 'supported' WHEN verdict = 'refuted' AND (start_line % 4 <> 0 OR start_line % 8 = 0) THEN 'refuted' ELSE 'uncertain' END"
 _SNIPPET = "trim(array_to_string(list_slice(string_split(content, chr(10)), start_line, greatest(start_line, least(start_line + start_line % 20, start_line + 12))), chr(10)), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
 
+_FILE_LINES = "len(string_split(content, chr(10))) - CASE WHEN content LIKE '%' || chr(10) THEN 1 ELSE 0 END"
+_ISSUED = f"""{_FINDINGS}, asked AS (SELECT f.*, content, files.doc_id AS doc, CAST(start_line + seq % 3 AS INTEGER) AS last FROM findings f JOIN files ON file_path = path),
+issued AS (SELECT *, CASE WHEN seq % 11 = 0 THEN 'no snapshot' WHEN doc % 4 = 1 THEN 'not in snapshot' WHEN doc % 5 = 2 THEN 'changed' WHEN last > {_FILE_LINES} THEN 'out of range' WHEN seq % 7 = 0 THEN 'fabricated' ELSE 'valid' END AS state FROM asked)"""
+_TAINTED = "(contains(lower(type), 'sql') OR contains(lower(type), 'command') OR contains(lower(type), 'traversal') OR contains(lower(type), 'xss') OR contains(lower(type), 'code_injection') OR contains(lower(type), 'rce'))"
+
 SQL = {
     "rule_hits": f"WITH {_CODE}, rules(k, rule_id, severity, cwe) AS (VALUES {_RULES}) SELECT rule_id, severity, cwe, count(*) AS hits, CAST(sum(line + 1) AS BIGINT) AS lines FROM code JOIN rules USING (k) GROUP BY ALL",
     "wrapper_functions": f"WITH {_CODE}, n AS (SELECT count(DISTINCT path) AS files FROM code WHERE k < {_CLEAN} AND k <> {_NO_P}) SELECT unnest(['work', 'outer', 'far']) AS function, files FROM n WHERE files > 0",
@@ -214,5 +285,16 @@ SQL = {
     "labelled_paths": f"WITH {_FILES} SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN path WHEN doc_id % 5 = 1 THEN '/data/set/samples/' || path WHEN doc_id % 5 = 2 THEN '/home/u/' || path ELSE path END AS file FROM files",
     "connected_files": f"WITH {_FILES} SELECT a.path, count(*) AS others FROM files a JOIN files b ON a.path <> b.path AND contains(a.content, CAST(b.doc_id AS VARCHAR)) GROUP BY a.path",
     "cache_hits": f"WITH {_FILES}, r AS (SELECT content, max(path) AS response FROM files WHERE doc_id % 2 = 0 GROUP BY content) SELECT doc_id, response, response IS NOT NULL AS hit FROM files LEFT JOIN r USING (content)",
+    "issued_evidence": f"WITH {_ISSUED} SELECT seq AS request, state, CASE WHEN state = 'valid' THEN sha256(array_to_string(list_slice(string_split(content, chr(10)), start_line, last), chr(10))) END AS excerpt_hash FROM issued",
+    "assessed_findings": f"""WITH {_ISSUED}, v AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 'supported' WHEN seq % 3 = 0 THEN 'refuted' ELSE 'uncertain' END AS verdict FROM issued),
+n AS (SELECT verdict, concat_ws('; ', CASE WHEN verdict = 'refuted' AND seq % 9 <> 0 THEN 'no mitigating control' END, CASE WHEN verdict <> 'uncertain' AND state <> 'valid' THEN 'unsound evidence cited' END, CASE WHEN verdict = 'supported' AND {_TAINTED} AND seq % 4 = 2 THEN 'no taint path' END,
+CASE WHEN verdict = 'supported' AND seq % 4 = 0 AND state <> 'valid' THEN 'step on unsound evidence; step on unsound evidence' END) AS notes FROM v)
+SELECT CASE WHEN notes = '' THEN verdict ELSE 'uncertain' END AS status, notes, count(*) AS n FROM n GROUP BY ALL""",
+    "taint_code": f"WITH {_FINDINGS}, s AS (SELECT seq // 10000000 AS d, seq, file_path, start_line, CASE WHEN start_line % 6 = 0 THEN 'propagation' WHEN seq = max(seq) OVER w AND seq <> min(seq) OVER w THEN 'sink' WHEN seq = min(seq) OVER w THEN 'source' ELSE 'propagation' END AS kind FROM findings WHERE severity IN ('CRITICAL', 'HIGH') WINDOW w AS (PARTITION BY seq // 10000000)) SELECT d AS seq, seq AS pos, kind, file_path AS file, md5(string_agg(CASE WHEN line = start_line THEN '> ' ELSE '  ' END || line || ': ' || text, chr(10) ORDER BY line)) AS code_md5 FROM s JOIN lines ON path = file_path AND line BETWEEN start_line - 2 AND start_line + 2 GROUP BY ALL",
+    "changed_paths": f"WITH {_FILES} SELECT CASE WHEN doc_id % 5 = 2 THEN 'new/' || path ELSE path END AS path FROM files WHERE doc_id % 5 <> 1",
+    "confined_paths": f"WITH {_FILES} SELECT doc_id, doc_id % 4 IN (2, 3) AS inside FROM files",
+    "foreign_jobs": "SELECT user_id AS id, max(event_id) AS updated_at, arg_max(event_type, event_id) AS status FROM events WHERE user_id % 2 <> 0 GROUP BY user_id",
+    "outer_definitions": f"WITH {_FILES} SELECT 'src/m' || doc_id || '.py' AS path, CAST(len(string_split(content, chr(10))) + 3 AS INTEGER) AS line, CAST(len(string_split(content, chr(10))) + 4 AS INTEGER) AS end_line, md5('def outer(a, b):' || chr(10) || '    work(a, b)') AS source_md5 FROM files",
+    "first_sink_slices": f"WITH {_CODE}, s AS (SELECT path, line + 1 AS line FROM code WHERE k < {_CLEAN} QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 10) SELECT 'src/m' || replace(string_split(path, '/')[-1], '.txt', '.py') AS path, count(*) AS slices, CAST(max(line) AS INTEGER) AS last FROM s GROUP BY ALL",
     "agreeing_pairs": f"WITH {_FINDINGS} SELECT a.type AS rule_type, b.type AS model_type, count(*) AS n FROM findings a JOIN findings b USING (file_path, start_line) WHERE a.source = 'SEMGREP' AND b.source = 'LLM' AND (a.type = b.type OR a.cwe_id = b.cwe_id OR {_AGREE}) GROUP BY ALL",
 }
