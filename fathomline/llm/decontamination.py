@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from fathomline.llm.shared import stored
 
 PHRASE = 10
+#: Words by which a proximity match may be wider than its run.
+NEAR = 5
 #: A table of test terms or windows is broadcast up to so many bytes; beyond, it is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -74,33 +76,48 @@ class Index:
         lists = _small(self.lists, "term", F.concat_ws(" ", "run"), F.concat_ws(" ", "run_items"))
         return self.postings.join(lists, "term").withColumn("before", F.least("pos", F.lit(self.reach)))
 
+    def matches(self) -> DataFrame:
+        """doc_id, digest, start (null unless the run stands there word for word), length, run, run_items of the proximity matches.
+
+        A run matches where all of its words stand, in any order, among size(run)
+        + near words in a row that hold its rarest term; so exact matches are
+        proximity matches.
+        """
+        # around holds all words of the run; the first test spares most rows the others
+        close = F.size(F.array_except("run", "around")) == 0
+        wide = F.expr(f"exists(sequence(greatest(before - size(run) - {self.near} + 1, 0), before), s -> size(array_except(run, slice(around, s + 1, size(run) + {self.near}))) = 0)")
+        met = self._met().where(close & (self._exact() | wide)).withColumn("start", F.when(self._exact(), F.col("pos") - F.col("at")))
+        return met.select("doc_id", "digest", "start", F.size("run").alias("length"), "run", "run_items")
+
+    @staticmethod
+    def _exact() -> Column:
+        return (F.col("before") >= F.col("at")) & F.expr("slice(around, before - at + 1, size(run)) = run")
+
     def phrases(self) -> DataFrame:
         """Exact matches: doc_id, digest, start, length, run, run_items."""
-        met = self._met().where("before >= at").where(F.expr("slice(around, before - at + 1, size(run)) = run"))
-        return met.select("doc_id", "digest", (F.col("pos") - F.col("at")).alias("start"), F.size("run").alias("length"), "run", "run_items")
-
-    def proximity(self) -> DataFrame:
-        """Places where all terms of a run lie within `near` words of its rarest term's span, in any order."""
-        return self._met().where(F.size(F.array_except("run", "around")) == 0).select("doc_id", "digest", "pos", "run", "run_items")
+        return self._met().where(self._exact()).select("doc_id", "digest", (F.col("pos") - F.col("at")).alias("start"), F.size("run").alias("length"), "run", "run_items")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, phrase: int = PHRASE) -> DataFrame:
-    """doc_id, digest, n_words, n_hit, n_items, items (sorted strings), contaminated: one row per row of `docs`.
+def contaminated(docs: DataFrame, items: DataFrame, phrase: int = PHRASE, near: int = NEAR) -> DataFrame:
+    """doc_id, digest, n_words, n_hit, n_items, items (sorted strings), n_near, contaminated: one row per row of `docs`.
 
-    A document word inside any occurrence of a run of an item is hit.  Null and
+    A document word inside any occurrence of a run of an item is hit; n_near counts
+    the items with a proximity match, exact ones among them.  Null and
     empty texts have no words; null and repeated doc_ids are kept as they are;
     repeated rows get the same counts; an item without words never occurs; an
     empty table of items contaminates nothing.  Other columns are ignored.
     """
-    index = Index(docs, windows(items, phrase))
-    spans = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"))))
-    hits = index.phrases().groupBy("doc_id", "digest").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("run_items")))).alias("items"))
+    index = Index(docs, windows(items, phrase), near)
+    spans = F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct(F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length")))))
+    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    hits = index.matches().groupBy("doc_id", "digest").agg(spans.alias("spans"), names(F.when(F.col("start").isNotNull(), F.col("run_items"))).alias("items"), F.size(names(F.col("run_items"))).cast("long").alias("n_near"))
     hit = "aggregate(spans, named_struct('end', 0L, 'n', 0L), (a, s) -> named_struct('end', greatest(a.end, s.start + s.length), 'n', a.n + greatest(0L, s.start + s.length - greatest(a.end, s.start))), a -> a.n)"
-    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), F.expr(hit).alias("n_hit"), "items")
+    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), F.expr(hit).alias("n_hit"), "items", "n_near")
     every = index.docs.select("doc_id", "digest", "n_words")
     out = every.join(hits, every["doc_id"].eqNullSafe(hits["hit_id"]) & (every["digest"] == hits["hit_digest"]), "left")
-    none = F.array().cast("array<string>")
-    return out.select("doc_id", "digest", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    items = F.coalesce("items", none)
+    return out.select("doc_id", "digest", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.coalesce("n_near", zero).alias("n_near"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, phrase: int = PHRASE) -> DataFrame:
@@ -113,7 +130,7 @@ def clean(docs: DataFrame, items: DataFrame, phrase: int = PHRASE) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def _sql_words(text: str) -> str:
@@ -129,7 +146,10 @@ sizes AS (SELECT DISTINCT len(run) AS n FROM bw),
 dw AS (SELECT doc_id, i, n, list_slice(w, i + 1, i + n) AS run FROM (SELECT doc_id, w, n, unnest(generate_series(0, len(w) - n)) AS i FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.run = bw.run),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY doc_id),
+anchors AS (SELECT item_id, run, list_reduce(run, lambda a, b: CASE WHEN len(b) > len(a) OR (len(b) = len(a) AND b < a) THEN b ELSE a END) AS term FROM bw),
+spots AS (SELECT doc_id, p, w[p + 1] AS term, w FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1)) AS p FROM d WHERE len(w) > 0) WHERE w[p + 1] IN (SELECT term FROM anchors)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM spots JOIN anchors USING (term) WHERE len(list_filter(generate_series(greatest(p - len(run) - {NEAR} + 1, 0), p), lambda s: len(list_filter(run, lambda t: NOT list_contains(list_slice(w, s + 1, s + len(run) + {NEAR}), t))) = 0)) > 0 GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)"""
 }

@@ -297,7 +297,8 @@ def test_decontamination(spark, docs, texts, odd, none, limit, monkeypatch):
                 if tuple(w[i : i + len(run)]) == run:
                     hit.update(range(i, i + len(run)))
                     found |= ids
-        assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == (len(w), len(hit), sorted(found), bool(hit))
+        near = {x for run, ids in runs.items() for i in range(max(1, len(w) - len(run) - 4)) if set(run) <= set(w[i : i + len(run) + 5]) for x in ids}
+        assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"], r["n_near"]) == (len(w), len(hit), sorted(found), bool(hit), len(near))
     assert decontamination.contaminated(none, bench).count() == 0
     assert decontamination.contaminated(odd, bench).count() == 6 == decontamination.clean(odd, bench).count()
     assert decontamination.clean(docs, bench.where("false")).count() == len(texts)
@@ -307,7 +308,7 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x y z u v w beta"), (3, "beta alpha")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
     index = decontamination.Index(docs, decontamination.windows(bench), near=1)
-    assert {r["doc_id"] for r in index.proximity().collect()} == {1, 3}
+    assert {r["doc_id"] for r in index.matches().collect()} == {1, 3}
     assert {r["doc_id"] for r in index.phrases().collect()} == {1}
 
 
