@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fathomline.llm import attention
 from fathomline.llm.packing import SLICE, default_tokenizer
 from fathomline.llm.shared import stored
-from fathomline.llm.text import slices
+from fathomline.llm.text import release, slices
 from fathomline.llm.wordpieces import gather, split_words, word_pieces
 
 #: Most words, the commonest, whose counts go to every task; the others are joined.
@@ -43,7 +43,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 2 * SLICE):
+    for batch in slices(batches, "text", SLICE):
         words, codes, _ = split_words(pc.ascii_lower(batch.column("text")))
         words = pa.concat_arrays([words.cast(pa.binary()), pa.array([END], pa.binary())])
         n = np.append(np.bincount(codes, minlength=len(words) - 1), batch.num_rows)
@@ -98,6 +98,7 @@ def _chunks(tokenizer: str, told, shards: int):
 
 def _train(told, weights):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
+        release()  # what the shard before has left
         known = told.value
         kind = "<u2" if known.size < 1 << 16 else "<u4"
         shard = shard.sort_values(["order", "places"], kind="stable")
