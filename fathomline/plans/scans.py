@@ -248,7 +248,22 @@ def first_sink_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.first_slices(code.backward_slices(rows, hits)).groupBy("path").agg(F.count(F.lit(1)).alias("slices"), F.max("sink_line").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (rule_hits, wrapper_functions, sink_slices, rule_types, rule_metadata, reliable_rules, tier_assembly, scoped_findings, verdict_states, verified_findings, severity_lines, payload_detections, labelled_paths, scan_scores, connected_files, cache_hits, agreeing_pairs, issued_evidence, assessed_findings, taint_code, changed_paths, confined_paths, foreign_jobs, outer_definitions, first_sink_slices)}
+def engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as a rule engine records them, read back as findings (SRC-08, PRJ-11)."""
+    f = findings(spark, sf_dir)
+    k = F.pmod(F.col("seq"), F.lit(4))
+    check = F.when(k == 0, F.concat(F.lit("a.b.tainted-sql-"), "rule_id")).when(k == 1, F.lit("python-weak-hashing")).when(k == 2, F.concat(F.lit("x."), "rule_id")).otherwise(F.lit("py.some-cookie"))
+    extra = F.struct(
+        F.when(F.col("severity").isin("CRITICAL", "HIGH"), "ERROR").when(F.col("severity") == "MEDIUM", "warning").when(F.col("severity") == "LOW", "INFO").alias("severity"),
+        F.when(k == 0, " ").otherwise(F.col("description")).alias("message"), F.when(k == 1, " use x ").alias("fix"),
+        F.struct(F.when(k == 2, F.array(F.lit("none"), F.concat(F.lit("CWE-"), "cwe_id", F.lit(": y")))).alias("cwe"), F.array(F.lit("A1:2017"), F.lit("A03:2021")).alias("owasp"), F.lit(None).cast("array<string>").alias("references"), F.lit("").alias("impact")).alias("metadata"),
+    )
+    r = f.select(check.alias("check_id"), F.col("file_path").alias("path"), F.struct(F.col("start_line").alias("line")).alias("start"), F.struct(F.when(k == 3, F.col("start_line") + 1).alias("line")).alias("end"), extra.alias("extra"))
+    out = tables.engine_findings(r)
+    return out.groupBy("type", "severity", "cwe_id", "cvss_score", "description", "remediation", "owasp_category").agg(F.count(F.lit(1)).alias("n"), F.sum("end_line").alias("ends"))
+
+
+QUERIES = {f.__name__: f for f in (rule_hits, wrapper_functions, sink_slices, rule_types, rule_metadata, reliable_rules, tier_assembly, scoped_findings, verdict_states, verified_findings, severity_lines, payload_detections, labelled_paths, scan_scores, connected_files, cache_hits, agreeing_pairs, issued_evidence, assessed_findings, taint_code, changed_paths, confined_paths, foreign_jobs, outer_definitions, first_sink_slices, engine_results)}
 
 _N = len(STATEMENTS)
 _CODE = _LINES + f", code AS (SELECT path, line, length(text) % {_N} AS k FROM lines)"
@@ -296,5 +311,8 @@ SELECT CASE WHEN notes = '' THEN verdict ELSE 'uncertain' END AS status, notes,
     "foreign_jobs": "SELECT user_id AS id, max(event_id) AS updated_at, arg_max(event_type, event_id) AS status FROM events WHERE user_id % 2 <> 0 GROUP BY user_id",
     "outer_definitions": f"WITH {_FILES} SELECT 'src/m' || doc_id || '.py' AS path, CAST(len(string_split(content, chr(10))) + 3 AS INTEGER) AS line, CAST(len(string_split(content, chr(10))) + 4 AS INTEGER) AS end_line, md5('def outer(a, b):' || chr(10) || '    work(a, b)') AS source_md5 FROM files",
     "first_sink_slices": f"WITH {_CODE}, s AS (SELECT path, line + 1 AS line FROM code WHERE k < {_CLEAN} QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 10) SELECT 'src/m' || replace(string_split(path, '/')[-1], '.txt', '.py') AS path, count(*) AS slices, CAST(max(line) AS INTEGER) AS last FROM s GROUP BY ALL",
+    "engine_results": f"""WITH {_FINDINGS}, t AS (SELECT seq % 4 AS k, CASE seq % 4 WHEN 0 THEN 'a.b.tainted-sql-' || rule_id WHEN 1 THEN 'python-weak-hashing' WHEN 2 THEN 'x.' || rule_id ELSE 'py.some-cookie' END AS check_id, *, CASE seq % 4 WHEN 0 THEN 'SQL_INJECTION' WHEN 1 THEN 'USE_OF_WEAK_HASHING_ALGORITHM' WHEN 3 THEN 'SECURE_COOKIE' ELSE CASE cwe_id {' '.join(f"WHEN '{c}' THEN '{t}'" for c, t in fixed.CWE_TYPES.items())} END END AS kind FROM findings),
+s AS (SELECT *, CASE WHEN {_RANK} <= 1 THEN CASE WHEN kind IN {fixed.CRITICAL_TYPES} THEN 'CRITICAL' ELSE 'HIGH' END WHEN severity = 'LOW' THEN 'LOW' ELSE 'MEDIUM' END AS level FROM t WHERE kind IS NOT NULL)
+SELECT kind AS type, level AS severity, 'CWE-' || coalesce(CASE kind {' '.join(f"WHEN '{t}' THEN '{c}'" for t, c in fixed.CANONICAL_CWES.items())} END, cwe_id) AS cwe_id, CASE level {' '.join(f"WHEN '{s}' THEN {v}::DOUBLE" for s, v in fixed.SEVERITY_CVSS.items())} END AS cvss_score, CASE WHEN k = 0 THEN 'Rule ' || check_id || ' matched.' ELSE description END AS description, CASE WHEN k = 1 THEN 'use x' ELSE '' END AS remediation, 'A03:2021' AS owasp_category, count(*) AS n, CAST(sum(start_line + CASE WHEN k = 3 THEN 1 ELSE 0 END) AS BIGINT) AS ends FROM s GROUP BY ALL""",
     "agreeing_pairs": f"WITH {_FINDINGS} SELECT a.type AS rule_type, b.type AS model_type, count(*) AS n FROM findings a JOIN findings b USING (file_path, start_line) WHERE a.source = 'SEMGREP' AND b.source = 'LLM' AND (a.type = b.type OR a.cwe_id = b.cwe_id OR {_AGREE}) GROUP BY ALL",
 }

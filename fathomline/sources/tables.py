@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.functions import fixed
 from fathomline.functions.fixed import DEFAULT_EXCLUDES
+from fathomline.functions.rules import first_cwe, preferred_owasp, rule_type
 from fathomline.functions.scalars import component_excluded, lines_of, risk_reasons, risk_score
 from fathomline.sources.shared import stored
 
@@ -80,10 +82,39 @@ def payload_findings(raw: DataFrame) -> DataFrame:
 
 
 def engine_findings(results: DataFrame) -> DataFrame:
-    """SRC-08 adapter: recorded rule-engine results to findings."""
-    severity = F.when(F.col("extra.severity") == "ERROR", "HIGH").when(F.col("extra.severity") == "WARNING", "MEDIUM").otherwise("LOW")
-    cwe = F.regexp_extract(F.array_join("extra.metadata.cwe", " "), "CWE-([0-9]+)", 1)
-    return results.select(F.col("check_id").alias("rule_id"), F.col("path").alias("file_path"), F.col("start.line").alias("start_line"), F.col("end.line").alias("end_line"), severity.alias("severity"), F.col("extra.message").alias("description"), cwe.alias("cwe_id"))
+    """SRC-08, PRJ-11: recorded rule-engine results as findings; results that no type stands for are left out.
+
+    results: check_id, path, start.line, end.line, extra (severity, message, fix,
+    metadata: cwe, owasp and references as arrays, impact).
+    """
+    first = F.upper(F.coalesce("extra.severity", F.lit("WARNING")))
+    kind = rule_type(first_cwe(F.col("extra.metadata.cwe")), F.col("check_id"))
+    r = results.withColumn("type", kind).where("type is not null")
+    severity = F.coalesce(*[F.when(first == a, b) for a, b in fixed.RULE_SEVERITIES.items()], F.lit("MEDIUM"))
+    severity = F.when((severity == "HIGH") & F.col("type").isin(*fixed.CRITICAL_TYPES), "CRITICAL").otherwise(severity)
+    own = first_cwe(F.col("extra.metadata.cwe"))
+    number = F.coalesce(*[F.when(F.col("type") == t, c) for t, c in fixed.CANONICAL_CWES.items()], own)
+    start = F.coalesce("start.line", F.lit(0))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    fix = blank(F.col("extra.fix"))
+    return r.select(
+        F.col("check_id").alias("rule_id"),
+        F.coalesce("path", F.lit("")).alias("file_path"),
+        start.alias("start_line"),
+        F.coalesce("end.line", start).alias("end_line"),
+        "type",
+        severity.alias("severity"),
+        F.coalesce(F.nullif(blank(F.col("extra.message")), F.lit("")), F.concat(F.lit("Rule "), "check_id", F.lit(" matched."))).alias("description"),
+        F.coalesce(F.nullif("extra.metadata.impact", F.lit("")), F.lit("See rule documentation.")).alias("impact"),
+        fix.alias("remediation"),
+        F.when(number != "", F.concat(F.lit("CWE-"), number)).otherwise("").alias("cwe_id"),
+        preferred_owasp(F.col("extra.metadata.owasp")).alias("owasp_category"),
+        F.coalesce(*[F.when(severity == s, F.lit(v)) for s, v in fixed.SEVERITY_CVSS.items()]).alias("cvss_score"),
+        F.coalesce("extra.metadata.references", F.array().cast("array<string>")).alias("references"),
+        fix.alias("secure_code_example"),
+        F.lit("SEMGREP").alias("source"),
+        F.lit(fixed.CONFIDENCE["SEMGREP"]).alias("confidence"),
+    )
 
 
 def engine_errors(document: DataFrame) -> DataFrame:
