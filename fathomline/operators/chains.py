@@ -1,11 +1,11 @@
-"""Attack chains among findings: JON-12, JON-15, AGG-14 without labels, AGG-15..18, JON-11 without its order, JON-10 without connected files, JON-13 by words alone."""
+"""Attack chains among findings: JON-12, JON-15, AGG-14 without labels, AGG-15..19, JON-11 without its order, JON-10 without connected files, JON-13 by words alone."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
@@ -213,3 +213,20 @@ def likelihood(members: DataFrame, related: DataFrame) -> DataFrame:
     shape = F.lit(1.0) - (F.col("size") - 1) * 0.1 + F.col("pairs") * 0.05
     value = F.col("base") * F.greatest(F.lit(0.1), shape) * F.greatest(F.lit(0.1), F.lit(1.0) - F.col("needs") * 0.1) * F.col("factor")
     return all_.select("scope", "chain", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), 4).alias("likelihood"))
+
+
+def attack_paths(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """AGG-19: per chain its steps in words, the worst first, and whether each leads to the next.
+
+    members: scope, chain, seq, type, severity, file_path, start_line, end_line,
+    description, impact; pairs: scope, a, b of related findings.
+    """
+    order = Window.partitionBy("scope", "chain").orderBy(severity_rank(F.col("severity")), "seq")
+    both = pairs.select("scope", F.col("a").alias("seq"), F.col("b").alias("next")).unionByName(pairs.select("scope", F.col("b").alias("seq"), F.col("a").alias("next"))).distinct().withColumn("met", F.lit(True))
+    placed = members.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("seq").over(order)).join(both, ["scope", "seq", "next"], "left")
+    where = F.concat("file_path", F.lit(":"), F.col("start_line").cast("string"), F.when(F.col("end_line") != F.col("start_line"), F.concat(F.lit("-"), F.col("end_line").cast("string"))).otherwise(""))
+    first = lambda c: F.substring_index(F.coalesce(c, F.lit("")), ".", 1)
+    link = F.when(F.col("next").isNull(), "").when(F.col("met"), "\n   leads to the next").otherwise("\n   stands beside the next")
+    step = F.concat(F.lit("Step "), F.col("n").cast("string"), F.lit(": "), "type", F.lit(" ("), "severity", F.lit(") at "), where, F.lit("\n   by: "), first("description"), F.lit("\n   so: "), first("impact"), link)
+    # a chain has a seed and what relates to it
+    return placed.groupBy("scope", "chain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", step.alias("t")))), lambda s: s["t"]), "\n").alias("path"))

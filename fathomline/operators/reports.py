@@ -1,4 +1,4 @@
-"""Aggregations, rankings, windows and evidence (AGG-01..13, AGG-20, RNK-04..10, PRJ-22, JON-19, JON-22)."""
+"""Aggregations, rankings, windows, views and evidence states (AGG-01..13, AGG-20..22, AGG-31, RNK-04..07, RNK-09..10, PRJ-22, PRJ-44, PRJ-50, FLT-10, JON-19, JON-22)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
-from fathomline.functions.scalars import severity_weight
+from fathomline.functions.rules import posix_path, source_label
+from fathomline.functions.scalars import coerce_confidence, normalize_cwe, severity_weight
 
 
 def severity_summary(findings: DataFrame, *by: str) -> DataFrame:
@@ -108,3 +109,57 @@ def stale_assessments(assessments: DataFrame, states: DataFrame) -> DataFrame:
 def call_summary(calls: DataFrame, by: str) -> DataFrame:
     """AGG-12, AGG-13: requests, failures and token sums; calls: ok, tokens."""
     return calls.groupBy(by).agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("ok")).alias("failed"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"))
+
+
+def finding_view(findings: DataFrame, root: str | None = None) -> DataFrame:
+    """PRJ-50: findings as a scan's output shows them: relative paths, CWE and source by their usual names, clamped confidence; what is blank is null, so JSON leaves it out.
+
+    findings: seq, type, cwe_id, severity, file_path, start_line, end_line,
+    confidence, source, description, context and, where there, owasp_category,
+    cvss_score, impact, remediation, secure_code_example.
+    """
+    more = {"owasp_category": "owasp", "cvss_score": "cvss", "impact": "impact", "remediation": "remediation", "secure_code_example": "secure_code_example"}
+    rest = [(F.nullif(c, F.lit("")) if dict(findings.dtypes)[c] == "string" else F.col(c)).alias(n) for c, n in more.items() if c in findings.columns]
+    told = lambda c: F.coalesce(c, F.lit(""))
+    return findings.select("seq", "type", normalize_cwe(F.col("cwe_id")).alias("cwe"), "severity", posix_path(F.col("file_path"), root).alias("file"), "start_line", "end_line", coerce_confidence(F.col("confidence")).alias("confidence"), source_label(F.col("source")).alias("source"), told("description").alias("description"), told("context").alias("snippet"), *rest)
+
+
+def job_payload(view: DataFrame, files: DataFrame, by: str) -> DataFrame:
+    """AGG-22: per scan its findings by severity and by source, how many files it has, and their summed risk in two places.
+
+    view: `by` and finding_view's columns; files: `by`, risk_score.
+    """
+
+    def counted(column: str) -> DataFrame:
+        one = view.groupBy(by, F.coalesce(column, F.lit("")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        return one.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("m"))  # a handful of names
+
+    risk = files.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.round(F.sum(F.coalesce("risk_score", F.lit(0.0))), 2).alias("risk_score"))
+    return risk.join(counted("severity").withColumnRenamed("m", "counts"), by, "left").join(counted("source").withColumnRenamed("m", "sources"), by, "left")
+
+
+def failed_or_degraded(status: Column, degraded: Column, engine_failure: Column, rule_error: Column, report_states: Column) -> Column:
+    """FLT-10: why a scan's result cannot be relied on, or null: an engine's failure first, then its status, then its reports'."""
+    bad = F.filter(F.coalesce(report_states, F.array().cast("array<string>")), lambda s: s.isin("failed", "partial", "degraded"))
+    return (
+        F.when(F.coalesce(engine_failure, F.lit(False)), "engine failure")
+        .when(F.coalesce(rule_error, F.lit("")) != "", F.concat(F.lit("rule error: "), rule_error))
+        .when(status.isin("failed", "error"), F.concat(F.lit("failed with status "), status))
+        .when(status.isin("partial", "incomplete"), F.concat(F.lit("incomplete with status "), status))
+        .when(F.coalesce(degraded, F.lit(False)), "degraded coverage")
+        .when(~status.isin("completed", "clean"), F.concat(F.lit("incomplete with status "), status))
+        .when(F.size(bad) > 0, F.concat(F.lit("a report is "), F.get(bad, F.lit(0))))
+    )
+
+
+def route_category(text: Column, known: tuple[str, ...]) -> Column:
+    """PRJ-44: the category that a benchmark route names (`/benchmark/<category>-...`), if it is a known one."""
+    found = F.lower(F.substring_index(F.regexp_extract(F.coalesce(text, F.lit("")), "/benchmark/([^/]+)/", 1), "-", 1))
+    return F.when(found.isin(*known), found)
+
+
+def ordered_summaries(summaries: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """AGG-31: one summary of each model, the newest file's, with its place: the named models first, in their order, then the others by name."""
+    one = summaries.where("model is not null").groupBy("model").agg(F.max_by(F.struct(*[c for c in summaries.columns if c not in ("model", "file")]), "file").alias("s"))
+    at = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model"))
+    return one.select("model", "s.*", F.when(at > 0, at).otherwise(len(order) + 1).alias("__at")).withColumn("place", F.row_number().over(Window.orderBy("__at", "model"))).drop("__at")  # one row per model

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import fixed
 from fathomline.functions.rules import preferred_owasp, reliable, rule_type, source_label
 from fathomline.functions.scalars import types_agree
-from fathomline.operators import assembly, chains, code, evaluation, evidence
+from fathomline.operators import assembly, chains, code, evaluation, evidence, reports
 from fathomline.plans.queries import _FILES, _FINDINGS, _LINES, _RANK, MODEL, RULES, _kept, files, findings
 from fathomline.sources import cache, recorded, tables
 from fathomline.sources.syntax import syntax_rows
@@ -263,7 +263,35 @@ def engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("type", "severity", "cwe_id", "cvss_score", "description", "remediation", "owasp_category").agg(F.count(F.lit(1)).alias("n"), F.sum("end_line").alias("ends"))
 
 
-QUERIES = {f.__name__: f for f in (rule_hits, wrapper_functions, sink_slices, rule_types, rule_metadata, reliable_rules, tier_assembly, scoped_findings, verdict_states, verified_findings, severity_lines, payload_detections, labelled_paths, scan_scores, connected_files, cache_hits, agreeing_pairs, issued_evidence, assessed_findings, taint_code, changed_paths, confined_paths, foreign_jobs, outer_definitions, first_sink_slices, engine_results)}
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = findings(spark, sf_dir).withColumn("confidence", F.when(F.col("start_line") % 2 == 0, "high").otherwise("0.123")).withColumn("impact", F.when(F.col("start_line") % 3 == 0, "loss").otherwise(""))
+    return reports.finding_view(f, "src")
+
+
+def finding_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as a scan's output shows them (PRJ-50)."""
+    return _view(spark, sf_dir).select("seq", "cwe", "file", "confidence", "source", "impact", F.md5("snippet").alias("snippet_md5"))
+
+
+def job_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language a scan's counts by severity and source, and its files' risk (AGG-22)."""
+    f = files(spark, sf_dir).select((F.substring_index("path", "/", -2)).alias("file"), F.coalesce("lang", F.lit("none")).alias("lang"), F.length("content").alias("size"))
+    view = _view(spark, sf_dir).join(f.select("file", "lang"), "file")
+    out = reports.job_payload(view, f.select("lang", (F.col("size") % 8 / 4).alias("risk_score")), "lang")
+    told = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return out.select("lang", "files", "risk_score", told("counts").alias("counts"), told("sources").alias("sources"))
+
+
+def scan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as scans: which results cannot be relied on, and why (FLT-10)."""
+    f = files(spark, sf_dir).select(F.length("content").alias("n"), "content")
+    status = F.when(F.col("n") < 50, "failed").when(F.col("n") % 7 == 0, "partial").when(F.col("n") % 11 == 0, "odd").otherwise("completed")
+    states = F.array(F.lit("completed"), F.when(F.col("n") % 13 == 0, "degraded").otherwise("completed"))
+    why = reports.failed_or_degraded(status, F.col("n") % 5 == 0, F.contains("content", F.lit("###")), F.when(F.col("n") % 17 == 0, "e"), states)
+    return f.groupBy(why.alias("reason")).agg(F.count(F.lit(1)).alias("files"))
+
+
+QUERIES = {f.__name__: f for f in (rule_hits, wrapper_functions, sink_slices, rule_types, rule_metadata, reliable_rules, tier_assembly, scoped_findings, verdict_states, verified_findings, severity_lines, payload_detections, labelled_paths, scan_scores, connected_files, cache_hits, agreeing_pairs, issued_evidence, assessed_findings, taint_code, changed_paths, confined_paths, foreign_jobs, outer_definitions, first_sink_slices, engine_results, finding_views, job_payloads, scan_states)}
 
 _N = len(STATEMENTS)
 _CODE = _LINES + f", code AS (SELECT path, line, length(text) % {_N} AS k FROM lines)"
@@ -311,6 +339,11 @@ SELECT CASE WHEN notes = '' THEN verdict ELSE 'uncertain' END AS status, notes,
     "foreign_jobs": "SELECT user_id AS id, max(event_id) AS updated_at, arg_max(event_type, event_id) AS status FROM events WHERE user_id % 2 <> 0 GROUP BY user_id",
     "outer_definitions": f"WITH {_FILES} SELECT 'src/m' || doc_id || '.py' AS path, CAST(len(string_split(content, chr(10))) + 3 AS INTEGER) AS line, CAST(len(string_split(content, chr(10))) + 4 AS INTEGER) AS end_line, md5('def outer(a, b):' || chr(10) || '    work(a, b)') AS source_md5 FROM files",
     "first_sink_slices": f"WITH {_CODE}, s AS (SELECT path, line + 1 AS line FROM code WHERE k < {_CLEAN} QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 10) SELECT 'src/m' || replace(string_split(path, '/')[-1], '.txt', '.py') AS path, count(*) AS slices, CAST(max(line) AS INTEGER) AS last FROM s GROUP BY ALL",
+    "finding_views": f"WITH {_FINDINGS} SELECT seq, 'CWE-' || cwe_id AS cwe, substr(file_path, 5) AS file, CASE WHEN start_line % 2 = 0 THEN 0.9::DOUBLE ELSE 0.12::DOUBLE END AS confidence, CASE source WHEN 'LLM' THEN 'llm-only' ELSE 'rule-only' END AS source, CASE WHEN start_line % 3 = 0 THEN 'loss' END AS impact, md5(context) AS snippet_md5 FROM findings",
+    "job_payloads": f"""WITH {_FINDINGS}, l AS (SELECT coalesce(lang, 'none') AS lang, count(*) AS files, CAST(sum(length(content) % 8 / 4) AS DOUBLE) AS risk_score FROM files GROUP BY 1),
+c AS (SELECT coalesce(lang, 'none') AS lang, severity AS k, count(*) AS n FROM findings GROUP BY 1, 2), s AS (SELECT coalesce(lang, 'none') AS lang, CASE source WHEN 'LLM' THEN 'llm-only' ELSE 'rule-only' END AS k, count(*) AS n FROM findings GROUP BY 1, 2)
+SELECT lang, files, risk_score, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM c WHERE c.lang = l.lang) AS counts, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM s WHERE s.lang = l.lang) AS sources FROM l""",
+    "scan_states": f"WITH {_FILES}, n AS (SELECT length(content) AS n, content FROM files) SELECT CASE WHEN contains(content, '###') THEN 'engine failure' WHEN n % 17 = 0 THEN 'rule error: e' WHEN n < 50 THEN 'failed with status failed' WHEN n % 7 = 0 THEN 'incomplete with status partial' WHEN n % 5 = 0 THEN 'degraded coverage' WHEN n % 11 = 0 THEN 'incomplete with status odd' WHEN n % 13 = 0 THEN 'a report is degraded' END AS reason, count(*) AS files FROM n GROUP BY 1",
     "engine_results": f"""WITH {_FINDINGS}, t AS (SELECT seq % 4 AS k, CASE seq % 4 WHEN 0 THEN 'a.b.tainted-sql-' || rule_id WHEN 1 THEN 'python-weak-hashing' WHEN 2 THEN 'x.' || rule_id ELSE 'py.some-cookie' END AS check_id, *, CASE seq % 4 WHEN 0 THEN 'SQL_INJECTION' WHEN 1 THEN 'USE_OF_WEAK_HASHING_ALGORITHM' WHEN 3 THEN 'SECURE_COOKIE' ELSE CASE cwe_id {' '.join(f"WHEN '{c}' THEN '{t}'" for c, t in fixed.CWE_TYPES.items())} END END AS kind FROM findings),
 s AS (SELECT *, CASE WHEN {_RANK} <= 1 THEN CASE WHEN kind IN {fixed.CRITICAL_TYPES} THEN 'CRITICAL' ELSE 'HIGH' END WHEN severity = 'LOW' THEN 'LOW' ELSE 'MEDIUM' END AS level FROM t WHERE kind IS NOT NULL)
 SELECT kind AS type, level AS severity, 'CWE-' || coalesce(CASE kind {' '.join(f"WHEN '{t}' THEN '{c}'" for t, c in fixed.CANONICAL_CWES.items())} END, cwe_id) AS cwe_id, CASE level {' '.join(f"WHEN '{s}' THEN {v}::DOUBLE" for s, v in fixed.SEVERITY_CVSS.items())} END AS cvss_score, CASE WHEN k = 0 THEN 'Rule ' || check_id || ' matched.' ELSE description END AS description, CASE WHEN k = 1 THEN 'use x' ELSE '' END AS remediation, 'A03:2021' AS owasp_category, count(*) AS n, CAST(sum(start_line + CASE WHEN k = 3 THEN 1 ELSE 0 END) AS BIGINT) AS ends FROM s GROUP BY ALL""",

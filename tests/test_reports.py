@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import fixed, rules
-from fathomline.operators import assembly, chains, evaluation, scoring
+from fathomline.operators import assembly, chains, evaluation, reports, scoring
 from fathomline.sources import cache
 
 
@@ -160,3 +160,37 @@ def test_cache(spark, tmp_path):
 def test_severity_line(spark, rows):
     out = [r["line"] for r in assembly.severity_line(spark.createDataFrame(rows, "severity string").withColumn("f", F.lit(1)), "f").collect()]
     assert out == (["3 finding(s): 2 high, 1 info"] if rows else [])
+
+
+def test_views_and_payload(spark):
+    schema = "scan string, seq long, type string, cwe_id string, severity string, file_path string, start_line int, end_line int, confidence string, source string, description string, context string, impact string, cvss_score double"
+    rows = [("s", 1, "T", "89", "HIGH", "/r/a.py", 1, 2, "high", "LLM", None, None, "", 7.5), ("s", 2, "T", None, "LOW", "b.py", 1, 1, "1.7", "CONFIRMED", "d", "c", "i", None), ("t", 3, "T", "CWE-1", "LOW", "c.py", 1, 1, None, "x", "d", "c", "i", None)]
+    f = spark.createDataFrame(rows, schema)
+    view = reports.finding_view(f, "/r")
+    got = {r["seq"]: r.asDict() for r in view.collect()}
+    assert got[1] == {"seq": 1, "type": "T", "cwe": "CWE-89", "severity": "HIGH", "file": "a.py", "start_line": 1, "end_line": 2, "confidence": 0.9, "source": "llm-only", "description": "", "snippet": "", "cvss": 7.5, "impact": None}
+    assert (got[2]["cwe"], got[2]["confidence"], got[2]["source"], got[3]["confidence"]) == ("CWE-Unknown", 1.0, "confirmed", 0.5)
+    files = spark.createDataFrame([("s", 1.25), ("s", None), ("t", 2.0), ("u", 0.5)], "scan string, risk_score double")
+    out = {r["scan"]: r for r in reports.job_payload(view.join(f.select("seq", "scan"), "seq"), files, "scan").collect()}
+    assert (out["s"]["files"], out["s"]["risk_score"], out["s"]["counts"], out["s"]["sources"]) == (2, 1.25, {"HIGH": 1, "LOW": 1}, {"llm-only": 1, "confirmed": 1})
+    assert out["u"]["counts"] is None
+
+
+def test_scan_states(spark):
+    rows = [("completed", False, False, "", ["completed"]), (None, None, None, None, None), ("failed", False, False, "", []), ("partial", False, False, "", []), ("completed", True, False, "", []), ("odd", False, False, "", []), ("completed", False, True, "x", []), ("completed", False, False, "x", []), ("clean", False, False, "", ["completed", "partial"])]
+    f = spark.createDataFrame(rows, "status string, degraded boolean, engine boolean, error string, reports array<string>")
+    got = [r[0] for r in f.select(reports.failed_or_degraded(*[F.col(c) for c in f.columns])).collect()]
+    assert got == [None, None, "failed with status failed", "incomplete with status partial", "degraded coverage", "incomplete with status odd", "engine failure", "rule error: x", "a report is partial"]
+    assert values(spark, reports.route_category(F.col("t"), ("sqli", "xss")), [("@x('/benchmark/SQLI-00/T1')",), ("/benchmark/other-1/T",), (None,), ("/benchmark/xss/T",)], "t string") == ["sqli", None, None, "xss"]
+
+
+def test_summaries_in_order(spark):
+    s = spark.createDataFrame([("f1", "b", 1), ("f2", "a", 2), ("f3", "z", 3), ("f4", "b", 4), ("f5", None, 5)], "file string, model string, tp int")
+    assert [(r["model"], r["tp"]) for r in reports.ordered_summaries(s, ("z", "b")).orderBy("place").collect()] == [("z", 3), ("b", 4), ("a", 2)]
+
+
+def test_attack_paths(spark):
+    rows = [("s", 1, 1, "A", "LOW", "a.py", 3, 4, "First. more", "Loss. more"), ("s", 1, 2, "B", "HIGH", "b.py", 5, 5, None, "x"), ("s", 1, 3, "C", "INFO", "c.py", 6, 6, "c", None)]
+    members = spark.createDataFrame(rows, "scope string, chain long, seq long, type string, severity string, file_path string, start_line int, end_line int, description string, impact string")
+    pairs = spark.createDataFrame([("s", 1, 2)], "scope string, a long, b long")
+    assert chains.attack_paths(members, pairs).first()["path"].split("\n") == ["Step 1: B (HIGH) at b.py:5", "   by: ", "   so: x", "   leads to the next", "Step 2: A (LOW) at a.py:3-4", "   by: First", "   so: Loss", "   stands beside the next", "Step 3: C (INFO) at c.py:6", "   by: c", "   so: "]
