@@ -13,11 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Places that a window attends to, those of them that are only context, and those it predicts.
-CONTEXT, OVERLAP = 24, 6
+CONTEXT, OVERLAP = 24, 4
 NEW = CONTEXT - OVERLAP
 #: Ids before a text's or chunk's first target: the context and the place that predicts it.
 BEFORE = OVERLAP + 1
-WIDTH, CLASSES = 12, 40
+WIDTH, CLASSES = 8, 32
 _SEEN = np.tril(np.ones((CONTEXT, CONTEXT), dtype=np.float32))[OVERLAP:]
 _LARGE = 1 << 22  # cells of a softmax at a time
 
@@ -219,7 +219,7 @@ class Trainer:
         for move in moves:
             self._move(*move)
 
-    def run(self, flat: np.ndarray, begins: np.ndarray, batch: int = 256) -> None:
+    def run(self, flat: np.ndarray, begins: np.ndarray, batch: int = 384) -> None:
         """One pass over a layout's windows in turn."""
         _, first, real = windows(begins)
         for lo in range(0, len(first), batch):

@@ -28,7 +28,7 @@ from fathomline.llm.text import release, slices
 from fathomline.llm.wordpieces import gather, split_words, word_pieces
 
 #: Most words, the commonest, whose counts go to every task; the others are joined.
-COMMON = 100_000
+COMMON = 400_000
 #: Averaging rounds of training, ids of a chunk (whole windows) and of a shard.
 ROUNDS, CHUNK, SHARD = 3, attention.NEW * 64, 4 << 20
 #: Slices of the weights that are averaged apart, and parts that one group of a slice sums.
@@ -68,24 +68,27 @@ def _subwords(tokenizer: str):
     return run
 
 
-def _places(batch: pa.RecordBatch, tokenizer: str, known: attention.Vocabulary) -> list[np.ndarray]:
+def kind(size: int) -> str:
+    """How ids and places of a vocabulary with its end are written."""
+    return "<u2" if size < 1 << 16 else "<u4"
+
+
+def _places(batch: pa.RecordBatch, known: attention.Vocabulary) -> list[np.ndarray]:
     """Each text's subwords and its end, as places."""
-    ids, offsets = word_pieces(tokenizer).of_texts(batch.column("text"))
-    places, end = known.place[ids], known.place[-1:]
-    return [np.concatenate((places[a:b], end)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    end = known.place[-1:]
+    return [np.concatenate((known.place[np.frombuffer(x.as_buffer(), kind(known.size))], end)) for x in batch.column("ids")]
 
 
-def _chunks(tokenizer: str, told, shards: int):
+def _chunks(told, shards: int):
     """Chunks of each training text, each with the places before it: shard, order and places."""
-    kind = "<u2" if told.value.size < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = told.value
         before = np.full(attention.BEFORE, known.start, dtype=np.int32)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "ids", SLICE):
             rows = []
-            for text in _places(batch, tokenizer, known):
-                whole = np.concatenate((before, text)).astype(kind)
+            for text in _places(batch, known):
+                whole = np.concatenate((before, text)).astype(kind(known.size))
                 key = hashlib.blake2b(whole.tobytes(), digest_size=8).digest()
                 for k, at in enumerate(range(0, len(text), CHUNK)):
                     order = hashlib.blake2b(key + k.to_bytes(8, "little"), digest_size=8).digest()
@@ -100,9 +103,8 @@ def _train(told, weights):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         release()  # what the shard before has left
         known = told.value
-        kind = "<u2" if known.size < 1 << 16 else "<u4"
         shard = shard.sort_values(["order", "places"], kind="stable")
-        chunks = [np.frombuffer(x, kind).astype(np.int32) for x in shard["places"]]
+        chunks = [np.frombuffer(x, kind(known.size)).astype(np.int32) for x in shard["places"]]
         begins = np.concatenate(([0], np.cumsum([len(x) for x in chunks])))
         trainer = attention.Trainer(attention.Weights(weights.value, known), known)
         trainer.run(np.concatenate(chunks), begins)
@@ -116,22 +118,22 @@ def _train(told, weights):
 def _sum(group: pd.DataFrame) -> pd.DataFrame:
     """The sum of a slice's parts, in the order of their shards."""
     group = group.sort_values("shard", kind="stable")
-    total = [sum(np.frombuffer(x, kind).astype(np.float64) for x in group[c]).astype(kind).tobytes() for c, kind in (("rows", np.float32), ("used", np.float64))]
+    total = [sum(np.frombuffer(x, t).astype(np.float64) for x in group[c]).astype(t).tobytes() for c, t in (("rows", np.float32), ("used", np.float64))]
     return pd.DataFrame({"part": group["part"].iloc[:1], "shard": group["shard"].iloc[:1] // FAN, "rows": total[:1], "used": total[1:]})
 
 
 _PARTS = "part int, shard long, rows binary, used binary"
 
 
-def fit(training: DataFrame, known: attention.Vocabulary, tokenizer: str, tokens: int, rounds: int = ROUNDS, shard: int = SHARD) -> np.ndarray:
-    """The model's weights; training: doc_id, text; tokens: how many subwords and ends the training texts have."""
+def fit(training: DataFrame, known: attention.Vocabulary, tokens: int, rounds: int = ROUNDS, shard: int = SHARD) -> np.ndarray:
+    """The model's weights; training: doc_id, ids (of the text's subwords); tokens: how many subwords and ends the training texts have."""
     context = training.sparkSession.sparkContext
     weights, told = attention.Weights.initial(known).rows, context.broadcast(known)
     shards = max(1, math.ceil(tokens / rounds / shard))
     for r in range(rounds):
         common = context.broadcast(weights)
-        part = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
-        made = part.mapInArrow(_chunks(tokenizer, told, shards), "shard long, order binary, places binary").groupBy("shard").applyInPandas(_train(told, common), _PARTS)
+        part = training.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(rounds)) == r).select("ids")
+        made = part.mapInArrow(_chunks(told, shards), "shard long, order binary, places binary").groupBy("shard").applyInPandas(_train(told, common), _PARTS)
         left = shards
         while left > 1:  # a tree, so no group has more than FAN parts
             made, left = made.groupBy("part", F.floor(F.col("shard") / FAN)).applyInPandas(_sum, _PARTS), math.ceil(left / FAN)
@@ -168,10 +170,9 @@ def vocabulary(counts: DataFrame, tokenizer: str) -> tuple[attention.Vocabulary,
 _REST = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
 
-def _base(batch: pa.RecordBatch, common: pa.Array, logs: np.ndarray, end: float) -> list[pa.Array]:
+def _base(words: pa.Array, codes: np.ndarray, first: np.ndarray, common: pa.Array, logs: np.ndarray, end: float) -> list[pa.Array]:
     """n_tokens, n_known and the sum of logs over common words; the other words of each text with their counts."""
-    words, codes, first = split_words(pc.ascii_lower(batch.column("text")))
-    n = batch.num_rows
+    n = len(first) - 1
     owner = np.repeat(np.arange(n), np.diff(first))
     found = pc.fill_null(pc.index_in(words.cast(pa.binary()), common), -1).to_numpy()[codes] if len(words) else np.empty(0, np.int64)
     common_word = found >= 0
@@ -184,6 +185,27 @@ def _base(batch: pa.RecordBatch, common: pa.Array, logs: np.ndarray, end: float)
     return [pa.array(np.diff(first) + 1), pa.array(known + ended), pa.array(total + (end if ended else 0.0)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)]
 
 
+_BASE = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs"]
+
+
+def _read(tokenizer: str, told):
+    """Each text's base columns and the ids of its subwords, its words split once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, logs, end = told.value
+        pieces, common = word_pieces(tokenizer), pa.array(words, pa.binary())
+        for batch in slices(batches, "text", SLICE):
+            split = split_words(pc.ascii_lower(batch.column("text")))
+            ids, begins = gather(*pieces.of_words(split[0]), split[1])
+            ids = ids.astype(kind(pieces.vocabulary + 1))
+            cuts = (begins[split[2]] * ids.itemsize).astype(np.int32)
+            whole = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+            tokens, some, sums, rest = _base(*split, common, logs, end)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _BASE[:3]), tokens, some, sums, rest.cast(_REST), whole], names=[*_BASE, "rest", "ids"])
+
+    return run
+
+
 def score(docs: DataFrame, tokenizer: str, common: int = COMMON) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of `docs`.
 
@@ -193,30 +215,31 @@ def score(docs: DataFrame, tokenizer: str, common: int = COMMON) -> DataFrame:
     counts are 0 and the model is uniform.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    training = docs.where(~held_out(F.col("doc_id")))
-    counts = stored(word_counts(training))
+    spark = docs.sparkSession
+    counts = stored(word_counts(docs.where(~held_out(F.col("doc_id")))))
     size = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = int(size[0] or 0), int(size[1])
-    known, subwords = vocabulary(counts, tokenizer)
-    weights = fit(training, known, tokenizer, subwords)
     frequent = sorted((bytes(r["word"]), r["n"]) for r in _commonest(counts.where("word <> X''"), common).collect())
     ends = counts.where("word = X''").agg(F.sum("n")).first()[0]
-    told = docs.sparkSession.sparkContext.broadcast((weights, known, [w for w, _ in frequent], np.log10(np.array([n for _, n in frequent], dtype=np.float64) + 1), math.log10(ends + 1) if ends else -math.inf))
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rest"]
+    words = spark.sparkContext.broadcast(([w for w, _ in frequent], np.log10(np.array([n for _, n in frequent], dtype=np.float64) + 1), math.log10(ends + 1) if ends else -math.inf))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    # written once, so the row numbers stay and texts get their ids once
+    read = stored(numbered.mapInArrow(_read(tokenizer, words), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, rest array<struct<word: binary, n: long>>, ids binary"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known, words, logs, end = told.value
-        scorer, words = attention.Scorer(attention.Weights(weights, known), known), pa.array(words, pa.binary())
-        for batch in slices(batches, "text", SLICE):
-            scores = scorer.score(*attention.layout(_places(batch, tokenizer, known), known))
-            tokens, some, sums, rest = _base(batch, words, logs, end)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), tokens, some, sums, pa.array(scores, pa.float64()), rest.cast(_REST)], names=names)
+    known, subwords = vocabulary(counts, tokenizer)
+    told = spark.sparkContext.broadcast((fit(read.where("not held_out").select("doc_id", "ids"), known, subwords), known))
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = stored(numbered.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<struct<word: binary, n: long>>"))  # written once, so the row numbers stay
-    rest = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, known = told.value
+        scorer = attention.Scorer(attention.Weights(weights, known), known)
+        for batch in slices(batches, "ids", SLICE):
+            scores = scorer.score(*attention.layout(_places(batch, known), known))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _BASE), pa.array(scores, pa.float64())], names=[*_BASE, "score"])
+
+    scored = read.select(*_BASE, "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    rest = read.select("row", F.explode("rest").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     rest = rest.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    out = scored.drop("rest").join(rest, "row", "left")
+    out = scored.join(rest, "row", "left")
     zero = F.lit(0)
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"), "score")
 

@@ -571,7 +571,10 @@ def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
     monkeypatch.setattr(lm_scoring, "CHUNK", attention.NEW * 2)
     monkeypatch.setattr(lm_scoring, "FAN", 3)
     known, tokens = lm_scoring.vocabulary(lm_scoring.word_counts(docs), packing.default_tokenizer())
-    made = [lm_scoring.fit(docs.select("doc_id", "text").repartition(n, "doc_id"), known, packing.default_tokenizer(), tokens, shard=1000) for n in (1, 6)]
+    pieces = word_pieces(packing.default_tokenizer())
+    rows = [(r["doc_id"], bytearray(pieces.of_texts(pa.array([r["text"]], pa.string()))[0].astype("<u2").tobytes())) for r in docs.collect()]
+    read = docs.sparkSession.createDataFrame(rows, "doc_id long, ids binary")
+    made = [lm_scoring.fit(read.repartition(n, "doc_id"), known, tokens, shard=1000) for n in (1, 6)]
     assert (made[0] == made[1]).all() and not (made[0] == attention.Weights.initial(known).rows).all()
 
 
@@ -582,7 +585,7 @@ def test_training_helps_on_held_out_texts(spark, monkeypatch):
         return lm_scoring.score(docs, packing.default_tokenizer()).where("held_out").agg(F.sum("score")).first()[0]
 
     taught = held_out()
-    monkeypatch.setattr(lm_scoring, "fit", lambda training, known, tokenizer, tokens: attention.Weights.initial(known).rows)
+    monkeypatch.setattr(lm_scoring, "fit", lambda training, known, tokens: attention.Weights.initial(known).rows)
     assert taught > 0.8 * held_out()
 
 
@@ -683,8 +686,9 @@ def test_every_token_is_trained_once(monkeypatch):
     words = [" ".join(f"w{k * k % 97} tree" for k in range(n)) for n in (0, 1, 9, 40, 700)]
     tokenizer, met = packing.default_tokenizer(), []
     known = attention.vocabulary(np.zeros(word_pieces(tokenizer).vocabulary + 1, dtype=np.int64))
-    batch = pa.RecordBatch.from_arrays([pa.array(words)], names=["text"])
-    texts = lm_scoring._places(batch, tokenizer, known)
+    ids, offsets = word_pieces(tokenizer).of_texts(pa.array(words))
+    batch = pa.RecordBatch.from_arrays([pa.array([ids[a:b].astype(lm_scoring.kind(known.size)).tobytes() for a, b in itertools.pairwise(offsets)], pa.binary())], names=["ids"])
+    texts = lm_scoring._places(batch, known)
 
     class Told:
         value = known
@@ -693,7 +697,7 @@ def test_every_token_is_trained_once(monkeypatch):
         value = attention.Weights.initial(known).rows
 
     monkeypatch.setattr(attention.Trainer, "step", lambda self, flat, first, real: met.append(attention._take(flat, first, real)))
-    rows = pa.Table.from_batches(lm_scoring._chunks(tokenizer, Told, 3)(iter([batch]))).to_pandas()
+    rows = pa.Table.from_batches(lm_scoring._chunks(Told, 3)(iter([batch]))).to_pandas()
     for _, shard in rows.groupby("shard"):
         lm_scoring._train(Told, Common)(shard)
     got = collections.Counter()
