@@ -192,8 +192,8 @@ def _read(tokenizer: str, told):
     """Each text's base columns and the ids of its subwords, its words split once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, logs, end = told.value
-        pieces, common = word_pieces(tokenizer), pa.array(words, pa.binary())
+        common, logs, end = told.value
+        pieces = word_pieces(tokenizer)
         for batch in slices(batches, "text", SLICE):
             split = split_words(pc.ascii_lower(batch.column("text")))
             ids, begins = gather(*pieces.of_words(split[0]), split[1])
@@ -219,9 +219,9 @@ def score(docs: DataFrame, tokenizer: str, common: int = COMMON) -> DataFrame:
     counts = stored(word_counts(docs.where(~held_out(F.col("doc_id")))))
     size = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = int(size[0] or 0), int(size[1])
-    frequent = sorted((bytes(r["word"]), r["n"]) for r in _commonest(counts.where("word <> X''"), common).collect())
+    frequent = _commonest(counts.where("word <> X''"), common).select("word", "n").toArrow().sort_by("word")  # at most `common` rows
     ends = counts.where("word = X''").agg(F.sum("n")).first()[0]
-    words = spark.sparkContext.broadcast(([w for w, _ in frequent], np.log10(np.array([n for _, n in frequent], dtype=np.float64) + 1), math.log10(ends + 1) if ends else -math.inf))
+    words = spark.sparkContext.broadcast((pa.array(frequent["word"].combine_chunks()), np.log10(frequent["n"].to_numpy() + 1.0), math.log10(ends + 1) if ends else -math.inf))
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     # written once, so the row numbers stay and texts get their ids once
     read = stored(numbered.mapInArrow(_read(tokenizer, words), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, rest array<struct<word: binary, n: long>>, ids binary"))
