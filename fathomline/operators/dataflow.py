@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
@@ -30,14 +30,17 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], limit: in
             # whether the rows of the last step lead on at all
             return found, step(new).select(*keys).join(found, keys, "left_anti")
         steps = STEPS if limit is None else min(STEPS, limit - taken)
-        reached = [new]
-        for _ in range(steps):
-            reached.append(step(reached[-1]).select(*keys).distinct())
-        more = reached[1]
-        for r in reached[2:]:
+        rows, reached = new, []
+        for k in range(steps):
+            rows = step(rows).select(*keys).distinct()
+            reached.append(rows.withColumn("__step", F.lit(k + 1)))
+        more = reached[0]
+        for r in reached[1:]:
             more = more.unionByName(r)
-        new = stored(more.distinct().join(found, keys, "left_anti"))
-        found = found.unionByName(new)
+        fresh = stored(more.groupBy(*keys).agg(F.min("__step").alias("__step")).join(found, keys, "left_anti"))
+        found = found.unionByName(fresh.drop("__step"))
+        # rows of earlier steps have taken theirs already
+        new = fresh.where(F.col("__step") == steps).drop("__step")
         taken += steps
     return found, new
 
@@ -68,55 +71,57 @@ def aliases(flow: DataFrame) -> DataFrame:
     return of.join(of.withColumnRenamed("name", "other"), ["path", "scope", "root"]).select("path", "scope", "name", "other")
 
 
-def _bindings(flow: DataFrame) -> DataFrame:
-    """path, scope, block, node, name, read, strong: what each node binds.  A change of an object through one name changes it for all its aliases."""
-    nodes = flow.where("kind = 'node'")
-    keys = ["path", "scope", "block", "node"]
-    strong = nodes.select(*keys, F.explode("binds").alias("name"))
-    weak = stored(nodes.select(*keys, F.explode("weak").alias("name")))
+def _bindings(nodes: DataFrame) -> DataFrame:
+    """block, node, name, strong: what each node binds.  A change of an object through one name changes it for all its aliases."""
+    strong = nodes.select("block", "node", F.explode("binds").alias("name"), F.lit(True).alias("strong"))
+    weak = stored(nodes.select("path", "scope", "block", "node", F.explode("weak").alias("name")))
     # only scopes in which something changes need their aliases
-    touched = flow.join(weak.select("path", "scope").distinct(), ["path", "scope"], "left_semi")
-    others = weak.join(aliases(touched), ["path", "scope", "name"]).select(*keys, F.col("other").alias("name"))
-    return strong.withColumn("strong", F.lit(True)).unionByName(weak.unionByName(others).withColumn("strong", F.lit(False))).groupBy(*keys, "name").agg(F.bool_or("strong").alias("strong"))
+    touched = nodes.where("aliases is not null").join(weak.select("path", "scope").distinct(), ["path", "scope"], "left_semi")
+    others = weak.join(aliases(touched), ["path", "scope", "name"]).select("block", "node", F.col("other").alias("name"))
+    both = weak.select("block", "node", "name").unionByName(others).distinct().withColumn("strong", F.lit(False))
+    return strong.unionByName(both).groupBy("block", "node", "name").agg(F.bool_or("strong").alias("strong"))
 
 
 def reaching_definitions(flow: DataFrame, limit: int | None = None, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """DF-05: (path, scope, node, name, def) for each read of a name and each node whose binding of it may still hold there; and the scopes (path, scope) that `limit` steps left unfinished.
+    """DF-05: (node, name, def) for each read of a name and each node whose binding of it may still hold there; and the scopes (path, scope) that `limit` steps left unfinished.
 
-    Inside a block the last binding before a read hides all others.  Between
-    blocks, what leaves a block enters those that may follow, and leaves them too
-    unless they bind the name; names that no later block reads do not travel.
-    also: further (path, node, name) whose definitions are asked for.
+    flow: stored control-flow rows.  Inside a block the last binding before a read
+    hides all others.  Between blocks, what leaves a block enters those that may
+    follow, and leaves them too unless they bind the name; names that no block
+    reads from outside do not travel.  also: further (node, name) whose definitions
+    are asked for.
     """
     nodes = flow.where("kind = 'node'")
-    edges = stored(flow.where("kind = 'edge'").select("path", "block", F.col("next")))
-    binds = stored(_bindings(flow))
-    kills = stored(nodes.select("path", "block", "node", F.explode("kills").alias("name")))
-    reads = nodes.select("path", "scope", "block", "node", F.explode("reads").alias("name"))
+    edges = stored(flow.where("kind = 'edge'").select("block", "next"))
+    binds = stored(_bindings(nodes))
+    kills = stored(nodes.select("block", "node", F.explode(F.coalesce("kills", "binds")).alias("name")))
+    reads = nodes.select("block", "node", F.explode("reads").alias("name"))
     if also is not None:
-        reads = reads.unionByName(nodes.select("path", "scope", "block", "node").join(also, ["path", "node"])).distinct()
-    reads = stored(reads)
-
-    same = ["path", "block", "name"]
-    last = reads.join(kills.withColumnRenamed("node", "k"), same).where("k < node").groupBy("path", "node", "name").agg(F.max("k").alias("last"))
-    seen = reads.join(last, ["path", "node", "name"], "left")
+        reads = reads.unionByName(nodes.select("block", "node").join(also, "node")).distinct()
+
+    # in a block, by position: the last kill before a read, and whether one follows a binding
+    order = Window.partitionBy("block", "name").orderBy("node", "what")
+    events = reads.select("block", "name", "node", F.lit(0).alias("what")).unionByName(kills.select("block", "name", "node", F.lit(1).alias("what")))
+    seen = events.withColumn("last", F.last(F.when(F.col("what") == 1, F.col("node")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    seen = stored(seen.where("what = 0").select("block", "node", "name", "last"))
+    same = ["block", "name"]
     made = binds.select(*same, F.col("node").alias("def"))
-    inside = seen.join(made, same).where("def < node and (last is null or def >= last)").select("path", "scope", "node", "name", "def")
+    inside = seen.join(made, same).where("def < node and (last is null or def >= last)").select("node", "name", "def")
 
-    exposed = stored(seen.where("last is null").select("path", "scope", "block", "node", "name"))
+    exposed = stored(seen.where("last is null").select("block", "node", "name"))
     ends = kills.groupBy(*same).agg(F.max("node").alias("last"))
-    wanted = exposed.select("path", "scope", "name").distinct()
-    leaves = binds.join(wanted, ["path", "scope", "name"], "left_semi").join(ends, same, "left").where("last is null or node >= last").select(*same, F.col("node").alias("def"))
+    stops = stored(ends)
+    leaves = binds.join(stops, same, "left").where("last is null or node >= last").select(*same, F.col("node").alias("def"))
     # what enters a block: at first what leaves the blocks before it
-    enters = leaves.join(edges, ["path", "block"]).select("path", F.col("next").alias("block"), "name", "def")
-    stops = stored(ends.select(*same))
+    enters = leaves.join(edges, "block").select(F.col("next").alias("block"), "name", "def")
+    passing = stops.select(*same)
 
     def step(rows: DataFrame) -> DataFrame:
-        return rows.join(stops, same, "left_anti").join(edges, ["path", "block"]).select("path", F.col("next").alias("block"), "name", "def")
+        return rows.join(passing, same, "left_anti").join(edges, "block").select(F.col("next").alias("block"), "name", "def")
 
     entering, open_ = fixpoint(enters, step, limit)
-    across = exposed.join(entering, same).select("path", "scope", "node", "name", "def")
-    unfinished = open_.join(nodes.select("path", "scope", "block").distinct(), ["path", "block"]).select("path", "scope").distinct()
+    across = exposed.join(entering, same).select("node", "name", "def")
+    unfinished = open_.select("block").distinct().join(nodes.select("path", "scope", "block"), "block").select("path", "scope").distinct()
     return stored(inside.unionByName(across).distinct()), stored(unfinished)
 
 
@@ -158,50 +163,58 @@ def flow_slices(flow: DataFrame, sinks: DataFrame, limit: int | None = None, sin
     Without a name, the arguments of the calls on the sink's line are tracked, with
     callees that are plain names, or all reads where it calls nothing.
     """
-    nodes = flow.where("kind = 'node'")
     named = "name" in sinks.columns
     asked = stored(sinks.select("path", F.col("line").alias("sink_line"), *(["name"] if named else [])).where("path is not null and sink_line is not null").distinct())
-    near = asked.select("path", "sink_line").distinct().join(nodes, "path").where("sink_line between line and end_line")
+    places = asked.select("path", "sink_line").distinct()
+    every, errors = flow.where("kind = 'node'"), flow.where("kind = 'error'")
+    near = places.join(every, "path").where("sink_line between line and end_line")
     # the narrowest node around the line, with its copies in finally bodies
     span = F.struct((F.col("end_line") - F.col("line")).alias("size"), (-F.col("line")).alias("later"))
-    at = stored(near.select("path", "sink_line", "node", "scope", "reads", "arguments", "calls", "control", span.alias("span")))
+    at = near.select("path", "sink_line", "node", "scope", F.coalesce("arguments", "reads").alias("arguments"), "calls", span.alias("span"))
     best = at.groupBy("path", "sink_line").agg(F.min("span").alias("span"))
-    at = stored(at.join(best, ["path", "sink_line", "span"]).drop("span"))
+    # from here on a sink is its row's number
+    at = stored(at.join(best, ["path", "sink_line", "span"]).drop("span").withColumn("sink", F.monotonically_increasing_id()))
+    first = stored(at.groupBy("path", "sink_line").agg(F.min("sink").alias("sink")))
+    at = stored(at.drop("sink").join(first, ["path", "sink_line"]))
 
-    tracked = at.join(asked, ["path", "sink_line"]).select("path", "sink_line", "node", "name") if named else at.select("path", "sink_line", "node", F.explode("arguments").alias("name"))
-    reach, unfinished = reaching_definitions(flow, limit, tracked.select("path", "node", "name").distinct() if named else None)
-    of = nodes.select("path", F.col("node").alias("def"), "flows", F.col("reads").alias("all"))
+    # scopes without a sink need no definitions
+    flow = stored(flow.join(at.select("path", "scope").distinct(), ["path", "scope"], "left_semi"))
+    nodes = flow.where("kind = 'node'")
+    tracked = at.join(asked, ["path", "sink_line"]).select("sink", "node", "name") if named else at.select("sink", "node", F.explode("arguments").alias("name"))
+    reach, unfinished = reaching_definitions(flow, limit, tracked.select("node", "name").distinct() if named else None)
+    of = nodes.select(F.col("node").alias("def"), "flows", F.coalesce("reads", F.array().cast("array<string>")).alias("all"))
     # the reads behind a binding of `name`: those mapped to it, or all
     feeds = F.when(F.col("flows").isNull(), F.col("all")).otherwise(F.transform(F.filter("flows", lambda p: p["a"] == F.col("name")), lambda p: p["b"]))
-    back = reach.join(of, ["path", "def"]).select("path", "node", "name", "def", F.explode(F.array_union(feeds, F.array(F.lit("")))).alias("read"))
+    back = reach.join(of, "def").select("node", "name", "def", F.explode(F.array_union(feeds, F.array(F.lit("")))).alias("read"))
     # an empty name stands for the node itself: it is in the slice, and so is what it stands in
-    control = nodes.where("control is not null").select("path", "node", F.col("control").alias("def"))
-    guards = control.join(of, ["path", "def"]).select("path", "node", F.lit("").alias("name"), "def", F.explode(F.array_union("all", F.array(F.lit("")))).alias("read"))
+    control = nodes.where("control is not null").select("node", F.col("control").alias("def"))
+    guards = control.join(of, "def").select("node", F.lit("").alias("name"), "def", F.explode(F.array_union("all", F.array(F.lit("")))).alias("read"))
     steps = stored(back.unionByName(guards))
-
-    start = at.select("path", "sink_line", "node", F.lit("").alias("name")).unionByName(tracked)
+    start = at.select("sink", "node", F.lit("").alias("name")).unionByName(tracked)
 
     def step(rows: DataFrame) -> DataFrame:
-        return rows.join(steps, ["path", "node", "name"]).select("path", "sink_line", F.col("def").alias("node"), F.col("read").alias("name"))
+        return rows.join(steps, ["node", "name"]).select("sink", F.col("def").alias("node"), F.col("read").alias("name"))
 
     found, open_ = fixpoint(start, step, limit)
-    picked = stored(found.select("path", "sink_line", "node").distinct().join(nodes.select("path", "node", "line", "end_line", "type", "calls", "mutates", "scope"), ["path", "node"]))
+    own = at.select("sink", "node", F.lit(True).alias("own"))
+    picked = found.where("name = ''").select("sink", "node").join(own, ["sink", "node"], "left").join(nodes.select("node", "line", "end_line", "type", "calls", "mutates"), "node")
+    picked = stored(picked)
 
-    own = at.select("path", "sink_line", "node", F.lit(True).alias("sink"))
-    called = picked.join(own, ["path", "sink_line", "node"], "left").select("path", "sink_line", F.explode(F.transform("calls", lambda c: F.struct(c.alias("call"), F.col("sink").alias("sink")))).alias("c")).select("path", "sink_line", "c.*")
     # on the sink's line its own call is the sink; only dynamic calls there are hazards
-    hazards = called.select("path", "sink_line", F.explode(call_hazards(F.col("call"), sink_names)).alias("hazard"), "sink").where("sink is null or hazard like 'dynamic%' or hazard = 'alias_escape'").drop("sink")
-    changed = picked.where("mutates is not null").select("path", "sink_line", F.explode(F.array(F.concat(F.lit("alias_escape:"), "mutates"), F.lit("alias_escape"))).alias("hazard"))
-    callee = at.select("path", "sink_line", "node", F.explode("calls").alias("name")).join(reach.select("path", "node", "name", "def"), ["path", "node", "name"]).join(nodes.select("path", F.col("node").alias("def"), "type"), ["path", "def"])
-    callee = callee.where("type in ('entry', 'FunctionDef', 'AsyncFunctionDef')").select("path", "sink_line", F.concat(F.when(F.col("type") == "entry", "dynamic_dispatch:").otherwise("interprocedural_call:"), "name").alias("hazard"))
+    called = picked.where("calls is not null").select("sink", "own", F.explode("calls").alias("call"))
+    hazards = called.select("sink", "own", F.explode(call_hazards(F.col("call"), sink_names)).alias("hazard")).where("own is null or hazard like 'dynamic%' or hazard = 'alias_escape'").drop("own")
+    changed = picked.where("mutates is not null").select("sink", F.explode(F.array(F.concat(F.lit("alias_escape:"), "mutates"), F.lit("alias_escape"))).alias("hazard"))
+    callee = at.select("sink", "node", F.explode("calls").alias("name")).join(reach, ["node", "name"]).join(nodes.select(F.col("node").alias("def"), "type"), "def")
+    callee = callee.where("type in ('entry', 'FunctionDef', 'AsyncFunctionDef')").select("sink", F.concat(F.when(F.col("type") == "entry", "dynamic_dispatch:").otherwise("interprocedural_call:"), "name").alias("hazard"))
     budget = F.lit("fixpoint_iteration_budget_exceeded").alias("hazard")
-    cut = at.select("path", "sink_line", "scope").join(unfinished, ["path", "scope"], "left_semi").select("path", "sink_line", budget).unionByName(open_.select("path", "sink_line", budget))
-    every = hazards.unionByName(changed).unionByName(callee).unionByName(cut).groupBy("path", "sink_line").agg(F.array_sort(F.collect_set("hazard")).alias("hazards"))
+    cut = at.join(unfinished, ["path", "scope"], "left_semi").select("sink", budget).unionByName(open_.select("sink", budget))
+    told = hazards.unionByName(changed).unionByName(callee).unionByName(cut).groupBy("sink").agg(F.array_sort(F.collect_set("hazard")).alias("hazards"))
 
-    lines = picked.groupBy("path", "sink_line").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    broken = flow.where("kind = 'error'").select("path", F.concat(F.lit("syntax_error: "), "type").alias("broken")).groupBy("path").agg(F.min("broken").alias("broken"))
-    states = asked.select("path", "sink_line").distinct().join(lines, ["path", "sink_line"], "left").join(every, ["path", "sink_line"], "left").join(broken, "path", "left")
+    lines = picked.groupBy("sink").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    known = first.join(lines, "sink").join(told, "sink", "left").select("path", "sink_line", "lines", "hazards")
+    broken = errors.select("path", F.concat(F.lit("syntax_error: "), "type").alias("broken")).groupBy("path").agg(F.min("broken").alias("broken"))
+    states = places.join(known, ["path", "sink_line"], "left").join(broken, "path", "left")
     status = F.when(F.col("lines").isNull(), "failed").when(F.col("hazards").isNull(), "complete").otherwise("partial")
     reason = F.when(F.col("lines").isNull(), F.coalesce("broken", F.lit("sink_line_not_found"))).when(F.col("hazards").isNull(), "backward_slice_complete").otherwise(F.array_join("hazards", "; "))
     states = states.select("path", "sink_line", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"), status.alias("status"), reason.alias("reason"))
-    return picked.select("path", "sink_line", "node", "line", "end_line", "type"), states
+    return picked.join(first, "sink").select("path", "sink_line", "node", "line", "end_line", "type"), states

@@ -3,7 +3,9 @@
 A small helper turns each function, class body and module of one file into nodes
 and edges; definitions and slices are found by joins over the rows
 (fathomline.operators.dataflow).  Nodes that can only run one after the other
-share a block, named by its first node, and edges join blocks.
+share a block, named by its first node, and edges join blocks.  Numbers of nodes
+are unique over all files of one flow_rows; what is empty is null, and so are
+kills that are the binds and arguments that are the reads.
 
 break, continue, return and raise end their path.  Any statement of a try body
 may raise before or after it binds; a bare except that comes first catches all.  A finally body has
@@ -18,12 +20,13 @@ import ast
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 _PAIR = "array<struct<a:string,b:string>>"
-SCHEMA = f"path string, scope string, kind string, node int, block int, line int, end_line int, type string, binds array<string>, weak array<string>, kills array<string>, reads array<string>, arguments array<string>, flows {_PAIR}, control int, calls array<string>, mutates string, aliases {_PAIR}, next int"
+SCHEMA = f"path string, scope string, kind string, node long, block long, line int, end_line int, type string, binds array<string>, weak array<string>, kills array<string>, reads array<string>, arguments array<string>, flows {_PAIR}, control long, calls array<string>, mutates string, aliases {_PAIR}, next long"
 _STRINGS, _PAIRS = pa.list_(pa.string()), pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))
-_ARROW = pa.schema([("path", pa.string()), ("scope", pa.string()), ("kind", pa.string()), ("node", pa.int32()), ("block", pa.int32()), ("line", pa.int32()), ("end_line", pa.int32()), ("type", pa.string()), ("binds", _STRINGS), ("weak", _STRINGS), ("kills", _STRINGS), ("reads", _STRINGS), ("arguments", _STRINGS), ("flows", _PAIRS), ("control", pa.int32()), ("calls", _STRINGS), ("mutates", pa.string()), ("aliases", _PAIRS), ("next", pa.int32())])
+_ARROW = pa.schema([("path", pa.string()), ("scope", pa.string()), ("kind", pa.string()), ("node", pa.int64()), ("block", pa.int64()), ("line", pa.int32()), ("end_line", pa.int32()), ("type", pa.string()), ("binds", _STRINGS), ("weak", _STRINGS), ("kills", _STRINGS), ("reads", _STRINGS), ("arguments", _STRINGS), ("flows", _PAIRS), ("control", pa.int64()), ("calls", _STRINGS), ("mutates", pa.string()), ("aliases", _PAIRS), ("next", pa.int64())])
 
 # Methods that change the object they are called on.
 MUTATING = ("append", "extend", "insert", "add", "update", "setdefault", "pop", "popitem", "remove", "discard", "clear", "sort", "reverse", "__setitem__", "write", "writelines")
@@ -127,9 +130,11 @@ class Graph:
         calls = [c for e in given for c in ast.walk(e) if isinstance(c, ast.Call)]
         # what a call gets, and a callee that is a plain name: another binding may stand for it
         inside = set().union(*(loads(a) for c in calls for a in [c.func if isinstance(c.func, ast.Name) else None, *c.args, *(k.value for k in c.keywords)])) if calls else set(reads)
+        # where all that is bound comes from all that is read, no pairs are needed
+        split = flows is not None and len(set(flows)) != len(set(strong) | set(weak)) * len(set(reads))
         line = getattr(at, "lineno", 1)
         end = max([line, *(e.end_lineno or line for e in given)]) if head else getattr(at, "end_lineno", line)
-        self.nodes.append({"path": self.path, "scope": self.scope, "kind": "node", "node": node, "line": line, "end_line": end, "type": kind or type(at).__name__, "binds": sorted(set(strong)), "weak": sorted(set(weak) - set(strong)), "reads": sorted(set(reads)), "arguments": sorted(inside), "flows": None if flows is None else [{"a": a, "b": b} for a, b in sorted(set(flows))], "control": control, "calls": sorted({dotted(c.func) for c in calls if mutates is None or c is not given[0]}), "mutates": mutates, "aliases": [{"a": a, "b": b} for a, b in sorted(set(aliases)) if a != b]})
+        self.nodes.append({"path": self.path, "scope": self.scope, "kind": "node", "node": node, "line": line, "end_line": end, "type": kind or type(at).__name__, "binds": sorted(set(strong)) or None, "weak": sorted(set(weak) - set(strong)) or None, "reads": sorted(set(reads)) or None, "arguments": sorted(inside) if calls else None, "flows": [{"a": a, "b": b} for a, b in sorted(set(flows))] if flows is not None and split else None, "control": control, "calls": sorted({dotted(c.func) for c in calls if mutates is None or c is not given[0]}) or None, "mutates": mutates, "aliases": [{"a": a, "b": b} for a, b in sorted(set(aliases)) if a != b] or None})
         self.edges |= {(p, node) for p in incoming}
         self.raising[-1].append(node)
         return node
@@ -303,24 +308,27 @@ class Graph:
         for a, b in self.edges:
             before[b].add(a)
             after[a].add(b)
-        names = {x for n in self.nodes for x in [*n["reads"], *n["binds"]] if "." in x}
+        names = {x for n in self.nodes for x in [*(n["reads"] or ()), *(n["binds"] or ())] if "." in x}
         block: dict[int, int] = {}
         for n in self.nodes:  # a node's only predecessor comes before it, but for a loop's header, which has two
             at = n["node"]
             joined = len(before[at]) == 1 and (p := next(iter(before[at]))) < at and len(after[p]) == 1
             block[at] = block[p] if joined else at
-            yield n | {"block": block[at], "kills": sorted({*n["binds"], *(x for x in names if any(x.startswith(f"{b}.") for b in n["binds"]))})}
+            inner = [x for x in names if any(x.startswith(f"{b}.") for b in n["binds"] or ())] if names else []
+            n["block"] = block[at]
+            n["kills"] = sorted({*n["binds"], *inner}) if inner else None
+            yield n
         for a, b in sorted(self.edges):
             if block[a] != block[b] or b == block[b]:
                 yield {"path": self.path, "scope": self.scope, "kind": "edge", "block": block[a], "next": block[b]}
 
 
-def rows_of(path: str, source: str) -> list[dict]:
+def rows_of(path: str, source: str, first: int = 0) -> list[dict]:
+    """Rows of one file, its nodes numbered from `first`."""
     try:
         tree = ast.parse(source)
         out: list[dict] = []
         waiting: list[tuple[str, ast.AST]] = [("", tree)]
-        first = 0
         while waiting:
             scope, at = waiting.pop()
             graph = Graph(path, scope, first)
@@ -342,8 +350,16 @@ def flow_rows(files: DataFrame) -> DataFrame:
     """Rows of every file (path, content); one that does not parse is one row of kind error, a null content an empty file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
         for batch in batches:
+            held: list[dict] = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                yield from pa.Table.from_pylist(rows_of(path, content or ""), schema=_ARROW).to_batches()
+                rows = rows_of(path, content or "", first)
+                first += len(rows)
+                held += rows
+                if len(held) > 20_000:
+                    yield from pa.Table.from_pylist(held, schema=_ARROW).to_batches()
+                    held = []
+            yield from pa.Table.from_pylist(held, schema=_ARROW).to_batches()
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)

@@ -206,7 +206,7 @@ def flow(spark, programs):
 
 def reads_of(flow, reach):
     at = flow.where("kind = 'node'").select("path", "node", "line")
-    both = reach.join(at, ["path", "node"]).join(at.selectExpr("path", "node def", "line def_line"), ["path", "def"])
+    both = reach.join(at, "node").join(at.selectExpr("node def", "line def_line"), "def")
     return {(r["path"], r["line"], r["name"], r["def_line"]) for r in both.collect()}
 
 
