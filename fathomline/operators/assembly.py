@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
 from fathomline.functions.rules import reliable
 from fathomline.functions.scalars import fingerprint, severity_rank
-from fathomline.operators.fusion import agree, islands
+from fathomline.operators.firstcome import BLOCK, first_come, placed
 
 #: Lines of a snippet after its first.
 SNIPPET_LINES = 12
@@ -126,32 +125,21 @@ def with_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     return said.withColumn("confidence", F.when(upheld, 0.98).otherwise(F.col("confidence"))).withColumn("corroborated", F.when(upheld, True).otherwise(F.col("corroborated"))).drop("verdict", "__control")
 
 
-def verified(assessed: DataFrame, window: int = fixed.FUSION_LINES) -> DataFrame:
+def verified(assessed: DataFrame, window: int = fixed.FUSION_LINES, block_lines: int = BLOCK) -> DataFrame:
     """RNK-03: all findings with `kept`: not refuted, and in files that lost one not a lesser finding near a better one of its kind.
 
     Better: corroborated, then of both tiers, then the more confident, then the
     worse, then the earlier in seq.  Lines are compared by their starts alone.
-    Islands of starts bound what meets, so a file is many small groups.
+    A null confidence counts as 0.5, a null corroborated as false.
     """
     lost = assessed.where("assessment_status = 'refuted'").select("file_path").distinct().withColumn("__lost", F.lit(True))
     told = assessed.join(lost, "file_path", "left")
-    refuted = told.where("assessment_status = 'refuted'").withColumn("kept", F.lit(False))
-    stay = told.where("assessment_status is null or assessment_status <> 'refuted'")
-    calm = stay.where("__lost is null").withColumn("kept", F.lit(True))
-    ranked = stay.where("__lost").withColumn("__rank", severity_rank(F.col("severity")))
-    starts = islands(ranked.withColumn("__end_line", F.col("end_line")).withColumn("end_line", F.col("start_line")), window)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        order = lambda r: (not bool(r.corroborated), r.source != "CONFIRMED", -r.confidence, r.rank, r.seq)
-        rows, kept = group.rename(columns={"__rank": "rank"}).fillna({"confidence": 0.5, "corroborated": False}), []
-        for row in sorted(rows.itertuples(), key=order):
-            if all(agree(k, row, window) is None for k in kept):
-                kept.append(row)
-        return group.assign(kept=group["seq"].isin({r.seq for r in kept}))
-
-    schema = starts.withColumn("kept", F.lit(True)).schema
-    tried = starts.groupBy("file_key", "island").applyInPandas(run, schema).withColumn("end_line", F.col("__end_line")).drop("file_key", "island", "__rank", "__end_line")
-    return refuted.unionByName(calm).unionByName(tried).drop("__lost")
+    tried = told.where("__lost and (assessment_status is null or assessment_status <> 'refuted')")
+    orders = [~F.coalesce("corroborated", F.lit(False)), ~F.coalesce(F.col("source") == "CONFIRMED", F.lit(False)), -F.coalesce("confidence", F.lit(0.5)), severity_rank(F.col("severity"))]
+    gone = first_come(placed(tried, starts_only=True), orders, window, block_lines).where("kept").select("seq", F.lit(True).alias("__kept"))
+    out = told.join(gone, "seq", "left")
+    kept = F.when(F.col("assessment_status") == "refuted", False).when(F.col("__lost").isNull(), True).otherwise(F.coalesce("__kept", F.lit(False)))
+    return out.select(*assessed.columns, kept.alias("kept"))
 
 
 def severity_line(findings: DataFrame, *by: str) -> DataFrame:

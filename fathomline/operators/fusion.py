@@ -1,104 +1,89 @@
 """Dedup inside a tier and fusion of two tiers (RNK-01..02, JON-01..04).
 
-Both are greedy, so their order matters; but findings farther apart than the
-line window never meet.  A file's findings are therefore cut into islands with
-window functions, and only an island is walked through in order: a file with
-very many findings is many small groups, not one task.
+Both are greedy, so their order matters; `firstcome` deals a file's findings out
+by lines and settles the blocks' borders in rounds.  Every finding has a seq of
+its own within its tier.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from fathomline.functions import fixed
-from fathomline.functions.scalars import plain_path
+from fathomline.functions.scalars import fingerprint, severity_rank
+from fathomline.operators.firstcome import BLOCK, claims, first_come, placed
+from fathomline.sources.shared import stored
 
-_ALIASES = [set(g) for g in fixed.TYPE_ALIASES]
-_RANK = {s: k for k, s in enumerate(fixed.SEVERITIES)}
 
+def _orders() -> list[Column]:
+    """The worst first, then the longest described."""
+    return [severity_rank(F.col("severity")), -F.length(F.coalesce("description", F.lit("")))]
 
-def islands(findings: DataFrame, window: int = fixed.FUSION_LINES) -> DataFrame:
-    """Adds file_key and island: findings of one file whose spans chain together with gaps of at most `window` lines."""
-    keyed = findings.withColumn("file_key", plain_path(F.col("file_path"))).withColumn("__end", F.greatest(F.coalesce("end_line", "start_line"), "start_line"))
-    order = Window.partitionBy("file_key").orderBy("start_line", "__end", "seq")
-    before = F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    keyed = keyed.withColumn("__new", F.coalesce((F.col("start_line") - before > window).cast("int"), F.lit(1)))
-    return keyed.withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new", "__end")
 
-
-def agree(a, b, window: int) -> int | None:
-    """The line distance of two findings of one file whose types agree, else None."""
-    if a.type != b.type and not any(a.type in g and b.type in g for g in _ALIASES):
-        digits = ["".join(c for c in str(x.cwe_id or "") if c.isdigit()) for x in (a, b)]
-        if not digits[0] or digits[0] != digits[1]:
-            return None
-    gap = max(0, max(a.start_line, b.start_line) - min(max(a.end_line, a.start_line), max(b.end_line, b.start_line)))
-    return gap if gap <= window else None
-
-
-def _keep(rows: list, window: int) -> list:
-    kept: list = []
-    for row in sorted(rows, key=lambda r: (_RANK.get(r.severity, 9), -len(r.description or ""), r.seq)):
-        if all(agree(k, row, window) is None for k in kept):
-            kept.append(row)
-    return kept
-
-
-def deduplicate(findings: DataFrame, window: int = fixed.FUSION_LINES) -> DataFrame:
+def deduplicate(findings: DataFrame, window: int = fixed.FUSION_LINES, block_lines: int = BLOCK) -> DataFrame:
     """RNK-01: of findings that agree within the window, the worst (then the longest described, then the first) stays.
 
     A finding is dropped only for one that was kept, so this is not a merge of
-    whole chains of neighbours.
+    whole chains of neighbours.  Columns stay as they are.  A null type is a type
+    of its own, a null line counts as 0, an unknown severity comes last; a blank path is any file
+    where there is only one, else a file of its own; no findings give none.
     """
-    keyed = islands(findings, window)
+    kept = first_come(placed(findings), _orders(), window, block_lines).where("kept").select("seq")
+    return findings.join(kept, "seq", "left_semi").select(*findings.columns)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept = {r.seq for r in _keep(list(group.fillna({"end_line": 0}).itertuples()), window)}
-        return group[group["seq"].isin(kept)]
 
-    return keyed.groupBy("file_key", "island").applyInPandas(run, keyed.schema).drop("file_key", "island")
+_TAKEN = {"cwe_id", "owasp_category", "references", "merged_rule_ids", "rule_id", "severity", "file_path", "start_line", "end_line", "context", "seq"}
 
 
-def fuse(rules: DataFrame, model: DataFrame, window: int = fixed.FUSION_LINES, drop_unconfirmed: bool = False) -> DataFrame:
-    """JON-03: one row per defect with source, confidence and corroborated.
+def fuse(rules: DataFrame, model: DataFrame, window: int = fixed.FUSION_LINES, drop_unconfirmed: bool = False, block_lines: int = BLOCK) -> DataFrame:
+    """JON-03: one row per defect with source, confidence, corroborated, merged_seq and, where findings have a context, fingerprint.
 
     Each tier is deduplicated; each rule finding, in order, takes the nearest
-    unclaimed model finding that agrees.  A pair takes the rule's place and the
-    model's words, and the worse severity of the two.
+    unclaimed model finding that agrees.  A pair (JON-04) is the model's finding
+    with the rule's seq, rule ids and place, unless the rule's place is an import
+    and the model's is not; the worse severity of the two; the rule's CWE and
+    OWASP entry where the model has none; and both their references, the
+    model's first.  Its fingerprint is that of the place that it got.  Odd values are as in
+    `deduplicate`.
     """
-    both = rules.withColumn("tier", F.lit("SEMGREP")).unionByName(model.withColumn("tier", F.lit("LLM")))
-    keyed = islands(both, window)
-    out = StructType(list(keyed.schema.fields)).add("source", "string").add("confidence", "double").add("corroborated", "boolean").add("merged_seq", "long")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        filled = list(group.fillna({"end_line": 0}).itertuples())
-        tiers = {t: _keep([r for r in filled if r.tier == t], window) for t in ("SEMGREP", "LLM")}
-        claimed: dict[int, object] = {}
-        rows = []
-        for rule in tiers["SEMGREP"]:
-            near = [(d, k) for k, m in enumerate(tiers["LLM"]) if k not in claimed and (d := agree(rule, m, window)) is not None]
-            if near:
-                claimed[min(near)[1]] = rule
-            elif drop_unconfirmed:
-                continue
-            met = tiers["LLM"][min(near)[1]] if near else None
-            rows.append((rule, met))
-        rows += [(m, None) for k, m in enumerate(tiers["LLM"]) if k not in claimed]
-        by_seq = group.set_index(["tier", "seq"], drop=False)
-        made = []
-        for row, met in rows:
-            one = by_seq.loc[(row.tier, row.seq)].to_dict()
-            if met is not None:
-                said = by_seq.loc[(met.tier, met.seq)]
-                one |= {"description": said["description"], "severity": min(row.severity, met.severity, key=lambda s: _RANK.get(s, 9))}
-            source = "CONFIRMED" if met is not None else row.tier
-            made.append(one | {"source": source, "confidence": fixed.CONFIDENCE[source], "corroborated": met is not None, "merged_seq": met.seq if met is not None else None})
-        return pd.DataFrame(made, columns=out.names).astype({"merged_seq": "Int64"})
-
-    return keyed.groupBy("file_key", "island").applyInPandas(run, out).drop("file_key", "island", "tier")
+    own = list(rules.columns)
+    tiers = stored(rules.withColumn("tier", F.lit(0)).unionByName(model.withColumn("tier", F.lit(1))))
+    # files are told apart over both tiers, so that paths of either meet
+    both = stored(placed(tiers))
+    sides = []
+    for tier in (0, 1):
+        rows = both.where(F.col("tier") == tier)
+        kept = first_come(rows, _orders(), window, block_lines).where("kept").select("seq")
+        sides.append(stored(rows.join(kept, "seq", "left_semi")))
+    met = stored(claims(sides[0], sides[1], _orders(), _orders(), window, block_lines))
+    r, m = sides[0].select(*own), sides[1].select(*own)
+
+    told = m.select(F.struct(*own).alias("m"), F.col("seq").alias("merged_seq"))
+    pairs = r.select(F.struct(*own).alias("r"), "seq").join(met, "seq").join(told, "merged_seq", "left").drop("seq")
+    hit = F.col("m").isNotNull()
+    about = lambda side: F.lower(F.coalesce(F.col(f"{side}.context"), F.lit("")))
+    imports = lambda side: F.contains(about(side), F.lit("import ")) | F.contains(about(side), F.lit("from "))
+    moved = hit & imports("r") & ~imports("m") if "context" in own else F.lit(False)
+    place = lambda c: F.when(moved, F.col(f"m.{c}")).otherwise(F.col(f"r.{c}"))
+    filled = lambda c: F.when(hit & (F.coalesce(F.col(f"m.{c}"), F.lit("")) != ""), F.col(f"m.{c}")).otherwise(F.col(f"r.{c}"))
+    columns: dict[str, Column] = {c: F.when(hit, F.col(f"m.{c}")).otherwise(F.col(f"r.{c}")) for c in own if c not in _TAKEN}
+    columns |= {c: place(c) for c in own if c in ("file_path", "start_line", "end_line", "context")}
+    columns |= {c: filled(c) for c in own if c in ("cwe_id", "owasp_category")}
+    columns |= {c: F.col(f"r.{c}") for c in own if c in ("seq", "rule_id", "merged_rule_ids")}
+    columns["severity"] = F.when(hit & (severity_rank(F.col("m.severity")) < severity_rank(F.col("r.severity"))), F.col("m.severity")).otherwise(F.col("r.severity"))
+    if "references" in own:
+        none = F.array().cast(dict(rules.dtypes)["references"])
+        mine, others = F.coalesce(F.col("m.references"), none), F.coalesce(F.col("r.references"), none)
+        columns["references"] = F.when(hit, F.concat(mine, F.filter(others, lambda x: ~F.array_contains(mine, x)))).otherwise(F.col("r.references"))
+    fused = pairs.select(*[columns[c].alias(c) for c in own], F.when(hit, "CONFIRMED").otherwise("SEMGREP").alias("source"), "merged_seq")
+    if drop_unconfirmed:
+        fused = fused.where("source = 'CONFIRMED'")
+    rest = m.join(met.where("merged_seq is not null").select(F.col("merged_seq").alias("seq")), "seq", "left_anti").select(*own, F.lit("LLM").alias("source"), F.lit(None).cast(dict(rules.dtypes)["seq"]).alias("merged_seq"))
+    out = fused.unionByName(rest)
+    source = F.col("source")
+    out = out.withColumn("confidence", F.coalesce(*(F.when(source == s, F.lit(c)) for s, c in fixed.CONFIDENCE.items()))).withColumn("corroborated", source == "CONFIRMED")
+    return out.withColumn("fingerprint", fingerprint(F.col("file_path"), F.col("type"), F.col("context"), F.col("start_line"))) if "context" in own else out
 
 
 def overlap_merged(findings: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def tier_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def two_tier_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fusion.fuse(findings(spark, sf_dir, RULES).drop("source"), findings(spark, sf_dir, MODEL).drop("source"))
-    return out.select("seq", "file_path", "type", "severity", "start_line", "source", "confidence", "corroborated", "merged_seq")
+    return out.select("seq", "file_path", "type", "severity", "cwe_id", "start_line", "source", "confidence", "corroborated", "merged_seq", "fingerprint")
 
 
 def overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,7 +388,7 @@ SQL = {
 }
 
 # The greedy steps in order, as reductions over each file's sorted findings.
-_KEEP_ORDER = f"{{'a': {_RANK}, 'b': -length(description), 'seq': seq, 'line': start_line, 'type': type, 'cwe': cwe_id, 'severity': severity}}"
+_KEEP_ORDER = f"{{'a': {_RANK}, 'b': -length(description), 'seq': seq, 'line': start_line, 'type': type, 'cwe': cwe_id, 'severity': severity, 'context': context}}"
 _ALIKE = " OR ".join(["{a}.type = {b}.type", "{a}.cwe = {b}.cwe", *(f"({{a}}.type IN ({q}) AND {{b}}.type IN ({q}))" for g in fixed.TYPE_ALIASES if (q := ", ".join(f"'{t}'" for t in g)))])
 
 
@@ -403,6 +403,7 @@ def _kept(found: str) -> str:
 
 _TIERS = f"{_FINDINGS}, tiers AS (SELECT file_path, source, list_sort(list({_KEEP_ORDER})) AS found FROM findings GROUP BY file_path, source), kept AS (SELECT file_path, source, {_kept('found')} AS kept FROM tiers)"
 _MET = f"list_sort(list_transform(list_filter(models, lambda m: {_near('one[1].r', 'm')} AND NOT list_contains(list_transform(done, lambda z: coalesce(z.m, -1)), m.seq)), lambda m: {{'d': abs(m.line - one[1].r.line), 'k': list_position(models, m), 'seq': m.seq}}))[1].seq"
+_MOVED = "y IS NOT NULL AND regexp_matches(lower(x.context), 'import |from ') AND NOT regexp_matches(lower(y.context), 'import |from ')"
 _WORSE = "CASE WHEN coalesce(y.a, 9) < x.a THEN y.severity ELSE x.severity END"
 
 SQL |= {
@@ -412,9 +413,11 @@ sides AS (SELECT file_path, coalesce(any_value(kept) FILTER (source = 'SEMGREP')
 pairs AS (SELECT file_path, models, list_reduce(list_transform(list_concat([NULL], rules), lambda r: CASE WHEN r IS NULL THEN [] ELSE [{{'r': r, 'm': CAST(NULL AS BIGINT)}}] END), lambda done, one: list_concat(done, [{{'r': one[1].r, 'm': {_MET}}}])) AS done FROM sides),
 met AS (SELECT file_path, unnest(done) AS d FROM pairs),
 said AS (SELECT file_path, unnest(models) AS y FROM pairs),
-both_ AS (SELECT met.file_path, d.r AS x, y FROM met LEFT JOIN said ON met.file_path = said.file_path AND d.m = y.seq)
-SELECT x.seq AS seq, file_path, x.type AS type, {_WORSE} AS severity, x.line AS start_line, CASE WHEN y IS NULL THEN 'SEMGREP' ELSE 'CONFIRMED' END AS source, CASE WHEN y IS NULL THEN {fixed.CONFIDENCE["SEMGREP"]}::DOUBLE ELSE {fixed.CONFIDENCE["CONFIRMED"]}::DOUBLE END AS confidence, y IS NOT NULL AS corroborated, y.seq AS merged_seq FROM both_
-UNION ALL SELECT y.seq, file_path, y.type, y.severity, y.line, 'LLM', {fixed.CONFIDENCE["LLM"]}::DOUBLE, false, NULL FROM said WHERE y.seq NOT IN (SELECT d.m FROM met WHERE d.m IS NOT NULL)""",
+both_ AS (SELECT met.file_path, d.r AS x, y FROM met LEFT JOIN said ON met.file_path = said.file_path AND d.m = y.seq),
+fused AS (
+SELECT x.seq AS seq, file_path, coalesce(y.type, x.type) AS type, {_WORSE} AS severity, coalesce(y.cwe, x.cwe) AS cwe_id, CASE WHEN {_MOVED} THEN y.line ELSE x.line END AS start_line, CASE WHEN {_MOVED} THEN y.context ELSE x.context END AS context, CASE WHEN y IS NULL THEN 'SEMGREP' ELSE 'CONFIRMED' END AS source, CASE WHEN y IS NULL THEN {fixed.CONFIDENCE["SEMGREP"]}::DOUBLE ELSE {fixed.CONFIDENCE["CONFIRMED"]}::DOUBLE END AS confidence, y IS NOT NULL AS corroborated, y.seq AS merged_seq FROM both_
+UNION ALL SELECT y.seq, file_path, y.type, y.severity, y.cwe, y.line, y.context, 'LLM', {fixed.CONFIDENCE["LLM"]}::DOUBLE, false, NULL FROM said WHERE y.seq NOT IN (SELECT d.m FROM met WHERE d.m IS NOT NULL))
+SELECT * EXCLUDE (context), {_PRINT} AS fingerprint FROM fused""",
 }
 _POINTS = {(a, b): 2.0 * (b in fixed.ATTACK_CHAINS.get(a, ()) or a in fixed.ATTACK_CHAINS.get(b, ())) + 1.0 * any(a in g and b in g for g in chains.CONTEXTS) + 1.0 * bool(set(chains.TYPE_PREREQUISITES.get(a, ())) & set(chains.TYPE_PREREQUISITES.get(b, ()))) for _, _, a, _, _ in RULES + MODEL for _, _, b, _, _ in RULES + MODEL}
 _WORDED = {t: {n for n, words in chains.DATA_WORDS.items() if any(w in f"{t} found ".lower() for w in words)} for t, _ in _POINTS}

@@ -91,6 +91,88 @@ def test_fusion_pairs_nearest_unclaimed(spark):
     assert fusion.fuse(empty, empty).count() == 0
 
 
+def spread(rng, n, paths, lines):
+    kinds = ["SQL_INJECTION", "INJECTION", "LDAP_INJECTION", "CODE_INJECTION"]
+    rows = []
+    for k in range(n):
+        line = rng.randint(1, lines)
+        rows.append(finding(k, rng.choice(paths), rng.choice(kinds), rng.choice(fixed.SEVERITIES), line, line + rng.choice([0, 0, 1, 5, 17]), rng.choice(["", "89", "CWE-94"]), "d" * rng.randint(0, 3)))
+    return rows
+
+
+def one_file(a, b):
+    a, b = (x.replace("\\", "/").strip().lstrip("./") for x in (a or "", b or ""))
+    return not a or not b or a.lower() == b.lower() or ("/" in b and a.endswith("/" + b)) or ("/" in a and b.endswith("/" + a))
+
+
+def agreeing(a, b, window=fixed.FUSION_LINES):
+    numbers = ["".join(c for c in x[6] if c.isdigit()) for x in (a, b)]
+    kinds = a[2] == b[2] or any(a[2] in g and b[2] in g for g in fixed.TYPE_ALIASES) or (numbers[0] and numbers[0] == numbers[1])
+    gap = max(0, max(a[4], b[4]) - min(a[5], b[5]))
+    return gap if one_file(a[1], b[1]) and kinds and gap <= window else None
+
+
+def walked(rows):
+    kept = []
+    for r in sorted(rows, key=lambda r: (fixed.SEVERITIES.index(r[3]), -len(r[7]), r[0])):
+        if all(agreeing(k, r) is None for k in kept):
+            kept.append(r)
+    return kept
+
+
+def paired(rules, models):
+    """seq of each kept rule finding and of the model finding that it takes."""
+    free, out = walked(models), {}
+    taken = set()
+    for r in walked(rules):
+        near = [(d, k) for k, m in enumerate(free) if m[0] not in taken and (d := agreeing(r, m)) is not None]
+        out[r[0]] = free[min(near)[1]][0] if near else None
+        taken.add(out[r[0]])
+    return out
+
+
+PATHS = ("/abs/app/a.py", "app/a.py", "./app/A.py", "x/app/a.py", "a.py", "y\\b.py", "y/b.py", "z/y/b.py", "c.py")
+
+
+@pytest.mark.parametrize("lines", [60, 900])
+def test_blocks_of_lines_equal_one_walk(spark, lines):
+    """Paths in several forms, spans over block borders, dense and sparse files, blocks of any size."""
+    rng = random.Random(lines)
+    rows, more = spread(rng, 400, PATHS, lines), spread(rng, 400, PATHS, lines)
+    want, pairs = {r[0] for r in walked(rows)}, paired(rows, more)
+    a, b = spark.createDataFrame(rows, FINDING), spark.createDataFrame(more, FINDING)
+    for block in (1, 1 << 14):  # a block has at least four times what its rows can reach
+        assert {r["seq"] for r in fusion.deduplicate(a, block_lines=block).collect()} == want
+        out = fusion.fuse(a, b, block_lines=block).collect()
+        assert {r["seq"]: r["merged_seq"] for r in out if r["source"] != "LLM"} == pairs
+        assert {r["seq"] for r in out if r["source"] == "LLM"} == {r[0] for r in walked(more)} - set(pairs.values())
+
+
+def test_a_chain_through_many_blocks(spark):
+    """Every line of one file has the same finding twice: each kept one depends on all before it."""
+    rows = spark.range(6000).selectExpr("id seq", "'a.py' file_path", "'XSS' type", "'HIGH' severity", "cast(id div 2 as int) start_line", "cast(id div 2 as int) end_line", "'79' cwe_id", "'d' description", "'r' rule_id")
+    got = sorted(r["start_line"] for r in fusion.deduplicate(rows, block_lines=500).collect())
+    assert got == list(range(0, 3000, 13))
+
+
+def test_blank_paths(spark):
+    rows = [finding(0, "a.py", line=5), finding(1, None, line=7), finding(2, " ", line=40)]
+    assert {r["seq"] for r in fusion.deduplicate(spark.createDataFrame(rows, FINDING)).collect()} == {0, 2}
+    rows += [finding(3, "b.py", line=7)]
+    assert {r["seq"] for r in fusion.deduplicate(spark.createDataFrame(rows, FINDING)).collect()} == {0, 1, 2, 3}
+
+
+def test_a_pair_is_the_models_finding_at_the_rules_place(spark):
+    schema = FINDING + ", context string, references array<string>, owasp_category string"
+    r = [(*finding(1, line=3, cwe="89", rule="r1"), "import sqlite3", ["a", "b"], "A03"), (*finding(2, line=50, rule="r2"), "run(q)", ["c"], "A03")]
+    m = [(*finding(11, line=9, kind="INJECTION", cwe="", severity="CRITICAL", text="said", rule="m"), "db.run(q)", ["b", "z"], ""), (*finding(12, line=52, cwe="564", text="two", rule="m"), "import x", None, "A01")]
+    out = {x["seq"]: x for x in fusion.fuse(spark.createDataFrame(r, schema), spark.createDataFrame(m, schema)).collect()}
+    one, two = out[1], out[2]
+    assert (one["start_line"], one["context"], one["type"], one["cwe_id"], one["owasp_category"], one["references"], one["rule_id"], one["severity"]) == (9, "db.run(q)", "INJECTION", "89", "A03", ["b", "z", "a"], "r1", "CRITICAL")
+    assert (two["start_line"], two["context"], two["cwe_id"], two["owasp_category"], two["references"]) == (50, "run(q)", "564", "A01", ["c"])
+    assert len(one["fingerprint"]) == 16 and one["fingerprint"] != two["fingerprint"]
+
+
 def test_overlap_merge_collects_rules(spark):
     rows = [finding(1, line=1, end=4, rule="b"), finding(2, line=3, end=9, rule="a"), finding(3, line=10, rule="c")]
     out = fusion.overlap_merged(spark.createDataFrame(rows, FINDING)).orderBy("start_line").collect()
