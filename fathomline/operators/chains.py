@@ -160,7 +160,7 @@ def chains(findings: DataFrame, pairs: DataFrame) -> DataFrame:
                 seen.update(members)
         return pd.DataFrame(rows, columns=["scope", "chain", "seq"])
 
-    return near.groupBy("scope").applyInPandas(run, f"scope {dict(findings.dtypes)['scope']}, chain long, seq long")
+    return near.groupBy("scope").applyInPandas(run, f"scope {dict(findings.dtypes)['scope']}, chain {dict(findings.dtypes)['seq']}, seq {dict(findings.dtypes)['seq']}")
 
 
 def chain_facts(members: DataFrame) -> DataFrame:

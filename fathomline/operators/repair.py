@@ -70,9 +70,10 @@ def patch_plan(findings: DataFrame, files: DataFrame, require_baseline: bool = F
     # the greedy walk over a file's sound suggestions, as a fold: each is accepted if it ends above all accepted ones
     spans = F.sort_array(F.collect_list(F.struct("start", (-F.col("seq")).alias("back"), "end", "seq")), asc=False)
     sound = f.where("wrong is null").groupBy("file_path").agg(spans.alias("s"))
-    fold = "aggregate(s, named_struct('low', 2147483647, 'ok', cast(array() as array<bigint>)), (a, x) -> if(x.end < a.low, named_struct('low', x.start, 'ok', array_append(a.ok, x.seq)), a), a -> a.ok)"
+    key = dict(f.dtypes)["seq"]
+    fold = f"aggregate(s, named_struct('low', 2147483647, 'ok', cast(array() as array<{key}>)), (a, x) -> if(x.end < a.low, named_struct('low', x.start, 'ok', array_append(a.ok, x.seq)), a), a -> a.ok)"
     f = f.join(sound.select("file_path", F.expr(fold).alias("accepted")), "file_path", "left")
-    overlaps = F.when(~F.array_contains("accepted", F.col("seq").cast("long")), "overlaps")
+    overlaps = F.when(~F.array_contains("accepted", F.col("seq")), "overlaps")
     return f.select("seq", "file_path", "start", "end", "original", "replacement", F.coalesce("wrong", overlaps).alias("rejected"))
 
 

@@ -101,7 +101,7 @@ def match(pairs: DataFrame) -> DataFrame:
         found = least_cost_matching(list(zip(group["d"], group["l"], group["cost"], strict=True)))
         return pd.DataFrame(found, columns=["d", "l"])
 
-    return pairs.groupBy("file", "run").applyInPandas(run, "d long, l long")
+    return pairs.groupBy("file", "run").applyInPandas(run, f"d {dict(pairs.dtypes)['d']}, l {dict(pairs.dtypes)['l']}")
 
 
 def outcomes(detections: DataFrame, labels: DataFrame, matched: DataFrame, clean_files: DataFrame, exact: bool = False) -> DataFrame:

@@ -6,7 +6,10 @@ tier and the model tier, so findings follow from the data and grow with it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from decimal import Decimal
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
@@ -34,10 +37,36 @@ MODEL = (
 )
 
 
+#: Places of a document, the stand-in for a null doc_id (below every long), and the columns that hold keys.
+PLACES, NULL_ID = 10**16, Decimal(-93 * 10**17)
+KEYS = ("seq", "merged_seq", "d", "l", "a", "b", "id", "request", "pos", "first")
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_files(table(spark, sf_dir, "documents"))
 
 
+def place(within: Column) -> Column:
+    """A number that orders by doc_id (null first), then by a place within the document below 10**16, and is no other place's."""
+    doc = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(NULL_ID).cast("decimal(19,0)"))
+    return (doc * F.lit(Decimal(PLACES)) + within).cast("decimal(38,0)")
+
+
+def printable(query):
+    """The query with its keys as text, which every reader takes alike."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = query(spark, sf_dir)
+        return out.select(*[F.col(c).cast("string").alias(c) if c in KEYS and kind == "decimal(38,0)" else F.col(c) for c, kind in out.dtypes])
+
+    return run
+
+
+def printed(sql: str, *keys: str) -> str:
+    return f"SELECT * REPLACE ({', '.join(f'CAST({k} AS VARCHAR) AS {k}' for k in keys)}) FROM ({sql})"
+
+
 def detect(lines: DataFrame, detectors=RULES + MODEL) -> DataFrame:
     """Findings of line detectors; seq orders them by document, line and detector."""
     one = [
@@ -46,7 +75,7 @@ def detect(lines: DataFrame, detectors=RULES + MODEL) -> DataFrame:
     ]
     hits = lines.select("doc_id", "path", "line", "text", F.explode(F.array_compact(F.array(*one))).alias("d"))
     return hits.select(
-        (F.col("doc_id") * 10_000_000 + F.col("line") * 100 + F.col("d.rule")).alias("seq"),
+        place(F.col("line") * 100 + F.col("d.rule")).alias("seq"),
         F.col("path").alias("file_path"), F.col("line").alias("start_line"), F.col("line").alias("end_line"), "d.type", "d.severity", "d.cwe_id", "d.source",
         F.concat(F.lit("rule-"), F.col("d.rule").cast("string")).alias("rule_id"), F.concat(F.col("d.type"), F.lit(" found")).alias("description"), F.col("text").alias("context"),
     )
@@ -56,12 +85,13 @@ def findings(spark: SparkSession, sf_dir: str, detectors=RULES + MODEL) -> DataF
     return detect(numbered_lines(files(spark, sf_dir)), detectors)
 
 
-_FILES = "files AS (SELECT doc_id, 'src/' || coalesce(source, 'none') || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, coalesce(text, '') AS content, lang, source FROM documents)"
+_PLACE = f"CAST(coalesce(CAST(doc_id AS HUGEINT), {NULL_ID}) AS HUGEINT) * {PLACES}"
+_FILES = "files AS (SELECT doc_id, 'src/' || coalesce(source, 'none') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '.txt' AS path, coalesce(text, '') AS content, lang, source FROM documents)"
 _LINES = _FILES + ", lines AS (SELECT doc_id, path, lang, source, unnest(string_split(content, chr(10))) AS text, unnest(generate_series(1, len(string_split(content, chr(10))))) AS line FROM files)"
 _DETECTORS = ", ".join(f"({k}, '{p}', '{t}', '{s}', '{c}', '{'LLM' if k > 50 else 'SEMGREP'}')" for k, p, t, s, c in RULES + MODEL)
 _FINDINGS = (
     _LINES
-    + f", detectors(rule, pattern, type, severity, cwe_id, source) AS (VALUES {_DETECTORS}), findings AS (SELECT doc_id * 10000000 + line * 100 + rule AS seq, path AS file_path, CAST(line AS INTEGER) AS start_line, CAST(line AS INTEGER) AS end_line, type, severity, cwe_id, detectors.source AS source, 'rule-' || rule AS rule_id, type || ' found' AS description, text AS context, lines.source AS origin, lang FROM lines, detectors WHERE regexp_matches(text, pattern))"
+    + f", detectors(rule, pattern, type, severity, cwe_id, source) AS (VALUES {_DETECTORS}), findings AS (SELECT {_PLACE} + line * 100 + rule AS seq, path AS file_path, CAST(line AS INTEGER) AS start_line, CAST(line AS INTEGER) AS end_line, type, severity, cwe_id, detectors.source AS source, 'rule-' || rule AS rule_id, type || ' found' AS description, text AS context, lines.source AS origin, lang FROM lines, detectors WHERE regexp_matches(text, pattern))"
 )
 _SPACE = "[ \\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]+"
 _PRINT = f"substr(sha256(file_path || '|' || type || '|' || CASE WHEN trim(regexp_replace(context, '{_SPACE}', ' ', 'g')) = '' THEN 'L' || start_line ELSE trim(regexp_replace(context, '{_SPACE}', ' ', 'g')) END), 1, 16)"
@@ -247,7 +277,7 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = numbered_lines(files(spark, sf_dir)).where("text <> ''").withColumn("at", F.col("doc_id") * 100000 + F.col("line")).withColumn("sum", F.md5("text"))
+    lines = numbered_lines(files(spark, sf_dir)).where("text <> ''").withColumn("at", place(F.col("line"))).withColumn("sum", F.md5("text"))
     return reports.first_occurrences(lines, "sum", "at").select("sum", "first")
 
 
@@ -282,7 +312,7 @@ def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per file with findings, by the digest of its findings' places and its total (SNK-01)."""
     out = sinks.scan_documents(findings(spark, sf_dir), "file_path")
-    doc = F.from_json("document", "total long, findings array<struct<seq: long, line: int, type: string>>")
+    doc = F.from_json("document", "total long, findings array<struct<seq: decimal(38,0), line: int, type: string>>")
     return out.select("file_path", doc.alias("d")).select("file_path", "d.total", F.md5(F.array_join(F.transform("d.findings", lambda f: F.concat_ws(":", f["seq"].cast("string"), f["line"].cast("string"), f["type"])), "|")).alias("digest"))
 
 
@@ -340,7 +370,7 @@ def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (risk_route, risk_signals, fingerprints, severity_by_source, top_types, tier_dedup, two_tier_fusion, overlap_merge, suppression, baseline_partition, fix_check, build_gate, label_candidates, detection_outcomes, cwe_recall, document_labels_score, related_findings, dashboard, event_matrix, run_stability, newest_events, retained_events, capped_log, latest_state, debounced, event_props, call_summary, text_search, first_lines, code_windows, snapshot_digest, cache_keys, coercions, sarif_rule_list, sarif_results, scan_documents, scan_coverage, supply_depth, priced_nations, order_ranks, stratified_sample, taint_touch, evidence_states)}
+QUERIES = {f.__name__: printable(f) for f in (risk_route, risk_signals, fingerprints, severity_by_source, top_types, tier_dedup, two_tier_fusion, overlap_merge, suppression, baseline_partition, fix_check, build_gate, label_candidates, detection_outcomes, cwe_recall, document_labels_score, related_findings, dashboard, event_matrix, run_stability, newest_events, retained_events, capped_log, latest_state, debounced, event_props, call_summary, text_search, first_lines, code_windows, snapshot_digest, cache_keys, coercions, sarif_rule_list, sarif_results, scan_documents, scan_coverage, supply_depth, priced_nations, order_ranks, stratified_sample, taint_touch, evidence_states)}
 
 _SIGNALS = " UNION ALL ".join(f"SELECT '{n}' AS signal, count(*) AS files FROM files WHERE regexp_matches(content, '{_re2(p)}')" for p, _, n in fixed.RISK_SIGNALS)
 _CLASS = " OR ".join(f"(d.cwe IN ({q}) AND y.cwe IN ({q}))" for g in fixed.CWE_CLASSES if (q := ", ".join(f"'{c}'" for c in g)))
@@ -370,7 +400,7 @@ SQL = {
     "event_props": "SELECT event_type, count(CAST(json_extract(props, '$.k') AS BIGINT)) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY event_type",
     "call_summary": "SELECT role, count(*) AS requests, count(*) FILTER (length(text) <= 20) AS failed, CAST(sum(length(text)) AS BIGINT) AS tokens, CAST(max(length(text)) AS BIGINT) AS most FROM conversations GROUP BY role",
     "text_search": f"WITH {_LINES} SELECT path, CAST(line AS INTEGER) AS line, text FROM lines WHERE contains(text, 'License') ORDER BY path, line LIMIT 40",
-    "first_lines": f"WITH {_LINES} SELECT md5(text) AS sum, min(doc_id * 100000 + line) AS first FROM lines WHERE text <> '' GROUP BY 1",
+    "first_lines": f"WITH {_LINES} SELECT md5(text) AS sum, min({_PLACE} + line) AS first FROM lines WHERE text <> '' GROUP BY 1",
     "code_windows": f"WITH {_LINES} SELECT a.path, CAST(a.line AS INTEGER) AS line, md5(string_agg(CASE WHEN b.line = a.line THEN '> ' ELSE '  ' END || b.line || ': ' || b.text, chr(10) ORDER BY b.line)) AS window_md5 FROM lines a JOIN lines b ON a.path = b.path AND b.line BETWEEN a.line - 2 AND a.line + 2 WHERE contains(a.text, 'License') GROUP BY a.path, a.line",
     "snapshot_digest": f"WITH {_FILES} SELECT source, substr(md5(path), 1, 2) AS folder, substr(sha256(string_agg(path || ':' || sha256(content), chr(10) ORDER BY path)), 1, 16) AS digest, count(*) AS files FROM files GROUP BY 1, 2",
     "cache_keys": f"WITH {_FILES} SELECT doc_id, sha256('1' || chr(0) || 'local' || chr(0) || 'base' || chr(0) || content) AS key FROM files",
@@ -410,7 +440,7 @@ SQL |= {
     "tier_dedup": f"WITH {_TIERS}, k AS (SELECT file_path, unnest(kept) AS x FROM kept WHERE source = 'SEMGREP') SELECT x.seq AS seq, file_path, x.type AS type, x.severity AS severity, x.line AS start_line FROM k",
     "two_tier_fusion": f"""WITH {_TIERS},
 sides AS (SELECT file_path, coalesce(any_value(kept) FILTER (source = 'SEMGREP'), []) AS rules, coalesce(any_value(kept) FILTER (source = 'LLM'), []) AS models FROM kept GROUP BY file_path),
-pairs AS (SELECT file_path, models, list_reduce(list_transform(list_concat([NULL], rules), lambda r: CASE WHEN r IS NULL THEN [] ELSE [{{'r': r, 'm': CAST(NULL AS BIGINT)}}] END), lambda done, one: list_concat(done, [{{'r': one[1].r, 'm': {_MET}}}])) AS done FROM sides),
+pairs AS (SELECT file_path, models, list_reduce(list_transform(list_concat([NULL], rules), lambda r: CASE WHEN r IS NULL THEN [] ELSE [{{'r': r, 'm': CAST(NULL AS HUGEINT)}}] END), lambda done, one: list_concat(done, [{{'r': one[1].r, 'm': {_MET}}}])) AS done FROM sides),
 met AS (SELECT file_path, unnest(done) AS d FROM pairs),
 said AS (SELECT file_path, unnest(models) AS y FROM pairs),
 both_ AS (SELECT met.file_path, d.r AS x, y FROM met LEFT JOIN said ON met.file_path = said.file_path AND d.m = y.seq),
@@ -423,3 +453,6 @@ _POINTS = {(a, b): 2.0 * (b in fixed.ATTACK_CHAINS.get(a, ()) or a in fixed.ATTA
 _WORDED = {t: {n for n, words in chains.DATA_WORDS.items() if any(w in f"{t} found ".lower() for w in words)} for t, _ in _POINTS}
 _POINT_ROWS = ", ".join(f"('{a}', '{b}', {v + 1.5 * bool(_WORDED[a] & _WORDED[b])})" for (a, b), v in sorted(_POINTS.items()))
 SQL["related_findings"] = f"WITH {_FINDINGS}, points(a, b, p) AS (VALUES {_POINT_ROWS}), n AS (SELECT file_path, type, start_line, count(*) AS n FROM findings GROUP BY ALL), pairs AS (SELECT x.file_path, p + 0.5 + CASE WHEN abs(x.start_line - y.start_line) <= {fixed.CHAIN_LINES} THEN 0.5 ELSE 0 END AS score, CASE WHEN x.type = y.type AND x.start_line = y.start_line THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS k FROM n x JOIN n y ON x.file_path = y.file_path AND (x.type, x.start_line) <= (y.type, y.start_line) JOIN points ON a = x.type AND b = y.type), s AS (SELECT file_path, CAST(score AS DOUBLE) AS score, sum(k) AS pairs FROM pairs WHERE score >= 2 AND k > 0 GROUP BY ALL) SELECT score, CAST(sum(pairs) AS BIGINT) AS pairs, count(*) AS scopes FROM s GROUP BY score"
+
+for _name, _keys in {"fingerprints": ["seq"], "tier_dedup": ["seq"], "two_tier_fusion": ["seq", "merged_seq"], "overlap_merge": ["seq"], "label_candidates": ["d", "l"], "first_lines": ["first"], "sarif_results": ["seq"], "taint_touch": ["a", "b"]}.items():
+    SQL[_name] = printed(SQL[_name], *_keys)

@@ -14,7 +14,7 @@ from fathomline.functions import fixed
 from fathomline.functions.rules import preferred_owasp, reliable, rule_type, source_label
 from fathomline.functions.scalars import types_agree
 from fathomline.operators import assembly, chains, code, evaluation, evidence, reports
-from fathomline.plans.queries import _FILES, _FINDINGS, _LINES, _RANK, MODEL, RULES, _kept, files, findings
+from fathomline.plans.queries import _FILES, _FINDINGS, _LINES, _RANK, MODEL, RULES, _kept, files, findings, printable, printed
 from fathomline.sources import cache, recorded, tables
 from fathomline.sources.syntax import syntax_rows
 from fathomline.sources.tables import table
@@ -210,7 +210,7 @@ def assessed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def taint_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severe findings of a file as the steps of one path, with their kinds and code (PRJ-21, PRJ-48)."""
     f = findings(spark, sf_dir).where("severity in ('CRITICAL', 'HIGH')")
-    steps = f.select(F.expr("seq div 10000000").alias("seq"), F.col("seq").alias("pos"), F.when(F.col("start_line") % 6 == 0, "Propagator").alias("kind"), F.lit("").alias("file"), F.col("start_line").alias("line"), F.col("file_path").alias("default_file"))
+    steps = f.select(F.col("file_path").alias("seq"), F.col("seq").alias("pos"), F.when(F.col("start_line") % 6 == 0, "Propagator").alias("kind"), F.lit("").alias("file"), F.col("start_line").alias("line"), F.col("file_path").alias("default_file"))
     out = evidence.enriched_taint(steps, tables.numbered_lines(files(spark, sf_dir)).select("path", "line", "text"))
     return out.select("seq", "pos", "kind", "file", F.md5("code").alias("code_md5"))
 
@@ -291,7 +291,7 @@ def scan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy(why.alias("reason")).agg(F.count(F.lit(1)).alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (rule_hits, wrapper_functions, sink_slices, rule_types, rule_metadata, reliable_rules, tier_assembly, scoped_findings, verdict_states, verified_findings, severity_lines, payload_detections, labelled_paths, scan_scores, connected_files, cache_hits, agreeing_pairs, issued_evidence, assessed_findings, taint_code, changed_paths, confined_paths, foreign_jobs, outer_definitions, first_sink_slices, engine_results, finding_views, job_payloads, scan_states)}
+QUERIES = {f.__name__: printable(f) for f in (rule_hits, wrapper_functions, sink_slices, rule_types, rule_metadata, reliable_rules, tier_assembly, scoped_findings, verdict_states, verified_findings, severity_lines, payload_detections, labelled_paths, scan_scores, connected_files, cache_hits, agreeing_pairs, issued_evidence, assessed_findings, taint_code, changed_paths, confined_paths, foreign_jobs, outer_definitions, first_sink_slices, engine_results, finding_views, job_payloads, scan_states)}
 
 _N = len(STATEMENTS)
 _CODE = _LINES + f", code AS (SELECT path, line, length(text) % {_N} AS k FROM lines)"
@@ -333,7 +333,7 @@ SQL = {
 n AS (SELECT verdict, concat_ws('; ', CASE WHEN verdict = 'refuted' AND seq % 9 <> 0 THEN 'no mitigating control' END, CASE WHEN verdict <> 'uncertain' AND state <> 'valid' THEN 'unsound evidence cited' END, CASE WHEN verdict = 'supported' AND {_TAINTED} AND seq % 4 = 2 THEN 'no taint path' END,
 CASE WHEN verdict = 'supported' AND seq % 4 = 0 AND state <> 'valid' THEN 'step on unsound evidence; step on unsound evidence' END) AS notes FROM v)
 SELECT CASE WHEN notes = '' THEN verdict ELSE 'uncertain' END AS status, notes, count(*) AS n FROM n GROUP BY ALL""",
-    "taint_code": f"WITH {_FINDINGS}, s AS (SELECT seq // 10000000 AS d, seq, file_path, start_line, CASE WHEN start_line % 6 = 0 THEN 'propagation' WHEN seq = max(seq) OVER w AND seq <> min(seq) OVER w THEN 'sink' WHEN seq = min(seq) OVER w THEN 'source' ELSE 'propagation' END AS kind FROM findings WHERE severity IN ('CRITICAL', 'HIGH') WINDOW w AS (PARTITION BY seq // 10000000)) SELECT d AS seq, seq AS pos, kind, file_path AS file, md5(string_agg(CASE WHEN line = start_line THEN '> ' ELSE '  ' END || line || ': ' || text, chr(10) ORDER BY line)) AS code_md5 FROM s JOIN lines ON path = file_path AND line BETWEEN start_line - 2 AND start_line + 2 GROUP BY ALL",
+    "taint_code": f"WITH {_FINDINGS}, s AS (SELECT file_path AS d, seq, file_path, start_line, CASE WHEN start_line % 6 = 0 THEN 'propagation' WHEN seq = max(seq) OVER w AND seq <> min(seq) OVER w THEN 'sink' WHEN seq = min(seq) OVER w THEN 'source' ELSE 'propagation' END AS kind FROM findings WHERE severity IN ('CRITICAL', 'HIGH') WINDOW w AS (PARTITION BY file_path)) SELECT d AS seq, seq AS pos, kind, file_path AS file, md5(string_agg(CASE WHEN line = start_line THEN '> ' ELSE '  ' END || line || ': ' || text, chr(10) ORDER BY line)) AS code_md5 FROM s JOIN lines ON path = file_path AND line BETWEEN start_line - 2 AND start_line + 2 GROUP BY ALL",
     "changed_paths": f"WITH {_FILES} SELECT CASE WHEN doc_id % 5 = 2 THEN 'new/' || path ELSE path END AS path FROM files WHERE doc_id % 5 <> 1",
     "confined_paths": f"WITH {_FILES} SELECT doc_id, doc_id % 4 IN (2, 3) AS inside FROM files",
     "foreign_jobs": "SELECT user_id AS id, max(event_id) AS updated_at, arg_max(event_type, event_id) AS status FROM events WHERE user_id % 2 <> 0 GROUP BY user_id",
@@ -349,3 +349,6 @@ s AS (SELECT *, CASE WHEN {_RANK} <= 1 THEN CASE WHEN kind IN {fixed.CRITICAL_TY
 SELECT kind AS type, level AS severity, 'CWE-' || coalesce(CASE kind {' '.join(f"WHEN '{t}' THEN '{c}'" for t, c in fixed.CANONICAL_CWES.items())} END, cwe_id) AS cwe_id, CASE level {' '.join(f"WHEN '{s}' THEN {v}::DOUBLE" for s, v in fixed.SEVERITY_CVSS.items())} END AS cvss_score, CASE WHEN k = 0 THEN 'Rule ' || check_id || ' matched.' ELSE description END AS description, CASE WHEN k = 1 THEN 'use x' ELSE '' END AS remediation, 'A03:2021' AS owasp_category, count(*) AS n, CAST(sum(start_line + CASE WHEN k = 3 THEN 1 ELSE 0 END) AS BIGINT) AS ends FROM s GROUP BY ALL""",
     "agreeing_pairs": f"WITH {_FINDINGS} SELECT a.type AS rule_type, b.type AS model_type, count(*) AS n FROM findings a JOIN findings b USING (file_path, start_line) WHERE a.source = 'SEMGREP' AND b.source = 'LLM' AND (a.type = b.type OR a.cwe_id = b.cwe_id OR {_AGREE}) GROUP BY ALL",
 }
+
+for _name, _keys in {"scoped_findings": ["seq"], "verified_findings": ["seq"], "payload_detections": ["id"], "issued_evidence": ["request"], "taint_code": ["pos"], "finding_views": ["seq"]}.items():
+    SQL[_name] = printed(SQL[_name], *_keys)

@@ -44,7 +44,7 @@ def kept(rows: DataFrame) -> DataFrame:
 
 def documents_as_files(docs: DataFrame) -> DataFrame:
     """Documents in the shape of discovered files: path, content."""
-    return docs.select("doc_id", F.concat(F.lit("src/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"), "lang", "source")
+    return docs.select("doc_id", F.concat(F.lit("src/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"), "lang", "source")
 
 
 def numbered_lines(files: DataFrame) -> DataFrame:

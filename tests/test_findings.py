@@ -336,3 +336,13 @@ def test_signal_words_lose_no_match(spark):
     assert rows.where(~F.col("c").isNull() & (risk_reasons(F.col("c")) != plain)).collect() == []
     met = {n for r in rows.select(F.explode(plain)).distinct().collect() for n in r}
     assert met == set(scalars.SIGNAL_WORDS)
+
+
+def test_keys_of_findings_never_clash(spark):
+    """Lines beyond 100,000, far ids and null ids: each finding has a key of its own, in the order of documents, lines and rules."""
+    docs = [(1, "x\n" * 100_000 + "a!!b ###"), (2, "!!"), (None, "!!\n###"), (-5, "!!"), (2**63 - 1, "!!\n!!")]
+    files = tables.documents_as_files(spark.createDataFrame([(i, t, None, None) for i, t in docs], "doc_id long, text string, lang string, source string"))
+    rows = queries.detect(tables.numbered_lines(files)).collect()
+    keys = {(r["file_path"], r["start_line"], r["rule_id"]): r["seq"] for r in rows}
+    assert len(rows) == len(keys) == len(set(keys.values())) == 8 and None not in keys.values()
+    assert [k[0].split("/")[-1] for k in sorted(keys, key=keys.get)] == ["null.txt"] * 2 + ["-5.txt"] + ["1.txt"] * 2 + ["2.txt"] + [f"{2**63 - 1}.txt"] * 2
