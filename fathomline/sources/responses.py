@@ -7,15 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: An object with at most one level of objects inside, as a finding is.
-_OBJECT = r"\{(?:[^{}]|\{[^{}]*\})*\}"
+from fathomline.sources.cut_json import json_parts
+
+
+def unfenced(text: Column) -> Column:
+    """The text without reasoning tags and fences."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<think>.*?(</think>|\z)", "")
+    return F.regexp_replace(bare, r"(?m)^\s*```[A-Za-z]*\s*$", "")
 
 
 def plain_json(text: Column) -> Column:
     """PRJ-16: the text without reasoning tags and fences, from its first bracket to its last, with literals and commas mended."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<think>.*?(</think>|\z)", "")
-    bare = F.regexp_replace(bare, r"(?m)^\s*```[A-Za-z]*\s*$", "")
-    bare = F.regexp_extract(bare, r"(?s)([\[{].*[\]}])", 1)
+    bare = F.regexp_extract(unfenced(text), r"(?s)([\[{].*[\]}])", 1)
     bare = F.regexp_replace(bare, r",(\s*[\]}])", "$1")
     for word, json in (("True", "true"), ("False", "false"), ("None", "null")):
         bare = F.regexp_replace(bare, rf"(:\s*|\[\s*|,\s*){word}\b", f"$1{json}")
@@ -25,20 +28,26 @@ def plain_json(text: Column) -> Column:
 def response_items(raw: DataFrame) -> DataFrame:
     """PRJ-16..18: (file, place, item, salvaged) for every finding in responses (file, response).
 
-    A response that parses gives its vulnerabilities, findings or the array that
-    it is; of one that does not (cut off, or prose around it) each whole object
-    that looks like a finding is salvaged.
+    A response that parses, or whose outermost value does, gives its
+    vulnerabilities, findings or the array that it is.  One that was cut off is cut
+    back to its last whole object and closed; where that does not parse either, each
+    whole object with a type and a severity is salvaged, whatever depth it stands at, the
+    first of those of one type and location.
     """
-    text = raw.withColumn("__json", plain_json(F.col("response")))
-    text = text.withColumn("__v", F.try_parse_json("__json"))
-
-    def listed(path: str) -> Column:
-        return F.try_variant_get("__v", path, "array<variant>")
-
-    whole = F.coalesce(listed("$.vulnerabilities"), listed("$.findings"), listed("$"))
-    objects = F.regexp_extract_all(F.coalesce("response", F.lit("")), F.lit(f"({_OBJECT})"), F.lit(1))
-    like = F.filter(F.transform(objects, lambda o: F.try_parse_json(plain_json(o))), lambda v: F.try_variant_get(v, "$.type", "string").isNotNull() | F.try_variant_get(v, "$.vulnerability_type", "string").isNotNull())
-    items = text.withColumn("salvaged", whole.isNull()).withColumn("__items", F.when(whole.isNull(), like).otherwise(whole))
+    parts = json_parts(unfenced(F.col("response")))
+    text = raw.withColumn("__p", parts).withColumn("__v", F.coalesce(F.try_parse_json(plain_json(F.col("response"))), F.try_parse_json(plain_json(F.col("__p.outer"))))).withColumn("__c", F.try_parse_json(plain_json(F.col("__p.closed"))))
+
+    def listed(value: str) -> Column:
+        return F.coalesce(*(F.try_variant_get(value, path, "array<variant>") for path in ("$.vulnerabilities", "$.findings", "$")))
+
+    kind = lambda v: F.coalesce(F.try_variant_get(v, "$.type", "string"), F.try_variant_get(v, "$.vulnerability_type", "string"))
+    told = lambda v: F.struct(F.concat_ws("|", kind(v), F.coalesce(F.to_json(F.try_variant_get(v, "$.location", "variant")), F.lit(""))).alias("key"), v.alias("item"))
+    parsed = F.filter(F.transform("__p.objects", lambda o: F.try_parse_json(plain_json(o))), lambda v: kind(v).isNotNull() & F.try_variant_get(v, "$.severity", "string").isNotNull())
+    keyed = F.transform(parsed, told)
+    first = F.filter(F.transform(F.sequence(F.lit(1), F.size(keyed)), lambda k: F.when(F.array_position(F.transform(keyed, lambda x: x["key"]), F.element_at(keyed, k)["key"]) == k, F.element_at(keyed, k)["item"])), lambda v: v.isNotNull())
+    whole, closed = listed("__v"), listed("__c")
+    like = F.when(F.size(parsed) > 0, first)
+    items = text.withColumn("salvaged", whole.isNull()).withColumn("__items", F.coalesce(whole, closed, like))
     return items.select("file", F.posexplode("__items").alias("place", "item"), "salvaged")
 
 

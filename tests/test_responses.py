@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators import repair
 from fathomline.sources import responses
+from fathomline.sources.cut_json import brackets
 
 ITEM = {"type": "SQL injection", "severity": "high", "location": {"start_line": 4, "end_line": 6}, "description": "d", "cwe": "CWE-89", "fix": "use parameters"}
 
@@ -24,6 +25,54 @@ def test_responses_in_all_shapes(spark):
     assert [(r["type"], r["start_line"], r["salvaged"]) for r in out[5]] == [("SQL_INJECTION", 4, True)] and len(out[8]) == 1
 
 
+def stacked(text):
+    """A plain stack parser: every object that the text holds whole, and the text closed behind the last of them."""
+    decoder, found = json.JSONDecoder(), []
+    for k, c in enumerate(text):
+        if c == "{":
+            try:
+                found.append((decoder.raw_decode(text, k)[1], k))
+            except ValueError:
+                pass
+    if not found:
+        return [], None
+    end, stack, quoted, k = max(found)[0], [], False, 0
+    while k < end:
+        c = text[k]
+        if quoted and c == "\\":
+            k += 1
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c in "{[":
+            stack.append("}" if c == "{" else "]")
+        elif not quoted and c in "}]":
+            stack.pop()
+        k += 1
+    return sorted(found), text[:end] + "".join(reversed(stack)) if stack else None
+
+
+def test_answers_cut_at_any_byte():
+    deep = {"vulnerabilities": [{"type": "A", "severity": "LOW", "location": {"a": {"b": {"c": '}"]{\\'}}, "l": [1, {"z": []}]}}, {"type": "B\"{", "severity": "x", "e": {}, "p": [[{}]]}]}
+    body = json.dumps(deep)
+    for k in range(len(body) + 1):
+        outer, closed, objects = brackets(body[:k])
+        found, want = stacked(body[:k])
+        assert sorted(objects) == sorted(body[a:b] for b, a in found)
+        assert (outer is not None) == (k == len(body)) and closed == want
+        assert closed is None or isinstance(json.loads(closed), dict)
+    assert brackets('so "quoted: {"a": 1} ] and {"b": [2') == ('{"a": 1}', None, ['{"a": 1}'])
+
+
+def test_deep_and_cut_answers(spark):
+    item = {"type": "SQL_INJECTION", "severity": "LOW", "location": {"start_line": 3, "more": {"deep": {"er": [1, {"x": "}"}]}}}}
+    other = item | {"type": "XSS"}
+    body = json.dumps({"vulnerabilities": [item, other, item]})
+    broken = "so: " + json.dumps(item) + " and {'oops " + json.dumps(other) + json.dumps(item) + json.dumps({"type": "NOT", "note": 1})
+    out = parsed(spark, body, body[: body.index("XSS") + 9], "Sure, " + body + " as asked }", broken, '{"vulnerabilities": []}', "{" * 50)
+    assert [[(r["type"], r["start_line"], r["salvaged"]) for r in x] for x in out[:2]] == [[("SQL_INJECTION", 3, False), ("XSS", 3, False), ("SQL_INJECTION", 3, False)], [("SQL_INJECTION", 3, True)]]
+    assert len(out[2]) == 3 and [r["type"] for r in out[3]] == ["SQL_INJECTION", "XSS"] and out[4] == out[5] == []
+
+
 def test_verdicts(spark):
     told = {
         '{"verdict": "False_Positive"}': "refuted",
