@@ -62,6 +62,18 @@ def risk_reasons(content: Column, signals=fixed.RISK_SIGNALS) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, _, name in _signals(content, signals)]))
 
 
+def risk_signal_counts(content: Column, signals=fixed.RISK_SIGNALS) -> list[Column]:
+    """PRJ-01: aggregates, one for each signal: in how many texts it occurs.  They stay inside generated code, unlike an explode of names."""
+    return [F.count_if(test).alias(name) for test, _, name in _signals(content, signals)]
+
+
+def cwe_marks(cwe: Column, exact: bool = False) -> Column:
+    """FLT-13 as an array: two CWEs match where they share an element; nothing for a missing number."""
+    number = cwe_number(cwe)
+    classes = [] if exact else [F.when(number.isin(*c), F.lit(f"class {k}")) for k, c in enumerate(fixed.CWE_CLASSES)]
+    return F.when(number != "", F.array_compact(F.array(number, *classes)))
+
+
 def severity_rank(severity: Column) -> Column:
     """PRJ-31: 0 for CRITICAL to 4 for INFO, else null."""
     at = F.array_position(_literal(fixed.SEVERITIES), F.upper(severity))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
-from fathomline.functions.scalars import cwe_matches, cwe_number
+from fathomline.functions.scalars import cwe_marks, cwe_matches, cwe_number
 
 #: A line of distance outweighs any tie-break.
 LINE_COST = 100_000_000
@@ -104,11 +104,18 @@ def match(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("file", "run").applyInPandas(run, f"d {dict(pairs.dtypes)['d']}, l {dict(pairs.dtypes)['l']}")
 
 
-def outcomes(detections: DataFrame, labels: DataFrame, matched: DataFrame, clean_files: DataFrame, exact: bool = False) -> DataFrame:
-    """JON-07: d, outcome: true_positive, or why it is a false positive (clean, duplicate, wrong_line, wrong_type)."""
-    alike = detections.select("d", "file", "line", "cwe").join(labels.select("file", F.col("line").alias("l_line"), F.col("cwe").alias("l_cwe")), "file").where(cwe_matches(F.col("cwe"), F.col("l_cwe"), exact)).groupBy("d").agg(F.min(F.abs(F.col("line") - F.col("l_line"))).alias("nearest"))
-    out = detections.join(matched.select("d").withColumn("hit", F.lit(True)), "d", "left").join(alike, "d", "left").join(clean_files.select("file").distinct().withColumn("clean", F.lit(True)), "file", "left")
-    why = F.when(F.col("hit"), "true_positive").when(F.col("clean"), "clean").when(F.col("nearest") <= fixed.LABEL_LINES, "duplicate").when(F.col("nearest").isNotNull(), "wrong_line").otherwise("wrong_type")
+def outcomes(detections: DataFrame, labels: DataFrame, matched: DataFrame, clean_files: DataFrame, exact: bool = False, tolerance: int = fixed.LABEL_LINES) -> DataFrame:
+    """JON-07: d, outcome: true_positive, or why it is a false positive (clean, duplicate, wrong_line, wrong_type).
+
+    Whether a label of the kind is near is asked by blocks of lines, whether one
+    is in the file at all by the CWEs and classes that the file's labels have, so
+    a file's detections never meet all its labels.
+    """
+    near = candidate_pairs(detections, labels, exact=exact, tolerance=tolerance).select("d").distinct().withColumn("near", F.lit(True))
+    marks = labels.select("file", F.explode(cwe_marks(F.col("cwe"), exact)).alias("mark")).distinct()
+    alike = detections.select("d", "file", F.explode(cwe_marks(F.col("cwe"), exact)).alias("mark")).join(marks, ["file", "mark"], "left_semi").select("d").distinct().withColumn("alike", F.lit(True))
+    out = detections.join(matched.select("d").withColumn("hit", F.lit(True)), "d", "left").join(near, "d", "left").join(alike, "d", "left").join(clean_files.select("file").distinct().withColumn("clean", F.lit(True)), "file", "left")
+    why = F.when(F.col("hit"), "true_positive").when(F.col("clean"), "clean").when(F.col("near"), "duplicate").when(F.col("alike"), "wrong_line").otherwise("wrong_type")
     return out.select("d", "file", "cwe", why.alias("outcome"))
 
 

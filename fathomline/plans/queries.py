@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
-from fathomline.functions.scalars import cache_key, coerce_confidence, coerce_cvss, fingerprint, normalize_cwe, risk_reasons, risk_score, severity_rank
+from fathomline.functions.scalars import cache_key, coerce_confidence, coerce_cvss, fingerprint, normalize_cwe, risk_score, risk_signal_counts, severity_rank
 from fathomline.operators import chains, fusion, policy, repair, reports, scoring
 from fathomline.sources import sinks
 from fathomline.sources.tables import documents_as_files, numbered_lines, table
@@ -124,8 +124,8 @@ def risk_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasons = files(spark, sf_dir).select(F.explode(risk_reasons(F.col("content"))).alias("signal"))
-    return reasons.groupBy("signal").agg(F.count(F.lit(1)).alias("files"))
+    counts = files(spark, sf_dir).agg(*risk_signal_counts(F.col("content")))
+    return counts.unpivot([], counts.columns, "signal", "files").where("files > 0")
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

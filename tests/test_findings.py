@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import fixed, scalars
-from fathomline.functions.scalars import coerce_confidence, coerce_cvss, component_excluded, cwe_matches, fingerprint, line_distance, normalize_cwe, risk_reasons, risk_score, types_agree
+from fathomline.functions.scalars import coerce_confidence, coerce_cvss, component_excluded, cwe_matches, fingerprint, line_distance, normalize_cwe, cwe_marks, risk_reasons, risk_score, types_agree
 from fathomline.operators import chains, fusion, policy, reports, scoring
 from fathomline.plans import queries
 from fathomline.sources import sinks, tables
@@ -36,6 +36,16 @@ def test_coercions(spark, value, confidence, cvss):
     assert tuple(row) == (confidence, cvss)
 
 
+def test_every_signal_is_counted(spark):
+    """A text for each of the 17 signals, and one for two: counts equal those of the names one by one."""
+    texts = ["import subprocess", "eval (x)", "pickle.load(f)", "cur.execute(q)", "@app.route('/')", "request.args", "API_KEY = 1", "if is_admin and session", "send_file(p)", "requests.get(u)", "hashlib.md5", "render_template_string(x)", "CORS(app)", "x.innerHTML = y <div", "obj.loads(x)", "ldap.search_s(q)", "resp.set_cookie(k)", "eval(pickle.loads(x))", "", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = frame.agg(*scalars.risk_signal_counts(F.col("c"))).first().asDict()
+    want = dict(frame.select(F.explode(risk_reasons(F.col("c"))).alias("s")).groupBy("s").count().collect())
+    assert {k: n for k, n in got.items() if n} == want and len(got) == len(fixed.RISK_SIGNALS) == 17
+    assert set(want) == set(got)
+
+
 def test_fingerprint_ignores_lines_and_space_but_not_placeholders(spark):
     rows = spark.createDataFrame([("a", "T", "x  =\n1", 1), ("a", "T", " x = 1 ", 9), ("a", "T", "requires login", 1), ("a", "T", "...", 2), ("a", "T", None, 2)], "p string, t string, s string, l int")
     out = [r[0] for r in rows.select(fingerprint(F.col("p"), F.col("t"), F.col("s"), F.col("l"))).collect()]
@@ -46,6 +56,9 @@ def test_predicates(spark):
     pairs = [("89", "564", True), ("CWE-89", "89", True), ("89", "79", False), ("", "", False), (None, "89", False)]
     rows = spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select(cwe_matches(F.col("a"), F.col("b"))).collect()
     assert [bool(r[0]) for r in rows] == [p[2] for p in pairs]
+    for exact in (False, True):
+        both = spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select(cwe_matches(F.col("a"), F.col("b"), exact), F.coalesce(F.arrays_overlap(cwe_marks(F.col("a"), exact), cwe_marks(F.col("b"), exact)), F.lit(False))).collect()
+        assert [bool(x[0]) for x in both] == [x[1] for x in both]
     assert one(spark, normalize_cwe(F.col("a")), a="79") == "CWE-79" and one(spark, normalize_cwe(F.col("a")), a=" ") == "CWE-Unknown"
     agree = lambda a, b: one(spark, types_agree(F.col("a"), F.col("b"), F.lit(""), F.lit("")), a=a, b=b)
     assert agree("SQL_INJECTION", "INJECTION") and agree("INJECTION", "LDAP_INJECTION") and not agree("SQL_INJECTION", "LDAP_INJECTION")
