@@ -318,10 +318,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
     found = join(docs, threshold, tolerance)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row"))
     stay = found.where("class is not null").groupBy("class").agg(best.alias("best")).select(F.col("best.row").alias("row"))
-    keyed = docs.withColumn("__row", _row_key(docs))
-    some = keyed.join(stay.withColumnRenamed("row", "__row"), "__row", "left_semi").dropDuplicates(["__row"])
-    none = keyed.join(found.where("class is null").select(F.col("row").alias("__row")), "__row", "left_semi")
-    return some.unionByName(none).select(*docs.columns)
+    # a document's columns travel in a struct, so none of them can clash with the key
+    keyed = docs.select(_row_key(docs).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    some = keyed.join(stay, "row", "left_semi").dropDuplicates(["row"])
+    none = keyed.join(found.where("class is null").select("row"), "row", "left_semi")
+    return some.unionByName(none).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -429,6 +429,7 @@ def test_blocks():
     assert html_extract.blocks('<div><ul><li>a<li class="share">b</ul>c</div><p>d') == (["a", "c", "d"], False)
     assert html_extract.blocks("<main><p>x <span class=ad>y</span> z</p><div>t <b class=ad>u</main>v") == (["x z", "t"], True)
     assert html_extract.blocks("<article><table><tr><td class=ad>x<td>y<tr><td>z</table><div class=related-work>w</div></span></article>") == (["y", "z", "w"], True)
+    assert html_extract.blocks("<article><h1 class=header>Title</h1><p>Let <math><mi>a</mi> = 1</math> be<h2 class=ad>buy</h2><div class=header>menu</div></article>") == (["Title", "Let a = 1 be"], True)
     assert html_extract.blocks("<p>x<div id=cookie-notice>y") == (["x"], False) and html_extract.blocks("<script>x") == ([], False)
 
 
@@ -620,6 +621,8 @@ def test_jaccard_join(docs, texts, odd, none):
     rows = jaccard_join.join(odd).collect()
     assert sorted(r["n_links"] for r in rows) == [0, 1, 1, 2, 2, 2]
     assert jaccard_join.keep_one(odd).count() == 3
+    named = docs.select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(("row", "__row", "doc", "class", "a.b"))])
+    assert {tuple(r)[2:] for r in jaccard_join.keep_one(named).collect()} == {(0, 1, 2, 3, 4)} and jaccard_join.keep_one(named).columns == named.columns
     kept = {r["doc_id"] for r in jaccard_join.keep_one(docs).collect()}
     assert kept == {k for k, (_, c) in got.items() if c == k} and jaccard_join.keep_one(docs).columns == docs.columns
 
