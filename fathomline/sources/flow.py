@@ -5,7 +5,9 @@ and edges; definitions and slices are found by joins over the rows
 (fathomline.operators.dataflow).  Nodes that can only run one after the other
 share a block, named by its first node, and edges join blocks.  Numbers of nodes
 are unique over all files of one flow_rows; what is empty is null, and so are
-kills that are the binds and arguments that are the reads.
+kills that are the binds and arguments that are the reads.  A function's entry has
+its parameters in order as arguments.  A call row has the call's name as type,
+and as flows which argument (its place or its keyword) reads which names.
 
 break, continue, return and raise end their path.  Any statement of a try body
 may raise before or after it binds; a bare except that comes first catches all.  A finally body has
@@ -117,6 +119,7 @@ class Graph:
     def __init__(self, path: str, scope: str, first: int):
         self.path, self.scope, self.first = path, scope, first
         self.nodes: list[dict] = []
+        self.calls: list[dict] = []
         self.edges: set[tuple[int, int]] = set()
         self.inner: list[ast.stmt] = []
         self.raising: list[list[int]] = [[]]
@@ -135,6 +138,9 @@ class Graph:
         line = getattr(at, "lineno", 1)
         end = max([line, *(e.end_lineno or line for e in given)]) if head else getattr(at, "end_lineno", line)
         self.nodes.append({"path": self.path, "scope": self.scope, "kind": "node", "node": node, "line": line, "end_line": end, "type": kind or type(at).__name__, "binds": sorted(set(strong)) or None, "weak": sorted(set(weak) - set(strong)) or None, "reads": sorted(set(reads)) or None, "arguments": sorted(inside) if calls else None, "flows": [{"a": a, "b": b} for a, b in sorted(set(flows))] if flows is not None and split else None, "control": control, "calls": sorted({dotted(c.func) for c in calls if mutates is None or c is not given[0]}) or None, "mutates": mutates, "aliases": [{"a": a, "b": b} for a, b in sorted(set(aliases)) if a != b] or None})
+        for c in calls:
+            slots = [(str(k), a.value if isinstance(a, ast.Starred) else a) for k, a in enumerate(c.args)] + [(k.arg or "**", k.value) for k in c.keywords]
+            self.calls.append({"path": self.path, "scope": self.scope, "kind": "call", "node": node, "line": c.lineno, "end_line": c.end_lineno, "type": dotted(c.func), "flows": [{"a": slot, "b": n} for slot, a in slots for n in sorted(loads(a))] or None})
         self.edges |= {(p, node) for p in incoming}
         self.raising[-1].append(node)
         return node
@@ -293,7 +299,8 @@ class Graph:
     _trystar = _try
 
     def rows(self) -> Iterator[dict]:
-        """Nodes with their blocks, and edges between blocks; none from code that cannot run into code that can."""
+        """Nodes with their blocks, calls, and edges between blocks; none from code that cannot run into code that can."""
+        yield from self.calls
         onward: dict[int, list[int]] = {}
         for a, b in self.edges:
             onward.setdefault(a, []).append(b)
@@ -334,8 +341,9 @@ def rows_of(path: str, source: str, first: int = 0) -> list[dict]:
             graph = Graph(path, scope, first)
             entry: list[int] = []
             if isinstance(at, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                params = {a.arg for a in [*at.args.posonlyargs, *at.args.args, *at.args.kwonlyargs, *filter(None, (at.args.vararg, at.args.kwarg))]}
+                params = [a.arg for a in [*at.args.posonlyargs, *at.args.args, *at.args.kwonlyargs, *filter(None, (at.args.vararg, at.args.kwarg))]]
                 entry = [graph.add(at, [], None, "entry", strong=params, head=True)]
+                graph.nodes[0]["arguments"] = params
             graph.sequence(at.body, entry, None)
             first += len(graph.nodes)
             out += graph.rows()
