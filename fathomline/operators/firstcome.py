@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,8 @@ from fathomline.functions import fixed
 from fathomline.functions.scalars import cwe_number
 from fathomline.sources.shared import stored
 
-#: Lines of a block.
-BLOCK = 1 << 14
+#: Lines of a block; rows that a call of the walk takes together, about.
+BLOCK, ROWS = 1 << 14, 20_000
 
 
 def clean_path(path: Column) -> Column:
@@ -92,12 +93,12 @@ def _one_file(a: str, b: str) -> bool:
     return ("/" in b and a.endswith(f"/{b}")) or ("/" in a and b.endswith(f"/{a}"))
 
 
-def _in_order(group: pd.DataFrame, orders: list[str]) -> list:
-    return list(group.sort_values(orders, kind="stable").itertuples(index=False))
+def settled(rows: DataFrame, walk, orders: list[str], answer: str, window: int, block_lines: int) -> DataFrame:
+    """seq, answer of each row (file_key, path, start, end, marks, orders, seq) by `walk`.
 
-
-def settled(rows: DataFrame, walk, answer: str, window: int, block_lines: int) -> DataFrame:
-    """seq, answer of each row (file_key, path, start, end, marks, orders, seq) by `walk(group)`, which gives a block's rows, with `own` and `told` (set for guests whose answer is known), their answers."""
+    walk gets a block's rows by `orders` and yields (seq, answer) of those that
+    are its own; guests whose answer is known have it as `told`.
+    """
     span = rows.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
     reach = 2 * (window + span)
     lines = max(block_lines, 4 * reach)
@@ -106,14 +107,22 @@ def settled(rows: DataFrame, walk, answer: str, window: int, block_lines: int) -
     dealt = stored(rows.withColumn("home", at).withColumn("block", F.explode(around)).withColumn("own", F.col("home") == F.col("block")).drop("home"))
     seq = dict(rows.dtypes)["seq"]
     schema = f"seq {seq}, answer {answer}"
+    # most files have few findings: a call takes many blocks, each by itself
+    calls = max(dealt.sparkSession.sparkContext.defaultParallelism, dealt.count() // ROWS)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return walk(group)
+        in_order = group.sort_values(["file_key", "block", *orders], kind="stable").itertuples(index=False)
+        out = [x for _, block in groupby(in_order, key=lambda r: (r.file_key, r.block)) for x in walk(list(block))]
+        return pd.DataFrame({"seq": pd.Series([x[0] for x in out], dtype=group["seq"].dtype), "answer": pd.Series([x[1] for x in out], dtype=object)})
+
+    def walked(some: DataFrame) -> DataFrame:
+        g = F.pmod(F.xxhash64("file_key", "block"), F.lit(calls))
+        return stored(some.withColumn("g", g).repartition(calls, "g").groupBy("g").applyInPandas(run, schema))
 
     blocks = ["file_key", "block"]
     met = stored(dealt.where("not own").select(*blocks).distinct().join(dealt.where("own").select(*blocks).distinct(), blocks, "left_semi"))
     alone = dealt.join(met, blocks, "left_anti").where("own").withColumn("told", F.lit(None).cast(answer)).withColumn("known", F.lit(False))
-    done = stored(alone.groupBy(*blocks).applyInPandas(run, schema))
+    done = walked(alone)
     active, state = met, None
     while not active.isEmpty():
         group = dealt.join(active, blocks, "left_semi")
@@ -121,7 +130,7 @@ def settled(rows: DataFrame, walk, answer: str, window: int, block_lines: int) -
             group = group.withColumn("told", F.lit(None).cast(answer)).withColumn("known", F.lit(False))
         else:
             group = group.join(state.select("seq", F.col("answer").alias("told")), "seq", "left").withColumn("known", ~F.col("own"))
-        fresh = stored(group.groupBy(*blocks).applyInPandas(run, schema))
+        fresh = walked(group)
         if state is None:
             changed, state = fresh, fresh
         else:
@@ -143,18 +152,16 @@ def first_come(findings: DataFrame, orders: list[Column], window: int, block_lin
     alike = ["file_key", "path", "start", "end", "marks"]
     first = ranked.groupBy(*alike).agg(F.min(F.struct(*names, "seq")).alias("b")).select(*alike, "b.*")
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        near, seqs, kept = Near(window), [], []
-        for row in _in_order(group, [*names, "seq"]):
+    def walk(block: list) -> Iterator[tuple]:
+        near = Near(window)
+        for row in block:
             stays = bool(row.told) if row.known else next(near.of(row), None) is None
             if stays:
                 near.add(row)
             if row.own:
-                seqs.append(row.seq)
-                kept.append(stays)
-        return pd.DataFrame({"seq": pd.Series(seqs, dtype=group["seq"].dtype), "answer": pd.Series(kept, dtype=bool)})
+                yield row.seq, stays
 
-    return settled(first, walk, "boolean", window, block_lines).select("seq", F.col("answer").alias("kept"))
+    return settled(first, walk, [*names, "seq"], "boolean", window, block_lines).select("seq", F.col("answer").alias("kept"))
 
 
 def claims(rules: DataFrame, models: DataFrame, rule_orders: list[Column], model_orders: list[Column], window: int, block_lines: int = BLOCK) -> DataFrame:
@@ -168,13 +175,15 @@ def claims(rules: DataFrame, models: DataFrame, rule_orders: list[Column], model
     key = rules.select("seq").schema[0].dataType.simpleString()
     both = side(rules, rule_orders, 0).unionByName(side(models, model_orders, 1)).withColumn("seq", F.concat_ws(":", F.col("tier").cast("string"), F.col("of").cast("string")))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        near, place = Near(window), {}
-        for k, row in enumerate(_in_order(group[group["tier"] == 1], [*names, "of"])):
-            near.add(row)
-            place[row.seq] = k
-        taken, seqs, found = set(), [], []
-        for row in _in_order(group[group["tier"] == 0], [*names, "of"]):
+    def walk(block: list) -> Iterator[tuple]:
+        near, place, taken = Near(window), {}, set()
+        for row in block:
+            if row.tier == 1:
+                near.add(row)
+                place[row.seq] = len(place)
+        for row in block:
+            if row.tier == 1:
+                continue
             if row.known:
                 met = row.told if isinstance(row.told, str) else None
             else:
@@ -182,9 +191,7 @@ def claims(rules: DataFrame, models: DataFrame, rule_orders: list[Column], model
             if met is not None:
                 taken.add(met)
             if row.own:
-                seqs.append(row.seq)
-                found.append(met)
-        return pd.DataFrame({"seq": pd.Series(seqs, dtype=object), "answer": pd.Series(found, dtype=object)})
+                yield row.seq, met
 
-    out = settled(both, walk, "string", window, block_lines)
+    out = settled(both, walk, [*names, "of"], "string", window, block_lines)
     return out.select(*[F.substring(c, 3, 1 << 30).cast(key).alias(n) for c, n in (("seq", "seq"), ("answer", "merged_seq"))])
