@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.operators import dataflow
+from fathomline.operators import callsites, dataflow
 from fathomline.plans.queries import _FILES, files
 from fathomline.sources.flow import flow_rows
 from fathomline.sources.shared import stored
+from fathomline.sources.syntax import syntax_rows
 
 #: Function shapes: (indent, text), a number standing for that one of six statements, V for the name that the sink gets.
 SHAPES = (
@@ -60,7 +61,34 @@ def flow_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.select("path", "sink_line", F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, b: a + b).alias("line_sum"), "status", "reason")
 
 
-QUERIES = {f.__name__: f for f in (flow_slices,)}
+#: What the function of a line does, by the line's length: a sink, the next function by place, a safe call, the next function by keyword.
+LINKS = ("    eval(p)", "    NEXT(q, p)", "    print(p)", "    r = q\n    NEXT(q=r)")
+
+
+def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a function for each line of a document, many of which call the next line's; the last calls the first of the document with the next id."""
+    lines = F.split("content", "\n")
+
+    def function(text: Column, i: Column) -> Column:
+        after = F.when(i + 1 < F.size(lines), F.concat(F.lit("f"), (i + 1).cast("string"))).otherwise(F.lit("onward"))
+        body = F.get(F.array(*map(F.lit, LINKS)), F.length(text) % len(LINKS))
+        return F.concat(F.lit("def f"), i.cast("string"), F.lit("(p, q):\n"), F.replace(body, F.lit("NEXT"), after))
+
+    head = F.concat(F.lit("from src.m"), (F.col("doc_id") + 1).cast("string"), F.lit(" import f0 as onward\n"))
+    return files(spark, sf_dir).select(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(head, F.array_join(F.transform(lines, function), "\n")).alias("content"))
+
+
+def wrapper_call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each file the parameters that reach a sink through any number of calls, and the calls that hand them on (DF-09, DF-13, JON-17)."""
+    code = linked_files(spark, sf_dir)
+    flow, rows = stored(flow_rows(code)), stored(syntax_rows(code))
+    anchors, told = callsites.call_site_anchors(flow, rows)
+    calls = anchors.groupBy("path").agg(F.count(F.lit(1)).alias("anchors"), F.sum("line").alias("anchor_lines"))
+    params = told.groupBy("path").agg(F.count(F.lit(1)).alias("params"), F.count_if(F.col("param") == "q").alias("second"))
+    return params.join(calls, "path", "full").select("path", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("params", "second", "anchors", "anchor_lines")])
+
+
+QUERIES = {f.__name__: f for f in (flow_slices, wrapper_call_sites)}
 
 # The shapes as nodes: (shape, node, line after the def's, statement or -1, name read by a test, node it stands in or -1), and as edges between nodes.
 # Node 0 binds the parameters; node 20 binds a for's target on the for's line.
@@ -120,5 +148,20 @@ sums AS (SELECT doc_id, g, max(CASE WHEN slot = -2 THEN top + line END) AS sink_
 SELECT 'src/m' || doc_id || '.py' AS path, CAST(sink_line AS INTEGER) AS sink_line, CAST(n_lines AS INTEGER) AS n_lines, CAST(line_sum AS BIGINT) AS line_sum,
   CASE WHEN reason IS NULL THEN 'complete' ELSE 'partial' END AS status, coalesce(reason, 'backward_slice_complete') AS reason
 FROM sums LEFT JOIN why USING (doc_id, g)
+""",
+    "wrapper_call_sites": f"""
+WITH RECURSIVE {_FILES},
+l AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS i, len(string_split(content, chr(10))) AS n FROM files),
+f AS MATERIALIZED (SELECT doc_id, i, length(text) % 4 AS k, CASE WHEN i + 1 < n THEN doc_id ELSE doc_id + 1 END AS next_doc, CASE WHEN i + 1 < n THEN i + 1 ELSE 0 END AS next_i,
+  1 + sum(CASE WHEN length(text) % 4 = 3 THEN 3 ELSE 2 END) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM l),
+bound AS MATERIALIZED (SELECT f.*, param, caller FROM f JOIN (VALUES (1, 'p', 'q'), (1, 'q', 'p'), (3, 'q', 'q')) AS t(kind, param, caller) ON k = kind),
+told AS (
+  SELECT doc_id, i, 'p' AS param FROM f WHERE k = 0
+  UNION SELECT b.doc_id, b.i, b.caller FROM told t JOIN bound b ON b.next_doc = t.doc_id AND b.next_i = t.i AND b.param = t.param),
+sites AS (SELECT b.doc_id, b.line FROM bound b JOIN told t ON b.next_doc = t.doc_id AND b.next_i = t.i AND b.param = t.param),
+a AS (SELECT doc_id, count(*) AS anchors, sum(line) AS anchor_lines FROM sites GROUP BY doc_id),
+p AS (SELECT doc_id, count(*) AS params, count(*) FILTER (param = 'q') AS second FROM told GROUP BY doc_id)
+SELECT 'src/m' || doc_id || '.py' AS path, coalesce(params, 0)::BIGINT AS params, coalesce(second, 0)::BIGINT AS second, coalesce(anchors, 0)::BIGINT AS anchors, coalesce(anchor_lines, 0)::BIGINT AS anchor_lines
+FROM p FULL JOIN a USING (doc_id)
 """,
 }
