@@ -124,20 +124,26 @@ def _definitions_reaching(rows: DataFrame) -> DataFrame:
     return reach.unionByName(around)
 
 
-def backward_slices(rows: DataFrame, sinks: DataFrame, rounds: int = 10) -> DataFrame:
-    """DF-06, DF-07: (path, sink_line, line): lines whose values or conditions reach a sink's line, within its scope.
+def backward_slices(rows: DataFrame, sinks: DataFrame, rounds: int | None = None) -> DataFrame:
+    """DF-06, DF-07: (path, sink_line, line, partial): lines whose values or conditions reach a sink's line, within its scope.
 
-    Each round follows every read one definition back, for all sinks at once.
+    Each round follows every read one definition back, for all sinks at once,
+    until nothing is new.  `rounds` bounds them; partial then tells the slices that
+    would go on.
     """
     edges = stored(_definitions_reaching(rows).select("path", "scope", "line", "bound").distinct())
+    keys = ["path", "scope", "sink_line"]
     new = found = stored(sinks.select("path", "scope", F.col("line").alias("sink_line"), "line").distinct())
-    for _ in range(rounds):
-        back = new.join(edges, ["path", "scope", "line"]).select("path", "scope", "sink_line", F.col("bound").alias("line")).distinct()
-        new = stored(back.join(found, ["path", "scope", "sink_line", "line"], "left_anti"))
-        if new.isEmpty():
-            break
-        found = found.unionByName(new)
-    return found.drop("scope")
+    done = 0
+    while not new.isEmpty() and (rounds is None or done <= rounds):
+        back = new.join(edges, ["path", "scope", "line"]).select(*keys, F.col("bound").alias("line")).distinct()
+        new = stored(back.join(found, [*keys, "line"], "left_anti"))
+        if rounds is None or done < rounds:
+            found = found.unionByName(new)
+        done += 1
+    # with a bound the last round only asks what it would have found
+    cut = new.select(*keys).distinct().withColumn("partial", F.lit(True))
+    return found.join(cut, keys, "left").select("path", "sink_line", "line", F.coalesce("partial", F.lit(False)).alias("partial"))
 
 
 def module_names(paths: DataFrame) -> DataFrame:

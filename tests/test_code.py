@@ -69,6 +69,11 @@ def test_backward_slices(rows):
     for r in out.collect():
         got.setdefault(r["path"], set()).add(r["line"])
     assert got["app/main.py"] == {13, 12, 9, 8} and got["app/loop.py"] == {4, 2, 5, 1}
+    assert not any(r["partial"] for r in out.collect())
+    short = code.backward_slices(rows, sinks.where("path = 'app/main.py' and line = 13"), rounds=1).collect()
+    assert {r["line"] for r in short} < {13, 12, 9, 8} and all(r["partial"] for r in short)
+    whole = code.backward_slices(rows, sinks.where("path = 'app/main.py' and line = 13"), rounds=9).collect()
+    assert {r["line"] for r in whole} == {13, 12, 9, 8} and not any(r["partial"] for r in whole)
 
 
 def test_wrappers_reach_a_fixpoint(rows):
