@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 _MARKS = re.compile(r'[{}\[\]"\\]')
+_LITERAL, _COMMA = re.compile(r"\b(?:True|False|None)\b"), re.compile(r",(\s*[\]}])")
 _CLOSES = {"{": "}", "[": "]"}
 
 
@@ -49,10 +51,35 @@ def brackets(text: str) -> tuple[str | None, str | None, list[str]]:
     return outer, closed, objects
 
 
+def _value(text: str):
+    """The value of JSON, its literals and commas mended where need be; None if it is none."""
+    for variant in (text, _COMMA.sub(r"\1", _LITERAL.sub(lambda m: {"True": "true", "False": "false", "None": "null"}[m.group()], text))):
+        try:
+            return json.loads(variant)
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
+def finding_objects(objects: list[str]) -> list[str]:
+    """Those with a type and a severity, the first of each type and location."""
+    seen, out = set(), []
+    for text in objects:
+        value = _value(text)
+        kind = (value.get("type") or value.get("vulnerability_type")) if isinstance(value, dict) else None
+        if kind and "severity" in value:
+            key = json.dumps([kind, value.get("location")], sort_keys=True)
+            if key not in seen:
+                seen.add(key)
+                out.append(text)
+    return out
+
+
 _PARTS = StructType([StructField("outer", StringType()), StructField("closed", StringType()), StructField("objects", ArrayType(StringType()))])
 
 
 @F.pandas_udf(_PARTS)
 def json_parts(texts: pd.Series) -> pd.DataFrame:
-    """`brackets` of each text; of a null text nothing."""
-    return pd.DataFrame([brackets(t or "") for t in texts], columns=["outer", "closed", "objects"])
+    """The outermost value of each text, the closed one, and the objects that look like findings; of a null text nothing."""
+    parts = [brackets(t or "") for t in texts]
+    return pd.DataFrame([(outer, closed, finding_objects(objects)) for outer, closed, objects in parts], columns=["outer", "closed", "objects"])

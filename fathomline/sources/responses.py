@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.functions import fixed
+from fathomline.functions.scalars import coerce_cvss
 from fathomline.sources.cut_json import json_parts
 
 
@@ -40,13 +42,8 @@ def response_items(raw: DataFrame) -> DataFrame:
     def listed(value: str) -> Column:
         return F.coalesce(*(F.try_variant_get(value, path, "array<variant>") for path in ("$.vulnerabilities", "$.findings", "$")))
 
-    kind = lambda v: F.coalesce(F.try_variant_get(v, "$.type", "string"), F.try_variant_get(v, "$.vulnerability_type", "string"))
-    told = lambda v: F.struct(F.concat_ws("|", kind(v), F.coalesce(F.to_json(F.try_variant_get(v, "$.location", "variant")), F.lit(""))).alias("key"), v.alias("item"))
-    parsed = F.filter(F.transform("__p.objects", lambda o: F.try_parse_json(plain_json(o))), lambda v: kind(v).isNotNull() & F.try_variant_get(v, "$.severity", "string").isNotNull())
-    keyed = F.transform(parsed, told)
-    first = F.filter(F.transform(F.sequence(F.lit(1), F.size(keyed)), lambda k: F.when(F.array_position(F.transform(keyed, lambda x: x["key"]), F.element_at(keyed, k)["key"]) == k, F.element_at(keyed, k)["item"])), lambda v: v.isNotNull())
     whole, closed = listed("__v"), listed("__c")
-    like = F.when(F.size(parsed) > 0, first)
+    like = F.transform("__p.objects", lambda o: F.try_parse_json(plain_json(o)))
     items = text.withColumn("salvaged", whole.isNull()).withColumn("__items", F.coalesce(whole, closed, like))
     return items.select("file", F.posexplode("__items").alias("place", "item"), "salvaged")
 
@@ -56,8 +53,33 @@ def _text(*paths: str) -> Column:
     return F.coalesce(*[F.when(F.trim(x) != "", x) for x in found])
 
 
+def _table(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def model_type(kind: Column, cwe: Column) -> Column:
+    """PRJ-15: the type that a model's words stand for: a known name or synonym, whatever its case and dashes, else by the CWE number beside or in it, else by its words; null if by none."""
+    name = F.upper(F.regexp_replace(F.trim(F.coalesce(kind, F.lit(""))), r"[\s-]+", "_"))
+    names = {t: t for t in fixed.MODEL_TYPES} | {n: to for to, same in fixed.TYPE_SYNONYMS.items() for n in same}
+    number = F.regexp_extract(F.upper(F.coalesce(cwe, kind, F.lit(""))), r"CWE[-_]?(\d+)", 1)
+    low = F.lower(F.coalesce(kind, F.lit("")))
+    worded = [F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]), to) for words, to in fixed.MODEL_TYPE_WORDS]
+    return F.coalesce(F.try_element_at(_table(names), name), F.try_element_at(_table(fixed.MODEL_CWE_TYPES), number), *worded)
+
+
+def vector_score(vector: Column) -> Column:
+    """PRJ-15: a score of a CVSS vector's metrics whose names begin with C, I or A, at most 10."""
+    metrics = F.filter(F.split(vector, "/"), lambda m: F.rlike(m, F.lit("^[CIA].*:")))
+    points = F.transform(metrics, lambda m: F.coalesce(*[F.when(F.endswith(m, F.lit(f":{end}")), F.lit(p)) for end, p in fixed.VECTOR_POINTS.items()], F.lit(0.0)))
+    return F.least(F.lit(10.0), F.round(F.aggregate(points, F.lit(0.0), lambda a, b: a + b), 2))
+
+
 def findings_of(items: DataFrame) -> DataFrame:
-    """PRJ-15, PRJ-19: items with their synonyms and defaults as findings; the file is the one that was asked about."""
+    """PRJ-15, PRJ-19: items with their synonyms and defaults as findings; the file is the one that was asked about.
+
+    Items of no known type go.  A severity that is none counts as MEDIUM, a CWE
+    that says nothing as the type's own, a score without sense as 5.
+    """
     place = _text("$.location")
     # a location in words: the line beside "sink", else the last number that can be a line
     words = F.when(F.try_variant_get("item", "$.location.start_line", "int").isNull(), place)
@@ -66,14 +88,20 @@ def findings_of(items: DataFrame) -> DataFrame:
     line = F.coalesce(F.try_variant_get("item", "$.location.start_line", "int"), beside, F.try_element_at(numbers, F.lit(-1)), F.try_variant_get("item", "$.start_line", "int"), F.try_variant_get("item", "$.line", "int"), F.lit(1))
     end = F.coalesce(F.try_variant_get("item", "$.location.end_line", "int"), F.try_variant_get("item", "$.end_line", "int"), line)
     fix = _text("$.remediation.recommendation", "$.remediation.fix", "$.remediation.description", "$.remediation", "$.recommended_fix", "$.fix")
-    return items.select(
-        F.col("file").alias("file_path"), "place", "salvaged",
-        F.upper(F.regexp_replace(F.coalesce(_text("$.type", "$.vulnerability_type"), F.lit("VULNERABILITY")), r"[\s-]+", "_")).alias("type"),
-        F.upper(F.coalesce(_text("$.severity"), F.lit("MEDIUM"))).alias("severity"),
+    given = F.trim(F.coalesce(_text("$.cwe_id", "$.cwe"), F.lit("")))
+    severity = F.upper(F.coalesce(_text("$.severity"), F.lit("")))
+    score = F.coalesce(_text("$.cvss_score"), F.lit("5.0"))
+    kind = F.col("type")
+    canonical = F.try_element_at(_table({t: f"CWE-{fixed.CANONICAL_CWES[t]}" for t in fixed.CWE_BY_TYPE}), kind)
+    typed = items.withColumn("type", model_type(_text("$.type", "$.vulnerability_type"), F.nullif(given, F.lit("")))).where("type is not null")
+    return typed.select(
+        F.col("file").alias("file_path"), "place", "salvaged", kind,
+        F.when(severity.isin(*fixed.SEVERITIES), severity).otherwise("MEDIUM").alias("severity"),
         line.alias("start_line"), end.alias("end_line"),
         F.coalesce(_text("$.description"), F.lit("")).alias("description"), F.coalesce(_text("$.impact"), F.lit("")).alias("impact"), F.coalesce(fix, F.lit("")).alias("remediation"),
-        F.coalesce(_text("$.cwe_id", "$.cwe"), F.lit("CWE-Other")).alias("cwe_id"), F.coalesce(_text("$.owasp_category", "$.owasp"), F.lit("A00: Other")).alias("owasp_category"),
-        F.coalesce(_text("$.cvss_score"), F.lit("5.0")).alias("cvss"), F.coalesce(_text("$.secure_code_example", "$.remediation.secure_code_example"), F.lit("")).alias("secure_code_example"),
+        F.when(~given.isin(*fixed.NO_CWES), given).otherwise(F.coalesce(canonical, F.nullif(given, F.lit("")), F.lit("CWE-Other"))).alias("cwe_id"), F.coalesce(_text("$.owasp_category", "$.owasp"), F.lit("A00: Other")).alias("owasp_category"),
+        score.alias("cvss"), F.when(F.startswith(F.trim(score), F.lit("CVSS:")), vector_score(F.trim(score))).otherwise(coerce_cvss(score)).alias("cvss_score"), F.coalesce(F.try_variant_get("item", "$.references", "array<string>"), F.array().cast("array<string>")).alias("references"),
+        F.coalesce(_text("$.defect_replication_notes", "$.proof_of_concept"), F.lit("")).alias("proof_of_concept"), F.coalesce(_text("$.secure_code_example", "$.remediation.secure_code_example"), F.lit("")).alias("secure_code_example"),
     )
 
 

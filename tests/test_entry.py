@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from fathomline.plans import flows, queries, scans
+from fathomline.plans import answers, flows, queries, scans
 
-QUERIES, SQL = {**queries.QUERIES, **scans.QUERIES, **flows.QUERIES}, {**queries.SQL, **scans.SQL, **flows.SQL}
+QUERIES, SQL = {**queries.QUERIES, **scans.QUERIES, **flows.QUERIES, **answers.QUERIES}, {**queries.SQL, **scans.SQL, **flows.SQL, **answers.SQL}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

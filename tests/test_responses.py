@@ -18,10 +18,10 @@ def parsed(spark, *texts):
 def test_responses_in_all_shapes(spark):
     body = json.dumps({"vulnerabilities": [ITEM, {"vulnerability_type": "XSS", "location": "sink at line 12", "line": 3}]})
     cut = body[: body.index(', {"vuln') + 30]
-    out = parsed(spark, body, f"<think>{{1}}</think>\nSure:\n```json\n{body}\n```", "{'x'", body.replace("}]", "},]"), '{"findings": [{"type": "A", "safe": False, "n": None}]}', cut, "nothing here", None, json.dumps([ITEM]))
+    out = parsed(spark, body, f"<think>{{1}}</think>\nSure:\n```json\n{body}\n```", "{'x'", body.replace("}]", "},]"), '{"findings": [{"type": "RACE_CONDITION", "safe": False, "n": None}]}', cut, "nothing here", None, json.dumps([ITEM]))
     for rows in (out[0], out[1], out[3]):
-        assert [(r["type"], r["severity"], r["start_line"], r["end_line"], r["cwe_id"], r["remediation"]) for r in rows] == [("SQL_INJECTION", "HIGH", 4, 6, "CWE-89", "use parameters"), ("XSS", "MEDIUM", 12, 12, "CWE-Other", "")]
-    assert [r["type"] for r in out[4]] == ["A"] and out[2] == out[6] == out[7] == []
+        assert [(r["type"], r["severity"], r["start_line"], r["end_line"], r["cwe_id"], r["remediation"]) for r in rows] == [("SQL_INJECTION", "HIGH", 4, 6, "CWE-89", "use parameters"), ("CROSS_SITE_SCRIPTING", "MEDIUM", 12, 12, "CWE-79", "")]
+    assert [(r["type"], r["cwe_id"]) for r in out[4]] == [("RACE_CONDITION", "CWE-Other")] and out[2] == out[6] == out[7] == []
     assert [(r["type"], r["start_line"], r["salvaged"]) for r in out[5]] == [("SQL_INJECTION", 4, True)] and len(out[8]) == 1
 
 
@@ -69,8 +69,16 @@ def test_deep_and_cut_answers(spark):
     body = json.dumps({"vulnerabilities": [item, other, item]})
     broken = "so: " + json.dumps(item) + " and {'oops " + json.dumps(other) + json.dumps(item) + json.dumps({"type": "NOT", "note": 1})
     out = parsed(spark, body, body[: body.index("XSS") + 9], "Sure, " + body + " as asked }", broken, '{"vulnerabilities": []}', "{" * 50)
-    assert [[(r["type"], r["start_line"], r["salvaged"]) for r in x] for x in out[:2]] == [[("SQL_INJECTION", 3, False), ("XSS", 3, False), ("SQL_INJECTION", 3, False)], [("SQL_INJECTION", 3, True)]]
-    assert len(out[2]) == 3 and [r["type"] for r in out[3]] == ["SQL_INJECTION", "XSS"] and out[4] == out[5] == []
+    assert [[(r["type"], r["start_line"], r["salvaged"]) for r in x] for x in out[:2]] == [[("SQL_INJECTION", 3, False), ("CROSS_SITE_SCRIPTING", 3, False), ("SQL_INJECTION", 3, False)], [("SQL_INJECTION", 3, True)]]
+    assert len(out[2]) == 3 and [r["type"] for r in out[3]] == ["SQL_INJECTION", "CROSS_SITE_SCRIPTING"] and out[4] == out[5] == []
+
+
+def test_types_scores_and_cwes_of_models(spark):
+    told = [("sqli", None, None), ("Cross-Site Request Forgery", "None", "crit"), ("odd thing", None, 3), ("odd thing", "CWE-601", "CVSS:3.1/AV:N/AC:L/C:H/I:M/A:N"), ("CWE_643 thing", None, "x"), ("Use of eval", "CWE-Other", 70), ("SERVER_SIDE_REQUEST_FORGERY_(SSRF)", "CWE-918", "CVSS:4/C:H/I:H/A:H/AV:H"), ("RACE_CONDITION", "CWE-000", "7.25"), ("xpath walk", None, None), (None, None, None)]
+    items = [{"type": t, "cwe": c, "cvss_score": v, "severity": "odd", "references": ["r"], "proof_of_concept": "p"} for t, c, v in told]
+    rows = parsed(spark, json.dumps(items))[0]
+    assert [(r["place"], r["type"], r["cwe_id"], r["cvss_score"]) for r in rows] == [(0, "SQL_INJECTION", "CWE-89", 5.0), (1, "CSRF", "CWE-352", 9.5), (3, "UNVALIDATED_REDIRECTS_AND_FORWARDED_REQUESTS", "CWE-601", 6.3), (4, "XPATH_INJECTION", "CWE-643", 5.0), (5, "CODE_INJECTION", "CWE-94", 10.0), (6, "SERVER_SIDE_REQUEST_FORGERY", "CWE-918", 10.0), (7, "RACE_CONDITION", "CWE-000", 7.25), (8, "PATH_TRAVERSAL", "CWE-22", 5.0)]
+    assert {(r["severity"], tuple(r["references"]), r["proof_of_concept"]) for r in rows} == {("MEDIUM", ("r",), "p")}
 
 
 def test_verdicts(spark):
