@@ -3,9 +3,10 @@
 Such a vocabulary's pattern never lets a piece run from a character other than
 white space into white space, so a text may be cut before each white space that
 follows something else: its ids are its chunks' ids in turn.  A batch's distinct
-chunks get their ids once.  Chunks of a space or none, Latin letters, and marks
-behind them or none go through the merges of the tokenizer's file all at once;
-every other chunk goes to the tokenizer itself, also where no cut is certain.
+chunks get their ids once, and those of the last batches are remembered.  Chunks
+of a space or none, Latin letters, and marks behind them or none go through the
+merges of the tokenizer's file all at once; every other chunk goes to the
+tokenizer itself, also where no cut is certain.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from fathomline.llm.text import SPACE, column_bytes
 from fathomline.llm.wordpieces import _LETTER, _LONGEST, _MARKS, _bytes_of, _distinct, _Merges, gather
 
+#: Distinct chunks that a worker remembers, with their ids some 5 MB.
+REMEMBERED = 1 << 17
 _GRAPHIC = (np.arange(256) > 32) & (np.arange(256) < 127)
 
 
@@ -55,6 +59,7 @@ class BytePieces:
         self.vocabulary = self.model.get_vocab_size()
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
+        self.held = (pa.array([], pa.large_binary()), np.empty(0, np.uint32), np.zeros(1, np.int64))
         self.merges = _Merges(model | {"end_of_word_suffix": model.get("end_of_word_suffix") or ""})
         ids, offsets = self.of_chunks(pa.array([p.encode() for p in self.PROBES], pa.large_binary()))
         if any(ids[a:b].tolist() != self._general([w])[0] for w, a, b in zip(self.PROBES, offsets, offsets[1:], strict=False)):
@@ -64,7 +69,27 @@ class BytePieces:
         return [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct chunks and their offsets."""
+        """Ids of distinct chunks and their offsets.
+
+        The chunks of the last batches are remembered, up to REMEMBERED of at most
+        _LONGEST bytes, so that a worker's memory stays bounded.
+        """
+        known, ids, offsets = self.held
+        at = pc.index_in(chunks, value_set=known).fill_null(-1).to_numpy() if len(known) else np.full(len(chunks), -1)
+        new = np.flatnonzero(at < 0)
+        fresh = chunks.take(pa.array(new))
+        more, ends = self._of_new(fresh)
+        every, bounds = np.concatenate((ids, more)), np.concatenate((offsets, offsets[-1] + ends[1:]))
+        at = at.astype(np.int64)
+        at[new] = len(known) + np.arange(len(new))
+        short = np.flatnonzero(np.array(pc.less_equal(pc.binary_length(fresh), _LONGEST), dtype=bool))
+        if len(known) + len(short) > REMEMBERED:
+            known, ids, offsets = known.slice(0, 0), ids[:0], offsets[:1]
+        kept, begins = gather(more, ends, short)
+        self.held = (pa.concat_arrays([known, fresh.take(pa.array(short))]), np.concatenate((ids, kept)), np.concatenate((offsets, offsets[-1] + begins[1:])))
+        return gather(every, bounds, at)
+
+    def _of_new(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = column_bytes(chunks)
         n = len(chunks)
         if not n:

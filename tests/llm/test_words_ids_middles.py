@@ -12,8 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fathomline.llm import fim, spelling_variants, token_files
-from fathomline.llm.bytepieces import byte_pieces
+from fathomline.llm import bytepieces, fim, spelling_variants, token_files
+from fathomline.llm.bytepieces import BytePieces, byte_pieces
 
 SCHEMA = "doc_id long, text string, source string, word string, n long, rank long, ids string, output string, form string"
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -145,6 +145,21 @@ def test_ids_of_any_text(texts):
     assert {k: n for k, n in enumerate(got.tolist()) if n} == counts
 
 
+def test_remembered_chunks_do_not_change_ids(texts, monkeypatch):
+    """Whatever is remembered, full or not, ids are those of a fresh worker."""
+    path = token_files.default_tokenizer()
+    column = pa.array([t or "" for t in texts], pa.string())
+    want = BytePieces(path).of_texts(column)
+    for most in (0, 7, 300, 1 << 17):
+        monkeypatch.setattr(bytepieces, "REMEMBERED", most)
+        pieces = BytePieces(path)
+        for lo in range(0, len(texts), 5):
+            pieces.of_texts(column.slice(lo, 5))
+            assert len(pieces.held[0]) <= max(most, len(bytepieces.split_chunks(column.slice(lo, 5))[0])) and len(pieces.held[2]) == len(pieces.held[0]) + 1
+        got = pieces.of_texts(column)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
 def wanted(pairs):
     """(doc_id, start, ids) in ascending order of doc_id, null first; pairs without repeated ids."""
     model, start, out = byte_pieces(token_files.default_tokenizer()).model, 0, []
