@@ -10,10 +10,23 @@ from fathomline.functions.rules import posix_path, source_label
 from fathomline.functions.scalars import coerce_confidence, normalize_cwe, severity_weight
 
 
-def severity_summary(findings: DataFrame, *by: str) -> DataFrame:
-    """AGG-01, AGG-02: totals by severity, and the weighted risk without chains."""
+def severity_summary(findings: DataFrame, *by: str, chains: DataFrame | None = None) -> DataFrame:
+    """AGG-01, AGG-02: totals by severity, the summed weights as risk, and risk_score, a tenth more for each chain.
+
+    chains: `by` and chains, how many chains each group has; none without it.
+    """
     counts = [F.count_if(F.col("severity") == s).alias(s.lower()) for s in fixed.SEVERITIES]
-    return findings.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *counts, F.sum(severity_weight(F.col("severity"))).cast("long").alias("risk"))
+    out = findings.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *counts, F.sum(severity_weight(F.col("severity"))).cast("long").alias("risk"))
+    if chains is not None:
+        out = out.join(chains.select(*by, F.col("chains").alias("__chains")), list(by), "left")
+    n = F.coalesce("__chains", F.lit(0)) if chains is not None else F.lit(0)
+    return out.withColumn("risk_score", F.round(F.col("risk") * (1 + F.lit(0.1) * n), 2)).select(*by, "total", *[s.lower() for s in fixed.SEVERITIES], "risk", "risk_score")
+
+
+def provenance(findings: DataFrame) -> DataFrame:
+    """AGG-03: source, n: how many findings each tier has alone and both have together, none counting as 0, and TOTAL."""
+    counts = findings.agg(*[F.count_if(F.col("source") == s).alias(s) for s in fixed.CONFIDENCE], F.count(F.lit(1)).alias("TOTAL"))
+    return counts.unpivot([], counts.columns, "source", "n")
 
 
 def top_types(findings: DataFrame, n: int = 10) -> DataFrame:
@@ -30,11 +43,15 @@ def coverage(files: DataFrame) -> DataFrame:
 
 
 def stability(signatures: DataFrame) -> DataFrame:
-    """AGG-09: of runs (configuration, run, signature): how many signatures every run has, and how many come and go."""
-    runs = signatures.groupBy("configuration").agg(F.count_distinct("run").alias("runs"))
+    """AGG-09: of runs (configuration, run, signature, a row for each finding): how many signatures every run has and how many come and go, both in per cent, and the least, most and average findings of a run, with the spread."""
+    each = signatures.groupBy("configuration", "run").agg(F.count(F.lit(1)).alias("found"))
+    runs = each.groupBy("configuration").agg(F.count(F.lit(1)).alias("runs"), F.min("found").alias("least"), F.max("found").alias("most"), F.round(F.avg("found"), 1).alias("average"))
     seen = signatures.groupBy("configuration", "signature").agg(F.count_distinct("run").alias("n")).join(runs, "configuration")
+    told = ["runs", "least", "most", "average"]
     stable = F.count_if(F.col("n") == F.col("runs"))
-    return seen.groupBy("configuration").agg(F.first("runs").alias("runs"), F.count(F.lit(1)).alias("signatures"), stable.alias("stable"), (F.count(F.lit(1)) - stable).alias("intermittent"))
+    out = seen.groupBy("configuration", *told).agg(F.count(F.lit(1)).alias("signatures"), stable.alias("stable"))
+    out = out.withColumn("consistency_pct", F.round(F.col("stable") / F.col("signatures") * 100, 1))
+    return out.select("configuration", "runs", "signatures", "stable", (F.col("signatures") - F.col("stable")).alias("intermittent"), "consistency_pct", F.round(100 - F.col("consistency_pct"), 1).alias("variance_pct"), "least", "most", "average", (F.col("most") - F.col("least")).alias("spread"))
 
 
 def newest(jobs: DataFrame, limit: int) -> DataFrame:

@@ -134,7 +134,15 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.severity_summary(findings(spark, sf_dir), "source")
+    f = findings(spark, sf_dir)
+    # files with two findings of a source and more stand in for its chains
+    chains = f.groupBy("source", "file_path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("source").agg(F.count(F.lit(1)).alias("chains"))
+    return reports.severity_summary(f, "source", chains=chains)
+
+
+def provenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by tier, with the tier that has none and the total (AGG-03)."""
+    return reports.provenance(findings(spark, sf_dir))
 
 
 def top_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,7 +378,7 @@ def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: printable(f) for f in (risk_route, risk_signals, fingerprints, severity_by_source, top_types, tier_dedup, two_tier_fusion, overlap_merge, suppression, baseline_partition, fix_check, build_gate, label_candidates, detection_outcomes, cwe_recall, document_labels_score, related_findings, dashboard, event_matrix, run_stability, newest_events, retained_events, capped_log, latest_state, debounced, event_props, call_summary, text_search, first_lines, code_windows, snapshot_digest, cache_keys, coercions, sarif_rule_list, sarif_results, scan_documents, scan_coverage, supply_depth, priced_nations, order_ranks, stratified_sample, taint_touch, evidence_states)}
+QUERIES = {f.__name__: printable(f) for f in (risk_route, risk_signals, fingerprints, severity_by_source, provenance_counts, top_types, tier_dedup, two_tier_fusion, overlap_merge, suppression, baseline_partition, fix_check, build_gate, label_candidates, detection_outcomes, cwe_recall, document_labels_score, related_findings, dashboard, event_matrix, run_stability, newest_events, retained_events, capped_log, latest_state, debounced, event_props, call_summary, text_search, first_lines, code_windows, snapshot_digest, cache_keys, coercions, sarif_rule_list, sarif_results, scan_documents, scan_coverage, supply_depth, priced_nations, order_ranks, stratified_sample, taint_touch, evidence_states)}
 
 _SIGNALS = " UNION ALL ".join(f"SELECT '{n}' AS signal, count(*) AS files FROM files WHERE regexp_matches(content, '{_re2(p)}')" for p, _, n in fixed.RISK_SIGNALS)
 _CLASS = " OR ".join(f"(d.cwe IN ({q}) AND y.cwe IN ({q}))" for g in fixed.CWE_CLASSES if (q := ", ".join(f"'{c}'" for c in g)))
@@ -380,7 +388,8 @@ SQL = {
     "risk_route": f"WITH {_FINDINGS}, scored AS (SELECT *, {_RISK} AS risk FROM files) SELECT lang, source, count(*) AS files, CAST(sum(risk) AS BIGINT) AS risk, max(risk) AS most FROM scored WHERE risk >= 3 OR path IN (SELECT file_path FROM findings WHERE source = 'SEMGREP') GROUP BY lang, source",
     "risk_signals": f"WITH {_FILES} SELECT * FROM ({_SIGNALS}) WHERE files > 0",
     "fingerprints": f"WITH {_FINDINGS} SELECT seq, {_PRINT} AS fingerprint, 'CWE-' || cwe_id AS cwe, {_RANK} AS rank FROM findings",
-    "severity_by_source": f"WITH {_FINDINGS} SELECT source, count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(*) FILTER (severity = 'INFO') AS info, CAST(sum(CASE severity WHEN 'CRITICAL' THEN 10 WHEN 'HIGH' THEN 8 WHEN 'MEDIUM' THEN 5 WHEN 'LOW' THEN 2 ELSE 1 END) AS BIGINT) AS risk FROM findings GROUP BY source",
+    "provenance_counts": f"WITH {_FINDINGS} SELECT s AS source, CASE s WHEN 'TOTAL' THEN (SELECT count(*) FROM findings) ELSE (SELECT count(*) FROM findings WHERE source = s) END AS n FROM (VALUES ('CONFIRMED'), ('SEMGREP'), ('LLM'), ('TOTAL')) t(s)",
+    "severity_by_source": f"WITH {_FINDINGS}, c AS (SELECT source, count(*) AS chains FROM (SELECT source, file_path FROM findings GROUP BY ALL HAVING count(*) > 1) GROUP BY source), t AS (SELECT source, count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(*) FILTER (severity = 'INFO') AS info, CAST(sum(CASE severity WHEN 'CRITICAL' THEN 10 WHEN 'HIGH' THEN 8 WHEN 'MEDIUM' THEN 5 WHEN 'LOW' THEN 2 ELSE 1 END) AS BIGINT) AS risk FROM findings GROUP BY source) SELECT t.*, round(risk * (1 + 0.1::DOUBLE * coalesce(chains, 0)), 2) AS risk_score FROM t LEFT JOIN c USING (source)",
     "top_types": f"WITH {_FINDINGS} SELECT type, count(*) AS n FROM findings GROUP BY type ORDER BY n DESC, type LIMIT 5",
     "overlap_merge": f"WITH {_FINDINGS}, f AS (SELECT * REPLACE (start_line + start_line % 4 AS end_line) FROM findings), m AS (SELECT *, CASE WHEN start_line <= max(end_line) OVER (PARTITION BY file_path, type ORDER BY start_line, end_line, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM f), g AS (SELECT *, sum(new) OVER (PARTITION BY file_path, type ORDER BY start_line, end_line, seq) AS run FROM m) SELECT file_path, type, min(start_line) AS start_line, max(end_line) AS end_line, first(seq ORDER BY start_line, end_line, seq) AS seq, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM g GROUP BY file_path, type, run",
     "suppression": f"WITH {_FINDINGS}, whole AS (SELECT DISTINCT path FROM lines WHERE regexp_matches(text, '(?i)CC BY-NC')), own AS (SELECT path, line, 0 AS kind FROM lines WHERE regexp_matches(text, '(?i)Apache License')), marks AS (SELECT * FROM own UNION ALL SELECT path, line + 1, 1 FROM own UNION ALL SELECT path, line, 2 FROM lines WHERE regexp_matches(text, '(?i)MIT License') AND NOT regexp_matches(text, '(?i)Apache License')), best AS (SELECT path, line, min(kind) AS kind FROM marks GROUP BY path, line) SELECT type, count(*) AS kept FROM findings f WHERE file_path NOT IN (SELECT path FROM whole) AND NOT EXISTS (SELECT 1 FROM best b WHERE b.path = f.file_path AND b.line = f.start_line AND (b.kind = 2 OR f.type IN ('EXPOSED_SECRET', 'SECURITY_MISCONFIGURATION'))) GROUP BY type",
@@ -391,7 +400,7 @@ SQL = {
     "document_labels_score": f"WITH {_FILES}, b AS (SELECT lang, regexp_matches(content, '###|!!|[|]|%%%') AS hit, quality = 0 AS bad FROM labels JOIN files USING (doc_id)), c AS (SELECT lang, count(*) FILTER (hit AND bad) AS tp, count(*) FILTER (hit AND NOT bad) AS fp, count(*) FILTER (NOT hit AND bad) AS fn FROM b GROUP BY lang) SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END AS f1 FROM c",
     "dashboard": "SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, max(value) AS most, min(ts) AS first, max(ts) AS last FROM events GROUP BY event_type",
     "event_matrix": "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'logout') AS logout, count(*) AS total FROM events GROUP BY user_id",
-    "run_stability": "WITH e AS (SELECT event_type AS configuration, day(ts) AS run, user_id AS signature FROM events), r AS (SELECT configuration, count(DISTINCT run) AS runs FROM e GROUP BY 1), s AS (SELECT configuration, signature, count(DISTINCT run) AS n FROM e GROUP BY 1, 2) SELECT configuration, any_value(runs) AS runs, count(*) AS signatures, count(*) FILTER (n = runs) AS stable, count(*) FILTER (n <> runs) AS intermittent FROM s JOIN r USING (configuration) GROUP BY configuration",
+    "run_stability": "WITH e AS (SELECT event_type AS configuration, day(ts) AS run, user_id AS signature FROM events), r AS (SELECT configuration, count(*) AS runs, min(n) AS least, max(n) AS most, round(avg(n), 1) AS average FROM (SELECT configuration, run, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1), s AS (SELECT configuration, signature, count(DISTINCT run) AS n FROM e GROUP BY 1, 2), t AS (SELECT configuration, runs, least, most, average, count(*) AS signatures, count(*) FILTER (n = runs) AS stable FROM s JOIN r USING (configuration) GROUP BY ALL) SELECT configuration, runs, signatures, stable, signatures - stable AS intermittent, round(stable / signatures * 100, 1) AS consistency_pct, round(100 - round(stable / signatures * 100, 1), 1) AS variance_pct, least, most, average, most - least AS spread FROM t",
     "newest_events": "SELECT event_id AS id, ts AS created_at, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50",
     "retained_events": "SELECT event_id AS id, ts AS created_at, user_id, CASE WHEN event_type = 'click' THEN 'running' ELSE 'done' END AS status FROM events QUALIFY event_type = 'click' OR row_number() OVER (PARTITION BY user_id, event_type = 'click' ORDER BY ts DESC, event_id) <= 5",
     "capped_log": "SELECT event_id, user_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3 OR row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10",
