@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
 
-CONTROL = r"(?m)^\s*(?:if|elif|else|for|while|try|except|finally|with|match)\b"
-CONSTANT_RETURN = r"(?m)^\s*return\s+(?:True|False|None|\d+|['\"].*['\"])\s*$"
-NO_OP = r"(?m)^\s*(?:pass|\.\.\.)\s*$"
-PLACEHOLDER = r"(?i)\b(?:your_|todo|fixme|replace_me|placeholder)"
-
-
 def taint_points(steps: DataFrame) -> DataFrame:
     """Places of taint steps (seq, file, line, kind), each widened by a line to either side; files by their base name."""
     base = F.lower(F.substring_index("file", "/", -1))
@@ -27,20 +21,25 @@ def taint_pairs(steps: DataFrame) -> DataFrame:
 
 
 def risk_reasons(original: Column, replacement: Column) -> Column:
-    """PRJ-39: why a replacement deserves a second look."""
-    full = lambda c: F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
-    flow = lambda c: F.regexp_count(c, F.lit(CONTROL))
-    new_imports = F.filter(full(replacement), lambda x: F.rlike(x, F.lit(r"^\s*(?:import|from)\s")) & ~F.contains(original, F.trim(x)))
+    """PRJ-39: why a replacement deserves a second look, as sentences in their order; null texts count as empty."""
+    original, replacement = F.coalesce(original, F.lit("")), F.coalesce(replacement, F.lit(""))
+    full = lambda c: F.filter(F.split(c, "\n"), lambda x: F.trim(F.replace(x, F.lit("\t"), F.lit(" "))) != "")
+    # flow is counted line by line, so a pattern's white space cannot run over a line's end
+    flow = lambda c: F.size(F.filter(full(c), lambda x: F.rlike(x, F.lit(fixed.PATCH_CONTROL))))
+    some = lambda c, pattern: F.exists(F.split(c, "\n"), lambda x: F.rlike(x, F.lit(pattern)))
+    imports = F.transform(F.filter(full(replacement), lambda x: F.rlike(x, F.lit(fixed.PATCH_IMPORT)) & ~F.contains(original, F.trim(x))), F.trim)
+    placeholder, expands, brings, control, returns, constant, no_op = fixed.PATCH_REASONS
+    before, after = F.size(full(original)), F.size(full(replacement))
     tests = [
-        (F.rlike(replacement, F.lit(PLACEHOLDER)), "placeholder"),
-        (F.size(full(replacement)) > F.size(full(original)) + 1, "expands"),
-        (F.size(new_imports) > 0, "imports"),
-        (flow(replacement) > flow(original), "control flow"),
-        (F.contains(replacement, F.lit("return")) & ~F.contains(original, F.lit("return")), "return"),
-        (F.rlike(replacement, F.lit(CONSTANT_RETURN)) & ~F.rlike(original, F.lit(CONSTANT_RETURN)), "constant return"),
-        (F.rlike(replacement, F.lit(NO_OP)) & ~F.rlike(original, F.lit(NO_OP)), "no-op"),
+        (F.rlike(replacement, F.lit(fixed.PATCH_PLACEHOLDER)), F.lit(placeholder)),
+        (after > before + 1, F.format_string(expands.replace("{}", "%d"), before, after)),
+        (F.size(imports) > 0, F.format_string(brings.replace("{}", "%s"), F.array_join(F.slice(imports, 1, 2), ", "))),
+        (flow(replacement) > flow(original), F.lit(control)),
+        (F.contains(replacement, F.lit("return")) & ~F.contains(original, F.lit("return")), F.lit(returns)),
+        (some(replacement, fixed.PATCH_CONSTANT) & ~some(original, fixed.PATCH_CONSTANT), F.lit(constant)),
+        (some(replacement, fixed.PATCH_NO_OP) & ~some(original, fixed.PATCH_NO_OP), F.lit(no_op)),
     ]
-    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in tests]))
+    return F.array_compact(F.array(*[F.when(test, said) for test, said in tests]))
 
 
 def patch_plan(findings: DataFrame, files: DataFrame, require_baseline: bool = False) -> DataFrame:

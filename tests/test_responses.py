@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from fathomline.functions import fixed
 from fathomline.operators import repair
 from fathomline.sources import responses
 from fathomline.sources.cut_json import brackets
@@ -113,7 +114,7 @@ def test_patch_plan_and_result(spark):
     assert {k: r["rejected"] for k, r in got.items()} == {1: None, 2: None, 3: "overlaps", 4: "file not found", 5: "past end of file", 6: "identical", 7: "no suggestion", 8: "stale", 9: "overlaps", 10: None}
     assert repair.patched(files, plan).first()["content"] == "def g():\n    a = 9\n    b = 8\n    if b:\n        return True\nend"
     reasons = plan.where("seq = 2").select(repair.risk_reasons(F.col("original"), F.col("replacement"))).first()[0]
-    assert reasons == ["control flow", "return", "constant return"]
+    assert reasons == [fixed.PATCH_REASONS[k] for k in (3, 4, 5)]
     last = repair.patch_plan(spark.createDataFrame([(1, "m.py", 5, 5, "fin", None)], "seq long, file_path string, start_line int, end_line int, secure_code_example string, file_hash string"), files)
     assert repair.patched(files, last).first()["content"] == code[:-3] + "fin"
     new = repair.patched(files, last)
@@ -125,3 +126,18 @@ def test_budget_counts_distinct_lines(spark):
     rows = [("s", 0, k, k // 2, k) for k in range(10)]
     kept = repair.within_budget(spark.createDataFrame(rows, "slice string, priority int, distance int, line int, id int"), 3)
     assert {r["id"] for r in kept.collect()} == set(range(6))
+
+
+def test_reasons_of_patches(spark):
+    """The values that no one meant, flow, imports, constants and no-ops, each against a plain reading."""
+    pairs = [
+        ("x = open(p)", "x = open('/path/to/file')"), ("x = 1", "x = <name>"), ("k = v", "k = CHANGE_ME"), ("u = h", "u = 'https://example.com'"), ("a\n\nb", "a\n\t\nb\nc\nd\ne"), ("import os\nx", "import os\nimport re\nfrom a import b\nimport z\nx"),
+        ("x()", "def f():\n    x()"), ("x()", "class A:\n    x = 1"), ("x()", "    match x:\n        y"), ("return f(x)", "return True"), ("f(x)", "pass"), ("return 1", "return 'a'"), ("pass", "pass"), ("", ""), (None, None), ("TODO", "TODO todo"),
+    ]
+    told = [fixed.PATCH_REASONS[k] for k in range(7)]
+    want = [
+        [told[0]], [told[0]], [told[0]], [told[0]], ["expands 2 line(s) into 5"], ["expands 2 line(s) into 5", "introduces import(s): import re, from a import b"],
+        [told[3]], [told[3]], [], [told[5]], [told[6]], [], [], [], [], [told[0]],
+    ]
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").select("k", repair.risk_reasons(F.col("a"), F.col("b")).alias("r")).orderBy("k").collect()
+    assert [r["r"] for r in rows] == want
