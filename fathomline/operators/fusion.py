@@ -48,18 +48,20 @@ def fuse(rules: DataFrame, model: DataFrame, window: int = fixed.FUSION_LINES, d
     `deduplicate`.
     """
     own = list(rules.columns)
-    tiers = stored(rules.withColumn("tier", F.lit(0)).unionByName(model.withColumn("tier", F.lit(1))))
-    # files are told apart over both tiers, so that paths of either meet
-    both = stored(placed(tiers))
+    # what the walks need, without the texts; files are told apart over both tiers, so that paths of either meet
+    slim = lambda rows, tier: rows.select(F.lit(tier).alias("tier"), "seq", "file_path", "type", "cwe_id", "start_line", "end_line", *[o.alias(f"__o{k}") for k, o in enumerate(_orders())])
+    both = stored(placed(slim(rules, 0).unionByName(slim(model, 1))))
+    orders = [F.col("__o0"), F.col("__o1")]
     sides = []
     for tier in (0, 1):
         rows = both.where(F.col("tier") == tier)
-        kept = first_come(rows, _orders(), window, block_lines).where("kept").select("seq")
+        kept = first_come(rows, orders, window, block_lines).where("kept").select("seq")
         sides.append(stored(rows.join(kept, "seq", "left_semi")))
-    met = stored(claims(sides[0], sides[1], _orders(), _orders(), window, block_lines))
-    r, m = sides[0].select(*own), sides[1].select(*own)
+    met = stored(claims(sides[0], sides[1], orders, orders, window, block_lines))
+    taken = met.where("merged_seq is not null").select(F.col("merged_seq").alias("seq"))
+    r, m = rules.select(*own), model.select(*own)
 
-    told = m.select(F.struct(*own).alias("m"), F.col("seq").alias("merged_seq"))
+    told = m.join(taken, "seq", "left_semi").select(F.struct(*own).alias("m"), F.col("seq").alias("merged_seq"))
     pairs = r.select(F.struct(*own).alias("r"), "seq").join(met, "seq").join(told, "merged_seq", "left").drop("seq")
     hit = F.col("m").isNotNull()
     about = lambda side: F.lower(F.coalesce(F.col(f"{side}.context"), F.lit("")))
@@ -79,7 +81,7 @@ def fuse(rules: DataFrame, model: DataFrame, window: int = fixed.FUSION_LINES, d
     fused = pairs.select(*[columns[c].alias(c) for c in own], F.when(hit, "CONFIRMED").otherwise("SEMGREP").alias("source"), "merged_seq")
     if drop_unconfirmed:
         fused = fused.where("source = 'CONFIRMED'")
-    rest = m.join(met.where("merged_seq is not null").select(F.col("merged_seq").alias("seq")), "seq", "left_anti").select(*own, F.lit("LLM").alias("source"), F.lit(None).cast(dict(rules.dtypes)["seq"]).alias("merged_seq"))
+    rest = m.join(sides[1].select("seq").join(taken, "seq", "left_anti"), "seq", "left_semi").select(*own, F.lit("LLM").alias("source"), F.lit(None).cast(dict(rules.dtypes)["seq"]).alias("merged_seq"))
     out = fused.unionByName(rest)
     source = F.col("source")
     out = out.withColumn("confidence", F.coalesce(*(F.when(source == s, F.lit(c)) for s, c in fixed.CONFIDENCE.items()))).withColumn("corroborated", source == "CONFIRMED")
