@@ -14,16 +14,16 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from fathomline.llm.text import SPACE, column_bytes
 from fathomline.llm.wordpieces import _LETTER, _LONGEST, _MARKS, _bytes_of, _distinct, _Merges, gather
 
-#: Distinct chunks that a worker remembers, with their ids some 5 MB.
-REMEMBERED = 1 << 17
+#: Distinct chunks that a worker remembers, with their ids some 50 MB.
+REMEMBERED = 1 << 18
 _GRAPHIC = (np.arange(256) > 32) & (np.arange(256) < 127)
 
 
@@ -59,7 +59,7 @@ class BytePieces:
         self.vocabulary = self.model.get_vocab_size()
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
-        self.held = (pa.array([], pa.large_binary()), np.empty(0, np.uint32), np.zeros(1, np.int64))
+        self.held: tuple[dict[bytes, int], np.ndarray, np.ndarray] = ({}, np.empty(0, np.uint32), np.zeros(1, np.int64))
         self.merges = _Merges(model | {"end_of_word_suffix": model.get("end_of_word_suffix") or ""})
         ids, offsets = self.of_chunks(pa.array([p.encode() for p in self.PROBES], pa.large_binary()))
         if any(ids[a:b].tolist() != self._general([w])[0] for w, a, b in zip(self.PROBES, offsets, offsets[1:], strict=False)):
@@ -75,18 +75,18 @@ class BytePieces:
         _LONGEST bytes, so that a worker's memory stays bounded.
         """
         known, ids, offsets = self.held
-        at = pc.index_in(chunks, value_set=known).fill_null(-1).to_numpy() if len(known) else np.full(len(chunks), -1)
+        names = chunks.to_pylist()
+        at = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(at < 0)
-        fresh = chunks.take(pa.array(new))
-        more, ends = self._of_new(fresh)
+        more, ends = self._of_new(chunks.take(pa.array(new)))
         every, bounds = np.concatenate((ids, more)), np.concatenate((offsets, offsets[-1] + ends[1:]))
-        at = at.astype(np.int64)
         at[new] = len(known) + np.arange(len(new))
-        short = np.flatnonzero(np.array(pc.less_equal(pc.binary_length(fresh), _LONGEST), dtype=bool))
+        short = [k for k, n in enumerate(new.tolist()) if len(names[n]) <= _LONGEST]
         if len(known) + len(short) > REMEMBERED:
-            known, ids, offsets = known.slice(0, 0), ids[:0], offsets[:1]
-        kept, begins = gather(more, ends, short)
-        self.held = (pa.concat_arrays([known, fresh.take(pa.array(short))]), np.concatenate((ids, kept)), np.concatenate((offsets, offsets[-1] + begins[1:])))
+            known, ids, offsets = {}, ids[:0], offsets[:1]
+        kept, begins = gather(more, ends, np.array(short, dtype=np.int64))
+        known.update(zip((names[n] for n in new[short].tolist()), range(len(known), len(known) + len(short)), strict=True))
+        self.held = (known, np.concatenate((ids, kept)), np.concatenate((offsets, offsets[-1] + begins[1:])))
         return gather(every, bounds, at)
 
     def _of_new(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
