@@ -145,6 +145,25 @@ def test_likelihood_and_connections(spark):
     assert {tuple(r) for r in chains.connected_files(files).collect()} == {("b/main.py", "a/util.py"), ("a/util.py", "c/x.py"), ("b/main.py", "c/x.py"), ("c/x.py", "b/main.py")}
 
 
+def test_connections_send_no_pieces_of_texts(spark):
+    """Texts whose characters no name has are not sent anywhere; the others once for each distinct run."""
+    rng = random.Random(3)
+    words = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwz", k=12)) for _ in range(4000)) for _ in range(4)]
+    rows = [(f"s/{k}.txt", f"{words[k % 4]} x{k - 1}y 7.{k + 1} -{k}-") for k in range(100010, 100018)] + [("s/a b.txt", "a b 100011"), ("s/\U0001F600.txt", "100012")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def sent() -> int:
+        bus.waitUntilEmpty()
+        every = store.executorList(False)
+        return sum(every.apply(k).totalShuffleWrite() for k in range(every.size()))
+
+    before = sent()
+    got = {tuple(r) for r in chains.connected_files(files).collect()}
+    assert sent() - before < 50_000
+    assert got == {(p, o) for p, text in rows for o, _ in rows if p != o and (name := o[2:-4]).isdigit() and name in text}
+
+
 def test_cache(spark, tmp_path):
     path = str(tmp_path / "cache")
     files = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), ("d", "x")], "path string, content string")
