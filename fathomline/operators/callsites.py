@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
 from fathomline.operators.code import CALL_RULES, LDAP_METHODS, SHELL_CALLS, XPATH_METHODS, module_names, resolve_symbols
-from fathomline.operators.dataflow import fixpoint, reaching_definitions
+from fathomline.operators.dataflow import fixpoint, inherited, reaching_definitions
 from fathomline.sources.shared import stored
 
 #: Category and names of its calls, most telling first; names of the pinned rules unless others are given.
@@ -125,11 +125,18 @@ def call_site_anchors(flow: DataFrame, rows: DataFrame, signatures=SIGNATURES, l
     bound = stored(bound.select("call", "slot", "function", callee_param.alias("param")).where("param is not null"))
     spread = stored(bound.join(origin.withColumnRenamed("param", "of"), ["call", "slot"]).select("function", "param", "caller", "of").distinct())
 
-    def up(some: DataFrame) -> DataFrame:
-        return some.join(spread, ["function", "param"]).select(F.col("caller").alias("function"), F.col("of").alias("param"), "category")
+    if limit is None:
+        node = F.concat_ws(":", F.col("function").cast("string"), "param")
+        led = spread.select(F.concat_ws(":", F.col("caller").cast("string"), "of").alias("node"), node.alias("next"))
+        marked = inherited(base.select(node.alias("node"), F.col("category").alias("mark")), led)
+        parts = F.split("node", ":", 2)
+        summaries = stored(marked.select(parts[0].cast("long").alias("function"), parts[1].alias("param"), F.col("mark").alias("category")))
+    else:
 
-    summaries, _ = fixpoint(base, up, limit)
-    summaries = stored(summaries)
+        def up(some: DataFrame) -> DataFrame:
+            return some.join(spread, ["function", "param"]).select(F.col("caller").alias("function"), F.col("of").alias("param"), "category")
+
+        summaries = stored(fixpoint(base, up, limit)[0])
     sites = bound.join(summaries, ["function", "param"]).join(given, ["call", "slot"])
     wrapper = params.select("function", F.substring_index("scope", ".", -1).alias("wrapper"))
     anchors = sites.join(wrapper, "function").join(flow.where("kind = 'call'").select("call", "path", "line", F.col("type").alias("written")), "call")

@@ -1,9 +1,11 @@
 """Wrappers of dangerous calls across files, by place, keyword and method; what is safe is no sink."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.operators import callsites
+from fathomline.operators import callsites, dataflow
 from fathomline.sources.flow import flow_rows
 from fathomline.sources.shared import stored
 from fathomline.sources.syntax import syntax_rows
@@ -51,6 +53,31 @@ def test_hops_and_empty_tables(tables):
     assert none.isEmpty() and nothing.isEmpty()
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n = 120
+    text = "".join(f"def f{k}(p, q):\n    f{k + 1}(q, p)\n" for k in range(n)) + f"def f{n}(p, q):\n    eval(p)\n"
+    files = spark.createDataFrame([("deep.py", text)], "path string, content string")
+    flow, rows = stored(flow_rows(files)), stored(syntax_rows(files))
+    written = []
+    monkeypatch.setattr(dataflow, "stored", lambda df: written.append(1) or stored(df))
+    _, told = callsites.call_site_anchors(flow, rows)
+    assert {(r["function"], r["param"]) for r in told.collect()} == {(f"f{k}", "p" if (n - k) % 2 == 0 else "q") for k in range(n + 1)}
+    assert len(written) < 40
+
+
+def test_marks_behind_any_graph(spark):
+    rng = random.Random(5)
+    for size, count in ((12, 8), (40, 40), (60, 90)):
+        edges = {(rng.randrange(size), rng.randrange(size)) for _ in range(count)} | {(100 + k, 100 + (k + 1) % 9) for k in range(9)} | {(200, 100), (201, 200), (0, 200)}
+        own = {(rng.randrange(size), rng.choice("ABC")) for _ in range(6)} | {(104, "R")}
+        want, before = set(own), None
+        while want != before:
+            before = set(want)
+            want |= {(a, m) for a, b in edges for n, m in before if n == b}
+        got = dataflow.inherited(spark.createDataFrame(sorted(own), "node long, mark string"), spark.createDataFrame(sorted(edges), "node long, next long"))
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_categories(spark):
     want = {
         "eval": "INSECURE_EVAL", "subprocess.run": "INSECURE_SUBPROCESS_SHELL", "self.db.cursor.execute": "SQL_INJECTION", "execute": "SQL_INJECTION", "shutil.rmtree": "PATH_TRAVERSAL_OPEN", "my.shutil.x": "PATH_TRAVERSAL_OPEN",
