@@ -1,7 +1,9 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import code
+from fathomline.sources import syntax
 from fathomline.sources.syntax import syntax_rows
 
 FILES = {
@@ -142,3 +144,14 @@ def test_definitions_over_branches(spark, body, want):
     last = rows.where("kind = 'call'").agg(F.max("line")).first()[0]
     got = code._definitions_reaching(rows).where(f"name = 'x' and line = {last}").collect()
     assert {r["bound"] for r in got} == want
+
+
+def test_rows_come_in_small_batches():
+    """A batch of many files is not held as rows all at once, nor are empty batches a fault."""
+    text = "def work(p):\n" + "    eval(p)\n" * 500
+    files = pa.record_batch({"path": [f"m{k}.py" for k in range(100)] + ["bad.py", "none.py"], "content": [text] * 100 + ["def (", None]})
+    got = list(syntax.batches_of(iter([files.slice(0, 0), files])))
+    assert max(b.num_rows for b in got) <= syntax.HELD + 1001
+    table = pa.Table.from_batches(got)
+    assert table.num_rows == 100 * 1001 + 1 and table.column("kind").to_pylist().count("call") == 100 * 500
+    assert list(syntax.batches_of(iter([])))[0].num_rows == 0
