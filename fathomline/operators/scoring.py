@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import fixed
 from fathomline.functions.scalars import cwe_marks, cwe_matches, cwe_number
+from fathomline.sources.shared import stored
 
-#: A line of distance outweighs any tie-break.
-LINE_COST = 100_000_000
+#: A line of distance outweighs any tie-break; pairs that a call of the matching takes together, about.
+LINE_COST, ROWS = 100_000_000, 20_000
 
 
 def _tie(*columns: str) -> Column:
@@ -97,11 +98,18 @@ def match(pairs: DataFrame) -> DataFrame:
     new = F.coalesce((F.col("low") > F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
     pairs = pairs.withColumn("__new", new).withColumn("run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = least_cost_matching(list(zip(group["d"], group["l"], group["cost"], strict=True)))
+    def solved(group: pd.DataFrame) -> pd.DataFrame:
+        runs: dict[tuple, list[tuple]] = {}
+        for file, run, d, label, cost in zip(group["file"], group["run"], group["d"], group["l"], group["cost"], strict=True):
+            runs.setdefault((file, run), []).append((d, label, cost))
+        found = [x for pairs in runs.values() for x in (least_cost_matching(pairs) if len(pairs) > 1 else [pairs[0][:2]])]
         return pd.DataFrame(found, columns=["d", "l"])
 
-    return pairs.groupBy("file", "run").applyInPandas(run, f"d {dict(pairs.dtypes)['d']}, l {dict(pairs.dtypes)['l']}")
+    # most runs are a few pairs: a call takes many runs, each by itself
+    pairs = stored(pairs.select("d", "l", "cost", "file", "run"))
+    calls = max(pairs.sparkSession.sparkContext.defaultParallelism, pairs.count() // ROWS)
+    dealt = pairs.withColumn("g", F.pmod(F.xxhash64("file", "run"), F.lit(calls))).repartition(calls, "g")
+    return dealt.groupBy("g").applyInPandas(solved, f"d {dict(pairs.dtypes)['d']}, l {dict(pairs.dtypes)['l']}")
 
 
 def outcomes(detections: DataFrame, labels: DataFrame, matched: DataFrame, clean_files: DataFrame, exact: bool = False, tolerance: int = fixed.LABEL_LINES) -> DataFrame:
