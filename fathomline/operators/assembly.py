@@ -11,6 +11,7 @@ from fathomline.functions import fixed
 from fathomline.functions.rules import reliable
 from fathomline.functions.scalars import fingerprint, severity_rank
 from fathomline.operators.firstcome import BLOCK, first_come, placed
+from fathomline.sources.shared import stored
 
 #: Lines of a snippet after its first.
 SNIPPET_LINES = 12
@@ -132,12 +133,13 @@ def verified(assessed: DataFrame, window: int = fixed.FUSION_LINES, block_lines:
     worse, then the earlier in seq.  Lines are compared by their starts alone.
     A null confidence counts as 0.5, a null corroborated as false.
     """
-    lost = assessed.where("assessment_status = 'refuted'").select("file_path").distinct().withColumn("__lost", F.lit(True))
-    told = assessed.join(lost, "file_path", "left")
-    tried = told.where("__lost and (assessment_status is null or assessment_status <> 'refuted')")
     orders = [~F.coalesce("corroborated", F.lit(False)), ~F.coalesce(F.col("source") == "CONFIRMED", F.lit(False)), -F.coalesce("confidence", F.lit(0.5)), severity_rank(F.col("severity"))]
-    gone = first_come(placed(tried, starts_only=True), orders, window, block_lines).where("kept").select("seq", F.lit(True).alias("__kept"))
-    out = told.join(gone, "seq", "left")
+    # what the walk needs, assessed once and without the texts
+    slim = stored(assessed.select("seq", "file_path", "type", "cwe_id", "start_line", "assessment_status", *[o.alias(f"__o{k}") for k, o in enumerate(orders)]))
+    lost = slim.where("assessment_status = 'refuted'").select("file_path").distinct().withColumn("__lost", F.lit(True))
+    tried = slim.join(lost, "file_path").where("assessment_status is null or assessment_status <> 'refuted'").select("seq", "file_path", "type", "cwe_id", "start_line", "__o0", "__o1", "__o2", "__o3")
+    gone = first_come(placed(stored(tried), starts_only=True), [F.col(f"__o{k}") for k in range(len(orders))], window, block_lines).where("kept").select("seq", F.lit(True).alias("__kept"))
+    out = assessed.join(lost, "file_path", "left").join(gone, "seq", "left")
     kept = F.when(F.col("assessment_status") == "refuted", False).when(F.col("__lost").isNull(), True).otherwise(F.coalesce("__kept", F.lit(False)))
     return out.select(*assessed.columns, kept.alias("kept"))
 
