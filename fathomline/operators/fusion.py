@@ -50,7 +50,7 @@ def fuse(rules: DataFrame, model: DataFrame, window: int = fixed.FUSION_LINES, d
     own = list(rules.columns)
     # what the walks need, without the texts; files are told apart over both tiers, so that paths of either meet
     slim = lambda rows, tier: rows.select(F.lit(tier).alias("tier"), "seq", "file_path", "type", "cwe_id", "start_line", "end_line", *[o.alias(f"__o{k}") for k, o in enumerate(_orders())])
-    both = stored(placed(slim(rules, 0).unionByName(slim(model, 1))))
+    both = stored(placed(stored(slim(rules, 0).unionByName(slim(model, 1)))))
     orders = [F.col("__o0"), F.col("__o1")]
     sides = []
     for tier in (0, 1):
