@@ -1,3 +1,5 @@
+import gc
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +157,21 @@ def test_rows_come_in_small_batches():
     table = pa.Table.from_batches(got)
     assert table.num_rows == 100 * 1001 + 1 and table.column("kind").to_pylist().count("call") == 100 * 500
     assert list(syntax.batches_of(iter([])))[0].num_rows == 0
+
+
+def test_the_collector_rests_while_a_file_is_read(monkeypatch):
+    seen = []
+    monkeypatch.setattr(syntax, "rows_of", lambda path, source: seen.append(gc.isenabled()) or [])
+    list(syntax.batches_of(iter([pa.record_batch({"path": ["a.py", "b.py"], "content": ["x = 1", None]})])))
+    assert seen == [False, False] and gc.isenabled()
+
+
+def test_reads_meet_bindings_once_where_nothing_loops(rows):
+    plan = code._definitions_reaching(rows)._jdf.queryExecution().optimizedPlan().toString()
+    # one join for all reads, two for those of scopes with a loop
+    assert plan.count("Join ") == 3
+
+
+def test_methods_are_the_last_part_after_a_dot(spark):
+    calls = spark.createDataFrame([("a.execute",), ("execute",), ("a.execute.",), ("?.execute",), ("a.b",), ("",)], "call string")
+    assert [r[0] for r in calls.select(code._method("execute")).collect()] == [True, False, False, True, False, False]
