@@ -72,8 +72,12 @@ class BytePieces:
         """Ids of distinct chunks and their offsets.
 
         The chunks of the last batches are remembered, up to REMEMBERED of at most
-        _LONGEST bytes, so that a worker's memory stays bounded.
+        _LONGEST bytes, so that a worker's memory stays bounded.  A batch that
+        would turn over half of them goes past: looking its chunks up would cost
+        more than the few that are known save.
         """
+        if 2 * len(chunks) > REMEMBERED:
+            return self._of_new(chunks)
         known, ids, offsets = self.held
         names = chunks.to_pylist()
         at = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))

@@ -40,9 +40,10 @@ def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def gather(values: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[offsets[c]:offsets[c + 1]] for every code c in turn, and where each begins (with the end)."""
     sizes = np.diff(offsets)[codes]
-    begins = np.concatenate(([0], np.cumsum(sizes)))
-    at = np.repeat(offsets[:-1][codes] - begins[:-1], sizes)
-    at += np.arange(begins[-1])
+    begins = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    kind = np.int32 if max(begins[-1], offsets[-1]) < 1 << 31 else np.int64
+    at = np.repeat((offsets[:-1][codes] - begins[:-1]).astype(kind), sizes)
+    at += np.arange(begins[-1], dtype=kind)
     return values[at], begins
 
 

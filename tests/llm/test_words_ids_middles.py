@@ -198,6 +198,32 @@ def test_blocks_end_at_documents(spark, docs, texts, tmp_path, monkeypatch):
     assert spark.read.parquet(path + "/ids").count() > 10
 
 
+def test_texts_get_their_ids_once(texts, tmp_path, monkeypatch):
+    """Each slice of text meets the tokenizer in one pass, whatever the ranks wait for."""
+    met, of_texts = tmp_path / "met", BytePieces.of_texts
+
+    def counted(self, column):
+        with open(met, "a") as file:
+            file.write(f"{len(column)}\n")
+        return of_texts(self, column)
+
+    monkeypatch.setattr(BytePieces, "of_texts", counted)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t or "" for t in texts], pa.string())], names=["doc_id", "text"])
+    monkeypatch.setattr(token_files, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("At", (), {"partitionId": lambda self: 0})())}))
+    monkeypatch.setattr(token_files, "BLOCK", 300)
+    blocks = list(token_files._encoded(token_files.default_tokenizer(), 2)(iter([batch])))
+    assert sum(map(int, met.read_text().split())) == len(texts) and len(blocks) > 10
+    # a block's own ranks with its ids by rank give its documents' ids, and its counts are theirs
+    flat, times = [], collections.Counter()
+    for b in blocks:
+        row = b.to_pylist()[0]
+        ids = np.frombuffer(row["met"], "<u4")
+        flat += ids[token_files.decode(row["control"], row["data"], sum(row["sizes"]))].tolist()
+        times.update(dict(zip(ids.tolist(), np.frombuffer(row["times"], "<i8").tolist(), strict=True)))
+    want = [i for _, _, ids in wanted(list(enumerate(texts))) for i in ids]
+    assert flat == want and times == collections.Counter(want)
+
+
 def test_repeated_and_null_ids_in_files(spark, odd, tmp_path):
     path = str(tmp_path / "ids")
     token_files.write_ids(odd, path, token_files.default_tokenizer(), shard_bytes=64)
