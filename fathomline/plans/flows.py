@@ -36,12 +36,18 @@ def _statement(n: Column) -> Column:
     return F.when(kind == 0, F.concat(a, F.lit(" = "), b)).when(kind == 1, F.concat(a, F.lit(" += "), b)).when(kind == 2, F.concat(a, F.lit(".append("), b, F.lit(")"))).otherwise(F.concat(a, F.lit(" = wash("), b, F.lit(")")))
 
 
+def _by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the lengths of each document's lines, taken once: inside a lambda a text would be split again for every line."""
+    lengths = F.transform(F.split("content", "\n"), F.length)
+    # an explode is a step of its own, so the lengths are not put back into the lambdas that use them
+    return files(spark, sf_dir).select("doc_id", F.explode(F.array(lengths)).alias("lengths"))
+
+
 def shaped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: a function for each six lines of a document; missing lines count as empty."""
-    lines = F.split("content", "\n")
 
     def function(g: Column) -> Column:
-        sizes = [F.coalesce(F.length(F.get(lines, g * 6 + k)), F.lit(0)) for k in range(6)]
+        sizes = [F.coalesce(F.get("lengths", g * 6 + k), F.lit(0)) for k in range(6)]
         bodies = []
         for shape in SHAPES:
             rows = [F.concat(F.lit("    " * depth), _statement(sizes[what]) if isinstance(what, int) else F.concat(F.lit("eval("), _name(sizes[5], 1), F.lit(")")) if what == "V" else F.lit(what)) for depth, what in shape]
@@ -49,8 +55,8 @@ def shaped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = sizes[0] % len(SHAPES)
         return F.coalesce(*(F.when(kind == k, b) for k, b in enumerate(bodies)))
 
-    body = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 6).cast("int")), function)
-    return files(spark, sf_dir).select(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.array_join(body, "\n").alias("content"))
+    body = F.transform(F.sequence(F.lit(0), F.floor((F.size("lengths") - 1) / 6).cast("int")), function)
+    return _by_lines(spark, sf_dir).select(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.array_join(body, "\n").alias("content"))
 
 
 def flow_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,15 +73,14 @@ LINKS = ("    eval(p)", "    NEXT(q, p)", "    print(p)", "    r = q\n    NEXT(q
 
 def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: a function for each line of a document, many of which call the next line's; the last calls the first of the document with the next id."""
-    lines = F.split("content", "\n")
 
-    def function(text: Column, i: Column) -> Column:
-        after = F.when(i + 1 < F.size(lines), F.concat(F.lit("f"), (i + 1).cast("string"))).otherwise(F.lit("onward"))
-        body = F.get(F.array(*map(F.lit, LINKS)), F.length(text) % len(LINKS))
+    def function(length: Column, i: Column) -> Column:
+        after = F.when(i + 1 < F.size("lengths"), F.concat(F.lit("f"), (i + 1).cast("string"))).otherwise(F.lit("onward"))
+        body = F.get(F.array(*map(F.lit, LINKS)), length % len(LINKS))
         return F.concat(F.lit("def f"), i.cast("string"), F.lit("(p, q):\n"), F.replace(body, F.lit("NEXT"), after))
 
     head = F.concat(F.lit("from src.m"), (F.col("doc_id") + 1).cast("string"), F.lit(" import f0 as onward\n"))
-    return files(spark, sf_dir).select(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(head, F.array_join(F.transform(lines, function), "\n")).alias("content"))
+    return _by_lines(spark, sf_dir).select(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(head, F.array_join(F.transform("lengths", function), "\n")).alias("content"))
 
 
 def wrapper_call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,3 +265,32 @@ def test_slices_of_known_programs(spark):
     assert named.first()["lines"] == [1, 4]
     assert dataflow.flow_slices(flow, asked.limit(0))[1].count() == 0
     assert dataflow.flow_slices(flow.limit(0), asked.where("line = 5"))[1].first()["status"] == "failed"
+
+
+def test_lines_are_taken_once(spark, sf):
+    """The rules that write files from documents ask for line lengths; no lambda splits a text again for each line."""
+    from fathomline.plans import flows
+
+    for made in (flows.shaped_files, flows.linked_files):
+        plan = made(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1
+
+
+def test_garbage_is_not_searched_while_a_file_grows(monkeypatch):
+    """A file's tree and rows are no garbage until they are written, and the collector is on again afterwards."""
+    import gc
+
+    import pyarrow as pa
+
+    from fathomline.sources import flow
+
+    met, run = [], []
+    rows_of = flow.rows_of
+    monkeypatch.setattr(flow, "rows_of", lambda *a: met.append(gc.isenabled()) or rows_of(*a))
+    monkeypatch.setattr(flow, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("At", (), {"partitionId": lambda self: 0})())}))
+    files = type("Files", (), {"select": lambda self, *a: self, "mapInArrow": lambda self, f, schema: run.append(f)})()
+    flow.flow_rows(files)
+    batch = pa.RecordBatch.from_pydict({"path": ["a.py", "b.py"], "content": ["x = (y := 1)\neval(x)\n", None]})
+    rows = [r for b in run[0](iter([batch])) for r in b.to_pylist()]
+    assert met == [False, False] and gc.isenabled()
+    assert [r["binds"] for r in rows if r["kind"] == "node"] == [["x", "y"], None]
