@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import attention
-from fathomline.llm.packing import SLICE, default_tokenizer
+from fathomline.llm.packing import default_tokenizer
 from fathomline.llm.shared import stored
 from fathomline.llm.text import release, slices
 from fathomline.llm.wordpieces import gather, split_words, word_pieces
@@ -31,6 +31,8 @@ from fathomline.llm.wordpieces import gather, split_words, word_pieces
 COMMON = 400_000
 #: Averaging rounds of training, ids of a chunk (whole windows) and of a shard.
 ROUNDS, CHUNK, SHARD = 3, attention.NEW * 64, 4 << 20
+#: Bytes of text or ids that a task holds at once.
+SLICE = 8 << 20
 #: Slices of the weights that are averaged apart, and parts that one group of a slice sums.
 PARTS, FAN = 16, 64
 FOLDS, HELD_OUT = 7, 2

@@ -1,3 +1,7 @@
+import pathlib
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -57,3 +61,32 @@ def test_stages_on_odd_rows(spark, sf, tmp_path):
                 assert held <= {(r[0], r[5], r[6], r[7]) for r in rows}
         ids = [r["doc_id"] for r in docs.select("doc_id").distinct().collect()]
         assert sorted(ids) == ([1, 9007199254740993] if name == "odd" else [])
+
+
+def test_packing_holds_little_beside_its_batch():
+    """A worker's memory over ids of 16 MB of text: what a pass over the batches' slices adds at most."""
+    code = """
+import pathlib, re, threading, time
+import pyarrow as pa
+from fathomline.llm import packing
+from fathomline.llm.text import release, slices
+from fathomline.llm.wordpieces import word_pieces
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", pathlib.Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"word{chr(97 + (k * j) % 26)} and{chr(97 + k % 26)}" for j in range(120)) for k in range(10_000)]})
+pieces = word_pieces(packing.default_tokenizer())
+release()
+before, most, on = held(), [0.0], [True]
+def watch():
+    while on[0]:
+        most[0] = max(most[0], held())
+        time.sleep(0.002)
+thread = threading.Thread(target=watch)
+thread.start()
+for piece in slices(iter([batch]), "text", packing.SLICE):
+    pieces.of_texts(piece.column("text"))
+on[0] = False
+thread.join()
+print(most[0] - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120, cwd=pathlib.Path(corpus_pipeline.__file__).parent)
+    assert float(out.stdout) < 50
