@@ -113,12 +113,17 @@ def _take(flat: np.ndarray, first: np.ndarray, real: np.ndarray) -> tuple[np.nda
     return inputs, some, flat[first[some // NEW] + BEFORE + some % NEW]
 
 
-def _exp(scores: np.ndarray, most: float) -> np.ndarray:
-    """In place; scores are small by training, and bounded in any case, so no maximum is taken off."""
-    np.clip(scores, -most, most, out=scores)
+def _exp(scores: np.ndarray, most: float, bound: float = np.inf) -> np.ndarray:
+    """In place; scores are small by training, and bounded in any case, so no maximum is taken off.  Those that `bound` holds within `most` need no clipping."""
+    if not bound <= most:
+        np.clip(scores, -most, most, out=scores)
     return np.exp(scores, out=scores)
 
 
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", rows, rows))
+
+
 def _ones(n: int) -> np.ndarray:
     return np.ones(n, dtype=np.float32)
 
@@ -238,6 +243,8 @@ class Scorer:
         self.keys = [np.hstack([z @ attend[:, WIDTH:], np.full((len(z), 1), k, np.float32)]) for k, z in enumerate((e, p))]
         self.late = [np.hstack([z @ attend[:, wide], z]) for z in (e, p[OVERLAP:])]
         self.classes, self.outer = np.ascontiguousarray(w.classes.T), w.outer
+        # each softmax's longest row and largest bias, with slack for rounding: they bound its scores
+        self.far = [(1.001 * float(_lengths(z[:, wide]).max()), 1.001 * float(np.abs(z[:, WIDTH]).max())) for z in (w.classes, *np.split(w.outer, known.cut[1:-1]))]
 
     def _batch(self, flat: np.ndarray, first: np.ndarray, real: np.ndarray) -> np.ndarray:
         inputs, some, target = _take(flat, first, real)
@@ -257,23 +264,25 @@ class Scorer:
         own, target = own[order], target[order]
         hidden = np.ones((len(target), WIDTH + 1), dtype=np.float32)
         hidden[:, :WIDTH] = np.take(x.reshape(-1, WIDTH), some[order], axis=0)
-        found = self._log_softmax(hidden, self.classes, own)
+        reach = float(_lengths(hidden[:, :WIDTH]).max(initial=0))
+        bounds = [reach * z + bias for z, bias in self.far]
+        found = self._log_softmax(hidden, self.classes, own, bounds[0])
         inside = target - self.known.cut[own]
         for c, lo, hi in _segments(own):
             a0, a1 = int(self.known.cut[c]), int(self.known.cut[c + 1])
             if a1 - a0 > 1:
                 for b in range(lo, hi, max(1, _LARGE // (a1 - a0))):
                     e = min(hi, b + max(1, _LARGE // (a1 - a0)))
-                    found[b:e] += self._log_softmax(hidden[b:e], self.outer[a0:a1].T, inside[b:e])
+                    found[b:e] += self._log_softmax(hidden[b:e], self.outer[a0:a1].T, inside[b:e], bounds[c + 1])
         out = np.empty(len(found))
         out[order] = found
         return np.add.reduceat(out, np.cumsum(real) - real) / np.log(10)
 
     @staticmethod
-    def _log_softmax(hidden: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def _log_softmax(hidden: np.ndarray, weights: np.ndarray, own: np.ndarray, bound: float) -> np.ndarray:
         p = hidden @ weights
         hit = p[np.arange(len(own)), own].clip(-60, 60).astype(np.float64)
-        return hit - np.log(_exp(p, 60) @ _ones(p.shape[1]))
+        return hit - np.log(_exp(p, 60, bound) @ _ones(p.shape[1]))
 
     def score(self, flat: np.ndarray, begins: np.ndarray, batch: int = 1024) -> np.ndarray:
         """For a layout, the log10 probability of each text and its end."""

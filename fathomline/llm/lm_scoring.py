@@ -172,11 +172,28 @@ def vocabulary(counts: DataFrame, tokenizer: str) -> tuple[attention.Vocabulary,
 _REST = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
 
-def _base(words: pa.Array, codes: np.ndarray, first: np.ndarray, common: pa.Array, logs: np.ndarray, end: float) -> list[pa.Array]:
+def _common_ids(words: pa.Array, tokenizer: str, most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words (binary) and their offsets, few words at a time."""
+    pieces = word_pieces(tokenizer)
+    made = [pieces.of_words(words[lo : lo + most]) for lo in range(0, len(words), most)]
+    sizes = np.concatenate([np.diff(offsets) for _, offsets in made]) if made else np.empty(0, np.int64)
+    return np.concatenate([ids for ids, _ in made]) if made else np.empty(0, np.uint32), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _ids(pieces, words: pa.Array, places: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, their offsets and each word's place among them: the common words' are `known`, at `places`; the others (-1) get theirs here."""
+    other = np.flatnonzero(places < 0)
+    ids, offsets = pieces.of_words(words.take(pa.array(other)))
+    at = places.astype(np.int64)
+    at[other] = len(known[1]) - 1 + np.arange(len(other))
+    return np.concatenate((known[0], ids)), np.concatenate((known[1], known[1][-1] + offsets[1:])), at
+
+
+def _base(words: pa.Array, codes: np.ndarray, first: np.ndarray, places: np.ndarray, logs: np.ndarray, end: float) -> list[pa.Array]:
     """n_tokens, n_known and the sum of logs over common words; the other words of each text with their counts."""
     n = len(first) - 1
     owner = np.repeat(np.arange(n), np.diff(first))
-    found = pc.fill_null(pc.index_in(words.cast(pa.binary()), common), -1).to_numpy()[codes] if len(words) else np.empty(0, np.int64)
+    found = places[codes]
     common_word = found >= 0
     known = np.bincount(owner[common_word], minlength=n)
     total = np.bincount(owner[common_word], weights=logs[found[common_word]], minlength=n)
@@ -194,15 +211,17 @@ def _read(tokenizer: str, told):
     """Each text's base columns and the ids of its subwords, its words split once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, logs, end = told.value
+        common, logs, end, known = told.value
         pieces = word_pieces(tokenizer)
         for batch in slices(batches, "text", SLICE):
             split = split_words(pc.ascii_lower(batch.column("text")))
-            ids, begins = gather(*pieces.of_words(split[0]), split[1])
+            places = pc.fill_null(pc.index_in(split[0].cast(pa.binary()), common), -1).to_numpy()
+            ids, offsets, at = _ids(pieces, split[0], places, known)
+            ids, begins = gather(ids, offsets, at[split[1]])
             ids = ids.astype(kind(pieces.vocabulary + 1))
             cuts = (begins[split[2]] * ids.itemsize).astype(np.int32)
             whole = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
-            tokens, some, sums, rest = _base(*split, common, logs, end)
+            tokens, some, sums, rest = _base(*split, places, logs, end)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _BASE[:3]), tokens, some, sums, rest.cast(_REST), whole], names=[*_BASE, "rest", "ids"])
 
     return run
@@ -223,7 +242,8 @@ def score(docs: DataFrame, tokenizer: str, common: int = COMMON) -> DataFrame:
     total, distinct = int(size[0] or 0), int(size[1])
     frequent = _commonest(counts.where("word <> X''"), common).select("word", "n").toArrow().sort_by("word")  # at most `common` rows
     ends = counts.where("word = X''").agg(F.sum("n")).first()[0]
-    words = spark.sparkContext.broadcast((pa.array(frequent["word"].combine_chunks()), np.log10(frequent["n"].to_numpy() + 1.0), math.log10(ends + 1) if ends else -math.inf))
+    frequent_words = pa.array(frequent["word"].combine_chunks())
+    words = spark.sparkContext.broadcast((frequent_words, np.log10(frequent["n"].to_numpy() + 1.0), math.log10(ends + 1) if ends else -math.inf, _common_ids(frequent_words, tokenizer)))
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     # written once, so the row numbers stay and texts get their ids once
     read = stored(numbered.mapInArrow(_read(tokenizer, words), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, rest array<struct<word: binary, n: long>>, ids binary"))

@@ -10,13 +10,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from fathomline.llm import attention, crf, decontamination, html_extract, jaccard_join, license_scan, lm_scoring, packing, quality_rules, repeats, substring_dedup, suffix_array, suffix_dedup, url_filter
 from fathomline.llm.components import components
 from fathomline.llm.sampling import least_hashes
-from fathomline.llm.wordpieces import word_pieces
+from fathomline.llm.wordpieces import gather, split_words, word_pieces
 
 SCHEMA = "doc_id long, text string, source string, n_words long, row string, kept string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -568,6 +569,25 @@ def test_training_follows_the_gradient():
             assert (loss(weights.rows + step) - loss(weights.rows - step)) / 2e-3 == pytest.approx(moved[r, c], abs=2e-3)
 
 
+def test_common_words_get_their_ids_once(texts):
+    """Ids with and without a list of common words are equal, and common words are not sent through the merges again."""
+    pieces = word_pieces(packing.default_tokenizer())
+    words, codes, _ = split_words(pc.ascii_lower(pa.array(texts, pa.string())))
+    common = words.take(pa.array(np.arange(0, len(words), 2))).cast(pa.binary())
+    known = lm_scoring._common_ids(common, packing.default_tokenizer(), 7)
+    places = pc.fill_null(pc.index_in(words.cast(pa.binary()), common), -1).to_numpy()
+    asked = []
+
+    class Counted:
+        def of_words(self, some):
+            asked.append(len(some))
+            return pieces.of_words(some)
+
+    ids, offsets, at = lm_scoring._ids(Counted(), words, places, known)
+    got, want = gather(ids, offsets, at[codes]), gather(*pieces.of_words(words), codes)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and asked == [len(words) // 2]
+
+
 def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
     monkeypatch.setattr(lm_scoring, "CHUNK", attention.NEW * 2)
     monkeypatch.setattr(lm_scoring, "FAN", 3)
