@@ -483,6 +483,26 @@ def test_runs_repeat_over_the_parts_of_a_host(spark):
     assert dealt == whole and not any("alike" in t or "just" in t for _, _, t in whole) and all(len(t.split()) >= 12 for _, _, t in whole)
 
 
+def test_runs_of_article_pages_count(spark):
+    """Pages with an article go through the suffix array too: what they hold beside it tells a run of other pages; their own text stays whole."""
+    bar = "these words stand on every page here"
+    rows = [(1, "http://h/1", f"<p>{bar}<article><p>an article of its own</article>"), (2, "http://h/2", f"<p>{bar}<p>no article but own text"), (3, "http://g/3", f"<p>{bar}<p>another host"), (4, "http://h/4", f"<article><p>{bar}<p>told again</article><p>beside it")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for part_pages in (1000, 1):
+        out = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html_extract.judged(pages, part_pages=part_pages).collect()}
+        assert out == {1: ("an article of its own", 7), 2: ("no article but own text", 7), 3: (f"{bar}\nanother host", 0), 4: (f"{bar}\ntold again", 7)}
+    # no rows are settled before the array: the blocks of all pages are dealt by host
+    plan = html_extract.extract(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "FlatMapCoGroupsInPandas" in plan
+
+
+def test_prefixes_come_back_as_sent():
+    rng = np.random.default_rng(2)
+    for top, n in ((1 << 32, 50), (1 << 32, 5000), (1 << 17, 3000), (5, 4), (1 << 32, 0)):
+        sent = np.unique(np.concatenate((rng.integers(0, top, n), [0, 65536, 131072, 2**32 - 1][: n % 7]))).astype(np.uint32)
+        assert (html_extract._unpacked(html_extract._packed(sent)) == sent).all()
+
+
 def test_articles_equal_their_markup(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     found = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
