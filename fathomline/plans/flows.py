@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators import callsites, dataflow
 from fathomline.plans.queries import _FILES, files
-from fathomline.sources.flow import flow_rows
+from fathomline.sources.flow import flow_programs, flow_rows
 from fathomline.sources.shared import stored
 from fathomline.sources.syntax import syntax_rows
 
@@ -40,7 +40,10 @@ def _by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and the lengths of each document's lines, taken once: inside a lambda a text would be split again for every line."""
     lengths = F.transform(F.split("content", "\n"), F.length)
     # an explode is a step of its own, so the lengths are not put back into the lambdas that use them
-    return files(spark, sf_dir).select("doc_id", F.explode(F.array(lengths)).alias("lengths"))
+    taken = files(spark, sf_dir).select("doc_id", F.explode(F.array(lengths)).alias("lengths"))
+    # the lengths are small, the files made of them are work: they are dealt out anew, however few parts the documents are read in
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return taken.repartition(parts, "doc_id")
 
 
 def shaped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +64,9 @@ def shaped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backward slices from every sink of the documents' functions, through branches, loops, exceptions and aliases (DF-05..08, DF-20)."""
-    flow = stored(flow_rows(shaped_files(spark, sf_dir)))
-    sinks = flow.where("kind = 'node' and array_contains(calls, 'eval')").select("path", "line")
-    _, states = dataflow.flow_slices(flow, sinks)
+    programs = flow_programs(shaped_files(spark, sf_dir))
+    sinks = F.transform(F.filter("calls", lambda c: c["name"] == "eval"), lambda c: c["line"])
+    states = stored(dataflow.program_slices(programs.withColumn("asked", sinks)))
     return states.select("path", "sink_line", F.size("lines").alias("n_lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, b: a + b).alias("line_sum"), "status", "reason")
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from fathomline.operators import dataflow
-from fathomline.sources.flow import flow_rows
+from fathomline.sources.flow import flow_programs, flow_rows
 
 NAMES = ("a", "b", "c", "d")
 
@@ -267,6 +267,39 @@ def test_slices_of_known_programs(spark):
     assert dataflow.flow_slices(flow.limit(0), asked.where("line = 5"))[1].first()["status"] == "failed"
 
 
+def test_scopes_are_walked_where_they_lie(spark, flow, programs, monkeypatch):
+    """Slices take no rounds of joins over all files, and equal those that do; so do the slices of packed programs."""
+    more = {"for.py": FOR, "dyn.py": DYNAMIC, "esc.py": ESCAPE, "guard.py": GUARD, "local.py": LOCAL, "self.py": SELF, "looped.py": LOOPED, "one.py": "def g(a): eval(a)\neval(\n    b)\n", "bad.py": "def f(:\n"}
+    files = spark.createDataFrame([*programs.items(), *more.items()], "path string, content string")
+    every = flow_rows(files).cache()
+    sinks = every.where("kind = 'node' and (array_contains(calls, 'sink') or array_contains(calls, 'eval') or array_contains(calls, 'handler'))").select("path", "line")
+    sinks = sinks.unionByName(spark.createDataFrame([("bad.py", 1), ("for.py", 99), ("one.py", 3)], "path string, line int"))
+    named = sinks.selectExpr("path", "line", "explode(array('a', 'v', 'zz')) name")
+
+    def rows(df, *columns):
+        return sorted(map(str, df.select(*columns).collect()))
+
+    columns, places = ("path", "sink_line", "lines", "status", "reason"), ("path", "sink_line", "line", "end_line", "type")
+    rounds = [dataflow.flow_slices(every, s, 1000) for s in (sinks, named)]
+    want = [(rows(picked, *places), rows(states, *columns)) for picked, states in rounds]
+    monkeypatch.setattr(dataflow, "fixpoint", None)
+    for s, w in zip((sinks, named), want, strict=True):
+        picked, states = dataflow.flow_slices(every, s)
+        assert (rows(picked, *places), rows(states, *columns)) == w
+    asked = sinks.groupBy("path").agg({"line": "collect_list"}).toDF("path", "asked")
+    packed = flow_programs(files)
+    assert rows(dataflow.program_slices(packed.join(asked, "path")), *columns) == want[0][1]
+    assert sorted(packed.where("path = 'local.py'").first()["calls"]) == [(4, "eval"), (4, "g"), (5, "wash"), (6, "safe_wash")]
+
+
+def test_files_are_dealt_out_before_they_are_parsed(spark, sf):
+    """Documents in one part are no reason for one task to parse them all."""
+    from fathomline.plans import flows
+
+    for made in (flows.shaped_files, flows.linked_files):
+        assert made(spark, sf).rdd.getNumPartitions() > spark.read.parquet(f"{sf}/documents.parquet").rdd.getNumPartitions()
+
+
 def test_lines_are_taken_once(spark, sf):
     """The rules that write files from documents ask for line lengths; no lambda splits a text again for each line."""
     from fathomline.plans import flows
