@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from fathomline.operators import callsites, dataflow
 from fathomline.plans.queries import _FILES, files
-from fathomline.sources.flow import flow_programs, flow_rows
+from fathomline.sources.flow import flow_programs
 from fathomline.sources.shared import stored
-from fathomline.sources.syntax import syntax_rows
 
 #: Function shapes: (indent, text), a number standing for that one of six statements, V for the name that the sink gets.
 SHAPES = (
@@ -88,9 +87,8 @@ def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wrapper_call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each file the parameters that reach a sink through any number of calls, and the calls that hand them on (DF-09, DF-13, JON-17)."""
-    code = linked_files(spark, sf_dir)
-    flow, rows = stored(flow_rows(code)), stored(syntax_rows(code))
-    anchors, told = callsites.call_site_anchors(flow, rows)
+    facts = stored(callsites.file_facts(linked_files(spark, sf_dir)))
+    anchors, told = callsites.fact_anchors(facts, callsites.symbol_rows(facts))
     calls = anchors.groupBy("path").agg(F.count(F.lit(1)).alias("anchors"), F.sum("line").alias("anchor_lines"))
     params = told.groupBy("path").agg(F.count(F.lit(1)).alias("params"), F.count_if(F.col("param") == "q").alias("second"))
     return params.join(calls, "path", "full").select("path", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("params", "second", "anchors", "anchor_lines")])

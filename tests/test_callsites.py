@@ -65,6 +65,40 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert len(written) < 40
 
 
+CUT = {
+    "t/text.py": 'X = """\ndef a(x):\n    eval(x)\n"""\ndef b(y):\n    eval(y)\n',
+    "t/marked.py": "@wrap(1)\ndef a(x):\n    eval(x)\ndef b(y, z=eval(X)):\n    a(y)\n",
+    "t/ends.py": "def a(x):\r\n    eval(x)\r\ndef b(y):\r\n    a(y)\rdef c(y):\r    a(y)\r",
+    "t/after.py": "def a(x):\n    eval(x)\nz = input()\na(z)\ndef b(k):\n    a(k)\nb(z)\n",
+    "t/inner.py": "def o(a):\n    def i(b):\n        eval(b)\n    i(a)\nif 1:\n    def q(c):\n        o(c)\n",
+    "t/again.py": "def a(x, y):\n    eval(x)\ndef a(x, y):\n    b = y\n    while x:\n        b = x\n    eval(b)\ndef c(p):\n    a(1, y=p)\n",
+    "t/whole.py": "from t.after import a as far\nimport t.again as again\ndef m(v):\n    far(v)\ndef n(w):\n    again.a(1, w)\n",
+    "t/broken.py": "def a(x):\n    eval(x)\ndef b(:\n",
+    "t/empty.py": "",
+    "t/null.py": None,
+}
+
+
+def test_facts_of_pieces_equal_those_of_files(spark, monkeypatch):
+    """Files are read by pieces, equal ones once; what they say is what their rows say."""
+    files = spark.createDataFrame([*FILES.items(), *CUT.items()], "path string, content string")
+    facts = stored(callsites.file_facts(files))
+    rows = stored(syntax_rows(files))
+    want = callsites.call_site_anchors(stored(flow_rows(files)), rows)
+    got = callsites.fact_anchors(facts, callsites.symbol_rows(facts))
+    for a, b in zip(want, got, strict=True):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert {r["path"] for r in got[1].where("path like 't/%'").select("path").collect()} == {f"t/{n}.py" for n in ("text", "marked", "ends", "after", "inner", "again", "whole")}
+    assert {r["path"] for r in callsites.symbol_rows(facts).collect()} == {r["path"] for r in rows.select("path").collect()}
+    # a function is parsed once, however many files hold it
+    parsed, rows_of = [], callsites.flow_source.rows_of
+    monkeypatch.setattr(callsites.flow_source, "rows_of", lambda path, text: parsed.append(text) or rows_of(path, text))
+    callsites._remembered.cache_clear()
+    told = [callsites.facts_of(f"{k}.py", f"from m{k} import f\n" + "def a(x):\n    eval(x)\ndef b(y):\n    a(y)\n" * 2)[0] for k in range(5)]
+    assert len(parsed) == 5 + 2
+    assert [[(r[1], r[3]) for r in rows if r[1] != "symbol"] for rows in told] == [[(kind, line) for top in (2, 4, 6, 8) for kind, line in (("function", top), ("call", top + 1))]] * 5
+
+
 def test_marks_behind_any_graph(spark):
     rng = random.Random(5)
     for size, count in ((12, 8), (40, 40), (60, 90)):
